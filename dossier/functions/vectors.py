@@ -1,0 +1,35 @@
+"""Vector arithmetic on array columns."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def as_double(column: Column) -> Column:
+    return column.cast("array<double>")
+
+
+def dot(left: Column, right: Column) -> Column:
+    return F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(column: Column) -> Column:
+    return F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def cosine(left: Column, right: Column) -> Column:
+    """Cosine similarity; 0 where the stored vector is all zero."""
+    scale = norm(left) * norm(right)
+    return F.when(scale == 0, F.lit(0.0)).otherwise(dot(left, right) / scale)
+
+
+def cosine_to(column: Column, query: Sequence[float]) -> Column:
+    """Similarity to one fixed query vector, normalised once on the driver."""
+    size = sum(float(v) ** 2 for v in query) ** 0.5
+    unit = F.array(*[F.lit(float(v) / size) for v in query])
+    values = as_double(column)
+    own = norm(values)
+    return F.when(own == 0, F.lit(0.0)).otherwise(dot(values, unit) / own)
