@@ -112,8 +112,10 @@ def query_variants(queries: DataFrame, variants: DataFrame | None = None, weight
     )
 
 
-def _quoted(term: Column) -> Column:
-    return F.concat(F.lit(f"(?iu)(?<!{WORD_CHAR})\\Q"), term, F.lit(f"\\E(?!{WORD_CHAR})"))
+def _around(query: Column, term: Column, part: int) -> Column:
+    """Text before (1) or after (2) the first whole-word match of a literal term."""
+    pattern = F.concat(F.lit(f"(?siu)^(.*?)(?<!{WORD_CHAR})\\Q"), term, F.lit(f"\\E(?!{WORD_CHAR})(.*)$"))
+    return F.call_function("regexp_extract", query, pattern, F.lit(part))
 
 
 def expand_queries(queries: DataFrame, dictionary: DataFrame, limit: int) -> DataFrame:
@@ -138,21 +140,15 @@ def expand_queries(queries: DataFrame, dictionary: DataFrame, limit: int) -> Dat
         strip(F.col("replacement")).alias("replacement"),
         first_word(F.col("term")).alias("word"),
     )
-    hits = (
-        words.join(terms, "word")
-        .where((F.col("replacement") != "") & has_term(casefold(F.col("query")), F.col("term")))
-        .withColumn("at", F.regexp_instr("query", _quoted(F.col("term"))))
-    )
-    expanded = strip(
-        F.concat(
-            F.substring(F.col("query"), F.lit(1), F.col("at") - 1),
-            F.col("replacement"),
-            F.substring(F.col("query"), F.col("at") + F.char_length("term"), F.char_length("query")),
-        )
+    hits = words.join(terms, "word").where(
+        (F.col("replacement") != "")
+        & has_term(casefold(F.col("query")), F.col("term"))
+        & has_term(F.col("query"), F.col("term"))
     )
+    query, term = F.col("query"), F.col("term")
+    expanded = strip(F.concat(_around(query, term, 1), F.col("replacement"), _around(query, term, 2)))
     variants = (
-        hits.where("at > 0")
-        .withColumn("expanded", expanded)
+        hits.withColumn("expanded", expanded)
         .withColumn("key", casefold(F.col("expanded")))
         .where((F.col("expanded") != "") & (F.col("key") != casefold(strip(F.col("query")))))
     )
@@ -188,16 +184,14 @@ def group_dictionary(groups: Sequence[dict]) -> list[tuple[int, str, int, str]]:
     ]
 
 
-TERMINOLOGY_CHARS = 60_000
-
-
-def tag_terminology(chunks: DataFrame, groups: Sequence[dict]) -> DataFrame:
+def tag_terminology(chunks: DataFrame, groups: Sequence[dict], max_chars: int | None = None) -> DataFrame:
     """Candidate tags per chunk: chunk_id, group_id, terms, contexts.
 
     A group has aliases, ambiguous aliases, contexts and exclusions. Any exclusion drops
     the group; a match by ambiguous aliases only needs a context term in the same chunk.
+    Whole texts are read unless ``max_chars`` asks for a cut.
     """
-    text = F.substring("text", 1, TERMINOLOGY_CHARS)
+    text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
 
     def found(words: Sequence[str]) -> Column:
         return F.array_compact(F.array(*[F.when(has_term(F.col("__text"), F.lit(w)), F.lit(w)) for w in words]))

@@ -292,3 +292,29 @@ def language_config(language: Column) -> Column:
     for code, name in LANGUAGE_CONFIG.items():
         config = F.when(F.lower(strip(language)) == code, F.lit(name)).otherwise(config)
     return config
+
+
+def rank_search_languages(
+    postings: DataFrame, chunks: DataFrame, query: str, k: int, collections: Sequence[str], analyze=None
+) -> DataFrame:
+    """Search every collection with its own text configuration and keep one global top-k.
+
+    postings and chunks carry ``config``. ``analyze`` maps a configuration name to a
+    function query -> terms (for a stemmer); the default keeps lower-cased words.
+    """
+    parts = []
+    for config in sorted(set(LANGUAGE_CONFIG.values()) | {"simple"}):
+        words = query if analyze is None else " ".join(analyze(config, query))
+        parts.append(
+            rank_search(
+                postings.where(F.col("config") == config).drop("config"),
+                chunks.where(F.col("config") == config),
+                words,
+                k,
+                collections,
+            )
+        )
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return merged.orderBy(F.desc("score"), "chunk_id").limit(k)
