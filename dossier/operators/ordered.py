@@ -20,14 +20,14 @@ def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     row = F.struct(*fields)
     keyed = df.withColumn("__bucket", bucket)
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    inner = keyed.withColumn("__next", F.lead(row).over(inside))
+    inner = keyed.withColumn("__lead", F.lead(row).over(inside))
     heads = keyed.groupBy(*keys, "__bucket").agg(F.min_by(row, F.struct(*order)).alias("__head"))
     across = Window.partitionBy(*keys).orderBy("__bucket")
     following = heads.select(*keys, "__bucket", F.lead("__head").over(across).alias("__follow"))
     return (
         inner.join(following, [*keys, "__bucket"])
-        .withColumn(name, F.coalesce("__next", "__follow"))
-        .drop("__bucket", "__next", "__follow")
+        .withColumn(name, F.coalesce("__lead", "__follow"))
+        .drop("__bucket", "__lead", "__follow")
     )
 
 
