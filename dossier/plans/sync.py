@@ -242,10 +242,10 @@ def validate_memories(spark, d):
 @query(
     "memory_conflicts",
     "K8",
-    """WITH RECURSIVE w AS (SELECT conv_id * 1000 + turn AS write_id, conv_id % 20 AS subj, turn AS at,
+    """WITH RECURSIVE w AS (SELECT conv_id * 1000 + turn AS write_id, conv_id % 20 AS subj, turn AS t_at,
         CASE WHEN (conv_id + turn) % 5 = 0 THEN 'reject' WHEN (conv_id + turn) % 5 < 3 THEN 'append' ELSE 'supersede' END AS policy
       FROM conversations),
-    o AS (SELECT *, row_number() OVER (PARTITION BY subj ORDER BY at, write_id) AS i FROM w),
+    o AS (SELECT *, row_number() OVER (PARTITION BY subj ORDER BY t_at, write_id) AS i FROM w),
     fold AS (
       SELECT subj, i, CASE WHEN true THEN [write_id] END AS active, CAST([] AS BIGINT[]) AS closed, CAST([] AS BIGINT[]) AS refused FROM o WHERE i = 1
       UNION ALL
