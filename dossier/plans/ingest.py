@@ -13,6 +13,7 @@ from dossier.operators.lexical import count_search_batch
 from dossier.plans import sqltext as q
 from dossier.plans.registry import Tables, query
 from dossier.sources.export import export_collection
+from dossier.sources.files import extract_contents, extraction_statuses
 from dossier.sources.tables import SCHEMAS, load_tables
 
 
@@ -625,3 +626,51 @@ def fact_retrieval_rank(spark, d):
         .withColumnRenamed("query_id", "item_id")
         .withColumn("rank", F.col("rank").cast("long"))
     )
+
+
+# Stored rows as files of several formats and encodings.
+def _files(t: Tables):
+    name = lambda prefix, key, end: F.concat(F.lit(f"/in/{prefix}"), F.col(key), F.lit(end)).alias("path")
+    docs = t.documents
+    parts = [
+        t.pages.select(name("p", "page_id", ".HTML"), F.col("html").cast("binary").alias("content")),
+        docs.where("lang <> 'de'").select(name("d", "doc_id", ".txt"), F.col("text").cast("binary").alias("content")),
+        docs.where("lang = 'de'").select(name("d", "doc_id", ".md"), F.encode("text", "UTF-16").alias("content")),
+        docs.select(name("b", "doc_id", ".bin"), F.col("text").cast("binary").alias("content")),
+        docs.select(name("e", "doc_id", ".csv"), F.lit("").cast("binary").alias("content")),
+        docs.select(
+            name("x", "doc_id", ".xml"),
+            F.when(F.col("lang") == "fr", F.lit("<a><b></a>"))
+            .otherwise(F.concat(F.lit("<?xml version='1.0'?><a n='"), "n_chars", F.lit("'><lang>"), "lang", F.lit("</lang></a>")))
+            .cast("binary")
+            .alias("content"),
+        ),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+FILES_SQL = f"""
+    files AS (
+      SELECT '/in/p' || page_id || '.HTML' AS path, '.html' AS format, {q.html_text("html")} AS text FROM pages
+      UNION ALL SELECT '/in/d' || doc_id || CASE WHEN lang = 'de' THEN '.md' ELSE '.txt' END, CASE WHEN lang = 'de' THEN '.md' ELSE '.txt' END, text FROM documents
+      UNION ALL SELECT '/in/b' || doc_id || '.bin', '.bin', '' FROM documents
+      UNION ALL SELECT '/in/e' || doc_id || '.csv', '.csv', '' FROM documents
+      UNION ALL SELECT '/in/x' || doc_id || '.xml', '.xml', CASE WHEN lang = 'fr' THEN '' ELSE '<a n="' || n_chars || '"><lang>' || lang || '</lang></a>' END FROM documents),
+    extracted AS (SELECT *, CASE WHEN format = '.bin' THEN 'unsupported' WHEN {q.strip("text")} = '' THEN 'empty' ELSE 'extracted' END AS status FROM files)"""
+
+
+@query("extract_contents", "A3", f"WITH {FILES_SQL} SELECT path, format, status, sha256(text) AS text_hash FROM extracted")
+def extract_contents_query(spark, d):
+    return extract_contents(_files(Tables(spark, d))).select("path", "format", "status", F.sha2("text", 256).alias("text_hash"))
+
+
+@query(
+    "extraction_statuses",
+    "A3",
+    f"WITH {FILES_SQL} SELECT format, status, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS chars FROM extracted GROUP BY ALL",
+)
+def extraction_statuses_query(spark, d):
+    return extraction_statuses(extract_contents(_files(Tables(spark, d))))
