@@ -16,8 +16,7 @@ TOKEN = "[\\p{L}\\p{N}_\\-]+"
 WORD_CHAR = "[\\p{L}\\p{N}_]"
 
 # Characters whose case folding differs from lower-casing.
-_FOLD_ONE = {c: c.casefold() for c in "ςſµ"}
-_FOLD_MANY = {c: c.casefold() for c in "ßŉǰﬀﬁﬂﬃﬄﬅﬆ"}
+_FOLDS = {c: c.casefold() for c in "ςſµßŉǰﬀﬁﬂﬃﬄﬅﬆ"}
 
 
 def strip(column: Column) -> Column:
@@ -43,11 +42,19 @@ def html_to_text(column: Column) -> Column:
 
 def casefold(column: Column) -> Column:
     """Case folding for the Latin, Greek and Cyrillic ranges."""
-    low = F.translate(F.lower(column), "".join(_FOLD_ONE), "".join(_FOLD_ONE.values()))
-    folded = low
-    for char, target in _FOLD_MANY.items():
-        folded = F.replace(folded, F.lit(char), F.lit(target))
-    return F.when(low.rlike("[" + "".join(_FOLD_MANY) + "]"), folded).otherwise(low)
+
+    def fold(low: Column) -> Column:
+        folded = low
+        for char, target in _FOLDS.items():
+            folded = F.replace(folded, F.lit(char), F.lit(target))
+        return F.when(low.rlike("[" + "".join(_FOLDS) + "]"), folded).otherwise(low)
+
+    return once(F.lower(column), fold)
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def tokens(column: Column) -> Column:
@@ -65,8 +72,8 @@ def preview(column: Column, size: int = 280) -> Column:
 
 def occurrences(haystack: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of a non-empty needle."""
-    removed = F.char_length(haystack) - F.char_length(F.replace(haystack, needle, F.lit("")))
-    return F.floor(removed / F.char_length(needle)).cast("long")
+    removed = F.octet_length(haystack) - F.octet_length(F.replace(haystack, needle, F.lit("")))
+    return F.floor(removed / F.octet_length(needle)).cast("long")
 
 
 def visible_chars(column: Column) -> Column:

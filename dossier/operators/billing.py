@@ -192,7 +192,7 @@ def invoices_with_lines(
     nested = (
         lines.join(page.select("invoice_id"), "invoice_id", "left_semi")
         .groupBy("invoice_id")
-        .agg(F.array_sort(F.collect_list(F.struct(*METER, "quantity", "amount_minor"))).alias("lines"))
+        .agg(F.sort_array(F.collect_list(F.struct(*METER, "quantity", "amount_minor"))).alias("lines"))
     )
     return page.join(nested, "invoice_id", "left")
 

@@ -26,7 +26,7 @@ def sorted_digest(
     flat = F.col("lines") <= flat_limit
     buckets = (
         keyed.groupBy(*group, F.substring("__id", 1, BUCKET_HEX).alias("__bucket"))
-        .agg(F.array_sort(F.collect_list(F.struct("__id", "__line"))).alias("__rows"))
+        .agg(F.sort_array(F.collect_list(F.struct("__id", "__line"))).alias("__rows"))
         .select(
             *group,
             "__bucket",
@@ -41,7 +41,7 @@ def sorted_digest(
             ).alias("__part"),
         )
     )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("__part")), lambda p: p["payload"]), "\n")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("__part")), lambda p: p["payload"]), "\n")
     out = buckets.groupBy(*group, "lines").agg(body.alias("__body"))
     text = F.col("__body") if header is None else F.concat_ws("\n", header, F.col("__body"))
     return out.select(*group, "lines", flat.alias("flat"), F.sha2(text, 256).alias("digest"))

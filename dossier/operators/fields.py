@@ -64,12 +64,19 @@ def text_label_values(assets: DataFrame, key: str = "asset_id", text: str = "tex
     lines = assets.select(key, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("pos", "raw")).select(
         key, (F.col("pos") + 1).alias("line_no"), collapse_space(F.col("raw")).alias("line")
     )
-    split = lines.where(F.col("line").rlike(LABEL_VALUE)).select(
-        key,
-        "line_no",
-        "line",
-        collapse_space(F.regexp_extract("line", LABEL_VALUE, 1)).alias("name"),
-        collapse_space(F.regexp_extract("line", LABEL_VALUE, 2)).alias("value"),
+    # One pass of the pattern per line: a matching line becomes label, mark, value.
+    parts = F.split(F.regexp_replace("line", LABEL_VALUE, "$1\u0001$2"), "\u0001")
+    split = (
+        lines.where(F.col("line").rlike("[:—–-]\\s"))
+        .withColumn("parts", parts)
+        .where(F.size("parts") == 2)
+        .select(
+            key,
+            "line_no",
+            "line",
+            collapse_space(F.col("parts")[0]).alias("name"),
+            collapse_space(F.col("parts")[1]).alias("value"),
+        )
     )
     return split.where((F.col("name") != "") & (F.col("value") != "")).select(
         key,
@@ -122,7 +129,7 @@ def corroborate(matches: DataFrame, key: str = "asset_id", provider: str = "auto
     grouped = matches.groupBy(key, "field_key", "value_json").agg(
         F.max("confidence").alias("best"),
         F.count_distinct("kind").alias("kinds"),
-        F.array_sort(F.collect_set(order)).alias("rows"),
+        F.sort_array(F.collect_set(order)).alias("rows"),
     )
     bonus = F.least(F.lit(MAX_BONUS), F.lit(KIND_BONUS) * (F.col("kinds") - 1))
     evidence = F.array_distinct(
@@ -225,7 +232,7 @@ def resolve_fields(assets: DataFrame, candidates: DataFrame, specs: Sequence[Fie
     )
     asked = assets.select(key, F.explode(wanted).alias("s")).select(key, "s.*")
     best_first = F.struct((-F.col("confidence")).alias("c"), "provider", "candidate_id", "value_json")
-    ranked = candidates.groupBy(key, "field_key").agg(F.array_sort(F.collect_list(best_first)).alias("ranked"))
+    ranked = candidates.groupBy(key, "field_key").agg(F.sort_array(F.collect_list(best_first)).alias("ranked"))
     joined = asked.join(ranked, [key, "field_key"], "left")
     top, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
     confidence = -top["c"]
@@ -302,8 +309,8 @@ def values(decisions: DataFrame, include_unconfirmed: bool = False, key: str = "
     accepted = [*ACCEPTED, "needs_confirmation"] if include_unconfirmed else list(ACCEPTED)
     take = F.col("status").isin(accepted) & F.col("selected_id").isNotNull()
     return decisions.groupBy(key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(take, F.struct("field_key", "value_json"))))).alias("values"),
-        F.array_sort(F.collect_list(F.when(F.col("required") & F.col("status").isin(*OPEN), F.col("field_key")))).alias("unresolved_required"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(take, F.struct("field_key", "value_json"))))).alias("values"),
+        F.sort_array(F.collect_list(F.when(F.col("required") & F.col("status").isin(*OPEN), F.col("field_key")))).alias("unresolved_required"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.text import casefold, occurrences, strip, tokens
+from dossier.functions.text import casefold, occurrences, once, strip, tokens
 from dossier.operators.blocks import ARROW, TaskTopK, kind_of, scan_by_blocks, top_k
 
 # Weights of the counting scorer.
@@ -43,17 +44,18 @@ def count_search(docs: DataFrame, query: str, k: int) -> DataFrame:
     if not words or k < 1:
         return docs.limit(0).withColumn("score", F.lit(0.0))
     haystack = casefold(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
-    score: Column = F.when(F.contains("__hay", F.lit(query.casefold())), F.lit(EXACT_WEIGHT)).otherwise(F.lit(0.0))
-    for word, times in {w: words.count(w) for w in words}.items():
-        n = F.least(occurrences(F.col("__hay"), F.lit(word)), F.lit(COUNT_CAP))
-        score = score + F.when(n > 0, (F.lit(TOKEN_WEIGHT) + n * COUNT_WEIGHT) * times).otherwise(F.lit(0.0))
+
+    def score(hay: Column) -> Column:
+        total = F.when(F.contains(hay, F.lit(query.casefold())), F.lit(EXACT_WEIGHT)).otherwise(F.lit(0.0))
+        for word, times in {w: words.count(w) for w in words}.items():
+            n = F.least(occurrences(hay, F.lit(word)), F.lit(COUNT_CAP))
+            total = total + F.when(n > 0, (F.lit(TOKEN_WEIGHT) + n * COUNT_WEIGHT) * times).otherwise(F.lit(0.0))
+        return total
+
+    # Scores of 0 sort last, so the filter may wait until the few best rows are left; in
+    # front of the sort it would make the planner compute every score twice.
     return (
-        docs.withColumn("__hay", haystack)
-        .withColumn("score", score)
-        .drop("__hay")
-        .where("score > 0")
-        .orderBy(F.desc("score"), "chunk_id")
-        .limit(k)
+        docs.withColumn("score", once(haystack, score)).orderBy(F.desc("score"), "chunk_id").limit(k).where("score > 0")
     )
 
 
@@ -75,29 +77,33 @@ def count_search_batch(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame
                 words = [w.casefold() for w in _QUERY_TOKEN.findall(query or "")]
                 if words:
                     plans.append((query_id, query.casefold(), words))
-            vocabulary = sorted({w for _, _, words in plans for w in words})
-            column = {w: i for i, w in enumerate(vocabulary)}
+            if not plans:
+                return
+            counter = _WordCounter({w for _, _, words in plans for w in words})
             # times[w, q]: how often query q names word w.
-            times = np.zeros((len(vocabulary), len(plans)))
+            times = np.zeros((len(counter.words), len(plans)))
             for number, (_, _, words) in enumerate(plans):
                 for word in words:
-                    times[column[word], number] += 1
+                    times[counter.place[word], number] += 1
+            needs = (times > 0).astype(np.float64)
+            wanted = needs.sum(axis=0)
             kept = TaskTopK([query_id for query_id, _, _ in plans], k)
+            step = max(1, _CELLS // max(len(counter.words), len(plans)))
             for batch in batches:
-                if not batch.num_rows or not plans:
-                    continue
-                ids = np.asarray(batch.column(0).to_pylist())
-                hays = batch.column(1).to_pylist()
-                gains = np.zeros((len(hays), len(vocabulary)))
-                for row, hay in enumerate(hays):
-                    counts = np.fromiter((hay.count(w) for w in vocabulary), np.int64, len(vocabulary))
-                    gains[row] = np.where(counts > 0, TOKEN_WEIGHT + np.minimum(counts, COUNT_CAP) * COUNT_WEIGHT, 0.0)
-                scores = gains @ times
-                for number, (_, text, _) in enumerate(plans):
-                    whole = np.fromiter((text in hay for hay in hays), bool, len(hays))
-                    own = scores[:, number] + EXACT_WEIGHT * whole
-                    hit = own > 0
-                    kept.add(number, own[hit], ids[hit])
+                all_ids, all_hays = np.asarray(batch.column(0).to_pylist()), batch.column(1).to_pylist()
+                for start in range(0, len(all_hays), step):
+                    ids, hays = all_ids[start : start + step], all_hays[start : start + step]
+                    counts = np.stack([counter.count(hay) for hay in hays])
+                    found = counts > 0
+                    gains = np.where(found, TOKEN_WEIGHT + np.minimum(counts, COUNT_CAP) * COUNT_WEIGHT, 0.0)
+                    scores = gains @ times
+                    # Only a text with every word of a query can hold the query itself.
+                    for row, number in zip(*np.nonzero(found.astype(np.float64) @ needs == wanted)):
+                        if plans[number][1] in hays[row]:
+                            scores[row, number] += EXACT_WEIGHT
+                    for number in range(len(plans)):
+                        hit = scores[:, number] > 0
+                        kept.add(number, scores[hit, number], ids[hit])
             yield from kept.batches(query_kind, id_kind)
 
         return run
@@ -108,6 +114,47 @@ def count_search_batch(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame
     return top_k(scored, "query_id", [F.desc("score"), F.col("chunk_id")], k)
 
 
+_CELLS = 4_000_000
+_RUNS = 200_000
+
+
+class _WordCounter:
+    """Substring counts of a fixed vocabulary in many texts.
+
+    A word can only occur inside a run of word characters, and runs repeat, so each distinct
+    run is looked at once: its substrings are looked up in the vocabulary.
+    """
+
+    def __init__(self, vocabulary: set[str]) -> None:
+        self.words = sorted(vocabulary)
+        self.place = {w: i for i, w in enumerate(self.words)}
+        self.sizes = sorted({len(w) for w in self.words})
+        # Folding can leave marks that are not word characters; such words are counted plainly.
+        self.plain = [w for w in self.words if not _QUERY_TOKEN.fullmatch(w)]
+        self.known: dict[str, tuple[list[int], list[int]]] = {}
+
+    def _look(self, run: str) -> tuple[list[int], list[int]]:
+        inside = {run[i : i + size] for size in self.sizes if size <= len(run) for i in range(len(run) - size + 1)}
+        hits = [w for w in inside if w in self.place]
+        return [self.place[w] for w in hits], [run.count(w) for w in hits]
+
+    def count(self, text: str) -> np.ndarray:
+        places: list[int] = []
+        counts: list[int] = []
+        for run, times in Counter(_QUERY_TOKEN.findall(text)).items():
+            hit = self.known.get(run)
+            if hit is None:
+                if len(self.known) >= _RUNS:
+                    self.known.clear()
+                hit = self.known[run] = self._look(run)
+            places += hit[0]
+            counts += hit[1] if times == 1 else [c * times for c in hit[1]]
+        total = np.bincount(places, weights=counts, minlength=len(self.words)) if places else np.zeros(len(self.words))
+        for word in self.plain:
+            total[self.place[word]] = text.count(word)
+        return total
+
+
 def passage_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, chunk_id) pairs where the text holds the whole passage verbatim."""
     id_type, query_type = kind_of(docs, "chunk_id"), kind_of(queries, "query_id")
@@ -138,7 +185,7 @@ def build_postings(chunks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     spread = chunks.select(*keys, "chunk_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
     return spread.groupBy(*keys, "term", "chunk_id").agg(
-        F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions")
+        F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions")
     )
 
 

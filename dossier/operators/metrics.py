@@ -222,7 +222,7 @@ def faithfulness(cases: DataFrame, required: DataFrame, claims: DataFrame, evide
     The claims of one answer are a short list and travel as an array.
     """
     per_case = claims.groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("claim_no", F.lower("text").alias("text"), "chunk_ids"))).alias("claims")
+        F.sort_array(F.collect_list(F.struct("claim_no", F.lower("text").alias("text"), "chunk_ids"))).alias("claims")
     )
     matched = required.join(per_case, "case_id", "left").select(
         "case_id",
@@ -240,7 +240,7 @@ def faithfulness(cases: DataFrame, required: DataFrame, claims: DataFrame, evide
         matched.select("case_id", "req_no", F.posexplode("match.chunk_ids").alias("pos", "chunk_id"))
         .join(evidence, ["case_id", "chunk_id"])
         .groupBy("case_id", "req_no")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("parts"))
         .select("case_id", "req_no", F.lower(F.array_join(F.transform("parts", lambda p: p["text"]), " ")).alias("cited"))
     )
     checks = matched.join(cited, ["case_id", "req_no"], "left").select(

@@ -12,7 +12,7 @@ from dossier.functions.text import strip, visible_chars
 def ocr_page_rollup(words: DataFrame) -> DataFrame:
     """Words (doc_id, page, word_no, word, conf) -> page text and mean confidence."""
     kept = words.withColumn("word", strip(F.col("word"))).where((F.col("word") != "") & (F.col("conf") >= 0))
-    ordered = F.array_sort(F.collect_list(F.struct("word_no", "word")))
+    ordered = F.sort_array(F.collect_list(F.struct("word_no", "word")))
     return kept.groupBy("doc_id", "page").agg(
         F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text"),
         F.bround(F.avg(F.col("conf").cast("double")), 2).alias("confidence"),
@@ -82,8 +82,8 @@ def page_cascade(
         F.col("selected") != "",
         F.struct("page", F.concat(F.lit("[Page "), F.col("page"), F.lit("]\n"), F.col("selected")).alias("block")),
     )
-    numbers = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("page"))))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["block"]), "\n\n")
+    numbers = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("page"))))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(block)), lambda b: b["block"]), "\n\n")
     return (
         chosen.groupBy("doc_id")
         .agg(

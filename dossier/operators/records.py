@@ -58,7 +58,7 @@ def jsonld_records(
         named.join(terms.select("skey", "field_key"), "skey")
         .groupBy(*place)
         .agg(
-            F.array_sort(F.collect_set("field_key")).alias("matched_fields"),
+            F.sort_array(F.collect_set("field_key")).alias("matched_fields"),
             F.first("object_type").alias("object_type"),
             F.first("object_json").alias("object_json"),
         )

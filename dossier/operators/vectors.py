@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from dossier.operators.blocks import ARROW, TaskTopK, best, kind_of, scan_by_blocks, top_k
+from dossier.operators.blocks import ARROW, TaskTopK, best, kind_of, scan_by_blocks, spread, top_k
 from dossier.operators.digests import FLAT_LIMIT, sorted_digest
 
 # Fixed values of the hashing embedding: prefix length and weights.
@@ -72,6 +72,11 @@ def hashing_embed(text: Column, dimension: int = 256) -> Column:
     return embed(text)
 
 
+def embed_texts(df: DataFrame, key: str, text: str, dimension: int = 256) -> DataFrame:
+    """(key, vector) of every text."""
+    return spread(df.select(key, text), key).select(key, hashing_embed(F.col(text), dimension).alias("vector"))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)

@@ -9,6 +9,7 @@ from dossier.operators import fusion as fu
 from dossier.operators import graph as g
 from dossier.operators import metrics as m
 from dossier.operators import page_text
+from dossier.operators.blocks import spread
 from dossier.operators.vectors import knn_join
 from dossier.plans import sqltext as q
 from dossier.plans.graph import STAR_SQL, star_relations
@@ -166,7 +167,7 @@ def set_precision_recall(spark, d):
 
 def _turn_pairs(t: Tables):
     """Each turn as reference, the next turn of the conversation as hypothesis."""
-    turns = t.conversations
+    turns = spread(t.conversations, "conv_id")
     nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
     return turns.select("conv_id", "turn", F.col("text").alias("reference")).join(nxt, ["conv_id", "turn"])
 
@@ -332,7 +333,7 @@ def structure_score(spark, d):
 def _artifacts(t: Tables):
     n = F.col("doc_id")
     none = F.lit(None).cast("double")
-    return t.documents.select(
+    return t.texts.select(
         F.col("source").alias("corpus"),
         F.col("lang").alias("format"),
         n.alias("artifact_id"),

@@ -8,6 +8,7 @@ from dossier.operators import fields as fl
 from dossier.operators import markup
 from dossier.operators import profiles as pr
 from dossier.operators import records as rc
+from dossier.operators.blocks import spread
 from dossier.operators.fields import FieldSpec
 from dossier.plans.registry import Tables, query
 
@@ -79,7 +80,7 @@ def part_assets(t: Tables):
         F.when(n % 2 == 0, F.concat(F.lit('<meta property="BRAND" content="'), "p_brand", F.lit('">'))).otherwise(""),
         F.when(n % 4 == 0, F.concat(F.lit('<script type="application/ld+json">{"name":"'), "p_name", F.lit('","size":'), size, F.lit("}</script>"))).otherwise(""),
     )
-    return t.part.select(n.alias("asset_id"), text.alias("text"), html.alias("html"))
+    return spread(t.part, "p_partkey").select(n.alias("asset_id"), text.alias("text"), html.alias("html"))
 
 
 SPECS = [
@@ -134,7 +135,7 @@ def text_label_values(spark, d):
     WHERE regexp_matches(line, '^\s*(.{1,120}?)\s*(?::|—|–|-)\s+(.{1,1000}?)\s*$')""",
 )
 def document_label_values(spark, d):
-    found = fl.text_label_values(Tables(spark, d).documents.withColumnRenamed("doc_id", "asset_id"))
+    found = fl.text_label_values(Tables(spark, d).texts.withColumnRenamed("doc_id", "asset_id"))
     return found.select("asset_id", F.substring("source_ref", 6, 20).cast("long").alias("line_no"), "name")
 
 
@@ -341,7 +342,7 @@ def attribute_records(spark, d):
     t = Tables(spark, d)
     # Maps do not sort, so the rows are ordered before they become maps.
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("asset_id")).agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("rows")
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("rows")
     )
     assets = lines.select(
         "asset_id",

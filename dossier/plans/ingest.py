@@ -23,7 +23,7 @@ def doc_uri():
 
 def ingested_documents(t: Tables, **options) -> ing.Ingested:
     """documents -> stored tables; collection = source, URI = doc://id."""
-    return ing.ingest_texts(t.documents, F.col("source"), doc_uri(), F.col("text"), "file", **options)
+    return ing.ingest_texts(t.texts, F.col("source"), doc_uri(), F.col("text"), "file", **options)
 
 
 DOC_IDS_SQL = f"""
@@ -124,7 +124,7 @@ def ingest_pages(spark, d):
 )
 def html_to_text_query(spark, d):
     text = html_to_text(F.col("html"))
-    return Tables(spark, d).pages.select(
+    return Tables(spark, d).markup.select(
         "page_id", F.sha2(text, 256).alias("text_hash"), F.char_length(text).cast("long").alias("n_chars")
     )
 
@@ -132,7 +132,7 @@ def html_to_text_query(spark, d):
 # Page tables made from the documents: one page per line; OCR output for two pages of
 # three with a confidence from the line number, vision output for every second page.
 def _page_tables(t: Tables):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
+    lines = t.texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
         "doc_id", (F.col("pos") + 1).alias("page"), "line"
     )
     native = lines.select("doc_id", "page", F.col("line").alias("text"))
@@ -190,7 +190,7 @@ def page_cascade_query(spark, d):
 
 
 def _ocr_words(t: Tables):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = t.texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     words = lines.select("doc_id", (F.col("pos") + 1).alias("page"), F.posexplode(F.split("line", " ")).alias("w", "word"))
     return words.select(
         "doc_id",
@@ -379,7 +379,7 @@ def export_collection_query(spark, d):
 )
 def normalize_text_query(spark, d):
     norm = normalize_text(F.col("text"))
-    return Tables(spark, d).documents.select(
+    return Tables(spark, d).texts.select(
         "doc_id",
         F.sha2(norm, 256).alias("text_hash"),
         F.char_length(norm).cast("long").alias("n_chars"),
@@ -423,7 +423,7 @@ def chunk_pages_small_windows(spark, d):
 def dedupe_chunks_query(spark, d):
     lines = (
         Tables(spark, d)
-        .documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+        .texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
         .where(collapse_space(F.col("line")) != "")
         .select("doc_id", "ordinal", F.sha2("line", 256).alias("content_hash"), F.col("ordinal").alias("source_pos"))
     )
@@ -439,7 +439,7 @@ def dedupe_chunks_query(spark, d):
     FROM documents WHERE {q.norm("text")} <> ''""",
 )
 def whole_text_chunks_query(spark, d):
-    return chunking.whole_text_chunks(Tables(spark, d).documents, ["doc_id"]).select(
+    return chunking.whole_text_chunks(Tables(spark, d).texts, ["doc_id"]).select(
         "doc_id", "ordinal", "content_hash", "char_end"
     )
 
@@ -563,7 +563,7 @@ FACT_RESULT_SQL = f"""{FACT_CASES_SQL},
 
 
 def _fact_results(spark, d):
-    docs = Tables(spark, d).documents
+    docs = Tables(spark, d).texts
     chunks = chunking.chunk_documents(docs, ["doc_id"]).select(
         F.col("doc_id").alias("artifact_id"), "ordinal", "chunk_text"
     )

@@ -29,7 +29,7 @@ def count_sql(hay: str, words: list[str], phrase: str) -> str:
     SELECT * FROM s WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 25""",
 )
 def lexical_count_search(spark, d):
-    docs = Tables(spark, d).documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), "text")
+    docs = Tables(spark, d).texts.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), "text")
     return lx.count_search(docs, PHRASE, 25).select("chunk_id", "score")
 
 
@@ -74,7 +74,7 @@ TERMS_SQL = f"""
 
 
 def document_chunks(t: Tables):
-    return t.documents.select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("collection_id"), "lang")
+    return t.texts.select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("collection_id"), "lang")
 
 
 @query(

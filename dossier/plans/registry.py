@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.operators.blocks import spread
 from dossier.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +42,13 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         return load_table(self._spark, self._folder, name)
+
+    @property
+    def texts(self) -> DataFrame:
+        """documents, over all cores when they are one small file."""
+        return spread(self.documents, "doc_id")
+
+    @property
+    def markup(self) -> DataFrame:
+        """pages, over all cores when they are one small file."""
+        return spread(self.pages, "page_id")

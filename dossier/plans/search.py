@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators import evidence as ev
 from dossier.operators import fusion as fu
-from dossier.operators.vectors import hashing_embed
+from dossier.operators.vectors import embed_texts
 from dossier.plans import sqltext as q
 from dossier.plans.ingest import DOC_IDS_SQL, ingested_documents
 from dossier.plans.lexical import COUNT_PAIRS_SQL, benchmark_queries, untitled_documents
@@ -57,7 +57,7 @@ EMBED_SQL = rf"""
 def hybrid_search(spark, d):
     t = Tables(spark, d)
     docs = untitled_documents(t)
-    vectors = docs.select("chunk_id", hashing_embed(F.col("text")).alias("vector"))
+    vectors = embed_texts(docs, "chunk_id", "text")
     hits = fu.hybrid_search(fu.query_variants(benchmark_queries(t)), docs, vectors, limit=10)
     return hits.select(
         "query_id",
@@ -205,7 +205,7 @@ def _found(words: list[str]) -> str:
     WHERE NOT {_has("und")} AND ({_has("of the")} OR {_has("un")})""",
 )
 def tag_terminology(spark, d):
-    chunks = Tables(spark, d).documents.select(F.col("doc_id").alias("chunk_id"), "text")
+    chunks = Tables(spark, d).texts.select(F.col("doc_id").alias("chunk_id"), "text")
     return fu.tag_terminology(chunks, GROUPS).select(
         "chunk_id", "group_id", F.array_join("terms", ",").alias("terms"), F.array_join("contexts", ",").alias("contexts")
     )

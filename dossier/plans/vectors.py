@@ -51,7 +51,7 @@ def first_vector(t: Tables) -> list[float]:
     WHERE abs(s / size) >= 0.0001""",
 )
 def hashing_embed(spark, d):
-    docs = Tables(spark, d).documents.select("doc_id", v.hashing_embed(F.col("text")).alias("vector"))
+    docs = v.embed_texts(Tables(spark, d).documents, "doc_id", "text")
     return (
         docs.select("doc_id", F.posexplode("vector").alias("bucket", "raw"))
         .where(F.abs("raw") >= 0.0001)

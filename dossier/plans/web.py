@@ -239,7 +239,7 @@ def _sitemaps(t: Tables):
     locs = t.pages.groupBy(block.alias("b")).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("page_id", "url"))),
+                F.sort_array(F.collect_list(F.struct("page_id", "url"))),
                 lambda p: F.concat(F.lit("<url><loc> "), F.replace(p["url"], F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>")),
             ),
             "",
@@ -296,7 +296,7 @@ NOSCRIPT = "<html><body><noscript>You need to enable JavaScript to run this app,
       CASE form WHEN 1 THEN 'client_rendered_shell' WHEN 2 THEN 'javascript_required_message' WHEN 3 THEN 'empty_html' END AS reason FROM p""",
 )
 def render_need(spark, d):
-    pages = Tables(spark, d).pages
+    pages = Tables(spark, d).markup
     forms = F.array(
         F.struct(F.lit(0).alias("form"), F.col("html").alias("body")),
         *[F.struct(F.lit(i).alias("form"), F.lit(text).alias("body")) for i, text in ((1, SHELL), (2, NOSCRIPT), (3, "<p></p>"))],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def _nested(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """One row per key with its child rows as an array sorted by ``order``."""
     rest = [c for c in df.columns if c not in (key, order)]
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias(name))
 
 
 def export_collection(
