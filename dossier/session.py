@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,20 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the checkpoint folder, for stream state and written tables."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_dossier_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="dossier-package-"), "dossier.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("dossier", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._dossier_shipped = True

@@ -18,6 +18,7 @@ from dossier.session import work_folder
 from dossier.sources.tables import SCHEMAS
 
 VERSION = "version"
+COMPACT_EVERY = 32
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -58,21 +59,29 @@ def write_version(df: DataFrame, path: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{VERSION}={version}")
 
 
-def read_versions(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """All rows of the versions written so far (older than ``before``)."""
+def read_versions(
+    spark: SparkSession, path: str, schema: StructType, before: int | None = None, since: int = 0
+) -> DataFrame:
+    """All rows of the versions ``since`` .. ``before`` - 1; other versions are pruned as partitions."""
     full = StructType(list(schema.fields)).add(VERSION, "integer")
+    if before == 0:
+        return spark.createDataFrame([], full)
     try:
         rows = spark.read.schema(full).option("basePath", path).parquet(path)
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], full)
+    if since:
+        rows = rows.where(F.col(VERSION) >= since)
     return rows if before is None else rows.where(F.col(VERSION) < before)
 
 
-def current_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], before: int | None = None) -> DataFrame:
+def current_rows(
+    spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], before: int | None = None, since: int = 0
+) -> DataFrame:
     """The newest row per key."""
-    rows = read_versions(spark, path, schema, before)
+    rows = read_versions(spark, path, schema, before, since)
     rest = [f.name for f in schema.fields if f.name not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), VERSION).alias("r")).select(*keys, "r.*")
 
@@ -84,9 +93,11 @@ def fold_stream(
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     purpose: str,
 ) -> DataFrame:
-    """Keyed fold of a stream: ``merge(old rows of touched keys, summarize(batch))`` per batch.
+    """Keyed fold of a stream: ``merge(old rows, summarize(batch))`` gives the touched keys' new rows.
 
-    Returns the current row per key after everything available has been processed.
+    Every COMPACT_EVERY batches the untouched rows are written along, so that a batch never
+    reads further back than that. Returns the current row per key after everything available
+    has been processed.
     """
     spark = stream.sparkSession
     folder = work_folder(spark, purpose)
@@ -96,8 +107,12 @@ def fold_stream(
     def each(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         fresh = summarize(batch)
-        old = current_rows(session, path, schema, keys, before=batch_id)
-        write_version(merge(old, fresh).select(*schema.names), path, batch_id)
+        since = (batch_id - 1) // COMPACT_EVERY * COMPACT_EVERY if batch_id else 0
+        old = current_rows(session, path, schema, keys, before=batch_id, since=since)
+        rows = merge(old, fresh).select(*schema.names)
+        if batch_id and batch_id % COMPACT_EVERY == 0:
+            rows = rows.unionByName(old.join(fresh.select(*keys), list(keys), "left_anti").select(*schema.names))
+        write_version(rows, path, batch_id)
 
     run_batches(stream, each, folder)
     return current_rows(spark, path, schema, keys)
