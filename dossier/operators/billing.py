@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.ids import stable_id
 from dossier.operators.digests import FLAT_LIMIT, sorted_digest
-from dossier.operators.ordered import with_next
+from dossier.operators.ordered import as_of, with_next
 
 METER = ["operation", "unit"]
 
@@ -73,45 +73,46 @@ def assignment_for_period(assignments: DataFrame, periods: DataFrame) -> DataFra
     """The assignment that covers each (tenant_id, period_start, period_end) completely.
 
     Assignments of a tenant follow one another, so only the latest one starting at or before
-    the period start can cover it: an as-of lookup. Both sides are merged in time order and
-    the last assignment is carried forward; no (assignment, period) pairs are formed.
+    the period start can cover it: an as-of lookup.
     """
-    plan = F.struct("catalog_id", "effective_from", "effective_to")
-    none = F.lit(None).cast(assignments.select(plan.alias("p")).schema["p"].dataType)
-    starts = assignments.select(
-        "tenant_id",
-        F.col("effective_from").alias("t"),
-        F.lit(0).alias("side"),
-        plan.alias("plan"),
-        F.lit(None).cast(periods.schema["period_end"].dataType).alias("period_end"),
+    found = as_of(
+        periods,
+        assignments,
+        ["tenant_id"],
+        "period_start",
+        "effective_from",
+        lambda t: F.date_trunc("month", t),
+        ["catalog_id", "effective_from", "effective_to"],
+        "plan",
     )
-    asked = periods.select("tenant_id", F.col("period_start").alias("t"), F.lit(1).alias("side"), none.alias("plan"), "period_end")
-    timeline = Window.partitionBy("tenant_id").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = starts.unionByName(asked).withColumn("plan", F.last("plan", ignorenulls=True).over(timeline))
     covers = F.col("plan.effective_to").isNull() | (F.col("plan.effective_to") >= F.col("period_end"))
-    return carried.where("side = 1").where(F.col("plan").isNotNull() & covers).select(
-        "tenant_id", F.col("t").alias("period_start"), "period_end", "plan.catalog_id", "plan.effective_from"
+    return found.where(F.col("plan").isNotNull() & covers).select(
+        "tenant_id", "period_start", "period_end", "plan.catalog_id", "plan.effective_from"
     )
 
 
 def billed_usage(events: DataFrame, periods: DataFrame) -> DataFrame:
-    """Billable quantity per (tenant, period, meter); events are summed per day first.
+    """Billable quantity per (tenant, half-open period, meter).
 
-    Periods start and end at midnight, so whole days fall into them; the day totals are what
-    meets the periods, not the raw events.
+    A period is opened into its whole days, which meet day totals by an equi join; the few
+    days that a period only touches in part meet the events themselves.
     """
-    daily = (
-        events.where("billable")
-        .groupBy("tenant_id", F.to_date("created_at").alias("day"), *METER)
-        .agg(F.sum("quantity").alias("quantity"))
-    )
-    inside = (F.col("day") >= F.to_date("period_start")) & (F.col("day") < F.to_date("period_end"))
-    return (
-        daily.join(periods.select("tenant_id", "period_start", "period_end"), "tenant_id")
-        .where(inside)
-        .groupBy("tenant_id", "period_start", "period_end", *METER)
-        .agg(F.sum("quantity").alias("quantity"))
-    )
+    key = ["tenant_id", "period_start", "period_end"]
+    billable = events.where("billable").withColumn("day", F.to_date("created_at"))
+    daily = billable.groupBy("tenant_id", "day", *METER).agg(F.sum("quantity").alias("quantity"))
+    first, last = F.to_date("period_start"), F.to_date("period_end")
+    cut_first = F.col("period_start") > F.date_trunc("day", "period_start")
+    cut_last = F.col("period_end") > F.date_trunc("day", "period_end")
+    since = F.when(cut_first, F.date_add(first, 1)).otherwise(first)
+    until = F.date_sub(last, 1)
+    days = periods.select(*key).withColumn("day", F.explode(F.when(since <= until, F.sequence(since, until))))
+    edges = F.array_distinct(F.array_compact(F.array(F.when(cut_first, first), F.when(cut_last, last))))
+    touched = periods.select(*key).withColumn("day", F.explode(edges))
+    inside = (F.col("created_at") >= F.col("period_start")) & (F.col("created_at") < F.col("period_end"))
+    whole = daily.join(days, ["tenant_id", "day"])
+    part = billable.join(touched, ["tenant_id", "day"]).where(inside)
+    cols = [*key, *METER, "quantity"]
+    return whole.select(cols).unionByName(part.select(cols)).groupBy(*key, *METER).agg(F.sum("quantity").alias("quantity"))
 
 
 def rate_invoice_lines(usage: DataFrame, rules: DataFrame) -> DataFrame:

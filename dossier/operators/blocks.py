@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 BLOCK_BYTES = 64 * 1024 * 1024
 
+# Cells of a score matrix held at a time by one task.
+CELLS = 4_000_000
+
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 
 
@@ -91,6 +94,7 @@ class TaskTopK:
     def __init__(self, query_ids: list, k: int) -> None:
         self.query_ids, self.k = query_ids, k
         self.kept: list = [None] * len(query_ids)
+        self.edge = np.full(len(query_ids), -np.inf)
 
     def add(self, number: int, scores: np.ndarray, ids: np.ndarray) -> None:
         if not len(scores):
@@ -99,6 +103,18 @@ class TaskTopK:
             scores = np.concatenate([self.kept[number][0], scores])
             ids = np.concatenate([self.kept[number][1], ids])
         self.kept[number] = best(scores, ids, self.k)
+        if len(self.kept[number][0]) == self.k:
+            self.edge[number] = self.kept[number][0][-1]
+
+    def add_matrix(self, scores: np.ndarray, ids: np.ndarray, above: float = -np.inf) -> None:
+        """Scores (rows x queries) of one stretch of the corpus; only those ``above`` a floor count.
+
+        Once a query has k rows, most stretches hold nothing better and are passed over whole.
+        """
+        hit = (scores >= self.edge) & (scores > above)
+        for number in np.nonzero(hit.any(axis=0))[0]:
+            rows = hit[:, number]
+            self.add(number, scores[rows, number], ids[rows])
 
     def batches(self, query_kind: str, id_kind: str) -> Iterator[pa.RecordBatch]:
         for query_id, hits in zip(self.query_ids, self.kept):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLAT_LIMIT = 100_000
-BUCKET_HEX = 3
+BUCKET_HEX = 5
 
 
 def sorted_digest(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import casefold, occurrences, once, strip, tokens
-from dossier.operators.blocks import ARROW, TaskTopK, kind_of, scan_by_blocks, top_k
+from dossier.operators.blocks import ARROW, CELLS, TaskTopK, kind_of, scan_by_blocks, top_k
 
 # Weights of the counting scorer.
 EXACT_WEIGHT = 5.0
@@ -80,30 +80,24 @@ def count_search_batch(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame
             if not plans:
                 return
             counter = _WordCounter({w for _, _, words in plans for w in words})
-            # times[w, q]: how often query q names word w.
-            times = np.zeros((len(counter.words), len(plans)))
-            for number, (_, _, words) in enumerate(plans):
-                for word in words:
-                    times[counter.place[word], number] += 1
-            needs = (times > 0).astype(np.float64)
-            wanted = needs.sum(axis=0)
+            # The words of all queries in a row, and where each query starts.
+            flat = np.array([counter.place[w] for _, _, words in plans for w in words])
+            starts = np.cumsum([0] + [len(words) for _, _, words in plans[:-1]])
             kept = TaskTopK([query_id for query_id, _, _ in plans], k)
-            step = max(1, _CELLS // max(len(counter.words), len(plans)))
+            step = max(1, CELLS // max(len(counter.words), len(flat)))
             for batch in batches:
                 all_ids, all_hays = np.asarray(batch.column(0).to_pylist()), batch.column(1).to_pylist()
                 for start in range(0, len(all_hays), step):
                     ids, hays = all_ids[start : start + step], all_hays[start : start + step]
                     counts = np.stack([counter.count(hay) for hay in hays])
-                    found = counts > 0
-                    gains = np.where(found, TOKEN_WEIGHT + np.minimum(counts, COUNT_CAP) * COUNT_WEIGHT, 0.0)
-                    scores = gains @ times
+                    gains = np.where(counts > 0, TOKEN_WEIGHT + np.minimum(counts, COUNT_CAP) * COUNT_WEIGHT, 0.0)[:, flat]
+                    scores = np.add.reduceat(gains, starts, axis=1)
                     # Only a text with every word of a query can hold the query itself.
-                    for row, number in zip(*np.nonzero(found.astype(np.float64) @ needs == wanted)):
+                    complete = np.minimum.reduceat(gains, starts, axis=1) > 0
+                    for row, number in zip(*np.nonzero(complete)):
                         if plans[number][1] in hays[row]:
                             scores[row, number] += EXACT_WEIGHT
-                    for number in range(len(plans)):
-                        hit = scores[:, number] > 0
-                        kept.add(number, scores[hit, number], ids[hit])
+                    kept.add_matrix(scores, ids, above=0.0)
             yield from kept.batches(query_kind, id_kind)
 
         return run
@@ -114,7 +108,6 @@ def count_search_batch(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame
     return top_k(scored, "query_id", [F.desc("score"), F.col("chunk_id")], k)
 
 
-_CELLS = 4_000_000
 _RUNS = 200_000
 
 

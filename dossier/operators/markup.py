@@ -11,29 +11,34 @@ from dossier.functions import markup as mk
 from dossier.operators.blocks import kind_of, spread
 
 
-def _rows(df: DataFrame, key: str, text: str, fields: list[tuple[str, pa.DataType, str]], read) -> DataFrame:
-    """Flat-map ``read(text) -> tuples`` over (key, text), one Arrow batch at a time; no shuffle."""
-    schema = f"{key} {kind_of(df, key)}, " + ", ".join(f"{name} {kind}" for name, _, kind in fields)
+def _rows(
+    df: DataFrame, key: str, text: str, fields: list[tuple[str, pa.DataType, str]], read, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Flat-map ``read(text) -> tuples``, one Arrow batch at a time; ``keep`` columns ride along, no shuffle."""
+    own = [key, *keep]
+    schema = ", ".join([*(f"{c} {kind_of(df, c)}" for c in own), *(f"{name} {kind}" for name, _, kind in fields)])
 
     def run(batches):
         for batch in batches:
             place, out = [], []
-            for row, value in enumerate(batch.column(1).to_pylist()):
+            for row, value in enumerate(batch.column(len(own)).to_pylist()):
                 for item in read(value):
                     place.append(row)
                     out.append(item)
-            columns = [batch.column(0).take(pa.array(place, pa.int64()))]
+            columns = [batch.column(i).take(pa.array(place, pa.int64())) for i in range(len(own))]
             for number, (_, arrow, _) in enumerate(fields):
                 columns.append(pa.array([item[number] for item in out], arrow))
-            yield pa.RecordBatch.from_arrays(columns, names=[key, *[f[0] for f in fields]])
+            yield pa.RecordBatch.from_arrays(columns, names=[*own, *[f[0] for f in fields]])
 
-    return spread(df.select(key, text), key).mapInArrow(run, schema)
+    return spread(df.select(*own, text), key).mapInArrow(run, schema)
 
 
 _TEXT, _INT, _DOUBLE = pa.string(), pa.int32(), pa.float64()
 
 
-def extract_anchors(pages: DataFrame, key: str = "page_id", html: str = "html", limit: int | None = None) -> DataFrame:
+def extract_anchors(
+    pages: DataFrame, key: str = "page_id", html: str = "html", limit: int | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """key, base_href, pos, href, text, rel for every link of every page, in document order."""
 
     def read(value):
@@ -47,7 +52,7 @@ def extract_anchors(pages: DataFrame, key: str = "page_id", html: str = "html",
         ("text", _TEXT, "string"),
         ("rel", pa.list_(_TEXT), "array<string>"),
     ]
-    return _rows(pages, key, html, fields, read)
+    return _rows(pages, key, html, fields, read, keep)
 
 
 def page_signals(pages: DataFrame, key: str = "page_id", html: str = "html", limit: int | None = None) -> DataFrame:

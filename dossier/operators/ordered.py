@@ -31,6 +31,33 @@ def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     )
 
 
+def as_of(
+    asked: DataFrame, known: DataFrame, keys: Sequence[str], asked_at: str, known_at: str, bucket, value: Sequence[str], name: str
+) -> DataFrame:
+    """Add ``name``: a struct of ``value`` from the last ``known`` row at or before each ``asked`` row.
+
+    Both sides are merged in time order and the last known row is carried forward, inside
+    (key, bucket) first and then, for the start of a bucket, from the last known row of the
+    buckets before. ``bucket`` maps a time column to a value that does not decrease with it.
+    No pairs are formed and a busy key is spread over its buckets.
+    """
+    row = F.struct(*value)
+    kind = known.select(row.alias("v")).schema["v"].dataType
+    rest = [c for c in asked.columns if c not in (*keys, asked_at)]
+    carried = F.struct(*rest) if rest else F.struct(F.lit(1).alias("__none"))
+    carried_kind = asked.select(carried.alias("v")).schema["v"].dataType
+    left = asked.select(*keys, F.col(asked_at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__v"), carried.alias("__a"))
+    right = known.select(*keys, F.col(known_at).alias("__t"), F.lit(0).alias("__side"), row.alias("__v"), F.lit(None).cast(carried_kind).alias("__a"))
+    merged = left.unionByName(right).withColumn("__b", bucket(F.col("__t")))
+    inside = Window.partitionBy(*keys, "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    near = merged.withColumn("__near", F.last("__v", ignorenulls=True).over(inside))
+    ends = merged.groupBy(*keys, "__b").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__t"))).alias("__end"))
+    across = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*keys, "__b", F.last("__end", ignorenulls=True).over(across).alias("__far"))
+    out = near.where("__side = 1").join(before, [*keys, "__b"])
+    return out.select(*keys, F.col("__t").alias(asked_at), *[F.col(f"__a.{c}").alias(c) for c in rest], F.coalesce("__near", "__far").alias(name))
+
+
 def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated percentiles per group, with count and maximum.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from dossier.operators.blocks import ARROW, TaskTopK, best, kind_of, scan_by_blocks, spread, top_k
+from dossier.operators.blocks import ARROW, CELLS, TaskTopK, best, kind_of, scan_by_blocks, spread, top_k
 from dossier.operators.digests import FLAT_LIMIT, sorted_digest
 
 # Fixed values of the hashing embedding: prefix length and weights.
@@ -109,12 +109,13 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 return
             units = _units([v for _, v in shared.value])
             kept = TaskTopK([q for q, _ in shared.value], k)
+            step = max(1, CELLS // len(units))
             for batch in batches:
                 if batch.num_rows:
-                    ids = np.asarray(batch.column(0).to_pylist())
-                    scores = _scores(_matrix(batch.column(1)), units)
-                    for number in range(scores.shape[1]):
-                        kept.add(number, scores[:, number], ids)
+                    ids, matrix = np.asarray(batch.column(0).to_pylist()), _matrix(batch.column(1))
+                    for start in range(0, len(ids), step):
+                        stretch = slice(start, start + step)
+                        kept.add_matrix(_scores(matrix[stretch], units), ids[stretch])
             yield from kept.batches(query_kind, id_kind)
 
         return run

@@ -25,8 +25,8 @@ BLOCKED_SUFFIXES = (
 def page_links(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Canonical links of stored pages (page_id, url, html): source, pos, url, text, rel."""
     source = urls.canonicalize_url(F.col("url"), F.col("url"))
-    known = pages.select("page_id", source.alias("source")).where("source IS NOT NULL")
-    found = extract_anchors(pages, "page_id", "html", limit).join(known, "page_id")
+    known = pages.select("page_id", source.alias("source"), "html").where("source IS NOT NULL")
+    found = extract_anchors(known, "page_id", "html", limit, keep=("source",))
     base = F.coalesce(urls.canonicalize_url(F.col("source"), F.col("base_href")), F.col("source"))
     return (
         found.withColumn("base", base)

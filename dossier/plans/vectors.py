@@ -225,7 +225,7 @@ def index_revision(spark, d):
     "index_revision_two_level",
     "C9",
     f"""WITH {REVISION_CHUNKS_SQL}, buckets AS (
-      SELECT collection_id, substr(chunk_id, 1, 3) AS b, count(*) AS n,
+      SELECT collection_id, substr(chunk_id, 1, 5) AS b, count(*) AS n,
         sha256(string_agg(chunk_id || ':' || content_hash, chr(10) ORDER BY chunk_id)) AS h FROM rows GROUP BY ALL)
     SELECT collection_id, CAST(sum(n) AS BIGINT) AS lines, sha256({REVISION_HEADER_SQL} || chr(10) ||
       string_agg(h, chr(10) ORDER BY b)) AS revision FROM buckets GROUP BY collection_id""",

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.files import file_text
-
-BYTES_PER_TASK = 64 * 1024 * 1024
+from dossier.operators.blocks import spread
 
 
 def extract_contents(df: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -27,17 +26,19 @@ def extract_contents(df: DataFrame, max_chars: int | None = None) -> DataFrame:
 
 
 def extract_files(spark: SparkSession, folder: str, pattern: str = "*", max_chars: int | None = None) -> DataFrame:
-    """Text of every file below a folder; tasks get about BYTES_PER_TASK bytes each."""
+    """Text of every file below a folder.
+
+    The reader already packs whole files into splits of even size; only an input too small to
+    fill the cores is redistributed.
+    """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     # The reader makes no task for files of length 0, so those are taken from its file index.
     spelled = [(re.sub(r"^(\w+):/+", r"\1:/", unquote(p)),) for p in listing.inputFiles()]
     named = spark.createDataFrame(spelled, "path string")
     plain = F.regexp_replace("path", r"^(\w+):/+", "$1:/")
     blank = named.join(listing.where("length > 0").select(plain.alias("path")), "path", "left_anti")
-    total = listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    tasks = max(spark.sparkContext.defaultParallelism, -(-int(total) // BYTES_PER_TASK))
     rows = listing.select("path", "content").unionByName(blank.withColumn("content", F.lit(b"")))
-    return extract_contents(rows.repartition(tasks, "path"), max_chars)
+    return extract_contents(spread(rows, "path"), max_chars)
 
 
 def extraction_statuses(extracted: DataFrame) -> DataFrame:

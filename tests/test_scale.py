@@ -125,7 +125,8 @@ def test_batch_counting_search_against_the_rule(spark, monkeypatch):
     docs = [(i, str(a), str(b)) for i, a, b in docs]
     queries = [(i, " ".join(map(str, rng.choice(words, rng.integers(1, 4))))) for i in range(30)] + [(99, " !? ")]
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 9)
-    monkeypatch.setattr(lexical, "_CELLS", 50)
+    monkeypatch.setattr(lexical, "CELLS", 50)
+    monkeypatch.setattr(vectors, "CELLS", 50)
     monkeypatch.setattr(lexical, "_RUNS", 5)
     qs = spark.createDataFrame(queries, "query_id long, query string")
     ds = spark.createDataFrame(docs, "chunk_id long, title string, text string")
@@ -149,3 +150,25 @@ def test_as_of_assignment_equals_range_join(spark, rows):
         "effective_from <= period_start AND (effective_to IS NULL OR effective_to >= period_end)"
     ).groupBy("period_start").agg(F.max_by("catalog_id", "effective_from").alias("catalog_id"))
     assert rows(mine) == rows(slow) and mine.count() > 5
+
+
+def test_billed_usage_with_cut_days(spark, rows):
+    rng = np.random.default_rng(5)
+    events = spark.createDataFrame(
+        [("t", "op", "u", int(rng.integers(0, 9)), bool(rng.random() < 0.8), float(s)) for s in rng.integers(0, 20 * 86_400, 3_000)],
+        "tenant_id string, operation string, unit string, quantity long, billable boolean, s double",
+    ).withColumn("created_at", F.timestamp_seconds(F.col("s") + 1_704_067_200).cast("timestamp_ntz"))
+    spans = [("2024-01-02 00:00", "2024-01-05 00:00"), ("2024-01-03 07:30", "2024-01-09 22:15"), ("2024-01-04 01:00", "2024-01-04 02:00"), ("2024-01-06 12:00", "2024-01-07 12:00")]
+    periods = spark.createDataFrame([("t", a, b) for a, b in spans], "tenant_id string, a string, b string").select(
+        "tenant_id", F.col("a").cast("timestamp_ntz").alias("period_start"), F.col("b").cast("timestamp_ntz").alias("period_end")
+    )
+    slow = events.where("billable").join(periods, "tenant_id").where("created_at >= period_start AND created_at < period_end")
+    slow = slow.groupBy("tenant_id", "period_start", "period_end", "operation", "unit").agg(F.sum("quantity").alias("quantity"))
+    assert rows(billing.billed_usage(events, periods)) == rows(slow) and slow.count() == 4
+
+
+def test_as_of_carries_over_empty_buckets(spark, rows):
+    known = spark.createDataFrame([("a", 1, "x"), ("a", 500, "y"), ("b", 7, "z")], "k string, t int, v string")
+    asked = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 499, 3), ("a", 900, 4), ("b", 8, 5), ("c", 9, 6)], "k string, at int, n int")
+    out = ordered.as_of(asked, known, ["k"], "at", "t", lambda t: F.floor(t / 100), ["v"], "w")
+    assert rows(out.select("n", "w.v")) == [(1, None), (2, "x"), (3, "x"), (4, "y"), (5, "z"), (6, None)]
