@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 
 from dossier.functions import cards as cd
 from dossier.functions import markup as mk
+from dossier.functions.urls import canonical
 from dossier.operators.blocks import kind_of, spread
 
 
 def _rows(
     df: DataFrame, key: str, text: str, fields: list[tuple[str, pa.DataType, str]], read, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Flat-map ``read(text) -> tuples``, one Arrow batch at a time; ``keep`` columns ride along, no shuffle."""
+    """Flat-map ``read(text, *kept values) -> tuples`` by Arrow batch; ``keep`` columns ride along, no shuffle."""
     own = [key, *keep]
     schema = ", ".join([*(f"{c} {kind_of(df, c)}" for c in own), *(f"{name} {kind}" for name, _, kind in fields)])
 
     def run(batches):
         for batch in batches:
             place, out = [], []
+            kept = [batch.column(i).to_pylist() for i in range(1, len(own))]
             for row, value in enumerate(batch.column(len(own)).to_pylist()):
-                for item in read(value):
+                for item in read(value, *[c[row] for c in kept]):
                     place.append(row)
                     out.append(item)
             columns = [batch.column(i).take(pa.array(place, pa.int64())) for i in range(len(own))]
@@ -36,9 +38,7 @@ def _rows(
 _TEXT, _INT, _DOUBLE = pa.string(), pa.int32(), pa.float64()
 
 
-def extract_anchors(
-    pages: DataFrame, key: str = "page_id", html: str = "html", limit: int | None = None, keep: tuple[str, ...] = ()
-) -> DataFrame:
+def extract_anchors(pages: DataFrame, key: str = "page_id", html: str = "html", limit: int | None = None) -> DataFrame:
     """key, base_href, pos, href, text, rel for every link of every page, in document order."""
 
     def read(value):
@@ -52,7 +52,32 @@ def extract_anchors(
         ("text", _TEXT, "string"),
         ("rel", pa.list_(_TEXT), "array<string>"),
     ]
-    return _rows(pages, key, html, fields, read, keep)
+    return _rows(pages, key, html, fields, read)
+
+
+def canonical_links(
+    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", limit: int | None = None
+) -> DataFrame:
+    """key, source, pos, url, text, rel: links resolved against the page (or its base) and made canonical."""
+
+    def read(value, address):
+        source = canonical(address, address)
+        if source is None:
+            return []
+        base, found = mk.anchors(value, limit)
+        base = (canonical(source, base) if base else None) or source
+        links = [(place, canonical(base, href), text, rel) for place, (href, text, rel) in enumerate(found)]
+        return [(source, place, link, text, rel) for place, link, text, rel in links if link]
+
+    fields = [
+        ("source", _TEXT, "string"),
+        ("pos", _INT, "int"),
+        ("url", _TEXT, "string"),
+        ("text", _TEXT, "string"),
+        ("rel", pa.list_(_TEXT), "array<string>"),
+    ]
+    own = pages.select(key, F.col(url).alias("__address"), html)
+    return _rows(own, key, html, fields, read, keep=("__address",)).drop("__address")
 
 
 def page_signals(pages: DataFrame, key: str = "page_id", html: str = "html", limit: int | None = None) -> DataFrame:

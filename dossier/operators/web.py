@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from dossier.functions import urls
 from dossier.functions.text import casefold, collapse_space, html_to_text, occurrences
-from dossier.operators.markup import extract_anchors
+from dossier.operators.markup import canonical_links
 from dossier.session import cut_lineage
 
 # Path endings that are not pages.
@@ -24,16 +24,7 @@ BLOCKED_SUFFIXES = (
 
 def page_links(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Canonical links of stored pages (page_id, url, html): source, pos, url, text, rel."""
-    source = urls.canonicalize_url(F.col("url"), F.col("url"))
-    known = pages.select("page_id", source.alias("source"), "html").where("source IS NOT NULL")
-    found = extract_anchors(known, "page_id", "html", limit, keep=("source",))
-    base = F.coalesce(urls.canonicalize_url(F.col("source"), F.col("base_href")), F.col("source"))
-    return (
-        found.withColumn("base", base)
-        .withColumn("url", urls.canonicalize_url(F.col("base"), F.col("href")))
-        .where("url IS NOT NULL")
-        .select("page_id", "source", "pos", "url", "text", "rel")
-    )
+    return canonical_links(pages, limit=limit)
 
 
 def scope_filter(
@@ -54,12 +45,11 @@ def scope_filter(
         links = links.where(~F.lower(urls.path(F.col("url"))).rlike(f"({endings})$"))
     origins = seeds.select(urls.origin(F.col("url")).alias("origin")).distinct()
     keyed = links.withColumn("origin", urls.origin(F.col("url")))
-    inside = keyed.join(origins, "origin", "left_semi")
-    if not same_origin:
-        hosts = [h.strip().casefold().rstrip(".") for h in allowed_hosts]
-        other = keyed.join(origins, "origin", "left_anti").where(urls.host(F.col("url")).isin(hosts))
-        inside = inside.unionByName(other)
-    return inside.drop("origin")
+    if same_origin:
+        return keyed.join(origins, "origin", "left_semi").drop("origin")
+    hosts = [h.strip().casefold().rstrip(".") for h in allowed_hosts]
+    marked = keyed.join(origins.withColumn("__seed", F.lit(True)), "origin", "left")
+    return marked.where(F.col("__seed") | urls.host(F.col("url")).isin(hosts)).drop("origin", "__seed")
 
 
 def _order_key(parent: Column, pos: Column) -> Column:
