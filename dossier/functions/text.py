@@ -95,6 +95,12 @@ def entity_key(column: Column) -> Column:
     return _nfkc_casefold(column)
 
 
+def computed_once(udf):
+    """Keep the planner from repeating a batch function in filters it derives from its result."""
+    return udf.asNondeterministic()
+
+
+@computed_once
 @F.pandas_udf(StringType())
 def _nfkc_casefold(values):
     import unicodedata

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from dossier.functions.text import computed_once
+
 
 def canonical(base: str | None, href: str | None) -> str | None:
     """Absolute http(s) URL without credentials, default port, fragment or trailing host dot."""
@@ -30,6 +32,7 @@ def canonical(base: str | None, href: str | None) -> str | None:
     return urlunsplit((parts.scheme, host, parts.path or "/", parts.query, ""))
 
 
+@computed_once
 @F.pandas_udf(StringType())
 def canonicalize_url(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
     """Resolve and canonicalise links (relative resolution has no built-in)."""

@@ -14,9 +14,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.session import cut_lineage
+
 BLOCK_ROWS = 16_384
 BLOCK_BYTES = 64 * 1024 * 1024
 
@@ -43,15 +45,30 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if size < cores * split else df
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters read instead of repeating their expressions.
+
+    A filter on an ordinary derived column is pushed below the projection by writing the
+    expression into the filter, once per use; it does not pass the one-row generator used here.
+    """
+    fresh = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(fresh)))
+
+
 def query_blocks(queries: DataFrame, key: str, payload: str) -> Iterator[list]:
     """Rows (key, payload) of ``queries`` in blocks of about BLOCK_ROWS rows and BLOCK_BYTES bytes."""
     width = F.octet_length(payload) if kind_of(queries, payload) == "string" else F.size(payload) * 8
     rows, size = queries.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
     blocks = max(1, -(-rows // BLOCK_ROWS), -(-int(size) // BLOCK_BYTES))
-    pick = F.pmod(F.xxhash64(key), F.lit(blocks))
+    part = queries.select(key, payload)
+    if blocks == 1:
+        yield part.collect()
+        return
+    # Several blocks: write the queries once, so that their own plan does not run per block.
+    numbered = cut_lineage(part.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))))
     for number in range(blocks):
-        part = queries.select(key, payload)
-        yield (part if blocks == 1 else part.where(pick == number)).collect()
+        yield numbered.where(F.col("block") == number).select(key, payload).collect()
 
 
 def scan_by_blocks(
@@ -64,7 +81,6 @@ def scan_by_blocks(
 ) -> DataFrame:
     """Union over the query blocks of ``corpus.mapInArrow(kernel(block))``."""
     sc = corpus.sparkSession.sparkContext
-    corpus = spread(corpus, corpus.columns[0])
     parts = []
     for block in query_blocks(queries, key, payload):
         shared = sc.broadcast([(r[0], r[1]) for r in block])

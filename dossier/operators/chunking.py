@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.text import normalize_text, token_estimate
-from dossier.operators.blocks import spread
+from dossier.operators.blocks import computed, spread
 
 CHUNK_SIZE = 1500
 CHUNK_OVERLAP = 200
@@ -111,7 +111,7 @@ def whole_text_chunks(df: DataFrame, keys: Sequence[str], text: str = "text") ->
     """Pre-chunked input: the whole normalised text is one chunk; empty texts give none."""
     norm = normalize_text(F.col(text))
     return (
-        df.select(*keys, norm.alias("chunk_text"))
+        computed(df.select(*keys, text), chunk_text=norm)
         .where(F.char_length("chunk_text") > 0)
         .select(
             *keys,

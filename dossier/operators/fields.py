@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from dossier.functions.text import collapse_space
+from dossier.functions.text import collapse_space, computed_once
+from dossier.operators.blocks import computed
 
 LABEL_CONFIDENCE = 0.72
 ALIAS_COST = 0.02
@@ -47,6 +48,7 @@ def semantic_name(value: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", value or "").casefold() if c.isalnum())
 
 
+@computed_once
 @F.pandas_udf(StringType())
 def semantic_key(values: pd.Series) -> pd.Series:
     """Letters and digits of the NFKC case-folded name."""
@@ -61,14 +63,12 @@ def json_text(column: Column) -> Column:
 
 def text_label_values(assets: DataFrame, key: str = "asset_id", text: str = "text") -> DataFrame:
     """``label: value`` lines as signals."""
-    lines = assets.select(key, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("pos", "raw")).select(
-        key, (F.col("pos") + 1).alias("line_no"), collapse_space(F.col("raw")).alias("line")
-    )
+    raw = assets.select(key, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("pos", "raw"))
+    lines = computed(raw, line=collapse_space(F.col("raw"))).select(key, (F.col("pos") + 1).alias("line_no"), "line")
     # One pass of the pattern per line: a matching line becomes label, mark, value.
     parts = F.split(F.regexp_replace("line", LABEL_VALUE, "$1\u0001$2"), "\u0001")
     split = (
-        lines.where(F.col("line").rlike("[:—–-]\\s"))
-        .withColumn("parts", parts)
+        computed(lines.where(F.col("line").rlike("[:—–-]\\s")), parts=parts)
         .where(F.size("parts") == 2)
         .select(
             key,
@@ -100,16 +100,22 @@ def _term_rows(specs: Sequence[FieldSpec]) -> list[tuple[str, str, str, float]]:
     return list(rows.values())
 
 
+def term_map(specs: Sequence[FieldSpec]) -> Column:
+    """Semantic key -> the fields it names, as a literal: matching then needs no join."""
+    by_key: dict[str, list[Column]] = {}
+    for skey, field, term, cost in _term_rows(specs):
+        entry = F.struct(F.lit(field).alias("field_key"), F.lit(term).alias("term"), F.lit(cost).alias("cost"))
+        by_key.setdefault(skey, []).append(entry)
+    return F.create_map(*[x for skey, entries in by_key.items() for x in (F.lit(skey), F.array(*entries))])
+
+
 def match_fields(signals: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
     """Signals that name a wanted field by key or alias, with adjusted confidence."""
-    terms = signals.sparkSession.createDataFrame(
-        _term_rows(specs), "skey string, field_key string, term string, cost double"
-    )
     keyed = signals.where((F.col("value_json") != '""') & (F.col("value_json") != "null")).withColumn(
         "skey", semantic_key("name")
     )
     return (
-        keyed.join(terms, "skey")
+        keyed.select("*", F.inline(F.try_element_at(term_map(specs), F.col("skey"))))
         .withColumn("confidence", F.greatest(F.lit(0.0), F.col("confidence") - F.col("cost")))
         .drop("skey", "cost")
     )
@@ -205,9 +211,8 @@ def coerce(value_json: Column, value_type: Column) -> Column:
 def coerce_candidates(candidates: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
     """Candidates of wanted fields with their value in the wanted type; unreadable values are dropped."""
     types = F.create_map(*[F.lit(x) for s in specs for x in (s.key, s.value_type)])
-    typed = candidates.where(F.col("field_key").isin([s.key for s in specs])).withColumn(
-        "value_json", coerce(F.col("value_json"), types[F.col("field_key")])
-    )
+    wanted = candidates.where(F.col("field_key").isin([s.key for s in specs]))
+    typed = computed(wanted, value_json=coerce(F.col("value_json"), types[F.col("field_key")]))
     return typed.where(F.col("value_json").isNotNull()).withColumn(
         "candidate_id", candidate_id(F.col("field_key"), F.col("provider"), F.col("value_json"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from dossier.functions.text import WORD_CHAR, casefold, has_term, preview, strip
+from dossier.functions.text import WORD_CHAR, casefold, computed_once, has_term, preview, strip
 from dossier.operators.blocks import top_k
 from dossier.operators.lexical import count_search_batch
 from dossier.operators.vectors import hashing_embed, knn_join
@@ -254,6 +254,7 @@ def overfetch(limit: int, collections: int, collapse: bool) -> int:
 PASSAGE_CHARS = 1800
 
 
+@computed_once
 @F.pandas_udf(DoubleType())
 def token_overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Stand-in pair scorer: share of the query's words that the passage holds."""

@@ -71,20 +71,41 @@ def build_relations(
     edges: source_id, target_id, relation_type, status, valid_from, valid_to, collection_id,
     resource_id, document_id, chunk_id, created. Equal relation ids keep the first created.
     """
+    # The provenance chain is joined among the stored tables first; every edge then meets it
+    # once, at the most specific id it carries.
+    stored = resources.select(F.col("resource_id").alias("__resource"), F.col("collection_id").alias("__k"), F.lit(True).alias("__rh"))
+    by_document = documents.select(F.col("document_id").alias("__document"), F.col("resource_id").alias("__r"), F.lit(True).alias("__dh")).join(
+        stored, F.col("__r") == F.col("__resource"), "left"
+    )
+    by_chunk = chunks.select("chunk_id", F.col("document_id").alias("__d"), F.lit(True).alias("__c")).join(
+        by_document, F.col("__d") == F.col("__document"), "left"
+    )
+    chain = ["__c", "__d", "__dh", "__r", "__rh", "__k"]
+    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    lookup = (
+        by_chunk.select(F.lit("chunk").alias("__level"), F.col("chunk_id").cast("string").alias("__id"), *chain)
+        .unionByName(
+            by_document.select(
+                F.lit("document").alias("__level"), F.col("__document").cast("string").alias("__id"), flag.alias("__c"), text.alias("__d"),
+                "__dh", "__r", "__rh", "__k",
+            )
+        )
+        .unionByName(
+            stored.select(
+                F.lit("resource").alias("__level"), F.col("__resource").cast("string").alias("__id"), flag.alias("__c"), text.alias("__d"),
+                flag.alias("__dh"), text.alias("__r"), "__rh", "__k",
+            )
+        )
+    )
+    level = (
+        F.when(F.col("chunk_id").isNotNull(), "chunk").when(F.col("document_id").isNotNull(), "document").when(F.col("resource_id").isNotNull(), "resource")
+    )
     joined = (
-        edges.join(chunks.select("chunk_id", F.col("document_id").alias("__d"), F.lit(True).alias("__c")), "chunk_id", "left")
+        edges.withColumn("__level", level)
+        .withColumn("__id", F.coalesce(F.col("chunk_id"), F.col("document_id"), F.col("resource_id")).cast("string"))
+        .join(lookup, ["__level", "__id"], "left")
         .withColumn("__document", F.coalesce("__d", "document_id"))
-        .join(
-            documents.select(F.col("document_id").alias("__document"), F.col("resource_id").alias("__r"), F.lit(True).alias("__dh")),
-            "__document",
-            "left",
-        )
         .withColumn("__resource", F.coalesce("__r", "resource_id"))
-        .join(
-            resources.select(F.col("resource_id").alias("__resource"), F.col("collection_id").alias("__k"), F.lit(True).alias("__rh")),
-            "__resource",
-            "left",
-        )
         .withColumn("__collection", F.coalesce("__k", "collection_id"))
     )
     clash = lambda given, true: given.isNotNull() & true.isNotNull() & (given != true)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import casefold, occurrences, once, strip, tokens
-from dossier.operators.blocks import ARROW, CELLS, TaskTopK, kind_of, scan_by_blocks, top_k
+from dossier.operators.blocks import ARROW, CELLS, TaskTopK, kind_of, scan_by_blocks, spread, top_k
 
 # Weights of the counting scorer.
 EXACT_WEIGHT = 5.0
@@ -20,6 +20,11 @@ TOKEN_WEIGHT = 1.0
 COUNT_WEIGHT = 0.25
 COUNT_CAP = 8
 
+try:  # multi-pattern matching in C where the package is present
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 _QUERY_TOKEN = re.compile(r"[\w\-]+", re.UNICODE)
 
 # Fixed value: columns a search may be filtered on.
@@ -65,7 +70,7 @@ def count_search_batch(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame
     Every document is scanned once per query block and only the k best per task leave it.
     """
     id_kind, query_kind = kind_of(docs, "chunk_id"), kind_of(queries, "query_id")
-    corpus = docs.select(
+    corpus = spread(docs.select("chunk_id", "title", "text"), "chunk_id").select(
         "chunk_id",
         casefold(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("hay"),
     )
@@ -125,11 +130,23 @@ class _WordCounter:
         # Folding can leave marks that are not word characters; such words are counted plainly.
         self.plain = [w for w in self.words if not _QUERY_TOKEN.fullmatch(w)]
         self.known: dict[str, tuple[list[int], list[int]]] = {}
+        self.automaton = None
+        if ahocorasick is not None:
+            self.automaton = ahocorasick.Automaton()
+            for word, place in self.place.items():
+                self.automaton.add_word(word, place)
+            self.automaton.make_automaton()
+
+    def _inside(self, run: str) -> list[int]:
+        """Places of the vocabulary words that occur in a run."""
+        if self.automaton is not None:
+            return list({place for _, place in self.automaton.iter(run)})
+        pieces = {run[i : i + size] for size in self.sizes if size <= len(run) for i in range(len(run) - size + 1)}
+        return [self.place[w] for w in pieces if w in self.place]
 
     def _look(self, run: str) -> tuple[list[int], list[int]]:
-        inside = {run[i : i + size] for size in self.sizes if size <= len(run) for i in range(len(run) - size + 1)}
-        hits = [w for w in inside if w in self.place]
-        return [self.place[w] for w in hits], [run.count(w) for w in hits]
+        hits = self._inside(run)
+        return hits, [run.count(self.words[place]) for place in hits]
 
     def count(self, text: str) -> np.ndarray:
         places: list[int] = []
@@ -164,7 +181,7 @@ def passage_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
         return run
 
-    corpus = docs.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
+    corpus = spread(docs.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")), "chunk_id")
     wanted = queries.where(F.coalesce("query", F.lit("")) != "")
     return scan_by_blocks(
         wanted, "query_id", "query", corpus, kernel, f"query_id {query_type}, chunk_id {id_type}"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from dossier.functions.text import collapse_space, visible_chars
+from dossier.functions.text import collapse_space, computed_once, visible_chars
 from dossier.operators.blocks import top_k
 from dossier.operators.ordered import exact_percentiles
 
@@ -138,6 +138,7 @@ def _edit_distance(left: np.ndarray, right: np.ndarray) -> int:
     return int(row[-1])
 
 
+@computed_once
 @F.pandas_udf(DoubleType())
 def word_error_rate(references: pd.Series, hypotheses: pd.Series) -> pd.Series:
     """Edit distance over words, as a share of the reference's words."""

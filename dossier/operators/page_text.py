@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.numbers import half_even_ratio
+from dossier.operators.blocks import computed
 from dossier.functions.text import strip, visible_chars
 
 
 def ocr_page_rollup(words: DataFrame) -> DataFrame:
     """Words (doc_id, page, word_no, word, conf) -> page text and mean confidence."""
-    kept = words.withColumn("word", strip(F.col("word"))).where((F.col("word") != "") & (F.col("conf") >= 0))
+    kept = computed(words, word=strip(F.col("word"))).where((F.col("word") != "") & (F.col("conf") >= 0))
     ordered = F.sort_array(F.collect_list(F.struct("word_no", "word")))
     return kept.groupBy("doc_id", "page").agg(
         F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators.fields import FieldSpec, _term_rows, json_text, semantic_key
+from dossier.operators.fields import FieldSpec, json_text, semantic_key, term_map
 from dossier.operators.markup import best_cards, card_proposals, jsonld_objects
 
 ATTRIBUTE_RECORD_CONFIDENCE = 0.99
@@ -51,11 +51,10 @@ def jsonld_records(
     """
     members = jsonld_objects(assets, key)
     need = min(min_fields, len(specs))
-    terms = assets.sparkSession.createDataFrame(_term_rows(specs), "skey string, field_key string, term string, cost double")
     place = [key, "object_no", "source_ref"]
     named = members.where(~F.col("malformed")).withColumn("skey", semantic_key("name"))
     found = (
-        named.join(terms.select("skey", "field_key"), "skey")
+        named.select("*", F.inline(F.try_element_at(term_map(specs), F.col("skey"))))
         .groupBy(*place)
         .agg(
             F.sort_array(F.collect_set("field_key")).alias("matched_fields"),

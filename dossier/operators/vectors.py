@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from dossier.functions.text import computed_once
 from dossier.operators.blocks import ARROW, CELLS, TaskTopK, best, kind_of, scan_by_blocks, spread, top_k
 from dossier.operators.digests import FLAT_LIMIT, sorted_digest
 
@@ -25,6 +26,44 @@ _TOKEN = re.compile(r"[\w\-]+", re.UNICODE)
 _CACHE_LIMIT = 500_000
 
 
+class _HashingEmbedder:
+    """Signed token buckets of one text; the buckets of a word are remembered."""
+
+    def __init__(self, dimension: int) -> None:
+        self.dimension = dimension
+        self.known: dict[str, tuple[list[int], list[float]]] = {}
+
+    def _slot(self, word: str) -> tuple[int, float]:
+        digest = hashlib.sha256(word.encode()).digest()
+        return int.from_bytes(digest[:4], "big") % self.dimension, 1.0 - 2.0 * (digest[4] & 1)
+
+    def _parts(self, word: str) -> tuple[list[int], list[float]]:
+        bucket, sign = self._slot(word)
+        buckets, values = [bucket], [sign * (1.0 + min(len(word), LENGTH_CAP) / LENGTH_CAP)]
+        if len(word) >= PREFIX:
+            bucket, sign = self._slot(word[:PREFIX])
+            buckets.append(bucket)
+            values.append(sign * PREFIX_WEIGHT)
+        return buckets, values
+
+    def __call__(self, value: str | None) -> np.ndarray:
+        buckets: list[int] = []
+        weights: list[float] = []
+        for word in _TOKEN.findall((value or "").lower()):
+            hit = self.known.get(word)
+            if hit is None:
+                if len(self.known) >= _CACHE_LIMIT:
+                    self.known.clear()
+                hit = self.known[word] = self._parts(word)
+            buckets += hit[0]
+            weights += hit[1]
+        if not buckets:
+            return np.zeros(self.dimension)
+        vector = np.bincount(buckets, weights=weights, minlength=self.dimension)
+        size = np.sqrt(vector @ vector)
+        return vector / size if size else vector
+
+
 def hashing_embed(text: Column, dimension: int = 256) -> Column:
     """Unit vector of signed token buckets; texts without tokens give the zero vector.
 
@@ -32,49 +71,29 @@ def hashing_embed(text: Column, dimension: int = 256) -> Column:
     narrow. Exploding tokens and summing buckets in SQL would shuffle every token.
     """
 
+    @computed_once
     @F.pandas_udf(ArrayType(DoubleType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[list[int], list[float]]] = {}
-
-        def slot(word: str) -> tuple[int, float]:
-            digest = hashlib.sha256(word.encode()).digest()
-            return int.from_bytes(digest[:4], "big") % dimension, 1.0 - 2.0 * (digest[4] & 1)
-
-        def parts(word: str):
-            bucket, sign = slot(word)
-            buckets, values = [bucket], [sign * (1.0 + min(len(word), LENGTH_CAP) / LENGTH_CAP)]
-            if len(word) >= PREFIX:
-                bucket, sign = slot(word[:PREFIX])
-                buckets.append(bucket)
-                values.append(sign * PREFIX_WEIGHT)
-            return buckets, values
-
-        def one(value):
-            buckets: list[int] = []
-            weights: list[float] = []
-            for word in _TOKEN.findall((value or "").lower()):
-                hit = known.get(word)
-                if hit is None:
-                    if len(known) >= _CACHE_LIMIT:
-                        known.clear()
-                    hit = known[word] = parts(word)
-                buckets += hit[0]
-                weights += hit[1]
-            if not buckets:
-                return np.zeros(dimension)
-            vector = np.bincount(buckets, weights=weights, minlength=dimension)
-            size = np.sqrt(vector @ vector)
-            return vector / size if size else vector
-
+        embedder = _HashingEmbedder(dimension)
         for batch in batches:
-            yield batch.map(one)
+            yield batch.map(embedder)
 
     return embed(text)
 
 
 def embed_texts(df: DataFrame, key: str, text: str, dimension: int = 256) -> DataFrame:
     """(key, vector) of every text."""
-    return spread(df.select(key, text), key).select(key, hashing_embed(F.col(text), dimension).alias("vector"))
+
+    def run(batches):
+        embedder = _HashingEmbedder(dimension)
+        for batch in batches:
+            rows = [embedder(value) for value in batch.column(1).to_pylist()]
+            flat = np.concatenate(rows) if rows else np.zeros(0)
+            offsets = np.arange(len(rows) + 1, dtype=np.int32) * dimension
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "vector"])
+
+    return spread(df.select(key, text), key).mapInArrow(run, f"{key} {kind_of(df, key)}, vector array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -124,7 +143,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         usable,
         "query_id",
         "vector",
-        vectors.select("chunk_id", "vector"),
+        spread(vectors.select("chunk_id", "vector"), "chunk_id"),
         kernel,
         f"query_id {query_kind}, chunk_id {id_kind}, score double",
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from dossier.functions import urls
-from dossier.functions.text import casefold, collapse_space, html_to_text, occurrences
+from dossier.functions.text import casefold, collapse_space, computed_once, html_to_text, occurrences
 from dossier.operators.markup import canonical_links
 from dossier.session import cut_lineage
 
@@ -312,6 +312,7 @@ def limit_reasons(classified: DataFrame, max_probe: int = 100, max_selected: int
 _MAP = StructType([StructField("kind", StringType()), StructField("locs", ArrayType(StringType()))])
 
 
+@computed_once
 @F.pandas_udf(_MAP)
 def read_sitemap(texts: pd.Series) -> pd.DataFrame:
     """Root element name and loc values of a sitemap; unreadable XML is 'invalid'."""

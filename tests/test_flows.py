@@ -160,17 +160,18 @@ def test_memory_policies_against_a_stack(spark):
 
 
 def slow_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i] + [0] * len(b) if False else _step(row, x, b, i)
-    return row[-1]
-
-
-def _step(row, x, b, i):
-    out = [i]
-    for j, y in enumerate(b, 1):
-        out.append(min(out[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-    return out
+    """Edit distance by plain recursion over the last elements, remembered per pair of lengths."""
+    known = {}
+
+    def cost(i, j):
+        if not i or not j:
+            return i + j
+        if (i, j) not in known:
+            swap = cost(i - 1, j - 1) + (a[i - 1] != b[j - 1])
+            known[i, j] = min(cost(i - 1, j) + 1, cost(i, j - 1) + 1, swap)
+        return known[i, j]
+
+    return cost(len(a), len(b))
 
 
 def test_error_rates(spark):

@@ -118,6 +118,17 @@ def brute_count(queries, docs, k):
     return out
 
 
+def test_word_counter_without_the_matcher(monkeypatch):
+    words = {"ab", "aba", "b-a", "x", "a_b", "i̇x"}
+    texts = ["ababa ab-aba a_bab", "", "xx i̇x i̇xab", "b-ab-a, b-a"]
+    with_matcher = lexical._WordCounter(words)
+    monkeypatch.setattr(lexical, "ahocorasick", None)
+    plain = lexical._WordCounter(words)
+    for text in texts:
+        expected = [text.count(w) for w in plain.words]
+        assert plain.count(text).tolist() == expected == with_matcher.count(text).tolist()
+
+
 def test_batch_counting_search_against_the_rule(spark, monkeypatch):
     rng = np.random.default_rng(8)
     words = ["ab", "aba", "b-a", "Straße", "ß", "aa", "x", "ÉTÉ", "i̇x", "a_b"]
