@@ -72,7 +72,7 @@ def with_targets(sources: DataFrame, max_epochs: int) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, bucket_rows: int = 100_000
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, bucket_rows: int = 5_000
 ) -> DataFrame:
     """doc_id, source, size, source_size, target and words taken of every document."""
     sized = stored(sized_documents(docs), "mix-sizes")
