@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import source_mix
+from dossier.llm import language_id, quality_rules, source_mix, token_count
 
 
 @dataclass(frozen=True)
@@ -34,3 +34,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op7_mix_sources", source_mix.SQL)
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, folder, "documents"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, folder, "documents"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.identify(docs, docs.filter(~language_id.held_out()))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"))
