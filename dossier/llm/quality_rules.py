@@ -3,8 +3,10 @@
 Every rule votes good (1), bad (-1) or abstains (0). The votes of a document are one of at most 3^m patterns for m
 rules; the patterns are counted once over all documents, and expectation-maximisation runs over that table: the
 posterior probability of *good* per pattern, then the rate at which each rule votes good on good documents and bad on
-bad ones (abstentions tell nothing), and the share of good documents. Rates stay within ``RATES``, so a rule's vote
-never turns into its opposite. A document is kept when its posterior reaches ``keep_at`` and the base test passes.
+bad ones (abstentions tell nothing), and the share of good documents. A rule may see one kind of bad document only, so
+its rate on bad ones may be low; but its bad vote counts as at least twice as likely on a bad document as on a good
+one, so a vote never turns into its opposite. A document is kept when its posterior reaches ``keep_at`` and the base
+test passes.
 
 Null texts count as empty: no words, base test failed. Repeated rows and null ids are judged each like any other row.
 An empty table gives an empty result. Other columns are not read. One document's words are handled as one array in
@@ -23,7 +25,8 @@ from dossier.llm.tables import let, stored
 from dossier.llm.words import WORD, words
 
 WINDOW = 8
-RATES = (0.55, 0.99)
+GOOD_RATES = (0.6, 0.999)
+BAD_RATES = (0.05, 0.99)
 ROUNDS = 20
 
 
@@ -84,8 +87,9 @@ def measured(docs: DataFrame) -> DataFrame:
         let(lines, of_lines).alias("l"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
         count(r"\p{Lu}").alias("n_upper"),
-        count(r"!!").alias("n_shouts"),
-    ).select("doc_id", "w.*", "l.*", "n_symbols", "n_upper", "n_shouts")
+        count(r"[^\p{L}\x20\x09-\x0D]").alias("n_marks"),
+        count(r"[#*$%&<>!]{2,}|\|").alias("n_mark_runs"),
+    ).select("doc_id", "w.*", "l.*", "n_symbols", "n_upper", "n_marks", "n_mark_runs")
 
 
 def votes(bad: Column, good: Column) -> Column:
@@ -102,7 +106,8 @@ def default_rules() -> dict[str, Column]:
         "line_copies": votes(10 * c("n_dup_lines") > 3 * c("n_lines"), 10 * c("n_dup_lines") <= c("n_lines")),
         "repeats": votes(100 * c("n_repeat_words") > 30 * n, 100 * c("n_repeat_words") <= 5 * n),
         "capitals": votes(10 * c("n_upper") > 3 * c("word_chars"), 10 * c("n_upper") <= c("word_chars")),
-        "shouting": votes(10 * c("n_shouts") > n, 100 * c("n_shouts") <= n),
+        "marks": votes(100 * c("n_marks") > 15 * c("word_chars"), 100 * c("n_marks") <= 8 * c("word_chars")),
+        "mark_runs": votes(10 * c("n_mark_runs") > n, 100 * c("n_mark_runs") <= n),
     }
 
 
@@ -117,9 +122,8 @@ def posterior(names: list[str], prior: float, good: list[float], bad: list[float
 
 def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
     """Share of good documents and the rules' rates; every round is one aggregation of the pattern table."""
-    low, high = RATES
-    hold = lambda x: min(max(x, low), high)
-    prior, good, bad = 0.8, [0.8] * len(names), [0.8] * len(names)
+    hold = lambda x, least, most: min(max(x, least), most)
+    prior, good, bad = 0.8, [0.95] * len(names), [0.4] * len(names)
     for _ in range(rounds):
         p, n = posterior(names, prior, good, bad), F.col("n")
         sums = [F.sum(n), F.sum(n * p)]
@@ -130,9 +134,11 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tup
         total, kept, *rates = patterns.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
         if not total:
             break
-        prior = min(max(kept / total, 0.01), 0.99)
-        good = [hold(rates[4 * j] / rates[4 * j + 1]) if rates[4 * j + 1] else 0.8 for j in range(len(names))]
-        bad = [hold(rates[4 * j + 2] / rates[4 * j + 3]) if rates[4 * j + 3] else 0.8 for j in range(len(names))]
+        prior = hold(kept / total, 0.01, 0.99)
+        for j in range(len(names)):
+            on_good, told_good, on_bad, told_bad = rates[4 * j : 4 * j + 4]
+            bad[j] = hold(on_bad / told_bad if told_bad else 0.4, *BAD_RATES)
+            good[j] = hold(on_good / told_good if told_good else 0.95, max(GOOD_RATES[0], 1 - bad[j] / 2), GOOD_RATES[1])
     return prior, good, bad
 
 

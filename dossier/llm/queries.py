@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import language_id, quality_rules, source_mix, token_count
+from dossier.llm import decontaminate, language_id, quality_rules, source_mix, token_count
 
 
 @dataclass(frozen=True)
@@ -51,3 +51,8 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_quality_rules")
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
+
+
+@query("op8_decontaminate", decontaminate.SQL)
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
