@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import decontaminate, language_id, quality_rules, source_mix, token_count
+from dossier.llm import context_tree, decontaminate, language_id, quality_rules, source_mix, token_count
 
 
 @dataclass(frozen=True)
@@ -56,3 +56,8 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_decontaminate", decontaminate.SQL)
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_context_tree")
+def op6_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return context_tree.score_texts(table(spark, folder, "documents"), context_tree.held_out())
