@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import context_tree, decontaminate, language_id, quality_rules, source_mix, token_count
+from dossier.llm import context_tree, decontaminate, language_id, quality_rules, source_mix, suffix_dedup, token_count
 
 
 @dataclass(frozen=True)
@@ -61,3 +61,8 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_context_tree")
 def op6_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     return context_tree.score_texts(table(spark, folder, "documents"), context_tree.held_out())
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, folder, "documents"))
