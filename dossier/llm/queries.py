@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import context_tree, decontaminate, language_id, quality_rules, source_mix, suffix_dedup, token_count
+from dossier.llm import context_tree, decontaminate, language_id, ngram_join, quality_rules, source_mix, suffix_dedup, token_count
 
 
 @dataclass(frozen=True)
@@ -66,3 +66,8 @@ def op6_context_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, folder, "documents"))
+
+
+@query("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, folder, "documents"))
