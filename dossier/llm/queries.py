@@ -6,8 +6,20 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-
-from dossier.llm import context_tree, decontaminate, language_id, ngram_join, quality_rules, source_mix, suffix_dedup, token_count
+from pyspark.sql import functions as F
+
+from dossier.llm import (
+    context_tree,
+    decontaminate,
+    language_id,
+    license_scan,
+    ngram_join,
+    ordinal_quality,
+    quality_rules,
+    source_mix,
+    suffix_dedup,
+    token_count,
+)
 
 
 @dataclass(frozen=True)
@@ -71,3 +83,17 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_ngram_join")
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
+
+
+@query("op4_ordinal_quality")
+def op4_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades of the labels: 0 for poor text, 1 for good but toxic text, 2 for good text."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    clean = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)
+    model = ordinal_quality.fit(docs, labels.select("doc_id", (F.col("quality") + clean).alias("grade")))
+    return ordinal_quality.grade_documents(docs, model)
+
+
+@query("op5_license_scan", license_scan.SQL)
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
