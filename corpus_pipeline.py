@@ -8,19 +8,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.llm.decontaminate import drop_contaminated
+from dossier.llm.ngram_join import one_per_class
+from dossier.llm.quality_rules import kept_documents
 from dossier.llm.source_mix import mix_sources
+from dossier.llm.suffix_dedup import without_repeats
 from dossier.llm.tables import stored
 from dossier.session import ship_package
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    ship_package(spark)
+    return kept_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    ship_package(spark)
+    return one_per_class(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated strings of 400 bytes and more are cut from the texts; every document stays."""
+    ship_package(spark)
+    return without_repeats(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ship_package(spark)
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     ship_package(spark)
     return mix_sources(docs)
 
 
-STAGES = [("source mix", mix)]
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram join", near_copies),
+    ("suffix dedup", repeats),
+    ("decontamination", benchmark_passages),
+    ("source mix", mix),
+]
 
+#: SQL does not express the rules' estimation; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.tables import stored
+from dossier.llm.tables import id_number, id_text, stored
 from dossier.llm.words import slabs, word_hashes
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -288,7 +288,7 @@ def scored(depth: int):
         rows = pd.DataFrame(
             {
                 "row": True,
-                "doc_id": docs["doc_id"].astype("Int64"),
+                "doc_id": docs["doc_id"],
                 "held_out": docs["held_out"],
                 "n_tokens": out[0].astype(np.int64),
                 "n_known": out[1].astype(np.int64),
@@ -296,8 +296,8 @@ def scored(depth: int):
                 "score": out[3],
             }
         )
-        extra = {"row": False, "doc_id": pd.NA, "held_out": False, "word_logs": 0.0, "score": 0.0} | total
-        return pd.concat([rows, pd.DataFrame([extra]).astype({"doc_id": "Int64"})])
+        extra = {"row": False, "doc_id": None, "held_out": False, "word_logs": 0.0, "score": 0.0} | total
+        return pd.concat([rows, pd.DataFrame([extra])])
 
     return run
 
@@ -306,7 +306,7 @@ def score_texts(docs: DataFrame, held: Column, depth: int = 4, chunk_bytes: int
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; learns where ``held`` is false."""
     if depth < 2 or depth > 6:
         raise ValueError("depth must be 2 to 6")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
+    rows = docs.select(id_text(), "text", held.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     chunks = max(1, math.ceil(((size[0] or 0) + size[1]) / chunk_bytes))
     values = gram_values(rows.select("text", "held_out"), depth)
@@ -323,7 +323,7 @@ def score_texts(docs: DataFrame, held: Column, depth: int = 4, chunk_bytes: int
         F.coalesce("value", F.sum("n").over(same).cast("double")).alias("value"),
         (F.col("chunk") == F.min("chunk").over(same)).alias("new"),
     )
-    schema = "row boolean, doc_id long, held_out boolean, n_tokens long, n_known long, word_logs double, score double"
+    schema = "row boolean, doc_id string, held_out boolean, n_tokens long, n_known long, word_logs double, score double"
     told = found.groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInPandas(scored(depth), schema)
     told = stored(told, "tree-scores")
     is_row = F.col("row")
@@ -335,7 +335,7 @@ def score_texts(docs: DataFrame, held: Column, depth: int = 4, chunk_bytes: int
     tokens, distinct = n_words + n_texts, n_distinct + (n_texts > 0)
     spread = math.log10(tokens + 0.1 * (distinct + 1))
     return told.filter(is_row).select(
-        "doc_id",
+        id_number(),
         "held_out",
         "n_tokens",
         (F.col("n_known") + int(n_texts > 0)).alias("n_known"),

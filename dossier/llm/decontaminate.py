@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.tables import id_number, id_text
 from dossier.llm.words import count_words, encoded, mix, shingles, slabs, word_hashes
 
 SHINGLE = 5
@@ -119,7 +120,7 @@ def blocks(items: DataFrame, block_shingles: int, threshold: float, recall: floa
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == nth).select("item_id", "text")
         held = own.collect()
         if held:
-            yield [r["item_id"] for r in held], Index([r["text"] for r in held], threshold, recall)
+            yield [None if r["item_id"] is None else str(r["item_id"]) for r in held], Index([r["text"] for r in held], threshold, recall)
 
 
 def pairs_found(ids: list, index: Index):
@@ -129,8 +130,7 @@ def pairs_found(ids: list, index: Index):
             rows = []
             for first, slab in slabs(batch["text"]):
                 rows += [(doc_ids.iloc[first + d], ids[i], n, k, k / n) for d, i, n, k in index.search(slab)]
-            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
-            yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
     return run
 
@@ -153,12 +153,12 @@ def find_items(
     docs: DataFrame, items: DataFrame, threshold: float = 0.8, recall: float = 0.9999, block_shingles: int = 1_000_000
 ) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment of all pairs of a document and an item inside it."""
-    schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id string, item_id string, n_shingles long, n_shared long, containment double"
+    rows = docs.select(id_text(), "text")
     out = docs.sparkSession.createDataFrame([], schema)
     for ids, index in blocks(items, block_shingles, threshold, recall):
         out = out.unionByName(rows.mapInPandas(pairs_found(ids, index), schema))
-    return out
+    return out.withColumns({"doc_id": id_number(), "item_id": F.col("item_id").cast("long")})
 
 
 def drop_contaminated(

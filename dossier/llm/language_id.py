@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.tables import stored
+from dossier.llm.tables import id_number, id_text, stored
 from dossier.llm.words import mix, slabs
 
 SIZES = (3, 5)
@@ -157,8 +157,7 @@ def learn(train: DataFrame, floor: float = 2e-6) -> tuple[list[str], np.ndarray]
     counted = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counted = counted.mapInPandas(gram_counts, "lang string, gram long, n long")
     counted = stored(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
-    size = F.shiftright("gram", 0)
-    sizes = F.when(size >= (SIZES[1] << 40), 1).otherwise(0)
+    sizes = F.when(F.col("gram") >= (SIZES[1] << 8 * SIZES[1]), 1).otherwise(0)
     totals = counted.groupBy("lang", sizes.alias("size")).agg(F.sum("n").alias("total")).collect()
     langs = sorted({r["lang"] for r in totals})
     if not langs:
@@ -220,5 +219,7 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 def identify(docs: DataFrame, train: DataFrame, floor: float = 2e-6) -> DataFrame:
     """doc_id, lang_pred, score of ``docs`` (doc_id, text), by filters learned from ``train`` (lang, text)."""
     langs, words = learn(train, floor)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(predictor(docs.sparkSession, langs, words), "doc_id long, lang_pred string, score double")
+    told = docs.select(id_text(), "text").mapInPandas(
+        predictor(docs.sparkSession, langs, words), "doc_id string, lang_pred string, score double"
+    )
+    return told.withColumn("doc_id", id_number())

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm.components import connected_components
 from dossier.llm.suffix_dedup import whole_groups
-from dossier.llm.tables import fresh, shuffle_partitions, stored
+from dossier.llm.tables import fresh, id_number, id_text, shuffle_partitions, stored
 from dossier.llm.words import WORD, mix, shingles, slabs, word_hashes
 
 SHINGLE = 5
@@ -83,7 +83,7 @@ def signatures(trees: int, depth: int):
                 at = text + first
                 yield pd.DataFrame(
                     {
-                        "doc_id": ids.iloc[at].astype("Int64").array,
+                        "doc_id": ids.iloc[at].array,
                         "doc": doc[at],
                         "text_hash": text_hash[at],
                         "class": sets,
@@ -96,7 +96,7 @@ def signatures(trees: int, depth: int):
     return run
 
 
-SIGNATURES = "doc_id long, doc long, text_hash long, class long, n_shingles long, keys array<long>, sketch binary"
+SIGNATURES = "doc_id string, doc long, text_hash long, class long, n_shingles long, keys array<long>, sketch binary"
 
 
 def spanning(classes: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -247,7 +247,8 @@ def join_classes(
     """(rows with words: doc_id, doc, text_hash, class; classes: class, copies, links, component, class_id)."""
     depth = matched_depth(trees, 0.8, recall, max_depth)
     rows = keyed(docs)
-    signed = stored(rows.mapInPandas(signatures(trees, depth), SIGNATURES), "forest-signatures")
+    signed = rows.withColumn("doc_id", id_text()).mapInPandas(signatures(trees, depth), SIGNATURES)
+    signed = stored(signed.withColumn("doc_id", id_number()), "forest-signatures")
     place = F.struct("doc", "text_hash")
     classes = signed.groupBy("class").agg(
         F.count(F.lit(1)).alias("copies"),

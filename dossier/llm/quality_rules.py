@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.tables import let, stored
+from dossier.llm.tables import fresh, let, stored
 from dossier.llm.words import WORD, words
 
 WINDOW = 8
@@ -62,9 +62,9 @@ def repeated_words(word_list: Column) -> Column:
     return let(F.transform(word_list, lambda w: F.xxhash64(w)), windows)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the measures of its text that the rules read."""
-    text = F.coalesce("text", F.lit(""))
+def measures(text: Column) -> dict[str, Column]:
+    """What the rules read of a text. The two structs are spread by :func:`spread_measures`."""
+    text = F.coalesce(text, F.lit(""))
 
     def of_words(w: Column) -> Column:
         return F.struct(
@@ -79,17 +79,20 @@ def measured(docs: DataFrame) -> DataFrame:
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         )
 
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
-    return docs.select(
-        "doc_id",
-        let(words(F.col("text")), of_words).alias("w"),
-        let(lines, of_lines).alias("l"),
-        count(r"[#*$%&|<>]").alias("n_symbols"),
-        count(r"\p{Lu}").alias("n_upper"),
-        count(r"[^\p{L}\x20\x09-\x0D]").alias("n_marks"),
-        count(r"[#*$%&<>!]{2,}|\|").alias("n_mark_runs"),
-    ).select("doc_id", "w.*", "l.*", "n_symbols", "n_upper", "n_marks", "n_mark_runs")
+    def count(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern)).cast("long")
+
+    return {
+        "w": let(words(text), of_words),
+        "l": let(F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(WORD))), of_lines),
+        "n_symbols": count(r"[#*$%&|<>]"),
+        "n_upper": count(r"\p{Lu}"),
+        "n_marks": count(r"[^\p{L}\x20\x09-\x0D]"),
+        "n_mark_runs": count(r"[#*$%&<>!]{2,}|\|"),
+    }
+
+
+SPREAD = ["w.*", "l.*", "n_symbols", "n_upper", "n_marks", "n_mark_runs"]
 
 
 def votes(bad: Column, good: Column) -> Column:
@@ -142,18 +145,41 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tup
     return prior, good, bad
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def judge(
     docs: DataFrame, rules: Callable[[], dict[str, Column]] = default_rules, keep_at: float = 0.5
 ) -> DataFrame:
     """doc_id, the measures, base_failed, the vote of each rule, the posterior ``quality`` and ``kept``."""
     named = rules()
     names = [f"vote_{name}" for name in named]
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    told = stored(
-        measured(docs).withColumn("base_failed", base).withColumns(dict(zip(names, named.values(), strict=True))),
-        "quality-votes",
-    )
-    patterns = stored(told.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")
-    quality = posterior(names, *estimate(patterns, names))
+    measured = docs.select("doc_id", *[c.alias(k) for k, c in measures(F.col("text")).items()]).select("doc_id", *SPREAD)
+    voted = measured.withColumn("base_failed", base_failed())
+    told = stored(voted.withColumns(dict(zip(names, named.values(), strict=True))), "quality-votes")
+    quality = posterior(names, *estimate(pattern_counts(told, names), names))
     out = told.withColumn("quality", quality)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_at))
+
+
+def pattern_counts(voted: DataFrame, names: list[str]) -> DataFrame:
+    return stored(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")
+
+
+def kept_documents(
+    docs: DataFrame, rules: Callable[[], dict[str, Column]] = default_rules, keep_at: float = 0.5
+) -> DataFrame:
+    """The rows of ``docs`` (all columns) that ``judge`` keeps."""
+    named = rules()
+    names = [f"vote_{name}" for name in named]
+    # Own columns go into one struct, whatever the documents' columns are called.
+    row, found = fresh(docs, "_row"), fresh(docs, "_found")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("text").alias(found))
+    measured = rows.select(row, *[c.alias(k) for k, c in measures(F.col(found)).items()]).select(row, *SPREAD)
+    voted = measured.select(
+        row, base_failed().alias("base_failed"), *[c.alias(n) for n, c in zip(names, named.values(), strict=True)]
+    )
+    voted = stored(voted, "quality-votes")
+    quality = posterior(names, *estimate(pattern_counts(voted.select(*names), names), names))
+    return voted.filter(~F.col("base_failed") & (quality >= keep_at)).select(f"{row}.*")

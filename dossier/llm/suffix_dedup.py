@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.tables import fresh, shuffle_partitions, stored
+from dossier.llm.tables import fresh, id_number, shuffle_partitions, stored
 from dossier.llm.words import encoded, mix, prefix_hash, slabs, span_hash
 
 GRAM = 64
@@ -353,7 +353,7 @@ def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             digest = hashlib.sha256(rest_of(data, spans)).hexdigest()
             out.append((len(data), sum(b - a for a, b in spans), len(spans), digest))
         told = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"], index=batch.index)
-        yield pd.concat([batch[["doc_id"]].astype("Int64"), told], axis=1)
+        yield pd.concat([batch[["doc_id"]], told], axis=1)
 
 
 def removal_report(docs: DataFrame, length: int = 400, max_units: int = 2000) -> DataFrame:
@@ -361,11 +361,14 @@ def removal_report(docs: DataFrame, length: int = 400, max_units: int = 2000) ->
     found = repeated_spans(keyed(docs), length, max_units)
     own: Column = F.col("doc_id").cast("long")
     rows = docs.select(
-        own.alias("doc_id"), F.coalesce(own, F.lit(0)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text"
+        own.cast("string").alias("doc_id"),
+        F.coalesce(own, F.lit(0)).alias("doc"),
+        F.xxhash64("text").alias("text_hash"),
+        "text",
     )
     joined = rows.join(found, ["doc", "text_hash"], "left").select("doc_id", "text", "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.mapInPandas(digests, schema)
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return joined.mapInPandas(digests, schema).withColumn("doc_id", id_number())
 
 
 def cut_texts(text: int):

@@ -25,6 +25,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def id_text() -> Column:
+    """``doc_id`` as text, in which form it passes through Python functions: nulls and large ids stay exact there."""
+    return F.col("doc_id").cast("string").alias("doc_id")
+
+
+def id_number() -> Column:
+    return F.col("doc_id").cast("long").alias("doc_id")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

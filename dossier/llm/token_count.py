@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.tables import stored
+from dossier.llm.tables import id_number, id_text, stored
 
 #: Python counts U+001C to U+001F as white space; the cut asks for ASCII white space that every pattern agrees on.
 STABLE = re.compile(r"(?<=\S)(?=[ \t-\r])")
@@ -174,7 +174,7 @@ def long_counts(docs: DataFrame, path: str | None, chunk: int, overlap: int) ->
         spread = cut.repartition(F.xxhash64("doc_id", "text_hash", "nth"))
         counted = spread.mapInPandas(
             chunk_counts(path, stride, overlap),
-            "doc_id long, text_hash long, n_bytes long, nth int, n_tokens long",
+            "doc_id string, text_hash long, n_bytes long, nth int, n_tokens long",
         )
         # Equal rows of the input have equal chunks: chunk 0 tells how many rows there are.
         rows = F.sum((F.col("nth") == 0).cast("int"))
@@ -209,13 +209,13 @@ def count_tokens(
         raise ValueError("overlap must be positive and at most chunk")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        id_text(),
         text.alias("text"),
         F.octet_length(text).cast("long").alias("n_bytes"),
         F.char_length(text).alias("n_chars"),
     )
     short = rows.filter(F.col("n_chars") <= chunk + overlap).select("doc_id", "n_bytes", "text")
-    counted = short.mapInPandas(short_counts(path), "doc_id long, n_bytes long, n_tokens long")
+    counted = short.mapInPandas(short_counts(path), "doc_id string, n_bytes long, n_tokens long")
     long = rows.filter(F.col("n_chars") > chunk + overlap).withColumn("text_hash", F.xxhash64("text"))
     counted = counted.unionByName(long_counts(long, path, chunk, overlap).select("doc_id", "n_bytes", "n_tokens"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    return counted.select(id_number(), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -89,14 +89,19 @@ def slabs(texts: Sequence, limit: int = SLAB_BYTES) -> Iterator[tuple[int, list[
         yield first, held
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, border positions: words of text i are ``[border[i], border[i + 1])``)."""
+def word_hashes(texts: list[bytes], first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, border positions: words of text i are ``[border[i], border[i + 1])``).
+
+    ``first``: hash that many leading bytes of each word only.
+    """
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     gap = _blank[buffer]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
     border = np.concatenate(([0], np.searchsorted(start, ends)))
+    if first is not None:
+        end = np.minimum(end, start + first)
     return span_hash(prefix_hash(buffer), start, end), border
 
 
