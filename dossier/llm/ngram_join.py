@@ -184,8 +184,8 @@ def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 sets += [np.unique(runs[a:b]) for a, b in zip(border[:-1], border[1:], strict=True)]
             size = np.array([len(s) for s in sets])
             linked = 9 * common_counts(sets) >= 4 * (size[:, None] + size[None, :])
-            side = own["side"].to_numpy()
-            if side.any():  # two blocks: pairs inside a block belong to the block's own group
+            if own["two"].iloc[0]:  # pairs inside a block belong to the block's own group
+                side = own["side"].to_numpy()
                 linked &= side[:, None] != side[None, :]
             np.fill_diagonal(linked, False)
             links = linked @ copies
@@ -209,13 +209,14 @@ def together(rows: DataFrame, key: str) -> DataFrame:
 
 
 def block_pairs(rows: DataFrame, blocks, by: str) -> DataFrame:
-    """A row for each pair of blocks that the row's block is part of, with the pair (i <= j) and the row's side in it."""
+    """A row for each pair of blocks that the row's block is part of, with its side in the pair and whether there are two."""
     own = F.pmod(F.xxhash64(F.col(by), F.lit(7)), blocks)
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     return (
         rows.withColumn("i", F.least("own", "with"))
         .withColumn("j", F.greatest("own", "with"))
         .withColumn("side", F.col("own") > F.col("with"))
+        .withColumn("two", F.col("own") != F.col("with"))
         .withColumn("group", F.xxhash64("group", "i", "j"))
         .drop("own", "with", "i", "j")
     )

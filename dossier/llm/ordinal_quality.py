@@ -205,7 +205,8 @@ def grade_documents(docs: DataFrame, model: Model, keep_at: float = 0.5) -> Data
         model = shared.value
         for batch in batches:
             expected, tail = np.full(len(batch), float(model.only)), np.ones(len(batch))
-            for first, slab in slabs(batch.pop("text")) if len(model.limits) else ():
+            texts = batch.pop("text")
+            for first, slab in slabs(texts) if len(model.limits) else ():
                 above = model.above(slab)
                 expected[first : first + len(slab)] = above.sum(axis=1)
                 tail[first : first + len(slab)] = above[:, -1]

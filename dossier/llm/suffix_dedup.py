@@ -392,10 +392,10 @@ def cut_texts(text: int):
 def without_repeats(docs: DataFrame, length: int = 400, max_units: int = 2000) -> DataFrame:
     """All rows and columns of ``docs``, with repeated strings cut from the texts; other columns are as they were."""
     found = repeated_spans(keyed(docs), length, max_units)
-    found = found.select(F.col("doc").alias(fresh(docs, "_doc")), F.col("text_hash").alias(fresh(docs, "_hash")), "spans")
-    doc, text_hash = found.columns[:2]
+    doc, text_hash, spans = (fresh(docs, name) for name in ("_doc", "_hash", "_spans"))
+    found = found.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("spans").alias(spans))
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == found[doc]) & (
         F.xxhash64(docs["text"]) == found[text_hash]
     )
-    joined = docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], found["spans"])
+    joined = docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], found[spans])
     return joined.mapInArrow(cut_texts(docs.columns.index("text")), docs.schema)
