@@ -114,27 +114,42 @@ def default_rules() -> dict[str, Column]:
     }
 
 
-def posterior(names: list[str], prior: float, good: list[float], bad: list[float]) -> Column:
-    """Probability of good given the votes in columns ``names``."""
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for name, g, b in zip(names, good, bad, strict=True):
-        up, down = F.lit(math.log(g / (1 - b))), F.lit(math.log((1 - g) / b))
-        odds = odds + F.when(F.col(name) == 1, up).when(F.col(name) == -1, down).otherwise(F.lit(0.0))
+def odds_steps(prior: float, good: list[float], bad: list[float]) -> list[float]:
+    """What a document's log odds of being good start from, and what each rule's good and bad vote add."""
+    steps = [math.log(prior / (1 - prior))]
+    for g, b in zip(good, bad, strict=True):
+        steps += [math.log(g / (1 - b)), math.log((1 - g) / b)]
+    return steps
+
+
+def posterior(names: list[str], steps: Column) -> Column:
+    """Probability of good given the votes in columns ``names``; ``steps`` is the array of :func:`odds_steps`."""
+    odds = steps[0]
+    for j, name in enumerate(names):
+        vote = F.when(F.col(name) == 1, steps[2 * j + 1]).when(F.col(name) == -1, steps[2 * j + 2])
+        odds = odds + vote.otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-odds))
 
 
 def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
-    """Share of good documents and the rules' rates; every round is one aggregation of the pattern table."""
+    """Share of good documents and the rules' rates; every round is one aggregation of the pattern table.
+
+    The rates of a round come as a table of one row, so that all rounds are one and the same compiled plan.
+    """
     hold = lambda x, least, most: min(max(x, least), most)
     prior, good, bad = 0.8, [0.95] * len(names), [0.4] * len(names)
+    spark, one = patterns.sparkSession, F.lit(1).alias("one")
+    table = patterns.select(one, *names, "n")
+    p, n = posterior(names, F.col("steps")), F.col("n")
+    sums = [F.sum(n), F.sum(n * p)]
+    for name in names:
+        v = F.col(name)
+        sums += [F.sum(n * p * (v == 1).cast("int")), F.sum(n * p * (v != 0).cast("int"))]
+        sums += [F.sum(n * (1 - p) * (v == -1).cast("int")), F.sum(n * (1 - p) * (v != 0).cast("int"))]
     for _ in range(rounds):
-        p, n = posterior(names, prior, good, bad), F.col("n")
-        sums = [F.sum(n), F.sum(n * p)]
-        for name in names:
-            v = F.col(name)
-            sums += [F.sum(n * p * (v == 1).cast("int")), F.sum(n * p * (v != 0).cast("int"))]
-            sums += [F.sum(n * (1 - p) * (v == -1).cast("int")), F.sum(n * (1 - p) * (v != 0).cast("int"))]
-        total, kept, *rates = patterns.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
+        values = ", ".join(f"{x!r}D" for x in odds_steps(prior, good, bad))
+        steps = spark.sql(f"SELECT * FROM VALUES (1, array({values})) AS t(one, steps)")
+        total, kept, *rates = table.join(F.broadcast(steps), "one").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
         if not total:
             break
         prior = hold(kept / total, 0.01, 0.99)
@@ -145,6 +160,10 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tup
     return prior, good, bad
 
 
+def fixed_steps(patterns: DataFrame, names: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in odds_steps(*estimate(patterns, names))])
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
@@ -158,8 +177,7 @@ def judge(
     measured = docs.select("doc_id", *[c.alias(k) for k, c in measures(F.col("text")).items()]).select("doc_id", *SPREAD)
     voted = measured.withColumn("base_failed", base_failed())
     told = stored(voted.withColumns(dict(zip(names, named.values(), strict=True))), "quality-votes")
-    quality = posterior(names, *estimate(pattern_counts(told, names), names))
-    out = told.withColumn("quality", quality)
+    out = told.withColumn("quality", posterior(names, fixed_steps(pattern_counts(told, names), names)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_at))
 
 
@@ -172,14 +190,14 @@ def kept_documents(
 ) -> DataFrame:
     """The rows of ``docs`` (all columns) that ``judge`` keeps."""
     named = rules()
-    names = [f"vote_{name}" for name in named]
-    # Own columns go into one struct, whatever the documents' columns are called.
+    votes_of = {f"vote_{name}": vote for name, vote in named.items()}
+    names = list(votes_of)
+    measured = docs.select(*[c.alias(k) for k, c in measures(F.col("text")).items()]).select(*SPREAD)
+    steps = fixed_steps(pattern_counts(measured.select(*[c.alias(k) for k, c in votes_of.items()]), names), names)
+    # The texts are measured again instead of being stored with their votes. What is measured goes into one struct and
+    # the document into another, whatever its columns are called.
     row, found = fresh(docs, "_row"), fresh(docs, "_found")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("text").alias(found))
-    measured = rows.select(row, *[c.alias(k) for k, c in measures(F.col(found)).items()]).select(row, *SPREAD)
-    voted = measured.select(
-        row, base_failed().alias("base_failed"), *[c.alias(n) for n, c in zip(names, named.values(), strict=True)]
-    )
-    voted = stored(voted, "quality-votes")
-    quality = posterior(names, *estimate(pattern_counts(voted.select(*names), names), names))
-    return voted.filter(~F.col("base_failed") & (quality >= keep_at)).select(f"{row}.*")
+    rows = rows.select(row, *[c.alias(k) for k, c in measures(F.col(found)).items()]).select(row, *SPREAD)
+    judged = rows.select(row, base_failed().alias("base_failed"), *[c.alias(k) for k, c in votes_of.items()])
+    return judged.filter(~F.col("base_failed") & (posterior(names, steps) >= keep_at)).select(f"{row}.*")
