@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.ids import stable_id
-from dossier.operators.digests import FLAT_LIMIT, sorted_digest
+from dossier.operators.digests import sorted_digest
 from dossier.operators.ordered import as_of, with_next
 
 METER = ["operation", "unit"]
@@ -160,10 +160,10 @@ def invoice_totals(assigned: DataFrame, lines: DataFrame, unpriced: DataFrame, c
     )
 
 
-def usage_snapshot_hash(events: DataFrame, group: list[str], flat_limit: int = FLAT_LIMIT) -> DataFrame:
+def usage_snapshot_hash(events: DataFrame, group: list[str]) -> DataFrame:
     """Digest of the sorted ``id:operation:unit:quantity`` lines of the billable events."""
     line = F.concat_ws(":", "usage_event_id", "operation", "unit", F.col("quantity").cast("string"))
-    return sorted_digest(events.where("billable"), group, "usage_event_id", line, None, flat_limit).select(
+    return sorted_digest(events.where("billable"), group, "usage_event_id", line).select(
         *group, F.col("lines").alias("events"), F.col("digest").alias("usage_hash")
     )
 

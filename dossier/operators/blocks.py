@@ -33,16 +33,13 @@ def kind_of(df: DataFrame, column: str) -> str:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy work at least one partition per core.
+    """Deal a small input of CPU-heavy work over the partitions that the session asks for.
 
-    Only inputs that the planner estimates too small to fill the cores with ordinary file
-    splits are redistributed; a large table keeps its splits and is not shuffled.
+    ``dossier.spread.partitions`` is unset by default: files keep their splits and nothing is
+    shuffled. A session over tables of one file each, such as a test, sets it.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df
+    partitions = df.sparkSession.conf.get("dossier.spread.partitions", None)
+    return df if partitions is None else df.repartition(int(partitions), key)
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:

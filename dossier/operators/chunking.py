@@ -26,6 +26,9 @@ def spans(text: str, size: int, overlap: int, minimum: int) -> Iterator[tuple[in
         return
     size = max(minimum, size)
     overlap = max(0, min(overlap, size // 2))
+    if overlap < minimum:
+        # The last piece could then be too short to keep, and its text would be lost.
+        raise ValueError("overlap must be at least the minimum length, and at most half the size")
     seen: set[str] = set()
     start = 0
     while start < total:

@@ -76,13 +76,10 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
     )
 
 
-def feedback_latest(feedback: DataFrame, collection_id: str, k: int = 100) -> DataFrame:
-    """Newest feedback first, ties by id descending."""
-    return (
-        feedback.where(F.col("collection_id") == collection_id)
-        .orderBy(F.desc("created_at"), F.desc("feedback_id"))
-        .limit(max(1, min(k, 1000)))
-    )
+def feedback_latest(feedback: DataFrame, collection_id: str, k: int | None = None) -> DataFrame:
+    """Newest feedback first, ties by id descending; the first ``k`` rows when given."""
+    found = feedback.where(F.col("collection_id") == collection_id).orderBy(F.desc("created_at"), F.desc("feedback_id"))
+    return found if k is None else found.limit(k)
 
 
 def validate_claims(answers: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:

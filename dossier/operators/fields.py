@@ -17,9 +17,8 @@ LABEL_CONFIDENCE = 0.72
 ALIAS_COST = 0.02
 KIND_BONUS, MAX_BONUS, MAX_CONFIDENCE = 0.03, 0.09, 0.99
 ATTRIBUTE_CONFIDENCE = 0.95
-EXCERPT = 500
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
-LABEL_VALUE = r"^\s*(.{1,120}?)\s*(?::|—|–|-)\s+(.{1,1000}?)\s*$"
+LABEL_VALUE = r"^\s*(.+?)\s*(?::|—|–|-)\s+(.+?)\s*$"
 
 
 @dataclass(frozen=True)
@@ -85,7 +84,7 @@ def text_label_values(assets: DataFrame, key: str = "asset_id", text: str = "tex
         F.lit(LABEL_CONFIDENCE).alias("confidence"),
         F.lit("text_label_value").alias("kind"),
         F.concat(F.lit("line:"), "line_no").alias("source_ref"),
-        F.substring("line", 1, EXCERPT).alias("excerpt"),
+        F.col("line").alias("excerpt"),
     )
 
 
@@ -169,7 +168,7 @@ def attribute_candidates(assets: DataFrame, mapping: Mapping[str, str], key: str
         F.lit(provider).alias("provider"),
         F.array(
             F.struct(
-                F.lit("structured_attribute").alias("kind"), F.col("attribute").alias("source_ref"), F.substring("value", 1, EXCERPT).alias("excerpt")
+                F.lit("structured_attribute").alias("kind"), F.col("attribute").alias("source_ref"), F.col("value").alias("excerpt")
             )
         ).alias("evidence"),
         F.array().cast("array<string>").alias("matched_terms"),

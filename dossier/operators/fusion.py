@@ -16,13 +16,12 @@ from dossier.operators.lexical import count_search_batch
 from dossier.operators.vectors import hashing_embed, knn_join
 
 RRF_K = 60
-MAX_CANDIDATES = 300
 MIN_CANDIDATES = 20
 CANDIDATE_FACTOR = 3
 
 
 def candidate_limit(target: int) -> int:
-    return min(MAX_CANDIDATES, max(MIN_CANDIDATES, target * CANDIDATE_FACTOR))
+    return max(MIN_CANDIDATES, target * CANDIDATE_FACTOR)
 
 
 def rrf_fuse(lists: Sequence[tuple[DataFrame, str, float | Column]], k: int = RRF_K) -> DataFrame:
@@ -248,10 +247,7 @@ def federated_dedupe(hits: DataFrame, k: int) -> DataFrame:
 
 def overfetch(limit: int, collections: int, collapse: bool) -> int:
     """Hits to fetch before collapsing or federated deduplication."""
-    return min(100, limit * (4 if collapse else min(max(collections, 2), 8)))
-
-
-PASSAGE_CHARS = 1800
+    return limit * (4 if collapse else min(max(collections, 2), 8))
 
 
 @computed_once
@@ -266,13 +262,17 @@ def token_overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series(out)
 
 
-def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column], n: int) -> DataFrame:
+def rerank(
+    hits: DataFrame, scorer: Callable[[Column, Column], Column], n: int, passage_chars: int | None = None
+) -> DataFrame:
     """Score the first n hits of each query with a pair scorer and reorder.
 
     hits: query_id, query, chunk_id, title, text, rank. Scored hits come first by
-    (-score, chunk_id); the rest, and hits whose score is null, keep their order after.
+    (-score, chunk_id); the rest, and hits whose score is null, keep their order after. The
+    scorer sees whole texts, or their first ``passage_chars`` characters.
     """
-    passage = strip(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.substring("text", 1, PASSAGE_CHARS)))
+    shown = F.col("text") if passage_chars is None else F.substring("text", 1, passage_chars)
+    passage = strip(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), shown))
     head = hits.where(F.col("rank") <= n).withColumn("rerank", scorer(F.col("query"), passage))
     tail = hits.where(F.col("rank") > n).withColumn("rerank", F.lit(None).cast("double"))
     order = Window.partitionBy("query_id").orderBy(

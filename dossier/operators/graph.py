@@ -156,9 +156,9 @@ def neighbors(
     direction: str = "both",
     relation_type: str | None = None,
     status: str | None = "canonical",
-    k: int = 100,
+    k: int | None = None,
 ) -> DataFrame:
-    """Relations of one entity, oldest first."""
+    """Relations of one entity, oldest first; the first ``k`` of them when given."""
     source, target = F.col("source_id") == entity_id, F.col("target_id") == entity_id
     scope: dict[str, Column] = {"outbound": source, "inbound": target, "both": source | target}
     if direction not in scope:
@@ -168,7 +168,8 @@ def neighbors(
         found = found.where(F.col("relation_type") == relation_type.strip())
     if status is not None:
         found = found.where(F.col("status") == status)
-    return found.orderBy("created", "relation_id").limit(max(1, min(k, 500)))
+    ordered = found.orderBy("created", "relation_id")
+    return ordered if k is None else ordered.limit(k)
 
 
 def k_hop(
@@ -182,8 +183,8 @@ def k_hop(
     result per start; without it nothing is cut. One join with the frontier per level; the
     level's rows are checkpointed, so lost executors replay one level only.
     """
-    if not 1 <= max_depth <= 5:
-        raise ValueError("max_depth must be between 1 and 5")
+    if max_depth < 1:
+        raise ValueError("max_depth must be positive")
     usable = relations.where(F.col("status") == "canonical")
     if relation_type:
         usable = usable.where(F.col("relation_type") == relation_type)
@@ -198,7 +199,7 @@ def k_hop(
         step = frontier.join(ends, "node")
         if limit is not None:
             step = step.withColumn("__pair", F.struct("start_id", "node"))
-            step = top_k(step, "__pair", [F.col("created"), F.col("relation_id")], min(limit, 500), "__nth").drop("__pair", "__nth")
+            step = top_k(step, "__pair", [F.col("created"), F.col("relation_id")], limit, "__nth").drop("__pair", "__nth")
         if found is not None:
             step = step.join(found.select("start_id", "relation_id"), ["start_id", "relation_id"], "left_anti")
         # A relation between two frontier nodes belongs to the smaller one.

@@ -199,21 +199,6 @@ def build_postings(chunks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Lay the postings out by term hash so that a lookup prunes to a few folders."""
-    postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).write.partitionBy(
-        "bucket"
-    ).parquet(path)
-
-
-def read_postings(spark, path: str, terms: Sequence[str], buckets: int = 64) -> DataFrame:
-    wanted = spark.createDataFrame([(t,) for t in set(terms)], "term string").select(
-        "term", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-    )
-    folders = [r.bucket for r in wanted.select("bucket").distinct().collect()]
-    return spark.read.parquet(path).where(F.col("bucket").isin(folders) & F.col("term").isin(list(set(terms))))
-
-
 def split_query(query: str) -> list[list[tuple[bool, list[str]]]]:
     """OR-groups of (wanted, phrase words) from a web-style query: "a phrase" -not or."""
     groups: list[list[tuple[bool, list[str]]]] = [[]]

@@ -101,7 +101,7 @@ def _signal(row: tuple) -> tuple:
     shown = value if isinstance(value, str) else str(value) if not isinstance(value, list) else mk.json.dumps(value, ensure_ascii=False)
     if isinstance(value, str):
         value = mk.compact(value)
-    return name, mk.canonical_json(value), confidence, kind, ref, shown[: mk.EXCERPT]
+    return name, mk.canonical_json(value), confidence, kind, ref, shown
 
 
 def html_signals(assets: DataFrame, key: str = "asset_id", html: str = "html") -> DataFrame:

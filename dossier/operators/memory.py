@@ -9,7 +9,6 @@ from dossier.functions.text import strip
 from dossier.operators.ordered import with_next
 
 EVIDENCE_KINDS = ("source_evidence", "agent_observation")
-EXCERPT_CHARS = 1000
 
 
 def validate_memories(writes: DataFrame, sources: DataFrame, chunks: DataFrame, policies: DataFrame) -> DataFrame:
@@ -75,8 +74,10 @@ def memory_conflicts(writes: DataFrame, bucket: Column) -> DataFrame:
     return accepted.select(cols).unionByName(refused.select(cols)).unionByName(free.select(cols))
 
 
-def memory_provenance(memories: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One derived_from edge per memory and source chunk, with a short excerpt."""
+def memory_provenance(
+    memories: DataFrame, sources: DataFrame, chunks: DataFrame, excerpt_chars: int | None = None
+) -> DataFrame:
+    """One derived_from edge per memory and source chunk, with its text (or the first ``excerpt_chars``)."""
     return (
         memories.select("write_id")
         .join(sources.select("write_id", "chunk_id").distinct(), "write_id")
@@ -86,6 +87,6 @@ def memory_provenance(memories: DataFrame, sources: DataFrame, chunks: DataFrame
             "chunk_id",
             F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string")).alias("source_ref"),
             F.lit("derived_from").alias("relation"),
-            F.substring("text", 1, EXCERPT_CHARS).alias("excerpt"),
+            (F.col("text") if excerpt_chars is None else F.substring("text", 1, excerpt_chars)).alias("excerpt"),
         )
     )

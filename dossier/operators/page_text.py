@@ -41,14 +41,15 @@ def page_cascade(
     native: DataFrame,
     ocr: DataFrame,
     vision: DataFrame,
-    budget: int = 10,
+    budget: int | None = None,
     min_native: int = 32,
-    max_chars: int = 2_000_000,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Choose vision > OCR > native text per page and join the pages of a document.
 
     native: doc_id, page, text; ocr: doc_id, page, text, confidence; vision: doc_id,
-    page, text. Only the first ``budget`` pages that need OCR may use it.
+    page, text. With a ``budget`` only that many first pages that need OCR may use it; with
+    ``max_chars`` the text is cut there. Neither cuts by default.
     """
     pages = native.select(
         "doc_id",
@@ -58,7 +59,8 @@ def page_cascade(
     place = F.sum(F.col("needs_ocr").cast("int")).over(
         Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     )
-    pages = pages.withColumn("requested", F.col("needs_ocr") & (place <= budget))
+    allowed = F.lit(True) if budget is None else place <= budget
+    pages = pages.withColumn("requested", F.col("needs_ocr") & allowed)
     read = pages.join(
         ocr.select("doc_id", "page", F.col("text").alias("ocr_text"), "confidence"), ["doc_id", "page"], "left"
     ).join(vision.select("doc_id", "page", F.col("text").alias("vision_text")), ["doc_id", "page"], "left")
@@ -95,8 +97,8 @@ def page_cascade(
         )
         .select(
             "doc_id",
-            F.substring("combined", 1, max_chars).alias("text"),
-            (F.char_length("combined") > max_chars).alias("truncated"),
+            (F.col("combined") if max_chars is None else F.substring("combined", 1, max_chars)).alias("text"),
+            (F.lit(False) if max_chars is None else F.char_length("combined") > max_chars).alias("truncated"),
             "pages",
             "skipped_pages",
             "unresolved_pages",

@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append_new(target: DataFrame, incoming: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Incoming rows whose key is not stored; one row per key."""
+def append_new(target: DataFrame, incoming: DataFrame, key: str | Sequence[str], order: str | None = None) -> DataFrame:
+    """Incoming rows whose key is not stored; of several rows of a key the first by ``order``.
+
+    Without an order it is the row that sorts first by all its columns (as JSON), so the choice
+    does not depend on how the rows are dealt.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    return incoming.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    row = F.struct(*incoming.columns)
+    place = F.to_json(row) if order is None else F.struct(F.col(order), F.to_json(row))
+    first = incoming.groupBy(*keys).agg(F.min_by(row, place).alias("__row")).select("__row.*")
+    return first.join(target.select(*keys), keys, "left_anti")
 
 
 def refresh_resources(target: DataFrame, incoming: DataFrame, seen_at) -> DataFrame:
@@ -50,8 +57,18 @@ def invalid_embeddings(incoming: DataFrame) -> DataFrame:
 
 
 def upsert_embeddings(target: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Replace or add vectors by (chunk, provider, model); ids and creation data survive."""
-    new = incoming.select(*EMBEDDING_KEY, F.col("vector").alias("__vector"))
+    """Replace or add vectors by (chunk, provider, model); ids and creation data survive.
+
+    A batch with a key twice, without an id or with an empty vector is refused as a whole.
+    """
+    blank = F.col("chunk_id").isNull() | (F.col("chunk_id").cast("string") == "") | (F.coalesce(F.size("__vector"), F.lit(0)) < 1)
+    new = incoming.groupBy(*EMBEDDING_KEY).agg(F.count("*").alias("__rows"), F.max("vector").alias("__vector"))
+    checked = (
+        F.when(F.col("__rows") > 1, F.raise_error(F.lit("upsert refused: repeated embedding key")))
+        .when(blank, F.raise_error(F.lit("upsert refused: blank id or empty vector")))
+        .otherwise(F.col("__vector"))
+    )
+    new = new.select(*EMBEDDING_KEY, checked.alias("__vector"))
     joined = target.join(new, list(EMBEDDING_KEY), "full_outer")
     vector = F.coalesce("__vector", "vector")
     kept = [c for c in target.columns if c not in (*EMBEDDING_KEY, "vector", "dimension")]

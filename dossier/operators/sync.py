@@ -25,13 +25,11 @@ def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def due_resources(resources: DataFrame, now: Column, k: int = 50) -> DataFrame:
-    """Resources whose next refresh time has come, oldest first."""
-    return (
-        resources.where(F.col("next_refresh_at").isNotNull() & (F.col("next_refresh_at") <= now))
-        .orderBy("next_refresh_at", "resource_id")
-        .limit(max(1, min(k, 200)))
-    )
+def due_resources(resources: DataFrame, now: Column, k: int | None = None) -> DataFrame:
+    """Resources whose next refresh time has come, oldest first; the first ``k`` of them when given."""
+    due = resources.where(F.col("next_refresh_at").isNotNull() & (F.col("next_refresh_at") <= now))
+    due = due.orderBy("next_refresh_at", "resource_id")
+    return due if k is None else due.limit(k)
 
 
 def refresh_state(
@@ -77,12 +75,10 @@ def refresh_state(
     )
 
 
-def refresh_history(runs: DataFrame, resource_id, k: int = 50) -> DataFrame:
-    return (
-        runs.where(F.col("resource_id") == resource_id)
-        .orderBy(F.desc("at"), F.desc("run_id"))
-        .limit(max(1, min(k, 200)))
-    )
+def refresh_history(runs: DataFrame, resource_id, k: int | None = None) -> DataFrame:
+    """Runs of one resource, newest first; the first ``k`` of them when given."""
+    found = runs.where(F.col("resource_id") == resource_id).orderBy(F.desc("at"), F.desc("run_id"))
+    return found if k is None else found.limit(k)
 
 
 def expired_resources(resources: DataFrame, policies: DataFrame, now: Column) -> DataFrame:

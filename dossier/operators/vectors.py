@@ -9,13 +9,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from dossier.functions.text import computed_once
 from dossier.operators.blocks import ARROW, CELLS, TaskTopK, best, kind_of, scan_by_blocks, spread, top_k
-from dossier.operators.digests import FLAT_LIMIT, sorted_digest
+from dossier.operators.digests import sorted_digest
 
 # Fixed values of the hashing embedding: prefix length and weights.
 PREFIX = 6
@@ -116,8 +117,8 @@ def _scores(matrix: np.ndarray, units: np.ndarray) -> np.ndarray:
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact top-k by cosine for a table of queries.
 
-    queries: query_id, vector; vectors: chunk_id, vector; all of one dimension. Returns
-    query_id, chunk_id, score, rank. Zero queries match nothing.
+    queries: query_id, vector; vectors: chunk_id, vector. A query meets the vectors of its own
+    dimension; null vectors and zero queries match nothing. Returns query_id, chunk_id, score, rank.
     """
     query_kind, id_kind = kind_of(queries, "query_id"), kind_of(vectors, "chunk_id")
     usable = queries.where(F.exists("vector", lambda x: x != 0))
@@ -126,16 +127,22 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         def run(batches):
             if not shared.value:
                 return
-            units = _units([v for _, v in shared.value])
-            kept = TaskTopK([q for q, _ in shared.value], k)
-            step = max(1, CELLS // len(units))
+            by_size: dict[int, list] = {}
+            for query in shared.value:
+                by_size.setdefault(len(query[1]), []).append(query)
+            legs = {n: (_units([v for _, v in q]), TaskTopK([i for i, _ in q], k)) for n, q in by_size.items()}
             for batch in batches:
-                if batch.num_rows:
-                    ids, matrix = np.asarray(batch.column(0).to_pylist()), _matrix(batch.column(1))
-                    for start in range(0, len(ids), step):
-                        stretch = slice(start, start + step)
-                        kept.add_matrix(_scores(matrix[stretch], units), ids[stretch])
-            yield from kept.batches(query_kind, id_kind)
+                sizes = batch.column(1).value_lengths()
+                for size, (units, kept) in legs.items():
+                    same = batch.filter(pc.equal(sizes, size))
+                    if same.num_rows:
+                        ids, matrix = np.asarray(same.column(0).to_pylist()), _matrix(same.column(1))
+                        step = max(1, CELLS // len(units))
+                        for start in range(0, len(ids), step):
+                            stretch = slice(start, start + step)
+                            kept.add_matrix(_scores(matrix[stretch], units), ids[stretch])
+            for _, kept in legs.values():
+                yield from kept.batches(query_kind, id_kind)
 
         return run
 
@@ -327,9 +334,7 @@ def pending_chunks(chunks: DataFrame, embeddings: DataFrame, provider: str, mode
     return chunks.join(have, "chunk_id", "left_anti")
 
 
-def index_revision(
-    chunks: DataFrame, provider: str, model: str, dimension: int, flat_limit: int = FLAT_LIMIT
-) -> DataFrame:
+def index_revision(chunks: DataFrame, provider: str, model: str, dimension: int) -> DataFrame:
     """Digest of the contract header and the sorted ``chunk_id:content_hash`` lines per collection."""
     header = F.concat(
         F.lit(f"provider={provider}\nmodel={model}\ndimension={dimension}\nlanguage="), F.col("language")
@@ -340,7 +345,6 @@ def index_revision(
         "chunk_id",
         F.concat_ws(":", "chunk_id", "content_hash"),
         header,
-        flat_limit,
     ).select("collection_id", "lines", F.col("digest").alias("revision"))
 
 

@@ -16,10 +16,11 @@ from dossier.session import cut_lineage
 
 # Path endings that are not pages.
 BLOCKED_SUFFIXES = (
-    ".7z .avi .bmp .css .csv .doc .docx .eot .gif .gz .ico .jpeg .jpg .js .json .m4a .m4v .mov .mp3 .mp4 .mpeg .mpg "
-    ".odp .ods .odt .pdf .png .ppt .pptx .rar .rss .svg .tar .tgz .tif .tiff .ttf .wav .webm .webp .woff .woff2 .xls "
-    ".xlsx .xml .zip"
-).split()
+    ".7z", ".avi", ".bmp", ".css", ".csv", ".doc", ".docx", ".eot", ".gif", ".gz", ".ico", ".jpeg", ".jpg", ".js",
+    ".json", ".m4a", ".m4v", ".mov", ".mp3", ".mp4", ".mpeg", ".mpg", ".odp", ".ods", ".odt", ".pdf", ".png", ".ppt",
+    ".pptx", ".rar", ".rss", ".svg", ".tar", ".tgz", ".tif", ".tiff", ".ttf", ".wav", ".webm", ".webp", ".woff",
+    ".woff2", ".xls", ".xlsx", ".xml", ".zip",
+)
 
 
 def page_links(pages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -53,7 +54,8 @@ def scope_filter(
 
 
 def _order_key(parent: Column, pos: Column) -> Column:
-    return F.concat(parent, F.lit("/"), F.lpad(pos.cast("string"), 7, "0"))
+    """Places along the path as an array of numbers: arrays sort by their first difference."""
+    return F.concat(parent, F.array(pos.cast("long")))
 
 
 def crawl_frontier(
@@ -67,7 +69,7 @@ def crawl_frontier(
     level is checkpointed. The limits, when given, cut in discovery order.
     """
     frontier = seeds.groupBy("url").agg(F.min("seed_no").alias("n")).select(
-        "url", F.lpad(F.col("n").cast("string"), 7, "0").alias("order_key")
+        "url", F.array(F.col("n").cast("long")).alias("order_key")
     )
     known = cut_lineage(frontier.select("url"))
     stored = pages.select(F.col("source").alias("url")).distinct()
@@ -140,16 +142,23 @@ CTA_TERMS = (
     "copy code",
 )
 STRONG_SEGMENTS = (
-    "promo promocode promocodes promokod promokody coupon coupons discount discounts deal deals offer offers sale sales "
-    "akcii aktsii skidki"
-).split()
-MERCHANT_SEGMENTS = "o shop store merchant brand".split()
+    "promo", "promocode", "promocodes", "promokod", "promokody", "coupon", "coupons", "discount", "discounts",
+    "deal", "deals", "offer", "offers", "sale", "sales", "akcii", "aktsii", "skidki",
+)
+MERCHANT_SEGMENTS = (
+    "o", "shop", "store", "merchant", "brand",
+)
 NEGATIVE_SEGMENTS = (
-    "login auth register signup account profile cart basket checkout privacy policy terms agreement contacts contact "
-    "about blog news search faq help support sitemap api"
-).split()
-NAVIGATION_SEGMENTS = "category categories catalog shops stores brands merchants page tag tags".split()
-PAGINATION_KEYS = "page p offset start sort order filter view".split()
+    "login", "auth", "register", "signup", "account", "profile", "cart", "basket", "checkout", "privacy", "policy",
+    "terms", "agreement", "contacts", "contact", "about", "blog", "news", "search", "faq", "help", "support",
+    "sitemap", "api",
+)
+NAVIGATION_SEGMENTS = (
+    "category", "categories", "catalog", "shops", "stores", "brands", "merchants", "page", "tag", "tags",
+)
+PAGINATION_KEYS = (
+    "page", "p", "offset", "start", "sort", "order", "filter", "view",
+)
 GENERIC_TITLES = (
     "главная",
     "главная страница",
@@ -257,19 +266,19 @@ def _status(score: Column, below: str) -> Column:
     return F.when(score >= TARGET, "target").when(score >= CANDIDATE, "candidate").otherwise(below)
 
 
-def classify_links(links: DataFrame, contents: DataFrame | None, max_probe: int = 100) -> DataFrame:
+def classify_links(links: DataFrame, contents: DataFrame | None, max_probe: int | None = None) -> DataFrame:
     """Final score and status per assessed link (url, discovery_index, score, negative).
 
-    contents: url, content_score (null where the page could not be read). Only the best
-    ``max_probe`` links are probed, which is at most that many rows to hand to every task.
+    contents: url, content_score (null where the page could not be read). With ``max_probe``
+    only that many best links count as probed.
     """
     if contents is None:
         status = F.when(F.col("negative"), "non_target").otherwise(_status(F.col("score"), "unprobed"))
         return links.withColumn("status", status)
-    probes = (
-        links.where(~F.col("negative")).orderBy(F.desc("score"), "discovery_index").limit(max_probe).select("url", F.lit(True).alias("probed"))
-    )
-    joined = links.join(F.broadcast(probes), "url", "left").join(contents.select("url", "content_score"), "url", "left")
+    probes = links.where(~F.col("negative"))
+    if max_probe is not None:
+        probes = probes.orderBy(F.desc("score"), "discovery_index").limit(max_probe)
+    joined = links.join(probes.select("url", F.lit(True).alias("probed")), "url", "left").join(contents.select("url", "content_score"), "url", "left")
     probed = F.coalesce("probed", F.lit(False))
     score = F.when(probed & F.col("content_score").isNotNull(), F.round(F.col("score") + F.col("content_score"), 6)).otherwise(F.col("score"))
     unread = probed & F.col("content_score").isNull()
@@ -284,14 +293,15 @@ def classify_links(links: DataFrame, contents: DataFrame | None, max_probe: int
     )
 
 
-def select_targets(classified: DataFrame, k: int = 100, include_candidates: bool = True, include_unprobed: bool = False) -> DataFrame:
-    """The best k links by status, score and discovery order."""
+def select_targets(classified: DataFrame, k: int | None = None, include_candidates: bool = True, include_unprobed: bool = False) -> DataFrame:
+    """Links by status, score and discovery order; the best ``k`` when given."""
     allowed = ["target"] + ["candidate"] * include_candidates + ["unprobed"] * include_unprobed
     place = F.array_position(_words(STATUS_ORDER), F.col("status"))
-    return classified.where(F.col("status").isin(allowed)).orderBy(place, F.desc("score"), "discovery_index").limit(k)
+    ordered = classified.where(F.col("status").isin(allowed)).orderBy(place, F.desc("score"), "discovery_index")
+    return ordered if k is None else ordered.limit(k)
 
 
-def limit_reasons(classified: DataFrame, max_probe: int = 100, max_selected: int = 100) -> DataFrame:
+def limit_reasons(classified: DataFrame, max_probe: int, max_selected: int) -> DataFrame:
     """Which budgets cut the result."""
     counts = classified.agg(
         F.count_if(~F.col("negative")).alias("open"), F.count_if(F.col("status").isin("target", "candidate")).alias("selectable")
@@ -342,7 +352,7 @@ def expand_sitemaps(
     order; the first listing of a URL wins.
     """
     parsed = cut_lineage(stored.select("url", read_sitemap("xml").alias("m")).select("url", "m.kind", "m.locs"))
-    frontier = roots.groupBy("url").agg(F.min("root_no").alias("n")).select("url", F.lpad(F.col("n").cast("string"), 7, "0").alias("order_key"))
+    frontier = roots.groupBy("url").agg(F.min("root_no").alias("n")).select("url", F.array(F.col("n").cast("long")).alias("order_key"))
     seen, opened, room = None, None, max_sitemaps
     for level in range(max_depth):
         if room is not None:
@@ -367,7 +377,7 @@ def expand_sitemaps(
         if frontier.isEmpty():
             break
     listed = opened.where("kind = 'urlset'").select("level", "order_key", F.posexplode("locs").alias("pos", "loc"))
-    key = F.concat_ws(":", F.lpad(F.col("level").cast("string"), 2, "0"), _order_key(F.col("order_key"), F.col("pos")))
+    key = F.concat(F.array(F.col("level").cast("long")), _order_key(F.col("order_key"), F.col("pos")))
     found = listed.groupBy(F.col("loc").alias("url")).agg(F.min(key).alias("order_key"))
     if limit is not None:
         found = found.orderBy("order_key").limit(limit)
@@ -399,14 +409,13 @@ def render_need(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.withColumn("reason", reason)
 
 
-MAX_MESSAGE = 1000
-
-
-def crawl_failures(log: DataFrame) -> DataFrame:
-    """Failure rows (url, depth, error_type, message) with URLs hidden and long messages cut."""
+def crawl_failures(log: DataFrame, max_message: int | None = None) -> DataFrame:
+    """Failure rows (url, depth, error_type, message) with URLs hidden; longer messages are cut at ``max_message``."""
     hidden = F.regexp_replace("message", "(?i)https?://[^\\s'\"<>]+", "<url>")
-    cut = F.when(F.char_length(hidden) > MAX_MESSAGE, F.concat(F.substring(hidden, 1, MAX_MESSAGE - 3), F.lit("..."))).otherwise(hidden)
-    return log.withColumn("message", cut)
+    if max_message is not None:
+        short = F.concat(F.substring(hidden, 1, max_message - 3), F.lit("..."))
+        hidden = F.when(F.char_length(hidden) > max_message, short).otherwise(hidden)
+    return log.withColumn("message", hidden)
 
 
 def failure_counts(failures: DataFrame) -> DataFrame:

@@ -217,8 +217,10 @@ def invoice_totals(spark, d):
 @query(
     "usage_snapshot_hash",
     "L8",
-    f"""WITH {USAGE_SQL} SELECT tenant_id, count(*) AS events, sha256(string_agg(usage_event_id || ':' || operation || ':' || unit || ':' || quantity,
-      chr(10) ORDER BY usage_event_id)) AS usage_hash FROM usage WHERE billable GROUP BY tenant_id""",
+    f"""WITH {USAGE_SQL}, buckets AS (
+      SELECT tenant_id, substr(usage_event_id, 1, 5) AS b, count(*) AS n, sha256(string_agg(usage_event_id || ':' || operation || ':' || unit || ':' || quantity,
+        chr(10) ORDER BY usage_event_id)) AS h FROM usage WHERE billable GROUP BY ALL)
+    SELECT tenant_id, CAST(sum(n) AS BIGINT) AS events, sha256(string_agg(h, chr(10) ORDER BY b)) AS usage_hash FROM buckets GROUP BY tenant_id""",
 )
 def usage_snapshot_hash(spark, d):
     return b.usage_snapshot_hash(b.dedupe_usage(usage_log(Tables(spark, d))), ["tenant_id"])

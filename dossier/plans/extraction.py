@@ -131,8 +131,8 @@ def text_label_values(spark, d):
     "I2",
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
     c AS (SELECT doc_id, line_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM l)
-    SELECT doc_id AS asset_id, line_no, regexp_extract(line, '^\s*(.{1,120}?)\s*(?::|—|–|-)\s+(.{1,1000}?)\s*$', 1) AS name FROM c
-    WHERE regexp_matches(line, '^\s*(.{1,120}?)\s*(?::|—|–|-)\s+(.{1,1000}?)\s*$')""",
+    SELECT doc_id AS asset_id, line_no, regexp_extract(line, '^\s*(.+?)\s*(?::|—|–|-)\s+(.+?)\s*$', 1) AS name FROM c
+    WHERE regexp_matches(line, '^\s*(.+?)\s*(?::|—|–|-)\s+(.+?)\s*$')""",
 )
 def document_label_values(spark, d):
     found = fl.text_label_values(Tables(spark, d).texts.withColumnRenamed("doc_id", "asset_id"))

@@ -179,7 +179,7 @@ def _page_tables(t: Tables):
     FROM chosen GROUP BY doc_id""",
 )
 def page_cascade_query(spark, d):
-    out = page_text.page_cascade(*_page_tables(Tables(spark, d)))
+    out = page_text.page_cascade(*_page_tables(Tables(spark, d)), budget=10)
     return out.select(
         "doc_id",
         F.sha2("text", 256).alias("text_hash"),

@@ -263,7 +263,7 @@ RERANK_QUERY = "the la of des und in que el"
     "rerank",
     "E7",
     f"""WITH {HITS_SQL}, cut AS (
-      SELECT query_id, chunk_id, rank, list_distinct(string_split({q.norm("lower(source || chr(10) || substr(text, 1, 1800))")}, ' '))
+      SELECT query_id, chunk_id, rank, list_distinct(string_split({q.norm("lower(source || chr(10) || text)")}, ' '))
         AS words FROM hits JOIN documents ON doc_id = chunk_id),
     s AS (SELECT query_id, chunk_id, rank, CASE WHEN rank <= 40 THEN
         len(list_intersect(string_split('{RERANK_QUERY}', ' '), words)) / 8.0::DOUBLE END AS rerank FROM cut)

@@ -276,7 +276,7 @@ def memory_conflicts(spark, d):
     "memory_provenance",
     "K9",
     f"""WITH {MEMORY_SQL} SELECT 'memory:' || write_id AS record_id, 'chunk:' || s.chunk_id AS source_ref, 'derived_from' AS relation,
-      substr(c.text, 1, 1000) AS excerpt FROM sources s JOIN chunks c ON c.chunk_id = s.chunk_id""",
+      c.text AS excerpt FROM sources s JOIN chunks c ON c.chunk_id = s.chunk_id""",
 )
 def memory_provenance(spark, d):
     t = Tables(spark, d)

@@ -213,9 +213,11 @@ def _revision_chunks(t: Tables):
     "index_revision",
     "C9",
     f"""WITH {REVISION_CHUNKS_SQL}
-    SELECT collection_id, count(*) AS lines, sha256({REVISION_HEADER_SQL} || chr(10) ||
-      string_agg(chunk_id || ':' || content_hash, chr(10) ORDER BY chunk_id)) AS revision
-    FROM rows GROUP BY collection_id""",
+    SELECT collection_id, CAST(sum(n) AS BIGINT) AS lines, sha256({REVISION_HEADER_SQL} || chr(10) ||
+      string_agg(h, chr(10) ORDER BY b)) AS revision
+    FROM (SELECT collection_id, substr(chunk_id, 1, 5) AS b, count(*) AS n,
+            sha256(string_agg(chunk_id || ':' || content_hash, chr(10) ORDER BY chunk_id)) AS h FROM rows GROUP BY ALL)
+    GROUP BY collection_id""",
 )
 def index_revision(spark, d):
     return v.index_revision(_revision_chunks(Tables(spark, d)), "hashing", "local-hash-v1", 256)
@@ -231,7 +233,9 @@ def index_revision(spark, d):
       string_agg(h, chr(10) ORDER BY b)) AS revision FROM buckets GROUP BY collection_id""",
 )
 def index_revision_two_level(spark, d):
-    return v.index_revision(_revision_chunks(Tables(spark, d)), "hashing", "local-hash-v1", 256, flat_limit=0)
+    """The same digest when the rows come in another order and dealt over other partitions."""
+    chunks = _revision_chunks(Tables(spark, d)).repartition(7, "content_hash").sortWithinPartitions(F.desc("chunk_id"))
+    return v.index_revision(chunks, "hashing", "local-hash-v1", 256)
 
 
 @query(

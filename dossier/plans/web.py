@@ -325,7 +325,7 @@ def _failures(t: Tables):
 @query(
     "crawl_failures",
     "H11",
-    f"""WITH {FAILURES_SQL} SELECT event_id, error_type, CASE WHEN length(m) > 1000 THEN substr(m, 1, 997) || '...' ELSE m END AS message FROM failures""",
+    f"""WITH {FAILURES_SQL} SELECT event_id, error_type, m AS message FROM failures""",
 )
 def crawl_failures(spark, d):
     return _failures(Tables(spark, d))

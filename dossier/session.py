@@ -29,6 +29,7 @@ def local_session(cpus: int = 8, name: str = "dossier", **extra: str) -> SparkSe
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        .config("dossier.spread.partitions", str(cpus))
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)

@@ -1,6 +1,8 @@
-"""Refresh state, review leases and latency targets kept up to date by streams.
+"""Refresh state, review leases and latency targets of streams.
 
-Batches are expected in time order (a file or log source); inside a batch any order is fine.
+A stream is appended to a table by Spark's own file sink, which writes every row exactly once;
+the state is what the batch operators make of that table. So late rows and batches in any order
+give the state of the whole log, and a key that owns many rows is a partial aggregation.
 """
 
 from __future__ import annotations
@@ -12,140 +14,32 @@ from pyspark.sql import functions as F
 
 from dossier.operators.blocks import top_k
 from dossier.operators.metrics import SLO_P95_MS, slo_status
-from dossier.operators.results import ITEM
-from dossier.streaming.tables import fold_stream
-
-
-def _refresh_summary(runs: DataFrame) -> DataFrame:
-    """Mergeable summary of a set of runs: last run, last clearing run, errors after it."""
-    when = F.struct("at", "run_id")
-    last = runs.groupBy("resource_id").agg(
-        F.max(when).alias("last"),
-        F.max_by("outcome", when).alias("last_outcome"),
-        F.max(F.when(F.col("outcome") != "error", F.col("at"))).alias("last_seen_at"),
-        F.max(F.when(F.col("outcome") == "changed", when)).alias("cleared"),
-        F.count("*").alias("runs"),
-    )
-    errors = (
-        runs.where("outcome = 'error'")
-        .join(last.select("resource_id", "cleared"), "resource_id")
-        .where(F.col("cleared").isNull() | (F.struct("at", "run_id") > F.col("cleared")))
-        .groupBy("resource_id")
-        .agg(F.count("*").alias("failures"))
-    )
-    return last.join(errors, "resource_id", "left").na.fill(0, ["failures"])
-
-
-def _refresh_merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    before = old.select("resource_id", *[F.col(c).alias(f"__{c}") for c in old.columns if c != "resource_id"])
-    joined = new.join(before, "resource_id", "left")
-    return joined.select(
-        "resource_id",
-        "last",
-        "last_outcome",
-        F.coalesce("last_seen_at", "__last_seen_at").alias("last_seen_at"),
-        F.coalesce("cleared", "__cleared").alias("cleared"),
-        (F.col("runs") + F.coalesce("__runs", F.lit(0))).alias("runs"),
-        F.when(F.col("cleared").isNotNull(), F.col("failures"))
-        .otherwise(F.col("failures") + F.coalesce("__failures", F.lit(0)))
-        .alias("failures"),
-    )
+from dossier.operators.results import ITEM, lease_state
+from dossier.operators.sync import refresh_state
+from dossier.streaming.tables import run_to_table
 
 
 def stream_refresh_state(runs: DataFrame, interval_seconds: int = 86_400, missing_after: int = 3) -> DataFrame:
     """Failure count, status and next due time per resource from a stream of refresh runs."""
-    state = fold_stream(runs, ["resource_id"], _refresh_summary, _refresh_merge, "refresh-state")
-    return state.select(
-        "resource_id",
-        "runs",
-        "failures",
-        F.when(F.col("last_outcome") != "error", "ready")
-        .when(F.col("failures") >= missing_after, "stale")
-        .otherwise("refresh_error")
-        .alias("status"),
-        "last_seen_at",
-        (F.col("last.at") + F.make_dt_interval(secs=F.lit(interval_seconds))).alias("next_refresh_at"),
-    )
-
-
-def _lease_summary(events: DataFrame) -> DataFrame:
-    """Mergeable summary of a review log: last end, and the lease events after it."""
-    when = F.struct("at", "event_id")
-    last = events.groupBy(*ITEM).agg(
-        F.max(F.when(F.col("action").isin("released", "completed"), when)).alias("ended"),
-        F.max_by("action", when).alias("last_action"),
-    )
-    taken = F.col("action").isin("claimed", "taken_over")
-    live = events.join(last.select(*ITEM, "ended"), ITEM).where(
-        F.col("ended").isNull() | (F.struct("at", "event_id") > F.col("ended"))
-    )
-    lease = live.groupBy(*ITEM).agg(
-        F.max_by("reviewer_id", when).alias("reviewer_id"),
-        F.count("*").alias("revision"),
-        F.max(F.when(taken, F.col("at"))).alias("taken_at"),
-        F.min("at").alias("first_at"),
-        F.max_by(F.col("at") + F.col("ttl"), when).alias("expires_at"),
-    )
-    return last.join(lease, ITEM, "left").na.fill(0, ["revision"])
-
-
-def _lease_merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    before = old.select(*ITEM, *[F.col(c).alias(f"__{c}") for c in old.columns if c not in ITEM])
-    joined = new.join(before, ITEM, "left")
-    reset = F.col("ended").isNotNull()
-    keep = lambda c, other: F.when(reset, F.col(c)).otherwise(other)
-    return joined.select(
-        *ITEM,
-        F.coalesce("ended", "__ended").alias("ended"),
-        "last_action",
-        keep("reviewer_id", F.coalesce("reviewer_id", "__reviewer_id")).alias("reviewer_id"),
-        keep("revision", F.col("revision") + F.coalesce("__revision", F.lit(0))).alias("revision"),
-        keep("taken_at", F.coalesce("taken_at", "__taken_at")).alias("taken_at"),
-        keep("first_at", F.coalesce("__first_at", "first_at")).alias("first_at"),
-        keep("expires_at", F.coalesce("expires_at", "__expires_at")).alias("expires_at"),
-    )
+    log = run_to_table(runs.select("resource_id", "run_id", "at", "outcome"), "refresh-log")
+    return refresh_state(log, interval_seconds, missing_after)
 
 
 def stream_leases(events: DataFrame, now: Column) -> DataFrame:
     """Current lease per item from a stream of review events; ``now`` decides expiry."""
-    state = fold_stream(events, ITEM, _lease_summary, _lease_merge, "leases")
-    return state.select(
-        *ITEM,
-        "last_action",
-        "reviewer_id",
-        "revision",
-        F.coalesce("taken_at", "first_at").alias("claimed_at"),
-        "expires_at",
-        F.coalesce(now < F.col("expires_at"), F.lit(False)).alias("active"),
-    )
-
+    log = run_to_table(events.select(*ITEM, "event_id", "at", "action", "reviewer_id", "ttl"), "lease-log")
+    return lease_state(log, now)
 
-SAMPLES = 256
 
+def stream_slo(ops: DataFrame, keep: int | None = None, targets: Mapping[str, int] = SLO_P95_MS) -> DataFrame:
+    """SLO status per operation over all operations, or the latest ``keep`` of each kind.
 
-def _latest(ops: DataFrame, keep: int) -> DataFrame:
-    return top_k(ops, "operation", [F.desc("at"), F.desc("op_id")], keep, "__n").drop("__n")
-
-
-def stream_slo(ops: DataFrame, keep: int = SAMPLES, targets: Mapping[str, int] = SLO_P95_MS) -> DataFrame:
-    """SLO status over the latest ``keep`` operations of each kind.
-
-    ops: operation, op_id, at, latency_ms, failed. Every batch is cut to its latest rows per
-    operation before it meets the stored ones, so the state is keep rows per operation.
+    ops: operation, op_id, at, latency_ms, failed.
     """
-    def summarize(batch: DataFrame) -> DataFrame:
-        rows = _latest(batch.select("operation", "op_id", "at", "latency_ms", "failed"), keep)
-        return rows.groupBy("operation").agg(F.collect_list(F.struct("at", "op_id", "latency_ms", "failed")).alias("samples"))
-
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        rows = (
-            new.select("operation", F.inline("samples"))
-            .unionByName(old.join(new, "operation", "left_semi").select("operation", F.inline("samples")))
-        )
-        return summarize(rows)
-
-    state = fold_stream(ops, ["operation"], summarize, merge, "slo")
-    return slo_status(state.select("operation", F.inline("samples")), targets)
+    log = run_to_table(ops.select("operation", "op_id", "at", "latency_ms", "failed"), "slo-log")
+    if keep is not None:
+        log = top_k(log, "operation", [F.desc("at"), F.desc("op_id")], keep, "__n").drop("__n")
+    return slo_status(log, targets)
 
 
 def slo_windows(ops: DataFrame, size: str = "6 hours", slide: str = "3 hours", delay: str = "1 hour") -> DataFrame:

@@ -1,14 +1,11 @@
-"""Stream sources, sinks, and keyed state kept as a versioned table.
+"""Stream sources and sinks, and tables to which every micro-batch adds one part.
 
-Built-in stateful operators keep one key's state in one task. Where a key may own a large
-share of the rows, the state is a table instead: every micro-batch is reduced per key by
-ordinary partial aggregation, merged with the stored rows of the touched keys, and written as
-one more version. A replayed batch overwrites its own version, so the result is exactly-once.
+A replayed batch overwrites its own part, so the result is exactly-once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +15,6 @@ from dossier.session import work_folder
 from dossier.sources.tables import SCHEMAS
 
 VERSION = "version"
-COMPACT_EVERY = 32
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -77,47 +73,6 @@ def read_versions(
     return rows if before is None else rows.where(F.col(VERSION) < before)
 
 
-def current_rows(
-    spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], before: int | None = None, since: int = 0
-) -> DataFrame:
-    """The newest row per key."""
-    rows = read_versions(spark, path, schema, before, since)
-    rest = [f.name for f in schema.fields if f.name not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), VERSION).alias("r")).select(*keys, "r.*")
-
-
-def fold_stream(
-    stream: DataFrame,
-    keys: Sequence[str],
-    summarize: Callable[[DataFrame], DataFrame],
-    merge: Callable[[DataFrame, DataFrame], DataFrame],
-    purpose: str,
-) -> DataFrame:
-    """Keyed fold of a stream: ``merge(old rows, summarize(batch))`` gives the touched keys' new rows.
-
-    Every COMPACT_EVERY batches the untouched rows are written along, so that a batch never
-    reads further back than that. Returns the current row per key after everything available
-    has been processed.
-    """
-    spark = stream.sparkSession
-    folder = work_folder(spark, purpose)
-    path = f"{folder}/state"
-    schema = summarize(stream.sparkSession.createDataFrame([], stream.schema)).schema
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        fresh = summarize(batch)
-        since = (batch_id - 1) // COMPACT_EVERY * COMPACT_EVERY if batch_id else 0
-        old = current_rows(session, path, schema, keys, before=batch_id, since=since)
-        rows = merge(old, fresh).select(*schema.names)
-        if batch_id and batch_id % COMPACT_EVERY == 0:
-            rows = rows.unionByName(old.join(fresh.select(*keys), list(keys), "left_anti").select(*schema.names))
-        write_version(rows, path, batch_id)
-
-    run_batches(stream, each, folder)
-    return current_rows(spark, path, schema, keys)
-
-
 def lateness(stream: DataFrame, time: str, delay_seconds: int, purpose: str) -> DataFrame:
     """Per batch: rows, newest event time, and rows later than the watermark of the batches before.
 

@@ -38,15 +38,15 @@ def test_exact_percentiles_beyond_the_bracket_limit(spark):
 
 def test_two_level_digest_changes_with_any_row(spark):
     df = spark.range(500).select(F.lit("g").alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
-    line = lambda d, limit: digests.sorted_digest(d, ["g"], "h", F.col("h"), None, limit).first()
-    flat, deep = line(df, 10_000), line(df, 10)
-    assert flat.flat and not deep.flat and flat.digest != deep.digest
+    digest = lambda d: digests.sorted_digest(d, ["g"], "h", F.col("h")).first()
     import hashlib
+    from itertools import groupby
 
-    ids = sorted(r.h for r in df.collect())
-    assert flat.digest == hashlib.sha256("\n".join(ids).encode()).hexdigest()
-    assert line(df.where("h <> '" + ids[7] + "'"), 10).digest != deep.digest
-    assert line(df.repartition(7), 10).digest == deep.digest
+    ids, sha = sorted(r.h for r in df.collect()), lambda x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+    whole = digest(df)
+    assert (whole.lines, whole.digest) == (500, sha([sha(rows) for _, rows in groupby(ids, lambda h: h[:5])]))
+    assert digest(df.where("h <> '" + ids[7] + "'")).digest != whole.digest
+    assert digest(df.repartition(7)).digest == whole.digest
 
 
 def _vectors(spark, n, dim=8, seed=1):
@@ -183,3 +183,70 @@ def test_as_of_carries_over_empty_buckets(spark, rows):
     asked = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 499, 3), ("a", 900, 4), ("b", 8, 5), ("c", 9, 6)], "k string, at int, n int")
     out = ordered.as_of(asked, known, ["k"], "at", "t", lambda t: F.floor(t / 100), ["v"], "w")
     assert rows(out.select("n", "w.v")) == [(1, None), (2, "x"), (3, "x"), (4, "y"), (5, "z"), (6, None)]
+
+
+def test_no_limit_unless_asked(spark):
+    """Results beyond the limits that single requests used to have."""
+    from dossier.operators import evidence, fusion, graph, memory, page_text, sync, web
+
+    assert fusion.candidate_limit(500) == 1500 and fusion.overfetch(500, 1, True) == 2000
+    n = 600
+    rel = spark.range(n).select(
+        F.col("id").alias("relation_id"), F.lit("hub").alias("source_id"), F.col("id").cast("string").alias("target_id"),
+        F.lit("r").alias("relation_type"), F.lit("canonical").alias("status"), F.col("id").alias("created"),
+    )
+    assert graph.neighbors(rel, "hub").count() == n and graph.neighbors(rel, "hub", k=550).count() == 550
+    starts = spark.createDataFrame([("hub",)], "start_id string")
+    assert graph.k_hop(starts, rel, 6).count() == n and graph.k_hop(starts, rel, 1, limit=550).count() == 550
+    due = spark.range(n).select(F.col("id").alias("resource_id"), F.lit(1).alias("next_refresh_at"))
+    assert sync.due_resources(due, F.lit(2)).count() == n and sync.due_resources(due, F.lit(2), 300).count() == 300
+    runs = spark.range(n).select(F.lit(1).alias("resource_id"), F.col("id").alias("run_id"), F.col("id").alias("at"))
+    assert sync.refresh_history(runs, 1).count() == n
+    told = spark.range(1200).select(F.lit("c").alias("collection_id"), F.col("id").alias("feedback_id"), F.col("id").alias("created_at"))
+    assert evidence.feedback_latest(told, "c").count() == 1200
+    log = spark.createDataFrame([(1, "x" * 5000)], "event_id int, message string")
+    assert len(web.crawl_failures(log).first().message) == 5000 and len(web.crawl_failures(log, 1000).first().message) == 1000
+    chunks = spark.createDataFrame([(1, "y" * 5000)], "chunk_id int, text string")
+    kept = memory.memory_provenance(spark.createDataFrame([(7,)], "write_id int"), spark.createDataFrame([(7, 1)], "write_id int, chunk_id int"), chunks)
+    assert len(kept.first().excerpt) == 5000
+    native = spark.createDataFrame([(1, p, "") for p in range(14)], "doc_id int, page int, text string")
+    ocr = spark.createDataFrame([(1, p, "z" * 60, 99.0) for p in range(14)], "doc_id int, page int, text string, confidence double")
+    vision = spark.createDataFrame([], "doc_id int, page int, text string")
+    assert page_text.page_cascade(native, ocr, vision).first().skipped_pages == []
+    assert page_text.page_cascade(native, ocr, vision, budget=10).first().skipped_pages == [10, 11, 12, 13]
+
+
+def test_order_keys_of_large_numbers(spark):
+    from dossier.operators import web
+
+    pages = spark.createDataFrame([("a",), ("b",)], "source string")
+    links = spark.createDataFrame([("a", 0, "x", "from a"), ("b", 0, "x", "from b")], "source string, pos int, url string, text string")
+    seeds = spark.createDataFrame([("a", 99_999_999), ("b", 99_999_998)], "url string, seed_no int")
+    found, _ = web.crawl_frontier(pages, links, seeds, 1)
+    assert found.first().parent_url == "b"
+
+
+def test_upsert_refuses_and_append_chooses(spark):
+    import pytest
+
+    from dossier.operators import stores
+
+    schema = "chunk_id int, provider string, model string, vector array<double>"
+    target = spark.createDataFrame([(1, "p", "m", [1.0])], schema)
+    good = spark.createDataFrame([(1, "p", "m", [2.0]), (2, "p", "m", [3.0])], schema)
+    assert {(r.chunk_id, r.vector[0]) for r in stores.upsert_embeddings(target, good).collect()} == {(1, 2.0), (2, 3.0)}
+    for bad in ([(2, "p", "m", [3.0])] * 2, [(3, "p", "m", [])], [(None, "p", "m", [1.0])]):
+        with pytest.raises(Exception, match="upsert refused"):
+            stores.upsert_embeddings(target, spark.createDataFrame(bad, schema)).collect()
+    rows = spark.createDataFrame([(1, "c"), (1, "a"), (2, "b"), (1, "b")], "k int, v string")
+    for parts in (1, 4):
+        got = stores.append_new(rows.limit(0), rows.repartition(parts), "k")
+        assert {(r.k, r.v) for r in got.collect()} == {(1, "a"), (2, "b")}
+
+
+def test_knn_skips_null_and_other_dimensions(spark):
+    schema = "chunk_id long, vector array<double>"
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0, 0.0]), (4, [1.0]), (5, [0.0, 1.0])], schema)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None)], "query_id long, vector array<double>")
+    got = {(r.query_id, r.chunk_id) for r in vectors.knn_join(queries, corpus, 5).collect()}
+    assert got == {(1, 1), (1, 5), (2, 3)}

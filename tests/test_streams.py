@@ -57,11 +57,6 @@ def _single(df, folder, name):
     time.sleep(1.1)  # file streams read in order of modification time
 
 
-@pytest.fixture(autouse=True)
-def short_compaction(monkeypatch):
-    monkeypatch.setattr(tb, "COMPACT_EVERY", 2)
-
-
 def test_refresh_state(spark, parts, rows):
     cols = ["resource_id", "runs", "failures", "status", "last_seen_at", "next_refresh_at"]
     batch = s.refresh_state(refresh_runs(Tables(spark, FOLDER)), 3600, 3)
@@ -73,6 +68,27 @@ def test_leases(spark, parts, rows):
     assert rows(st.stream_leases(lease_events(parts), F.lit(NOW)).select(batch.columns)) == rows(batch)
 
 
+def test_state_of_batches_in_reverse_order(spark, tmp_path, rows):
+    """Late batches give the state of the whole log."""
+    import os
+    import time
+
+    schema = "resource_id int, run_id int, at timestamp, outcome string"
+    log = [(1, 1, "10:00", "changed"), (1, 2, "11:00", "error"), (1, 3, "12:00", "changed"), (1, 4, "13:00", "error"), (1, 5, "14:00", "error"),
+           (2, 6, "10:00", "error"), (2, 7, "11:00", "unchanged")]
+    now = int(time.time())
+    for place, row in enumerate(reversed(log)):
+        df = spark.createDataFrame([row], "resource_id int, run_id int, t string, outcome string")
+        df = df.select("resource_id", "run_id", F.to_timestamp(F.concat(F.lit("2024-01-01 "), "t")).alias("at"), "outcome")
+        _single(df, tmp_path, f"part{place}")
+        os.utime(tmp_path / f"part{place}.parquet", (now + place, now + place))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "part*.parquet").parquet(str(tmp_path))
+    whole = spark.read.schema(schema).option("pathGlobFilter", "part*.parquet").parquet(str(tmp_path))
+    got = st.stream_refresh_state(stream, 3600, 2)
+    assert rows(got) == rows(s.refresh_state(whole, 3600, 2))
+    assert {(r.resource_id, r.failures, r.status) for r in got.collect()} == {(1, 2, "stale"), (2, 1, "ready")}
+
+
 def test_latest_latencies(spark, parts, rows):
     ops = _ops_of(parts.events)
     flat = _ops_of(spark.read.parquet(f"{FOLDER}/events.parquet"))

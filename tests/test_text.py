@@ -1,5 +1,7 @@
 import hashlib
 import random
+
+import pytest
 import re
 
 from pyspark.sql import functions as F
@@ -66,7 +68,11 @@ def test_spans_against_the_rule():
         words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 60))]
         text = " ".join(words)
         size, overlap, minimum = rng.randint(1, 60), rng.randint(0, 40), rng.randint(1, 20)
-        assert list(chunking.spans(text, size, overlap, minimum)) == brute_chunks(text, size, overlap, minimum)
+        if len(text) >= minimum and min(overlap, max(minimum, size) // 2) < minimum:
+            with pytest.raises(ValueError):
+                list(chunking.spans(text, size, overlap, minimum))
+        else:
+            assert list(chunking.spans(text, size, overlap, minimum)) == brute_chunks(text, size, overlap, minimum)
 
 
 def test_chunk_rows(spark):
