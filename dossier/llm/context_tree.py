@@ -34,7 +34,7 @@ from dossier.llm.tables import id_number, id_text, stored
 from dossier.llm.words import slabs, word_hashes
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 10) -> Column:
