@@ -6,7 +6,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions import cards as cd
 from dossier.functions import markup as mk
 from dossier.functions.urls import canonical
 from dossier.operators.blocks import kind_of, spread
@@ -167,45 +166,19 @@ def jsonld_objects(assets: DataFrame, key: str = "asset_id", html: str = "html")
     return _rows(assets, key, html, fields, read)
 
 
-_CARD = [
-    ("path", _TEXT, "string"),
-    ("priority", _INT, "int"),
-    ("kind", _TEXT, "string"),
-    ("confidence", _DOUBLE, "double"),
-    ("position", _INT, "int"),
-    ("tag", _TEXT, "string"),
-    ("text", _TEXT, "string"),
-    ("heading", _TEXT, "string"),
-    ("strong", _TEXT, "string"),
-    ("href", _TEXT, "string"),
-    ("link_text", _TEXT, "string"),
-    ("action_href", _TEXT, "string"),
-    ("action_text", _TEXT, "string"),
-    ("image_src", _TEXT, "string"),
-    ("image_alt", _TEXT, "string"),
-    ("data", pa.map_(_TEXT, _TEXT), "map<string,string>"),
-]
-
-
-def card_proposals(assets: DataFrame, key: str = "asset_id", html: str = "html", minimum: float = 0.80) -> DataFrame:
-    names = [n for n, _, _ in _CARD]
+def elements(assets: DataFrame, key: str = "asset_id", html: str = "html") -> DataFrame:
+    """key, no, above, path, tag, attrs, text for every element of every page."""
+    fields = [
+        ("no", _INT, "int"),
+        ("above", pa.list_(_INT), "array<int>"),
+        ("path", _TEXT, "string"),
+        ("tag", _TEXT, "string"),
+        ("attrs", pa.map_(_TEXT, _TEXT), "map<string,string>"),
+        ("text", _TEXT, "string"),
+    ]
+    names = [n for n, _, _ in fields]
 
     def read(value):
-        return [
-            tuple(list(card[n].items()) if n == "data" else card[n] for n in names)
-            for card in cd.offer_cards(value, minimum)
-        ]
-
-    return _rows(assets, key, html, _CARD, read)
-
-
-def best_cards(proposals: DataFrame, key: str = "asset_id") -> DataFrame:
-    """One proposal per card path: the strongest signal, then the first in the page."""
-    rest = [c for c in proposals.columns if c not in (key, "path", "data")]
-    return (
-        proposals.groupBy(key, "path")
-        .agg(
-            F.max_by(F.struct(*rest, "data"), F.struct("priority", -F.col("position"))).alias("card"),
-        )
-        .select(key, "path", "card.*")
-    )
+        return [tuple(list(row[n].items()) if n == "attrs" else row[n] for n in names) for row in mk.tree(value)]
+
+    return _rows(assets, key, html, fields, read)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.operators.fields import FieldSpec, json_text, semantic_key, term_map
-from dossier.operators.markup import best_cards, card_proposals, jsonld_objects
+from dossier.operators.cards import offer_cards
+from dossier.operators.markup import jsonld_objects
 
 ATTRIBUTE_RECORD_CONFIDENCE = 0.99
 BOUNDARY_CONFIDENCE = 0.80
@@ -85,7 +86,7 @@ def jsonld_records(
 
 def semantic_html_records(assets: DataFrame, minimum: float = 0.80, max_records: int | None = None, key: str = "asset_id") -> DataFrame:
     """Offer cards of each page; equal card paths are settled by the strongest signal."""
-    cards = best_cards(card_proposals(assets, key, minimum=minimum), key)
+    cards = offer_cards(assets, key, minimum)
     order = Window.partitionBy(key).orderBy("path")
     numbered = cards.withColumn("ordinal", F.row_number().over(order) - 1)
     if max_records is not None:

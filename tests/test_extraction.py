@@ -5,18 +5,18 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.functions import cards, markup
+from dossier.functions import markup
+from dossier.operators import cards
 from dossier.operators import fields as fl
 from dossier.operators import profiles as pr
 from dossier.operators import records as rc
 
 
-def best(html):
-    """Strongest proposal per path, in path order: what the DataFrame step keeps."""
-    kept = {}
-    for card in sorted(cards.offer_cards(html), key=lambda c: (c["priority"], -c["position"])):
-        kept[card["path"]] = card
-    return [kept[p] for p in sorted(kept)]
+def best(spark, *pages):
+    """Cards of each page, in path order."""
+    table = spark.createDataFrame(list(enumerate(pages)), "asset_id int, html string")
+    found = cards.offer_cards(table).collect()
+    return [sorted((r for r in found if r.asset_id == i), key=lambda r: r.path) for i in range(len(pages))]
 
 
 CASES = {
@@ -48,47 +48,44 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_cards(name):
-    html, expected = CASES[name]
-    found = [(c["tag"], c["href"]) for c in best(html)]
-    if name.startswith("navigation"):
-        assert len(found) == 1 and best(html)[0]["heading"] == "Discount 25%"
-    else:
-        assert found == expected
+def test_cards(spark):
+    for (name, (_, expected)), found in zip(CASES.items(), best(spark, *[html for html, _ in CASES.values()])):
+        if name.startswith("navigation"):
+            assert len(found) == 1 and found[0].heading == "Discount 25%"
+        else:
+            assert [(c.tag, c.href) for c in found] == expected, name
 
 
-def test_card_attributes_and_arbitration():
-    html = (
+def test_card_attributes_and_arbitration(spark):
+    pages = best(
+        spark,
         "<article><h3>Discount 15%</h3><img data-src='/l.png' alt='Shop'>"
-        "<button data-coupon-id='42' data-promocode='SAVE'>Get promo</button></article>"
+        "<button data-coupon-id='42' data-promocode='SAVE'>Get promo</button></article>",
+        "<div class='offer' data-coupon-id='7'><h3>Discount 20%</h3></div>",
+        "<section><div data-coupon-id='1'><h3>Sale discount A</h3><button data-coupon-id='1'>Show promo</button></div>"
+        "<div data-coupon-id='2'><h3>Discount B</h3><button data-coupon-id='2'>Show promo</button></div></section>",
+        "<div><a href='/?offer_id=7'>Sale</a><a href='/?offer_id=7'>Show promo</a></div>",
+        "<div><div><a href='/1'><h3>Promo Alpha</h3></a><p>x</p></div><div><a href='/2'><h3>Discount Beta</h3></a><p>y</p></div></div>",
+        "<article>sale 5% <li>gift bonus</li></article><div class='x card'>discount day</div><div class='y'>discount</div>",
+        "<section><p>x</p><div><h3>Discount 5%</h3><a href='/d'>Open deal</a><i>valid until May</i></div></section>",
     )
-    (card,) = best(html)
-    assert card["kind"] == "action" and card["confidence"] == 0.995
-    assert card["data"] == {"data-src": "/l.png", "data-coupon-id": "42", "data-promocode": "SAVE"}
-    assert (card["image_src"], card["image_alt"], card["heading"]) == ("/l.png", "Shop", "Discount 15%")
-    (linked,) = best("<div class='offer' data-coupon-id='7'><h3>Discount 20%</h3></div>")
-    assert linked["kind"] == "heading"
-    a, b = best("<section><div data-coupon-id='1'><h3>Sale discount A</h3><button data-coupon-id='1'>Show promo</button></div>"
-                "<div data-coupon-id='2'><h3>Discount B</h3><button data-coupon-id='2'>Show promo</button></div></section>")
-    assert [a["data"]["data-coupon-id"], b["data"]["data-coupon-id"]] == ["1", "2"]
-    (same,) = best("<div><a href='/?offer_id=7'>Sale</a><a href='/?offer_id=7'>Show promo</a></div>")
-    assert same["action_href"] == "/?offer_id=7" and same["tag"] == "div"
-
-
-def test_headings_inside_links_take_the_link():
-    found = best("<div><div><a href='/1'><h3>Promo Alpha</h3></a><p>x</p></div><div><a href='/2'><h3>Discount Beta</h3></a><p>y</p></div></div>")
-    assert [(c["kind"], c["action_href"]) for c in found] == [("heading", "/1"), ("heading", "/2")]
-
-
-def test_fallback_containers_do_not_nest():
-    rows = cards.offer_cards("<article>sale 5% <li>gift bonus</li></article><div class='x card'>discount day</div><div class='y'>discount</div>")
-    assert [(r["tag"], r["kind"], r["confidence"]) for r in rows] == [("article", "fallback", 0.92), ("div", "fallback", 0.87)]
-
-
-def test_validity_text_ends_a_card():
-    (card,) = best("<section><p>x</p><div><h3>Discount 5%</h3><a href='/d'>Open deal</a><i>valid until May</i></div></section>")
-    assert card["tag"] == "div"
+    (card,), (linked,), (a, b), (same,), titled, broad, (ended,) = pages
+    assert card.kind == "action" and card.confidence == 0.995
+    assert card.data == {"data-src": "/l.png", "data-coupon-id": "42", "data-promocode": "SAVE"}
+    assert (card.image_src, card.image_alt, card.heading) == ("/l.png", "Shop", "Discount 15%")
+    assert linked.kind == "heading"
+    assert [a.data["data-coupon-id"], b.data["data-coupon-id"]] == ["1", "2"]
+    assert same.action_href == "/?offer_id=7" and same.tag == "div"
+    assert [(c.kind, c.action_href) for c in titled] == [("heading", "/1"), ("heading", "/2")]
+    assert [(c.tag, c.kind, c.confidence) for c in broad] == [("article", "fallback", 0.92), ("div", "fallback", 0.87)]
+    assert ended.tag == "div"
+
+
+def test_long_cards_and_labels_count_unless_limited(spark):
+    page = "<div><h3>Discount 5%</h3><p>" + "words " * 600 + "</p></div><a href='/a'>" + "x" * 400 + " sale</a>"
+    table = spark.createDataFrame([(1, page)], "asset_id int, html string")
+    assert [r.tag for r in cards.offer_cards(table).orderBy("path").collect()] == ["a", "div"]
+    assert [r.tag for r in cards.offer_cards(table, card_chars=2200, label_chars=280).collect()] == ["h3"]
 
 
 def test_anchors_and_base():

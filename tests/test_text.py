@@ -1,9 +1,8 @@
 import hashlib
 import random
-
-import pytest
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import text as tx
