@@ -35,7 +35,8 @@ def audit_chunk_export(documents: DataFrame, chunks: DataFrame, group: str) -> D
         F.flatten(F.collect_set(doc_codes)).alias("__doc_codes"),
     )
     norm = documents.select(group, "document_id", normalize_text(F.col("text")).alias("__norm"))
-    joined = chunks.join(norm, "document_id")
+    # Chunks of a document that is not exported have no group: they are one row of their own.
+    joined = chunks.join(norm, "document_id", "left")
     hash_ok = F.coalesce(
         F.sha2("chunk_text", 256) == F.lower("content_hash"), F.lit(False)
     )
@@ -61,15 +62,16 @@ def audit_chunk_export(documents: DataFrame, chunks: DataFrame, group: str) -> D
         F.count_if("offset_ok").alias("matching_normalized_offsets"),
         F.bool_or("no_id").alias("__no_id"),
     )
-    merged = docs.join(found, group, "left").na.fill(
-        0, ["chunks", "matching_chunk_hashes", "matching_normalized_offsets"]
+    merged = docs.join(found, group, "full_outer").na.fill(
+        0, ["resources", "documents", "chunks", "matching_chunk_hashes", "matching_normalized_offsets"]
     )
     codes = F.array_sort(
         F.array_distinct(
             F.concat(
-                "__doc_codes",
+                F.coalesce("__doc_codes", F.array().cast("array<string>")),
                 _codes(
                     [
+                        (F.col("documents") == 0, "ORPHAN_CHUNK"),
                         (F.coalesce("__no_id", F.lit(False)), "MISSING_CHUNK_ID"),
                         (F.col("matching_chunk_hashes") < F.col("chunks"), "CHUNK_HASH_MISMATCH_OR_MISSING_TEXT"),
                         (F.col("matching_normalized_offsets") < F.col("chunks"), "NORMALIZED_OFFSET_MISMATCH"),

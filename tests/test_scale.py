@@ -250,3 +250,15 @@ def test_knn_skips_null_and_other_dimensions(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None)], "query_id long, vector array<double>")
     got = {(r.query_id, r.chunk_id) for r in vectors.knn_join(queries, corpus, 5).collect()}
     assert got == {(1, 1), (1, 5), (2, 3)}
+
+
+def test_audit_reports_orphan_chunks(spark):
+    from dossier.operators import audits
+
+    docs = spark.createDataFrame([("g", "r", "d1", "some text")], "source string, resource_id string, document_id string, text string")
+    chunks = docs.select("document_id", F.lit("c1").alias("chunk_id"), F.col("text").alias("chunk_text"), F.sha2("text", 256).alias("content_hash"),
+                         F.lit(0).alias("char_start"), F.char_length("text").alias("char_end"))
+    orphan = chunks.withColumns({"document_id": F.lit("gone"), "chunk_id": F.lit("c2")})
+    got = {r.source: r for r in audits.audit_chunk_export(docs, chunks.unionByName(orphan), "source").collect()}
+    assert got["g"].verified and got["g"].chunks == 1
+    assert (got[None].chunks, got[None].verified) == (1, False) and "ORPHAN_CHUNK" in got[None].error_codes
