@@ -24,40 +24,78 @@ _RELS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 OFFICE_MEMBERS = {"word/document.xml": ".docx", "xl/workbook.xml": ".xlsx", "ppt/presentation.xml": ".pptx"}
 
 
+# Byte-order marks, longest first.
+MARKS = (
+    (codecs.BOM_UTF32_LE, "utf-32"),
+    (codecs.BOM_UTF32_BE, "utf-32"),
+    (codecs.BOM_UTF16_LE, "utf-16"),
+    (codecs.BOM_UTF16_BE, "utf-16"),
+    (codecs.BOM_UTF8, "utf-8-sig"),
+)
+
+
+class Refused(ValueError):
+    """An archive that expands too far to be read."""
+
+
 def decode(content: bytes) -> str:
-    """Byte-order mark, then UTF-8, then the likelier of two Cyrillic charsets."""
-    if content.startswith((codecs.BOM_UTF32_LE, codecs.BOM_UTF32_BE)):
-        return content.decode("utf-32", "replace")
-    if content.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
-        return content.decode("utf-16", "replace")
+    """The text by its byte-order mark, as UTF-8, or in the Cyrillic charset that makes more of its letter groups known."""
+    for mark, charset in MARKS:
+        if content.startswith(mark):
+            return content.decode(charset, "replace")
     try:
-        return content.decode("utf-8-sig")
+        return content.decode("utf-8")
     except UnicodeDecodeError:
-        windows, koi8 = (content.decode(name, "replace") for name in ("cp1251", "koi8-r"))
-        evidence = [sum(text.lower().count(g) for g in RU_GROUPS) for text in (windows, koi8)]
-        return koi8 if evidence[1] >= evidence[0] + 2 else windows
+        known = {}
+        for charset, lead in (("cp1251", 1), ("koi8-r", 0)):
+            text = content.decode(charset, "replace")
+            known[text] = sum(map(text.lower().count, RU_GROUPS)) + lead
+        return max(known, key=known.get)
+
+
+class Package:
+    """An office archive: its members, and what its main member says it is."""
+
+    def __init__(self, content: bytes) -> None:
+        self.archive = zipfile.ZipFile(io.BytesIO(content))
+        self.sizes = {m.filename: (m.file_size, m.compress_size) for m in self.archive.infolist()}
+        self.kind = next((kind for member, kind in OFFICE_MEMBERS.items() if member in self.sizes), None)
+
+    def check(self) -> None:
+        """Refuse an archive of which a member, its rate of packing, or the whole is beyond the limits."""
+        whole = sum(size for size, _ in self.sizes.values())
+        swollen = any(size > MEMBER_BYTES or RATIO_FLOOR < size > MAX_RATIO * max(packed, 1) for size, packed in self.sizes.values())
+        if swollen or whole > TOTAL_BYTES:
+            raise Refused("archive expands too far")
+
+    def __contains__(self, member: str) -> bool:
+        return member in self.sizes
+
+    def root(self, member: str):
+        data = self.archive.read(member)
+        if re.search(rb"<!(DOCTYPE|ENTITY)", data, re.IGNORECASE):
+            raise ValueError("document types are not read")
+        return ElementTree.fromstring(data)
+
+    def targets(self, member: str) -> dict[str, str]:
+        """Relationship id -> target of the member's relationships; none when it has none."""
+        folder, _, name = member.rpartition("/")
+        relations = f"{folder}/_rels/{name}.rels"
+        return {n.get("Id"): n.get("Target", "") for n in _all(self.root(relations), "Relationship")} if relations in self else {}
+
+
+def package(content: bytes) -> Package | None:
+    try:
+        return Package(content) if content.startswith(b"PK") else None
+    except (OSError, zipfile.BadZipFile):
+        return None
 
 
 def sniff(content: bytes) -> str | None:
     if content.startswith(b"%PDF-"):
         return ".pdf"
-    if content.startswith(b"PK"):
-        try:
-            names = set(zipfile.ZipFile(io.BytesIO(content)).namelist())
-        except (OSError, zipfile.BadZipFile):
-            return None
-        return next((kind for member, kind in OFFICE_MEMBERS.items() if member in names), None)
-    return None
-
-
-def _archive(content: bytes) -> zipfile.ZipFile:
-    """The archive, refused when its members expand beyond the limits."""
-    archive = zipfile.ZipFile(io.BytesIO(content))
-    sizes = [(m.file_size, m.compress_size) for m in archive.infolist()]
-    bomb = any(size > RATIO_FLOOR and size > max(1, packed) * MAX_RATIO for size, packed in sizes)
-    if bomb or sum(s for s, _ in sizes) > TOTAL_BYTES or any(s > MEMBER_BYTES for s, _ in sizes):
-        raise ValueError("archive expands too far")
-    return archive
+    found = package(content)
+    return found.kind if found else None
 
 
 def _local(node) -> str:
@@ -72,58 +110,47 @@ def _said(node) -> str:
     return "".join(n.text or "" for n in _all(node, "t"))
 
 
-def _attr(node, name: str) -> str | None:
-    return next((v for k, v in node.attrib.items() if k.rsplit("}", 1)[-1] == name), None)
-
-
-def _links(archive: zipfile.ZipFile, member: str) -> dict[str, str]:
-    root = ElementTree.fromstring(archive.read(member))
-    return {n.get("Id"): n.get("Target", "") for n in _all(root, "Relationship")}
+def _grid(table, cell_text) -> list[list[str]]:
+    """Cell texts of a table, row by row."""
+    return [[cell_text(c) for c in row if _local(c) == "tc"] for row in table if _local(row) == "tr"]
 
 
 def docx(content: bytes) -> str:
-    root = ElementTree.fromstring(_archive(content).read("word/document.xml"))
-    lines = []
-    for block in next(iter(_all(root, "body")), []):
-        if _local(block) == "p":
-            lines.append(_said(block).strip())
-        elif _local(block) == "tbl":
-            for row in (n for n in block if _local(n) == "tr"):
-                cells = (_said(c).strip() for c in row if _local(c) == "tc")
-                lines.append("\t".join(c for c in cells if c))
-    return "\n".join(line for line in lines if line)
-
-
-def _plain_xml(text: bytes):
-    if b"<!DOCTYPE" in text.upper() or b"<!ENTITY" in text.upper():
-        raise ValueError("document types are not read")
-    return ElementTree.fromstring(text)
+    """Paragraphs and tables of the body, in order; a table row is one line of its filled cells."""
+    found = Package(content)
+    found.check()
+    (body, *_) = [*_all(found.root("word/document.xml"), "body"), ()]
+    cell = lambda c: _said(c).strip()
+    read = {
+        "p": lambda block: [_said(block).strip()],
+        "tbl": lambda block: ["\t".join(filter(None, row)) for row in _grid(block, cell)],
+    }
+    return "\n".join(line for block in body if _local(block) in read for line in read[_local(block)](block) if line)
 
 
 def pptx(content: bytes) -> str:
-    archive = _archive(content)
-    names = archive.namelist()
-    numbered = {n: int(m.group(1)) for n in names if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))}
-    order = sorted(numbered, key=numbered.get)
-    if {"ppt/presentation.xml", "ppt/_rels/presentation.xml.rels"} <= set(names):
-        links = {n.get("Id"): n.get("Target", "") for n in _all(_plain_xml(archive.read("ppt/_rels/presentation.xml.rels")), "Relationship")}
-        shown = _all(_plain_xml(archive.read("ppt/presentation.xml")), "sldId")
-        listed = ["ppt/slides/" + links.get(s.get(f"{{{_RELS}}}id"), "").rsplit("/", 1)[-1] for s in shown]
-        first = [n for n in dict.fromkeys(listed) if n in numbered]
-        order = first + [n for n in order if n not in first]
-    lines = []
-    for place, name in enumerate(order, start=1):
-        said = []
-        for node in _plain_xml(archive.read(name)).iter():
-            if _local(node) == "sp":
-                body = next((n for n in node if _local(n) == "txBody"), None)
-                said += [] if body is None else [t for p in _all(body, "p") if (t := _said(p).strip())]
-            elif _local(node) == "tbl":
-                for row in _all(node, "tr"):
-                    cells = [" ".join(_said(p) for p in _all(c, "p")).strip() for c in row if _local(c) == "tc"]
-                    said += ["\t".join(cells)] if any(cells) else []
-        if said:
-            lines += [f"=== Slide {place} ({name}) ===", *said]
+    """Slides in the order of the presentation, then by number: the paragraphs of shapes, and table rows."""
+    found = Package(content)
+    found.check()
+    number = {n: int(m.group(1)) for n in found.sizes if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))}
+    place: dict[str, int] = {}
+    if "ppt/presentation.xml" in found:
+        targets = found.targets("ppt/presentation.xml")
+        for shown in _all(found.root("ppt/presentation.xml"), "sldId"):
+            place.setdefault("ppt/slides/" + targets.get(shown.get(f"{{{_RELS}}}id"), "").rsplit("/", 1)[-1], len(place))
+    cell = lambda c: " ".join(map(_said, _all(c, "p"))).strip()
+
+    def said(node) -> list[str]:
+        if _local(node) == "tbl":
+            return ["\t".join(row) for row in _grid(node, cell) if any(row)]
+        if _local(node) == "sp":
+            return [line for body in node if _local(body) == "txBody" for p in _all(body, "p") if (line := _said(p).strip())]
+        return []
+
+    lines: list[str] = []
+    for nth, name in enumerate(sorted(number, key=lambda n: (place.get(n, len(place)), number[n])), start=1):
+        told = [line for node in found.root(name).iter() for line in said(node)]
+        lines += [f"=== Slide {nth} ({name}) ===", *told] if told else []
     return "\n".join(lines)
 
 
@@ -131,10 +158,10 @@ def pptx(content: bytes) -> str:
 DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
 
 
-def _date_styles(archive: zipfile.ZipFile) -> set[int]:
-    if "xl/styles.xml" not in archive.namelist():
+def _date_styles(found: Package) -> set[int]:
+    if "xl/styles.xml" not in found:
         return set()
-    root = ElementTree.fromstring(archive.read("xl/styles.xml"))
+    root = found.root("xl/styles.xml")
     own = {int(n.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", n.get("formatCode", "")) for n in _all(root, "numFmt")}
     dates = DATE_FORMATS | {i for i, code in own.items() if re.search("[dmyhs]", code, re.I)}
     cells = next(iter(_all(root, "cellXfs")), [])
@@ -170,20 +197,18 @@ def _column(ref: str | None, after: int) -> int:
 
 
 def xlsx(content: bytes) -> str:
-    archive = _archive(content)
-    names = set(archive.namelist())
-    shared = []
-    if "xl/sharedStrings.xml" in names:
-        shared = [_said(n) for n in _all(ElementTree.fromstring(archive.read("xl/sharedStrings.xml")), "si")]
-    dates, links = _date_styles(archive), _links(archive, "xl/_rels/workbook.xml.rels")
+    found = Package(content)
+    found.check()
+    shared = [_said(n) for n in _all(found.root("xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in found else []
+    dates, links = _date_styles(found), found.targets("xl/workbook.xml")
     lines = []
-    for sheet in _all(ElementTree.fromstring(archive.read("xl/workbook.xml")), "sheet"):
+    for sheet in _all(found.root("xl/workbook.xml"), "sheet"):
         target = links.get(sheet.get(f"{{{_RELS}}}id"), "")
         member = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        if member not in names:
+        if member not in found:
             continue
         rows: list[str] = []
-        for row in _all(ElementTree.fromstring(archive.read(member)), "row"):
+        for row in _all(found.root(member), "row"):
             rows += [""] * (int(row.get("r", len(rows) + 1)) - len(rows) - 1)
             cells: list[str] = []
             for cell in (n for n in row if _local(n) == "c"):
@@ -200,15 +225,16 @@ def html(content: bytes) -> str:
     return compact(re.sub(r"<[^>]+>", " ", text))
 
 
+def _parsed(source) -> str | None:
+    try:
+        return ElementTree.tostring(ElementTree.fromstring(source), encoding="unicode", method="xml")
+    except (ElementTree.ParseError, ValueError):
+        return None
+
+
 def xml(content: bytes) -> str:
-    """The document parsed and written out again, so that element names survive."""
-    for source in (content, None):
-        try:
-            root = ElementTree.fromstring(decode(content) if source is None else source)
-            return ElementTree.tostring(root, encoding="unicode", method="xml")
-        except (ElementTree.ParseError, ValueError):
-            continue
-    return ""
+    """The document parsed and written out again, so that element names survive; by its declared charset if it can be."""
+    return _parsed(content) or _parsed(decode(content)) or ""
 
 
 READERS = {
@@ -218,7 +244,7 @@ READERS = {
 
 
 def file_text(path: str, content: bytes | None, max_chars: int | None = None) -> tuple[str, str, str]:
-    """(format, status, text): extracted, empty, unsupported or failed.
+    """(format, status, text): extracted, empty, unsupported, refused (an archive that expands too far) or failed.
 
     PDF pages and the legacy binary formats need external converters; they come out empty here.
     """
@@ -232,6 +258,8 @@ def file_text(path: str, content: bytes | None, max_chars: int | None = None) ->
     if kind in READERS:
         try:
             text = READERS[kind](content)
+        except Refused:
+            return kind, "refused", ""
         except Exception:  # noqa: BLE001 - a damaged file must not end the job
             text = ""
     if text.strip():

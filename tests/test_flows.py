@@ -66,7 +66,7 @@ FILES = [
     ("j.pdf", b"%PDF-1.4 x", (".pdf", "empty", "")),
     ("k.exe", b"MZ", (".exe", "unsupported", "")),
     ("l.csv", b"", (".csv", "empty", "")),
-    ("m.docx", zipped({"word/document.xml": " " * 3_000_000}), (".docx", "empty", "")),
+    ("m.docx", zipped({"word/document.xml": " " * 3_000_000}), (".docx", "refused", "")),
 ]
 
 
