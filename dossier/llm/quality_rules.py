@@ -10,7 +10,8 @@ test passes.
 
 Null texts count as empty: no words, base test failed. Repeated rows and null ids are judged each like any other row.
 An empty table gives an empty result. Other columns are not read. One document's words are handled as one array in
-its task; nothing but the pattern table is shuffled.
+its task; nothing but the pattern table is shuffled, and brought to the driver: its size is bounded by the rules, not
+by the documents.
 """
 
 from __future__ import annotations
@@ -131,37 +132,35 @@ def posterior(names: list[str], steps: Column) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
-    """Share of good documents and the rules' rates; every round is one aggregation of the pattern table.
-
-    The rates of a round come as a table of one row, so that all rounds are one and the same compiled plan.
-    """
+def estimate(patterns: list[tuple], m: int, rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
+    """Share of good documents and the rates of the ``m`` rules, from patterns: m votes, then the number of documents."""
     hold = lambda x, least, most: min(max(x, least), most)
-    prior, good, bad = 0.8, [0.95] * len(names), [0.4] * len(names)
-    spark, one = patterns.sparkSession, F.lit(1).alias("one")
-    table = patterns.select(one, *names, "n")
-    p, n = posterior(names, F.col("steps")), F.col("n")
-    sums = [F.sum(n), F.sum(n * p)]
-    for name in names:
-        v = F.col(name)
-        sums += [F.sum(n * p * (v == 1).cast("int")), F.sum(n * p * (v != 0).cast("int"))]
-        sums += [F.sum(n * (1 - p) * (v == -1).cast("int")), F.sum(n * (1 - p) * (v != 0).cast("int"))]
-    for _ in range(rounds):
-        values = ", ".join(f"{x!r}D" for x in odds_steps(prior, good, bad))
-        steps = spark.sql(f"SELECT * FROM VALUES (1, array({values})) AS t(one, steps)")
-        total, kept, *rates = table.join(F.broadcast(steps), "one").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
-        if not total:
-            break
+    total = sum(row[-1] for row in patterns)
+    prior, good, bad = 0.8, [0.95] * m, [0.4] * m
+    for _ in range(rounds if total else 0):
+        steps = odds_steps(prior, good, bad)
+        kept, sums = 0.0, [[0.0] * 4 for _ in range(m)]
+        for *row, n in patterns:
+            odds = steps[0] + sum(steps[2 * j + (1 if v == 1 else 2)] for j, v in enumerate(row) if v)
+            p = 1 / (1 + math.exp(-odds))
+            kept += n * p
+            for own, v in zip(sums, row, strict=True):
+                if v:
+                    own[0] += n * p * (v == 1)
+                    own[1] += n * p
+                    own[2] += n * (1 - p) * (v == -1)
+                    own[3] += n * (1 - p)
         prior = hold(kept / total, 0.01, 0.99)
-        for j in range(len(names)):
-            on_good, told_good, on_bad, told_bad = rates[4 * j : 4 * j + 4]
+        for j, (on_good, told_good, on_bad, told_bad) in enumerate(sums):
             bad[j] = hold(on_bad / told_bad if told_bad else 0.4, *BAD_RATES)
             good[j] = hold(on_good / told_good if told_good else 0.95, max(GOOD_RATES[0], 1 - bad[j] / 2), GOOD_RATES[1])
     return prior, good, bad
 
 
-def fixed_steps(patterns: DataFrame, names: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in odds_steps(*estimate(patterns, names))])
+def learned_steps(voted: DataFrame, names: list[str]) -> Column:
+    """The steps of :func:`odds_steps` for these votes; at most 3^m rows of small numbers come to the driver."""
+    counted = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()
+    return F.array(*[F.lit(x) for x in odds_steps(*estimate(sorted(map(tuple, counted)), len(names)))])
 
 
 def base_failed() -> Column:
@@ -177,14 +176,10 @@ def judge(
     measured = docs.select("doc_id", *[c.alias(k) for k, c in measures(F.col("text")).items()]).select("doc_id", *SPREAD)
     voted = measured.withColumn("base_failed", base_failed())
     told = stored(voted.withColumns(dict(zip(names, named.values(), strict=True))), "quality-votes")
-    out = told.withColumn("quality", posterior(names, fixed_steps(pattern_counts(told, names), names)))
+    out = told.withColumn("quality", posterior(names, learned_steps(told, names)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_at))
 
 
-def pattern_counts(voted: DataFrame, names: list[str]) -> DataFrame:
-    return stored(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")
-
-
 def kept_documents(
     docs: DataFrame, rules: Callable[[], dict[str, Column]] = default_rules, keep_at: float = 0.5
 ) -> DataFrame:
@@ -193,7 +188,7 @@ def kept_documents(
     votes_of = {f"vote_{name}": vote for name, vote in named.items()}
     names = list(votes_of)
     measured = docs.select(*[c.alias(k) for k, c in measures(F.col("text")).items()]).select(*SPREAD)
-    steps = fixed_steps(pattern_counts(measured.select(*[c.alias(k) for k, c in votes_of.items()]), names), names)
+    steps = learned_steps(measured.select(*[c.alias(k) for k, c in votes_of.items()]), names)
     # The texts are measured again instead of being stored with their votes. What is measured goes into one struct and
     # the document into another, whatever its columns are called.
     row, found = fresh(docs, "_row"), fresh(docs, "_found")

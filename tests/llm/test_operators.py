@@ -63,7 +63,7 @@ def test_quality_measures(docs, rows_in, no_docs):
     kept = quality_rules.kept_documents(docs)
     assert kept.columns == docs.columns
     assert told(kept, "doc_id") == told(judged.filter("kept"), "doc_id")
-    assert quality_rules.judge(no_docs).count() == 0
+    assert quality_rules.judge(no_docs).collect() == [] and quality_rules.kept_documents(no_docs).collect() == []
 
 
 def test_rules_separate_planted_junk(spark):
@@ -76,12 +76,12 @@ def test_rules_separate_planted_junk(spark):
     assert {r[0] for r in judged.filter("kept").select("doc_id").collect()} == set(range(60))
 
 
-def test_estimation_follows_the_formulas(spark):
-    """The aggregated rounds against a plain loop over documents."""
+def test_estimation_follows_the_formulas():
+    """Rounds over patterns against a plain loop over documents."""
     votes = [(1, 1, 1)] * 30 + [(-1, -1, 1)] * 8 + [(-1, 1, 0)] * 3 + [(1, -1, -1)] * 2
     counts = collections.Counter(votes)
-    table = spark.createDataFrame([(*k, n) for k, n in counts.items()], "a int, b int, c int, n long")
-    got = quality_rules.estimate(table, ["a", "b", "c"], rounds=4)
+    got = quality_rules.estimate([(*k, n) for k, n in counts.items()], 3, rounds=4)
+    assert quality_rules.estimate([], 1) == (0.8, [0.95], [0.4])
     prior, good, bad = 0.8, [0.95] * 3, [0.4] * 3
     for _ in range(4):
         ps = []
