@@ -11,7 +11,8 @@ lower-cased text and of its end (a zero byte); ``depth`` zero bytes stand before
 The counts are those of distinct (depth + 1)-grams and words, pre-aggregated in the tasks, so no frequent gram or word
 makes a hot key. All nodes below a two-byte context are weighted where that context's grams meet; the two levels above
 have at most 256 * 255 nodes, whatever the corpus, and are weighted on the driver. Texts are dealt into chunks of
-about ``chunk_bytes``; a chunk asks for its own distinct grams and words only and gets their values back.
+about ``chunk_bytes``; a chunk asks for its own distinct grams and words only and gets their values back. Grams travel
+as sorted lists, one for every even hash bucket, not as rows: deep contexts have many, and lists of differences are short.
 
 Null texts are empty: one token (the end) and one byte to code. Repeated rows are counted and scored each. A null id
 counts as the empty text when folds are dealt and stays null in the result. Without training documents all counts
@@ -61,27 +62,54 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[real], border
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Eight planes of bytes: the upper ones of small numbers are zeros, which Spark's codecs shorten to nothing."""
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view("<i8").astype(np.int64)
+
+
+def key_lists(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its keys in their order); the buckets are even whatever the keys."""
+    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    border = np.flatnonzero(np.diff(bucket[order])) + 1
+    for places in np.split(order, border) if len(keys) else ():
+        yield int(bucket[places[0]]), places
+
+
 class Tally:
     """Counts of 64-bit keys, merged when many are held; a weight of 0 only notes that the key occurs."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
+        self.limit = FLUSH
 
     def add(self, keys: np.ndarray, counted: bool) -> None:
         found = pc.value_counts(pa.array(keys))
         counts = found.field("counts").to_numpy()
         self.parts.append((found.field("values").to_numpy(), counts if counted else np.zeros(len(counts), np.int64)))
         self.held += len(counts)
-        if self.held > FLUSH:
+        if self.held > self.limit:
             self.parts = [self.merged()]
             self.held = len(self.parts[0][0])
+            self.limit = max(FLUSH, 2 * self.held)
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, inverse = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate([n for _, n in self.parts]), len(keys)).astype(np.int64)
+        keys = np.concatenate([k for k, _ in self.parts])
+        order = np.argsort(keys)
+        keys, n = keys[order], np.concatenate([n for _, n in self.parts])[order]
+        if not len(keys):
+            return keys, n
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[first], np.add.reduceat(n, first)
 
 
 def by_fold(batch: pd.DataFrame) -> Iterator[tuple[bool, list[bytes]]]:
@@ -90,22 +118,33 @@ def by_fold(batch: pd.DataFrame) -> Iterator[tuple[bool, list[bytes]]]:
             yield bool(held), slab
 
 
-def gram_counts(depth: int):
+def gram_counts(depth: int, buckets: int):
+    def lists(tally: Tally) -> pd.DataFrame:
+        keys, n = tally.merged()
+        rows = [(b, packed(np.diff(keys[at], prepend=0)), packed(n[at])) for b, at in key_lists(keys, buckets)]
+        return pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally = Tally()
         for batch in batches:
             for held, slab in by_fold(batch):
                 tally.add(grams(slab, depth)[0], not held)
-                if tally.held > FLUSH // 2 and len(tally.parts) == 1:
-                    keys, n = tally.merged()
-                    yield pd.DataFrame({"gram": keys, "n": n})
+                if tally.held > 3 * FLUSH and len(tally.parts) == 1:
+                    yield lists(tally)
                     tally = Tally()
-        keys, n = tally.merged()
-        yield pd.DataFrame({"gram": keys, "n": n})
+        yield lists(tally)
 
     return run
 
 
+def summed(lists: pd.DataFrame) -> pd.DataFrame:
+    """Counts of the grams of one bucket."""
+    tally = Tally()
+    tally.parts = [(np.cumsum(unpacked(k)), unpacked(n)) for k, n in zip(lists["keys"], lists["counts"], strict=True)]
+    keys, n = tally.merged()
+    return pd.DataFrame({"gram": keys, "n": n})
+
+
 _small = np.concatenate(([0.0], np.cumsum(np.log(np.arange(256) + 0.5))))
 _factorials = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 257)))))
 
@@ -179,12 +218,14 @@ def subtree(depth: int):
         nodes, inverse = np.unique(node, return_inverse=True)
         sums = [np.bincount(inverse, x, len(nodes)) for x in (zeros, ones, log_p)]
         estimates = np.where(seen, mixed, -1.0).T.astype(np.float32)
+        # Nullable before they meet: floats hold 53 bits, and a gram of seven bytes has 56.
+        gram, nodes = pd.array(gram, "Int64"), pd.array(nodes, "Int64")
         return pd.concat(
             [
                 pd.DataFrame({"gram": gram, "estimates": [e.tobytes() for e in estimates]}),
                 pd.DataFrame({"estimates": None, "node": nodes, "zeros": sums[0], "ones": sums[1], "below": sums[2]}),
             ]
-        ).astype({"gram": "Int64", "node": "Int64"})
+        )
 
     return run
 
@@ -220,58 +261,83 @@ class Top:
         return out
 
 
-def finished(top: Top):
+def finished(top: Top, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             gram = batch["gram"].to_numpy().astype(np.int64)
             if len(gram):
                 value = top.log10(gram, np.frombuffer(b"".join(batch["estimates"]), np.float32).reshape(-1, 8))
-                yield pd.DataFrame({"kind": 1, "key": gram, "value": value})
+                dealt = np.empty(len(gram), np.int64)
+                for bucket, places in key_lists(gram, buckets):
+                    dealt[places] = bucket
+                yield pd.DataFrame({"bucket": dealt, "key": gram, "value": value.astype(np.float32)})
 
     return run
 
 
-def gram_values(rows: DataFrame, depth: int, subtree_rows: int = 200_000) -> DataFrame:
-    """(kind 1, key, value): log10 probability of the last byte of every gram of the corpus after its other bytes."""
-    counted = rows.mapInPandas(gram_counts(depth), "gram long, n long")
-    counted = stored(counted.groupBy("gram").agg(F.sum("n").alias("n")), "tree-grams")
+def gram_values(rows: DataFrame, depth: int, buckets: int, subtree_rows: int = 200_000) -> DataFrame:
+    """(bucket, key, value): log10 probability of the last byte of every gram of the corpus after its other bytes."""
+    counted = rows.mapInPandas(gram_counts(depth, buckets), "bucket long, keys binary, counts binary")
+    counted = stored(counted.groupBy("bucket").applyInPandas(summed, "gram long, n long"), "tree-grams")
     parts = max(1, math.ceil(counted.count() / subtree_rows))
     part = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(parts))
     weighed = stored(counted.groupBy(part.alias("part")).applyInPandas(subtree(depth), SUBTREE), "tree-nodes")
     sums = [F.sum(c).alias(c) for c in ("zeros", "ones", "below")]
     top = Top(weighed.filter("node is not null").groupBy("node").agg(*sums).collect())
     nodes = weighed.filter("gram is not null").select("gram", "estimates")
-    return stored(nodes.mapInPandas(finished(top), "kind int, key long, value double"), "tree-values")
+    return stored(nodes.mapInPandas(finished(top, buckets), "bucket long, key long, value float"), "tree-values")
 
 
-def asked(depth: int):
-    """The distinct words and grams of every chunk; words with their training counts."""
+def asked_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct words of every chunk with their training counts."""
+    tallies: dict[int, Tally] = {}
+    for batch in batches:
+        for chunk, part in batch.groupby("chunk"):
+            for held, slab in by_fold(part):
+                tallies.setdefault(chunk, Tally()).add(word_hashes(slab)[0].view(np.int64), not held)
+    for chunk, tally in tallies.items():
+        keys, n = tally.merged()
+        for at in range(0, len(keys), 200_000):
+            yield pd.DataFrame({"chunk": chunk, "key": keys[at : at + 200_000], "n": n[at : at + 200_000]})
+
+
+def asked_grams(depth: int, buckets: int):
+    """The distinct grams of every chunk, a list for every bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tallies: dict[tuple[int, int], Tally] = {}
+        tallies: dict[int, Tally] = {}
         for batch in batches:
             for chunk, part in batch.groupby("chunk"):
-                words, codes = (tallies.setdefault((chunk, kind), Tally()) for kind in (0, 1))
-                for held, slab in by_fold(part):
-                    words.add(word_hashes(slab)[0].view(np.int64), not held)
-                    codes.add(grams(slab, depth)[0], False)
-        for (chunk, kind), tally in tallies.items():
-            keys, n = tally.merged()
-            for at in range(0, len(keys), 200_000):
-                yield pd.DataFrame({"chunk": chunk, "kind": kind, "key": keys[at : at + 200_000], "n": n[at : at + 200_000]})
+                for _, slab in by_fold(part):
+                    tallies.setdefault(chunk, Tally()).add(grams(slab, depth)[0], False)
+        for chunk, tally in tallies.items():
+            keys = tally.merged()[0]
+            rows = [(chunk, b, packed(np.diff(keys[at], prepend=0))) for b, at in key_lists(keys, buckets)]
+            yield pd.DataFrame(rows, columns=["chunk", "bucket", "keys"])
 
     return run
 
 
+def answered(asked: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+    """The lists of one bucket next to the values of their grams."""
+    values = values.sort_values("key")
+    known, logs = values["key"].to_numpy(), values["value"].to_numpy()
+    found = [logs[np.searchsorted(known, np.cumsum(unpacked(k)))].astype("<f4").tobytes() for k in asked["keys"]]
+    return pd.DataFrame({"chunk": asked["chunk"], "keys": asked["keys"], "logs": found})
+
+
 def scored(depth: int):
     """Score the texts of a chunk with the values of its words and grams. One more row sums up its first-seen words."""
 
     def run(values: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        word = values["kind"].to_numpy() == 0
-        word_keys, word_counts = pa.array(values["key"].to_numpy()[word]), values["value"].to_numpy()[word]
-        gram_keys, gram_logs = pa.array(values["key"].to_numpy()[~word]), values["value"].to_numpy()[~word]
+        lists, values = values[values["keys"].notna()], values[values["keys"].isna()]
+        word_keys, word_counts = pa.array(values["key"].to_numpy()), values["value"].to_numpy()
+        gram_keys = np.concatenate([np.cumsum(unpacked(k)) for k in lists["keys"]] or [np.zeros(0, np.int64)])
+        gram_logs = np.frombuffer(b"".join(lists["logs"]), "<f4")
+        order = np.argsort(gram_keys)
+        gram_keys, gram_logs = gram_keys[order], gram_logs[order]
         word_logs = np.log10(word_counts + 0.1)
-        out = np.zeros((4, len(docs)))
+        out = np.zeros((5, len(docs)))
         for first, slab in lowered(docs["text"]):
             to = slice(first, first + len(slab))
             hashes, border = word_hashes(slab)
@@ -281,10 +347,12 @@ def scored(depth: int):
                 sums = np.concatenate(([0.0], np.cumsum(what)))
                 out[row, to] = sums[border[1:]] - sums[border[:-1]]
             codes, border = grams(slab, depth)
-            logs = gram_logs[pc.index_in(pa.array(codes), gram_keys).to_numpy()]
+            different, inverse = np.unique(codes, return_inverse=True)
+            logs = gram_logs[np.searchsorted(gram_keys, different)].astype(np.float64)[inverse]
             out[3, to] = np.add.reduceat(logs, border[:-1])
-        new = values["new"].to_numpy() & word & (values["value"].to_numpy() > 0)
-        total = {"n_tokens": int(values["n"].to_numpy()[word].sum()), "n_known": int(new.sum())}
+            out[4, to] = np.diff(border)
+        new = values["new"].to_numpy() & (word_counts > 0)
+        total = {"n_tokens": int(values["n"].sum()), "n_known": int(new.sum())}
         rows = pd.DataFrame(
             {
                 "row": True,
@@ -294,36 +362,44 @@ def scored(depth: int):
                 "n_known": out[1].astype(np.int64),
                 "word_logs": out[2],
                 "score": out[3],
+                "n_bytes": out[4].astype(np.int64),
             }
         )
-        extra = {"row": False, "doc_id": None, "held_out": False, "word_logs": 0.0, "score": 0.0} | total
+        extra = {"row": False, "doc_id": None, "held_out": False, "word_logs": 0.0, "score": 0.0, "n_bytes": 0} | total
         return pd.concat([rows, pd.DataFrame([extra])])
 
     return run
 
 
-def score_texts(docs: DataFrame, held: Column, depth: int = 4, chunk_bytes: int = 24 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; learns where ``held`` is false."""
+def score_texts(docs: DataFrame, held: Column, depth: int = 6, chunk_bytes: int = 24 << 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (with the end) and bits_per_byte.
+
+    Learns where ``held`` is false.
+    """
     if depth < 2 or depth > 6:
         raise ValueError("depth must be 2 to 6")
     rows = docs.select(id_text(), "text", held.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     chunks = max(1, math.ceil(((size[0] or 0) + size[1]) / chunk_bytes))
-    values = gram_values(rows.select("text", "held_out"), depth)
+    buckets = max(64, 3 * chunks)
+    values = gram_values(rows.select("text", "held_out"), depth, buckets)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     dealt = dealt.repartition(chunks, "chunk")
-    wanted = dealt.mapInPandas(asked(depth), "chunk int, kind int, key long, n long")
-    same = Window.partitionBy("kind", "key")
-    found = wanted.join(values, ["kind", "key"], "left")
-    found = found.select(
+    same = Window.partitionBy("key")
+    words = dealt.mapInPandas(asked_words, "chunk int, key long, n long").select(
         "chunk",
-        "kind",
         "key",
         "n",
-        F.coalesce("value", F.sum("n").over(same).cast("double")).alias("value"),
+        F.sum("n").over(same).cast("double").alias("value"),
         (F.col("chunk") == F.min("chunk").over(same)).alias("new"),
     )
-    schema = "row boolean, doc_id string, held_out boolean, n_tokens long, n_known long, word_logs double, score double"
+    lists = dealt.mapInPandas(asked_grams(depth, buckets), "chunk int, bucket long, keys binary")
+    lists = lists.groupBy("bucket").cogroup(values.groupBy("bucket"))
+    lists = lists.applyInPandas(answered, "chunk int, keys binary, logs binary")
+    # A null would turn the column of keys into floats.
+    blank = {"key": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "value": F.lit(0.0), "new": F.lit(False)}
+    found = words.unionByName(lists.withColumns(blank), allowMissingColumns=True)
+    schema = "row boolean, doc_id string, held_out boolean, n_tokens long, n_known long, word_logs double, score double, n_bytes long"
     told = found.groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInPandas(scored(depth), schema)
     told = stored(told, "tree-scores")
     is_row = F.col("row")
@@ -342,4 +418,6 @@ def score_texts(docs: DataFrame, held: Column, depth: int = 4, chunk_bytes: int
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("word_logs") + math.log10(n_texts + 0.1) - F.col("n_tokens") * spread).alias("base_score"),
         "score",
+        "n_bytes",
+        (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -389,6 +390,23 @@ def test_tree_scores_without_training(docs, no_docs):
     assert context_tree.score_texts(no_docs, context_tree.held_out()).count() == 0
 
 
+def test_registered_tree_reads_six_bytes_of_context(spark, tmp_path):
+    """The byte after "bcdef" hangs on the sixth byte before it; five bytes of context leave it open."""
+    from dossier.llm.queries import ENTRIES
+
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(["abcdef1 ", "zbcdef2 "]) for _ in range(200))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = ENTRIES["op6_context_tree"].run(spark, str(tmp_path)).filter("held_out").collect()
+    train = [not held(i, 10) for i, _ in rows]
+    want = tree_scores([t for _, t in rows], train, 6)
+    assert got
+    for r in got:
+        assert r["n_bytes"] == len(rows[r["doc_id"]][1]) + 1
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-5)
+        assert r["bits_per_byte"] == pytest.approx(-want[r["doc_id"]] * math.log2(10) / r["n_bytes"], rel=1e-5)
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------
 
 
