@@ -1,6 +1,7 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
-Words are runs of letters and digits, in lower case; shingles are five words (all words of a shorter text). Templates
+Words are runs of letters and digits, in lower case; shingles are five words. A template of fewer words is one shingle
+of its own length and is looked for among the document's runs of that length. Templates
 with u/2 < q <= u distinct shingles (u a power of two) are looked for in windows of 2u shingles, one every u, so a
 passage of up to u shingles lies whole in a window, and containment of 4/5 means a Jaccard similarity of 4/21 or more.
 ``BANDS`` one-row bands make such a pair collide with probability 0.9999. A band collides when window and template
@@ -28,6 +29,7 @@ from dossier.llm.tables import let
 SHINGLE = 5
 BANDS = math.ceil(math.log(1e-4) / math.log(1 - 4 / 21))
 BLOCK = 200
+FOUND_TYPE = "array<struct<license_id:string,n_shingles:bigint,n_shared:bigint>>"
 TEMPLATE_TYPE = "array<struct<id:string,u:int,low:array<bigint>,own:array<bigint>>>"
 
 #: The customary notices of public licences.
@@ -55,25 +57,53 @@ NOTICES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "MIT-licensed": "Licensed under the MIT License",
+    "GPL-2.0": "GNU General Public License, version 2",
+    "GPL-2.0-header": "either version 2 of the License, or (at your option) any later version",
+    "LGPL-2.1": "GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "GNU Affero General Public License, version 3",
+    "ISC-permission": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies"
+    ),
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License",
+    "BSD-3-Clause": "Licensed under the BSD 3-Clause License",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
+    "EPL-2.0": "under the terms of the Eclipse Public License 2.0",
+} | {
+    f"SPDX-{name}": f"SPDX-License-Identifier: {name}"
+    for name in (
+        "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0",
+        "EPL-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+    )
+}
+
+#: Under five words. The SQL below takes such a template for the whole text, so the query leaves them to ``scan``.
+SHORT_NOTICES = {
+    "All-rights-reserved": "All rights reserved.",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+    "SPDX-ISC": "SPDX-License-Identifier: ISC",
+    "SPDX-Unlicense": "SPDX-License-Identifier: Unlicense",
 }
 
 
-def notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(NOTICES.items()), "license_id string, text string")
+def notices(spark: SparkSession, short: bool = False) -> DataFrame:
+    return spark.createDataFrame(list((NOTICES | (SHORT_NOTICES if short else {})).items()), "license_id string, text string")
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Hashes of the five-word shingles of a text, in order."""
+def word_hashes(text: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    hashed = F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
+    return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(hashed)
 
-    def runs(h: Column) -> Column:
-        five = F.transform(
-            F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)])
-        )
-        return F.when(F.size(h) >= SHINGLE, five).otherwise(F.array(F.xxhash64(F.array_join(h.cast("array<string>"), " "))))
 
-    hashed = F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
-    return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(let(hashed, runs))
+def runs_of(h: Column, n: int) -> Column:
+    """Hashes of the runs of ``n`` words, in order."""
+    made = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+    return F.when(F.size(h) >= n, made).otherwise(F.array().cast("array<bigint>"))
 
 
 def banded(own: Column) -> Column:
@@ -84,15 +114,18 @@ def banded(own: Column) -> Column:
 
 
 def template_rows(templates: DataFrame) -> DataFrame:
-    """license_id, distinct shingles, size partition, band values, and the shingle that is smallest in each band."""
-    made = templates.select("license_id", F.array_distinct(shingle_hashes(F.col("text"))).alias("own"))
-    made = made.filter(F.size("own") > 0).withColumn("low", banded(F.col("own")))
+    """license_id, words of a shingle, shingles, size partition, band values, the shingle that is smallest in each band."""
+    made = templates.select("license_id", word_hashes(F.col("text")).alias("h"))
+    made = made.withColumn("n_words", F.least(F.size("h"), F.lit(SHINGLE))).filter("n_words > 0")
+    own = F.coalesce(*[F.when(F.col("n_words") == n, runs_of(F.col("h"), n)) for n in range(1, SHINGLE + 1)])
+    made = made.select("license_id", "n_words", F.array_distinct(own).alias("own"))
+    made = made.withColumn("low", banded(F.col("own")))
     least = F.transform(
         F.sequence(F.lit(1), F.lit(BANDS)),
         lambda band: F.array_min(F.transform("own", lambda s: F.struct(F.xxhash64(s, band).alias("h"), s.alias("s"))))["s"],
     )
-    u = F.pow(F.lit(2.0), F.greatest(F.lit(2.0), F.ceil(F.log2(F.size("own").cast("double"))).cast("double")))
-    return made.select("license_id", "own", "low", F.array_distinct(least).alias("least"), u.cast("int").alias("u"))
+    u = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("own").cast("double"))).cast("double"))
+    return made.select("license_id", "n_words", "own", "low", F.array_distinct(least).alias("least"), u.cast("int").alias("u"))
 
 
 def found_templates(runs: Column, block: list) -> Column:
@@ -146,6 +179,19 @@ def found_templates(runs: Column, block: list) -> Column:
     return let(runs, places)
 
 
+def in_words(block: list):
+    """The block's templates found in the hashes of a document's words."""
+
+    def run(h: Column) -> Column:
+        made = []
+        for n in sorted({t["n_words"] for t in block}):
+            found = found_templates(runs_of(h, n), [t for t in block if t["n_words"] == n])
+            made.append(F.coalesce(found, F.array().cast(FOUND_TYPE)))
+        return F.concat(*made)
+
+    return run
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """doc_id, license_id, n_shingles, n_shared and containment of every template found in a document."""
     spark = docs.sparkSession
@@ -156,7 +202,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     for nth in range(n_blocks):
         block = rows.filter(F.pmod(F.xxhash64("license_id"), F.lit(n_blocks)) == nth).orderBy("license_id").collect()
         if block:
-            found = docs.select("doc_id", F.explode(found_templates(shingle_hashes(F.col("text")), block)).alias("m"))
+            found = docs.select("doc_id", F.explode(let(word_hashes(F.col("text")), in_words(block))).alias("m"))
             found = found.select(
                 "doc_id", "m.*", (F.col("m.n_shared") / F.col("m.n_shingles")).cast("double").alias("containment")
             )

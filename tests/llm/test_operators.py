@@ -303,6 +303,23 @@ def test_licenses(spark, no_docs, monkeypatch):
     assert license_scan.scan(table, spark.createDataFrame([(None, None)], "license_id string, text string")).count() == 0
 
 
+def test_short_and_usual_licenses(spark):
+    """Templates of one to four words are found inside longer texts; the usual licences have a template."""
+    from tests.llm.conftest import prose
+
+    short = [("one", "copyleft"), ("two", "ISC License"), ("three", "All rights reserved."), ("four", "SPDX-License-Identifier: MIT")]
+    rows = [(i, f"{prose(i, 40)}\n{text}\n{prose(9 + i, 90)}") for i, (_, text) in enumerate(short)]
+    rows += [(10, "All rights are reserved"), (11, "all RIGHTS reserved"), (12, "reserved"), (13, None), (14, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    templates = spark.createDataFrame(short, "license_id string, text string")
+    got = told(license_scan.scan(table, templates), "doc_id", "license_id", "n_shingles", "n_shared")
+    assert got == sorted([(0, "one", 1, 1), (1, "two", 1, 1), (2, "three", 1, 1), (3, "four", 1, 1), (11, "three", 1, 1)], key=KEY)
+    usual = ["Licensed under the MIT License", "SPDX-License-Identifier: GPL-2.0-only", "the GNU Affero General Public License, version 3"]
+    usual = spark.createDataFrame([(i, f"{prose(i, 30)} {x}. {prose(5, 30)}") for i, x in enumerate(usual)], "doc_id long, text string")
+    assert told(license_scan.scan(usual), "doc_id", "license_id") == [(0, "MIT-licensed"), (1, "SPDX-GPL-2.0"), (2, "AGPL-3.0")]
+    assert told(license_scan.scan(table.filter("doc_id = 2"), license_scan.notices(spark, short=True)), "license_id") == [("All-rights-reserved",)]
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
