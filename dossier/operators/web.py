@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -59,14 +60,20 @@ def _order_key(parent: Column, pos: Column) -> Column:
 
 
 def crawl_frontier(
-    pages: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None, max_urls: int | None = None
+    pages: DataFrame,
+    links: DataFrame,
+    seeds: DataFrame,
+    max_depth: int | None = None,
+    max_pages: int | None = None,
+    max_urls: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Breadth-first discovery over stored pages: (discovered links, visited pages).
 
     pages: source (canonical URL); links: already scoped, source, pos, url, text; seeds: url,
     seed_no. The first link to a URL in (depth, page order, position) wins, which a
     sortable order key expresses without numbering rows globally. One join per level; each
-    level is checkpointed. The limits, when given, cut in discovery order.
+    level is checkpointed. Without ``max_depth`` it ends when nothing new is found. The limits, when given, cut in
+    discovery order.
     """
     frontier = seeds.groupBy("url").agg(F.min("seed_no").alias("n")).select(
         "url", F.array(F.col("n").cast("long")).alias("order_key")
@@ -75,7 +82,7 @@ def crawl_frontier(
     stored = pages.select(F.col("source").alias("url")).distinct()
     usable = cut_lineage(links.select("source", "pos", "url", "text"))
     found, visited, room, left = [], [], max_pages, max_urls
-    for depth in range(max_depth + 1):
+    for depth in itertools.count():
         if room is not None:
             frontier = frontier.orderBy("order_key").limit(room)
         here = cut_lineage(frontier.join(stored.withColumn("stored", F.lit(True)), "url", "left"))

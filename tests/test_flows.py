@@ -110,6 +110,15 @@ def test_crawl_limits_cut_in_discovery_order(spark):
     assert {r.url for r in web.crawl_frontier(pages, links, seeds, 2, max_pages=2)[1].collect()} == {"s", "b"}
 
 
+def test_crawl_without_a_depth_ends_at_the_last_page(spark):
+    pages = spark.createDataFrame([(f"p{i}",) for i in range(8)], "source string")
+    links = spark.createDataFrame([(f"p{i}", 0, f"p{(i + 1) % 8}", "next") for i in range(8)], "source string, pos int, url string, text string")
+    seeds = spark.createDataFrame([("p0", 0)], "url string, seed_no int")
+    found, visited = web.crawl_frontier(pages, links, seeds)
+    assert {(r.url, r.depth) for r in found.collect()} == {(f"p{i}", i) for i in range(1, 8)}
+    assert {(r.url, r.depth, r.stored) for r in visited.collect()} == {(f"p{i}", i, True) for i in range(8)}
+
+
 def test_websearch_expressions(spark):
     docs = spark.createDataFrame([(1, "red fox jumps"), (2, "fox red"), (3, "blue bird"), (4, "red bird fox")], "chunk_id long, text string")
     postings = lx.build_postings(docs)
