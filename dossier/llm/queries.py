@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dossier.llm import (
     context_tree,
     decontaminate,
+    hard_negatives,
     language_id,
     license_scan,
     ngram_join,
@@ -97,3 +98,9 @@ def op4_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_license_scan", license_scan.SQL)
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query("op13_hard_negatives", hard_negatives.SQL)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = hard_negatives.noisy_labels(table(spark, folder, "embeddings"))
+    return hard_negatives.mine(vectors, F.col("row_id") % 100 == 0)
