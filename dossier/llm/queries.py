@@ -20,6 +20,7 @@ from dossier.llm import (
     source_mix,
     suffix_dedup,
     token_count,
+    token_files,
 )
 
 
@@ -104,3 +105,8 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = hard_negatives.noisy_labels(table(spark, folder, "embeddings"))
     return hard_negatives.mine(vectors, F.col("row_id") % 100 == 0)
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.encode_and_report(table(spark, folder, "documents"))
