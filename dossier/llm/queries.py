@@ -17,6 +17,7 @@ from dossier.llm import (
     ngram_join,
     ordinal_quality,
     quality_rules,
+    signature_search,
     source_mix,
     suffix_dedup,
     token_count,
@@ -110,3 +111,9 @@ def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_token_files")
 def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.encode_and_report(table(spark, folder, "documents"))
+
+
+@query("op11_signature_search", signature_search.SQL)
+def op11_signature_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = signature_search.build_index(table(spark, folder, "documents"))
+    return signature_search.search(index, table(spark, folder, "benchmark"))
