@@ -12,7 +12,7 @@ parts only, which are read from the metadata columns (``parts_of``), one row per
 
 Encoding. A text is cut where a space follows a character that is no white space: the pre-tokenizer never joins the
 two sides of such a place, and special strings hold no white space. The ids of a piece are remembered by the worker (a
-bounded memory; a full one is emptied), and a text's ids are the pieces' ids in a row. Texts with other white space
+bounded memory), and a text's ids are the pieces' ids in a row. Texts with other white space
 before a space are cut at the places that ``token_count`` proves.
 
 Null texts count as empty and hold the end id alone. Special strings inside texts are handled as the library does by
@@ -22,7 +22,9 @@ ordered by the hash of the text. An empty table gives files without rows. Other
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,19 +35,28 @@ from pyspark.sql import functions as F
 
 from dossier.llm.tables import shuffle_partitions
 from dossier.llm.token_count import pieces_of
+from dossier.llm.words import encoded, prefix_hash, span_hash
 from dossier.session import work_folder
 
-REMEMBERED = 600_000
-LONGEST_REMEMBERED = 40
-#: White space that may stand before a space; such texts are cut by the general rule.
-BEFORE_SPACE = [c + " " for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])]
-BEFORE_SPACE += [c + " " for c in map(chr, [0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+#: Pieces that a worker remembers, at about 30 bytes each; a full memory is emptied.
+REMEMBERED = 3_000_000
+#: White space other than the space and the line feed. Texts that have some are cut by the general rule.
+ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RUN = 256
 
 FILE_SCHEMA = "doc_id bigint, part int, start bigint, n_tokens int, ids array<int>"
 
 
+def regular(text: str) -> bool:
+    """Whether every space stands between two characters that are no white space, or before a line feed."""
+    return not (text[:1] == " " or text[-1:] == " " or "  " in text or "\n " in text or ODD_SPACE.search(text))
+
+
 class Encoder:
-    """Ids of whole texts by one vocabulary file, as little-endian 32-bit integers, remembered by piece."""
+    """Ids of whole texts by one vocabulary file, as little-endian 32-bit integers.
+
+    Remembered pieces lie in arrays: the sorted hashes of their words, and where their ids start in a pool.
+    """
 
     made: dict[str, Encoder] = {}
 
@@ -54,8 +65,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Words by themselves, which stand for the piece of a space and the word.
-        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes that a token stands for in a byte-level vocabulary, whose alphabet has a sign for each byte.
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self.forget()
 
     @classmethod
     def of(cls, path: str | None) -> Encoder:
@@ -67,34 +81,92 @@ class Encoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def plainly(self, pieces: list[str]) -> list[bytes]:
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    def plainly(self, pieces: list[str]) -> list[np.ndarray]:
         done = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in done]
+        return [np.array(e.ids, "<u4") for e in done]
+
+    def after_space(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of the pieces of a space and a word, many to one call of the library.
+
+        The ids of a run of pieces are told apart by the bytes they stand for. Where those do not end with the pieces,
+        or a word ends with white space, so that the next piece does not stand by itself, each is encoded alone.
+        """
+        runs = [words[at : at + RUN] for at in range(0, len(words), RUN)]
+        texts = [[w.decode("utf-8", "surrogatepass") for w in run] for run in runs]
+        done = self.tokenizer.encode_batch_fast([f" {' '.join(t)}" for t in texts], add_special_tokens=False)
+        ids, sizes = [], []
+        for run, text, encoding in zip(runs, texts, done, strict=True):
+            found = np.array(encoding.ids, "<u4")
+            reach = np.cumsum(self.widths[found])
+            ends = np.cumsum([len(w) + 1 for w in run])
+            if any(t[-1].isspace() for t in text) or not len(found) or reach[-1] != ends[-1]:
+                last = None
+            else:
+                last = np.searchsorted(reach, ends)
+            if last is None or (reach[last] != ends).any():
+                alone = self.plainly([" " + t for t in text])
+                ids += alone
+                sizes.append(np.array([len(a) for a in alone], np.int64))
+            else:
+                ids.append(found)
+                sizes.append(np.diff(last, prepend=-1))
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (self.pool[:0], self.sizes[:0])
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the hashes stand among the remembered ones; -1 where they do not."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        ids, sizes = self.after_space(words)
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate((self.pool, ids))
+        at = np.searchsorted(self.hashes, hashes)
+        self.starts, self.sizes = np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+
+    def words_of(self, buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of the words of a buffer, each ended by a space."""
+        data = np.frombuffer(buffer, np.uint8)
+        end = np.flatnonzero(data == 32)
+        start = np.concatenate(([0], end[:-1] + 1)) if len(end) else end
+        hashes, first, which = np.unique(
+            span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True
+        )
+        new = np.flatnonzero(self.places(hashes) < 0)
+        if len(self.hashes) + len(new) > REMEMBERED:
+            self.forget()
+            new = np.arange(len(hashes))
+        if len(new):
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
+            self.learn(hashes[new], [buffer[a:b] for a, b in spans])
+        at = self.places(hashes)
+        sizes = self.sizes[at][which]
+        border = np.cumsum(sizes)
+        within = np.repeat(self.starts[at][which] - (border - sizes), sizes) + np.arange(border[-1] if len(border) else 0)
+        return self.pool[within], sizes
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
         out = [b""] * len(texts)
-        regular: list[int] = []
-        for i, text in enumerate(texts):
-            if text[:1] != " " and not any(map(text.__contains__, BEFORE_SPACE)):
-                regular.append(i)
-            elif text:
-                out[i] = b"".join(self.plainly([p for p in pieces_of(text) if p]))
-        cut = [texts[i].split(" ") for i in regular]
-        firsts = self.plainly([c[0] for c in cut])
-        known = self.words
-        new = set().union(*cut).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set().union(*cut)
-        listed = list(new)
-        for at in range(0, len(listed), 4096):
-            part = listed[at : at + 4096]
-            known.update(zip(part, self.plainly([" " + w for w in part]), strict=True))
-        for i, first, pieces in zip(regular, firsts, cut, strict=True):
-            out[i] = first + b"".join(map(known.__getitem__, pieces[1:]))
-        for word in listed:
-            if len(word) > LONGEST_REMEMBERED:
-                del known[word]
+        even = [i for i, text in enumerate(texts) if regular(text)]
+        for i in set(range(len(texts))).difference(even):
+            out[i] = b"".join(a.tobytes() for a in self.plainly([p for p in pieces_of(texts[i]) if p]))
+        cut = [texts[i].partition(" ") for i in even]
+        firsts = self.plainly([first for first, _, _ in cut])
+        rests = [encoded(rest) + b" " if space else b"" for _, space, rest in cut]
+        ids, sizes = self.words_of(b"".join(rests))
+        border = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *[r.count(b" ") for r in rests]])].tolist()
+        data = memoryview(ids.tobytes())
+        for i, first, (a, b) in zip(even, firsts, itertools.pairwise(border), strict=True):
+            out[i] = first.tobytes() + data[4 * a : 4 * b]
         return out
 
 

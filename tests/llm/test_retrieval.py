@@ -187,10 +187,10 @@ def test_remembered_pieces_are_let_go(monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBERED", 50)
     encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [" ".join(f"word{i * 7 + j}" for j in range(30)) for i in range(20)]
-    texts += ["a  b", " a", "a\n b", "a  b", "", "x" * 500, "a\nb c"]
+    texts += ["a  b", " a", "a ", "a b\n", "a b\n c", "a <|endoftext|> b", "a<|endoftext|>b c", " ", "\n", "a\n b", "a  b", "", "x" * 500, "a\nb c"]
     whole = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert [encoder.encode([t])[0] for t in texts] == whole and encoder.encode(texts) == whole
-    assert len(encoder.words) <= 700
+    assert len(encoder.hashes) <= 700
 
 
 # 13 --------------------------------------------------------------------------------------------------------------
