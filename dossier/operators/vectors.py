@@ -9,13 +9,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from dossier.functions.text import computed_once
-from dossier.operators.blocks import ARROW, CELLS, TaskTopK, best, kind_of, scan_by_blocks, spread, top_k
+from dossier.operators.blocks import ARROW, TaskTopK, best, kind_of, spread, top_k
 from dossier.operators.digests import sorted_digest
 
 # Fixed values of the hashing embedding: prefix length and weights.
@@ -97,66 +96,23 @@ def embed_texts(df: DataFrame, key: str, text: str, dimension: int = 256) -> Dat
     return spread(df.select(key, text), key).mapInArrow(run, f"{key} {kind_of(df, key)}, vector array<double>")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix_of(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def _units(vectors) -> np.ndarray:
+def units_of(vectors) -> np.ndarray:
     block = np.asarray(vectors, dtype=np.float64)
     return block / np.linalg.norm(block, axis=1, keepdims=True)
 
 
-def _scores(matrix: np.ndarray, units: np.ndarray) -> np.ndarray:
+def scores_of(matrix: np.ndarray, units: np.ndarray) -> np.ndarray:
     """Cosine of each row with each unit query; 0 for zero rows; rounded so equal vectors tie."""
     sizes = np.linalg.norm(matrix, axis=1)
     sizes[sizes == 0] = np.inf
     return np.round((matrix @ units.T) / sizes[:, None], 12)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact top-k by cosine for a table of queries.
-
-    queries: query_id, vector; vectors: chunk_id, vector. A query meets the vectors of its own
-    dimension; null vectors and zero queries match nothing. Returns query_id, chunk_id, score, rank.
-    """
-    query_kind, id_kind = kind_of(queries, "query_id"), kind_of(vectors, "chunk_id")
-    usable = queries.where(F.exists("vector", lambda x: x != 0))
-
-    def kernel(shared):
-        def run(batches):
-            if not shared.value:
-                return
-            by_size: dict[int, list] = {}
-            for query in shared.value:
-                by_size.setdefault(len(query[1]), []).append(query)
-            legs = {n: (_units([v for _, v in q]), TaskTopK([i for i, _ in q], k)) for n, q in by_size.items()}
-            for batch in batches:
-                sizes = batch.column(1).value_lengths()
-                for size, (units, kept) in legs.items():
-                    same = batch.filter(pc.equal(sizes, size))
-                    if same.num_rows:
-                        ids, matrix = np.asarray(same.column(0).to_pylist()), _matrix(same.column(1))
-                        step = max(1, CELLS // len(units))
-                        for start in range(0, len(ids), step):
-                            stretch = slice(start, start + step)
-                            kept.add_matrix(_scores(matrix[stretch], units), ids[stretch])
-            for _, kept in legs.values():
-                yield from kept.batches(query_kind, id_kind)
-
-        return run
-
-    scored = scan_by_blocks(
-        usable,
-        "query_id",
-        "vector",
-        spread(vectors.select("chunk_id", "vector"), "chunk_id"),
-        kernel,
-        f"query_id {query_kind}, chunk_id {id_kind}, score double",
-    )
-    return top_k(scored, "query_id", [F.desc("score"), F.col("chunk_id")], k)
-
-
 def cosine_topk(
     embeddings: DataFrame,
     query: Sequence[float],
@@ -168,7 +124,7 @@ def cosine_topk(
 ) -> DataFrame:
     """Exact top-k of one query inside a scope; order: score descending, chunk_id.
 
-    Scope predicates reach the scan; an allow-list is a semi join before scoring.
+    Scope predicates reach the scan; an allow-list is a semi join before scoring. A zero query matches nothing.
     """
     scoped = embeddings.where(F.size("vector") == len(query))
     if provider is not None:
@@ -179,21 +135,37 @@ def cosine_topk(
         scoped = scoped.where(F.col("collection_id").isin(list(collections)))
     if allowed_ids is not None:
         scoped = scoped.join(allowed_ids.select("chunk_id"), "chunk_id", "left_semi")
-    spark = embeddings.sparkSession
-    one = spark.createDataFrame([(0, [float(v) for v in query])], "query_id int, vector array<double>")
-    return knn_join(one, scoped, k).select("chunk_id", "score", "rank")
+    one = np.asarray([query], np.float64)
+    if not one.any():
+        scoped = scoped.limit(0)
+    kind = kind_of(embeddings, "chunk_id")
+
+    def run(batches):
+        units = units_of(one)
+        kept = TaskTopK([0], k)
+        for batch in batches:
+            if batch.num_rows:
+                ids = np.asarray(batch.column(0).to_pylist())
+                kept.add_matrix(scores_of(matrix_of(batch.column(1)), units), ids)
+        for hits in kept.batches("int", kind):
+            yield hits.select(["chunk_id", "score"])
+
+    best_first = [F.desc("score"), F.col("chunk_id")]
+    hits = scoped.select("chunk_id", "vector").mapInArrow(run, f"chunk_id {kind}, score double")
+    # k rows at most, so that one task may number them.
+    return hits.orderBy(*best_first).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*best_first)))
 
 
 def assign_lists(vectors: DataFrame, key: str, centroids: list[list[float]], probes: int = 1) -> DataFrame:
     """The ``probes`` nearest centroids of each vector: key, vector, list_id."""
-    units = _units(centroids)
+    units = units_of(centroids)
     kind = kind_of(vectors, key)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = np.argsort(-_scores(_matrix(batch.column(1)), units), axis=1, kind="stable")[:, :probes]
+            near = np.argsort(-scores_of(matrix_of(batch.column(1)), units), axis=1, kind="stable")[:, :probes]
             rows = np.repeat(np.arange(batch.num_rows), near.shape[1])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -240,9 +212,9 @@ def probed_topk(
         out_q, out_c, out_s = [], [], []
         if vector_table.num_rows and query_table.num_rows:
             ids = np.asarray(vector_table.column("chunk_id").to_pylist())
-            matrix = _matrix(vector_table.column("vector").combine_chunks())
-            units = _units(_matrix(query_table.column("vector").combine_chunks()))
-            scores = _scores(matrix, units)
+            matrix = matrix_of(vector_table.column("vector").combine_chunks())
+            units = units_of(matrix_of(query_table.column("vector").combine_chunks()))
+            scores = scores_of(matrix, units)
             for number, query_id in enumerate(query_table.column("query_id").to_pylist()):
                 top, own = best(scores[:, number], ids, k)
                 out_q += [query_id] * len(own)

@@ -10,7 +10,7 @@ from dossier.operators import graph as g
 from dossier.operators import metrics as m
 from dossier.operators import page_text
 from dossier.operators.blocks import spread
-from dossier.operators.vectors import knn_join
+from dossier.operators.neighbours import knn_join
 from dossier.plans import sqltext as q
 from dossier.plans.graph import STAR_SQL, star_relations
 from dossier.plans.ingest import OCR_WORDS_SQL, _ocr_words

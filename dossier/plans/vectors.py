@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dossier.operators import neighbours
 from dossier.operators import vectors as v
 from dossier.plans import sqltext as q
 from dossier.plans.ingest import DOC_IDS_SQL, ingested_documents
@@ -115,7 +116,7 @@ def _self_vectors(t: Tables):
 )
 def knn_join(spark, d):
     t = Tables(spark, d)
-    return v.knn_join(_self_queries(t), _self_vectors(t), 5).select(
+    return neighbours.knn_join(_self_queries(t), _self_vectors(t), 5).select(
         "query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long")
     )
 
@@ -144,7 +145,7 @@ def probed_recall_at_k(spark, d):
     t = Tables(spark, d)
     queries, vectors = _self_queries(t), _self_vectors(t)
     centroids = v.pick_centroids(vectors, 26)
-    out = v.recall_at_k(v.knn_join(queries, vectors, 5), v.probed_topk(queries, vectors, 5, centroids, 5))
+    out = v.recall_at_k(neighbours.knn_join(queries, vectors, 5), v.probed_topk(queries, vectors, 5, centroids, 5))
     return out.select("queries", F.round("mean_recall", 6).alias("mean_recall"), F.round("min_recall", 6).alias("min_recall"))
 
 

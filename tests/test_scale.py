@@ -1,10 +1,11 @@
 """Operators that take another path for large or skewed input give the same answer on it."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dossier.operators import blocks, billing, digests, lexical, ordered, vectors
+from dossier.operators import blocks, billing, digests, lexical, neighbours, ordered, vectors
 
 
 def test_with_next_on_one_hot_key(spark):
@@ -69,13 +70,53 @@ def brute_knn(queries, block, k):
     return out
 
 
-def test_knn_over_several_query_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("cell_rows, pivots, group", [(2048, 512, 4096), (20, 512, 16), (5, 7, 3)])
+def test_knn_over_cells_and_groups(spark, monkeypatch, cell_rows, pivots, group):
     block, vs = _vectors(spark, 300)
     queries, qs = _vectors(spark, 60, seed=2)
     qs = qs.withColumnRenamed("chunk_id", "query_id")
-    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
-    found = vectors.knn_join(qs, vs.repartition(5), 4).select("query_id", "chunk_id", "rank").collect()
-    assert {tuple(r) for r in found} == brute_knn(queries, block, 4)
+    monkeypatch.setattr(neighbours, "GROUP_VECTORS", group)
+    monkeypatch.setattr(neighbours, "GROUP_QUERIES", group)
+    for k in (4, 40):
+        found = neighbours.knn_join(qs, vs.repartition(5), k, cell_rows, pivots).select("query_id", "chunk_id", "rank")
+        assert {tuple(r) for r in found.collect()} == brute_knn(queries, block, k)
+
+
+def test_knn_of_nothing(spark):
+    _, vs = _vectors(spark, 30)
+    qs = vs.withColumnRenamed("chunk_id", "query_id")
+    assert neighbours.knn_join(qs.limit(0), vs, 3).count() == 0
+    assert neighbours.knn_join(qs, vs.limit(0), 3).count() == 0
+    zeros = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0])], "chunk_id long, vector array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    assert [tuple(r) for r in neighbours.knn_join(one, zeros, 3).orderBy("rank").collect()] == [(1, 1, 0.0, 1), (1, 2, 0.0, 2)]
+
+
+def test_far_cells_are_ruled_out(spark):
+    """Bounds hold for every vector of a cell, and most cells of clustered vectors are never met."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    block = centres[rng.integers(0, 40, 2000)] + 0.05 * rng.normal(size=(2000, 16))
+    vs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(block)], "chunk_id long, vector array<double>")
+    cells = neighbours.pick_pivots(vs, 25, 512)
+    members = neighbours.in_cells(vs, cells)
+    cells.measure(members.groupBy("cell").agg(F.count("*").alias("rows"), F.min("angle").alias("least"), F.max("angle").alias("most")).collect())
+    cell = {r["chunk_id"]: r["cell"] for r in members.collect()}
+    units = block / np.linalg.norm(block, axis=1, keepdims=True)
+    cosines, bound = units[:50] @ units.T, cells.bounds(16, units[:50])[1]
+    assert all(bound[q, cell[i]] >= cosines[q, i] for q in range(50) for i in range(2000))
+    shared = spark.sparkContext.broadcast(cells)
+    qs = vs.limit(50).select(F.col("chunk_id").alias("query_id"), "vector", F.lit(0.95).alias("floor"))
+    later = neighbours.asking(qs, shared, 5, later=True).count()
+    assert later < 0.25 * 50 * cells.total
+
+
+def test_knn_plan_has_no_broadcast_of_queries(spark):
+    _, vs = _vectors(spark, 300)
+    plan = neighbours.knn_join(vs.withColumnRenamed("chunk_id", "query_id"), vs, 3, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    # One union: the first round, which is written, and the second.
+    assert plan.count("Union") == 1
 
 
 def test_probing_every_list_is_exact_even_when_lists_are_split(spark):
@@ -248,7 +289,7 @@ def test_knn_skips_null_and_other_dimensions(spark):
     schema = "chunk_id long, vector array<double>"
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0, 0.0]), (4, [1.0]), (5, [0.0, 1.0])], schema)
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None)], "query_id long, vector array<double>")
-    got = {(r.query_id, r.chunk_id) for r in vectors.knn_join(queries, corpus, 5).collect()}
+    got = {(r.query_id, r.chunk_id) for r in neighbours.knn_join(queries, corpus, 5).collect()}
     assert got == {(1, 1), (1, 5), (2, 3)}
 
 
