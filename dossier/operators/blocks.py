@@ -42,6 +42,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if partitions is None else df.repartition(int(partitions), key)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` into the session's number of shuffle partitions.
+
+    In front of CPU-heavy Python work on few bytes, where the adaptive planner would join partitions by their size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later filters read instead of repeating their expressions.
 

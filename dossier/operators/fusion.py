@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from dossier.functions.text import WORD_CHAR, casefold, computed_once, has_term, preview, strip
 from dossier.operators.blocks import top_k
-from dossier.operators.lexical import count_search_batch
+from dossier.operators.word_index import count_search_batch
 from dossier.operators.neighbours import knn_join
 from dossier.operators.vectors import hashing_embed
 

@@ -3,29 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import casefold, occurrences, once, strip, tokens
-from dossier.operators.blocks import ARROW, CELLS, TaskTopK, kind_of, scan_by_blocks, spread, top_k
+from dossier.operators.blocks import ARROW, kind_of, scan_by_blocks, spread
+from dossier.operators.word_index import COUNT_CAP, COUNT_WEIGHT, EXACT_WEIGHT, QUERY_WORD, TOKEN_WEIGHT
 
-# Weights of the counting scorer.
-EXACT_WEIGHT = 5.0
-TOKEN_WEIGHT = 1.0
-COUNT_WEIGHT = 0.25
-COUNT_CAP = 8
-
-try:  # multi-pattern matching in C where the package is present
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
-_QUERY_TOKEN = re.compile(r"[\w\-]+", re.UNICODE)
 
 # Fixed value: columns a search may be filtered on.
 FILTER_KEYS = ("source_type", "media_type", "resource_id", "canonical_uri")
@@ -45,7 +32,7 @@ def search_filters(df: DataFrame, filters: Mapping[str, Sequence[str]] | None) -
 
 def count_search(docs: DataFrame, query: str, k: int) -> DataFrame:
     """One query over (chunk_id, title, text): JVM-side scoring and a bounded top-k."""
-    words = [w.casefold() for w in _QUERY_TOKEN.findall(query)]
+    words = [w.casefold() for w in QUERY_WORD.findall(query)]
     if not words or k < 1:
         return docs.limit(0).withColumn("score", F.lit(0.0))
     haystack = casefold(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
@@ -64,107 +51,6 @@ def count_search(docs: DataFrame, query: str, k: int) -> DataFrame:
     )
 
 
-def count_search_batch(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The same scorer for a table of queries (query_id, query) -> query_id, chunk_id, score, rank.
-
-    Every document is scanned once per query block and only the k best per task leave it.
-    """
-    id_kind, query_kind = kind_of(docs, "chunk_id"), kind_of(queries, "query_id")
-    corpus = spread(docs.select("chunk_id", "title", "text"), "chunk_id").select(
-        "chunk_id",
-        casefold(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("hay"),
-    )
-
-    def kernel(shared):
-        def run(batches):
-            plans = []
-            for query_id, query in shared.value:
-                words = [w.casefold() for w in _QUERY_TOKEN.findall(query or "")]
-                if words:
-                    plans.append((query_id, query.casefold(), words))
-            if not plans:
-                return
-            counter = _WordCounter({w for _, _, words in plans for w in words})
-            # The words of all queries in a row, and where each query starts.
-            flat = np.array([counter.place[w] for _, _, words in plans for w in words])
-            starts = np.cumsum([0] + [len(words) for _, _, words in plans[:-1]])
-            kept = TaskTopK([query_id for query_id, _, _ in plans], k)
-            step = max(1, CELLS // max(len(counter.words), len(flat)))
-            for batch in batches:
-                all_ids, all_hays = np.asarray(batch.column(0).to_pylist()), batch.column(1).to_pylist()
-                for start in range(0, len(all_hays), step):
-                    ids, hays = all_ids[start : start + step], all_hays[start : start + step]
-                    counts = np.stack([counter.count(hay) for hay in hays])
-                    gains = np.where(counts > 0, TOKEN_WEIGHT + np.minimum(counts, COUNT_CAP) * COUNT_WEIGHT, 0.0)[:, flat]
-                    scores = np.add.reduceat(gains, starts, axis=1)
-                    # Only a text with every word of a query can hold the query itself.
-                    complete = np.minimum.reduceat(gains, starts, axis=1) > 0
-                    for row, number in zip(*np.nonzero(complete)):
-                        if plans[number][1] in hays[row]:
-                            scores[row, number] += EXACT_WEIGHT
-                    kept.add_matrix(scores, ids, above=0.0)
-            yield from kept.batches(query_kind, id_kind)
-
-        return run
-
-    scored = scan_by_blocks(
-        queries, "query_id", "query", corpus, kernel, f"query_id {query_kind}, chunk_id {id_kind}, score double"
-    )
-    return top_k(scored, "query_id", [F.desc("score"), F.col("chunk_id")], k)
-
-
-_RUNS = 200_000
-
-
-class _WordCounter:
-    """Substring counts of a fixed vocabulary in many texts.
-
-    A word can only occur inside a run of word characters, and runs repeat, so each distinct
-    run is looked at once: its substrings are looked up in the vocabulary.
-    """
-
-    def __init__(self, vocabulary: set[str]) -> None:
-        self.words = sorted(vocabulary)
-        self.place = {w: i for i, w in enumerate(self.words)}
-        self.sizes = sorted({len(w) for w in self.words})
-        # Folding can leave marks that are not word characters; such words are counted plainly.
-        self.plain = [w for w in self.words if not _QUERY_TOKEN.fullmatch(w)]
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
-        self.automaton = None
-        if ahocorasick is not None:
-            self.automaton = ahocorasick.Automaton()
-            for word, place in self.place.items():
-                self.automaton.add_word(word, place)
-            self.automaton.make_automaton()
-
-    def _inside(self, run: str) -> list[int]:
-        """Places of the vocabulary words that occur in a run."""
-        if self.automaton is not None:
-            return list({place for _, place in self.automaton.iter(run)})
-        pieces = {run[i : i + size] for size in self.sizes if size <= len(run) for i in range(len(run) - size + 1)}
-        return [self.place[w] for w in pieces if w in self.place]
-
-    def _look(self, run: str) -> tuple[list[int], list[int]]:
-        hits = self._inside(run)
-        return hits, [run.count(self.words[place]) for place in hits]
-
-    def count(self, text: str) -> np.ndarray:
-        places: list[int] = []
-        counts: list[int] = []
-        for run, times in Counter(_QUERY_TOKEN.findall(text)).items():
-            hit = self.known.get(run)
-            if hit is None:
-                if len(self.known) >= _RUNS:
-                    self.known.clear()
-                hit = self.known[run] = self._look(run)
-            places += hit[0]
-            counts += hit[1] if times == 1 else [c * times for c in hit[1]]
-        total = np.bincount(places, weights=counts, minlength=len(self.words)) if places else np.zeros(len(self.words))
-        for word in self.plain:
-            total[self.place[word]] = text.count(word)
-        return total
-
-
 def passage_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, chunk_id) pairs where the text holds the whole passage verbatim."""
     id_type, query_type = kind_of(docs, "chunk_id"), kind_of(queries, "query_id")
@@ -206,7 +92,7 @@ def split_query(query: str) -> list[list[tuple[bool, list[str]]]]:
         if not minus and not phrase and word.lower() == "or":
             groups.append([])
             continue
-        words = _QUERY_TOKEN.findall((phrase or word.lstrip("-")).lower())
+        words = QUERY_WORD.findall((phrase or word.lstrip("-")).lower())
         if words:
             groups[-1].append((not minus, words))
     return [g for g in groups if g]
@@ -304,7 +190,7 @@ def rank_search(
     is joined to the matching chunks only.
     """
     wanted = query.strip()
-    terms = _QUERY_TOKEN.findall(wanted.lower())
+    terms = QUERY_WORD.findall(wanted.lower())
     if not terms or k < 1:
         return chunks.limit(0).withColumn("score", F.lit(0.0))
     scoped = chunks if collections is None else chunks.where(F.col("collection_id").isin(list(collections)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.operators.blocks import ARROW, CELLS, TaskTopK, kind_of, spread, top_k
+from dossier.operators.blocks import ARROW, CELLS, TaskTopK, dealt, kind_of, spread, top_k
 from dossier.operators.vectors import matrix_of, scores_of, units_of
 from dossier.session import cut_lineage
 
@@ -165,14 +165,14 @@ def meet(queries: DataFrame, members: DataFrame, cells: Cells, query_rows: int,
     vector_salts = F.element_at(F.split(F.lit(salts), ","), F.col("cell") + 1).cast("int")
     query_salts = max(1, -(-query_rows // GROUP_QUERIES))
 
-    def dealt(key: str, into: Column) -> Column:
+    def salt(key: str, into: Column) -> Column:
         return F.pmod(F.xxhash64(key), into).cast("int")
 
     def every(into: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), into - 1))
 
-    left = members.select("chunk_id", "vector", "cell", dealt("chunk_id", vector_salts).alias("v"), every(F.lit(query_salts)).alias("q"))
-    right = queries.select("query_id", "vector", "cell", every(vector_salts).alias("v"), dealt("query_id", F.lit(query_salts)).alias("q"))
+    left = members.select("chunk_id", "vector", "cell", salt("chunk_id", vector_salts).alias("v"), every(F.lit(query_salts)).alias("q"))
+    right = queries.select("query_id", "vector", "cell", every(vector_salts).alias("v"), salt("query_id", F.lit(query_salts)).alias("q"))
 
     def score(vector_table: pa.Table, query_table: pa.Table) -> pa.Table:
         batches: list[pa.RecordBatch] = []
@@ -190,7 +190,7 @@ def meet(queries: DataFrame, members: DataFrame, cells: Cells, query_rows: int,
         return pa.Table.from_batches(batches, schema)
 
     keys = ["cell", "v", "q"]
-    groups = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    groups = dealt(left, *keys).groupBy(*keys).cogroup(dealt(right, *keys).groupBy(*keys))
     return groups.applyInArrow(score, f"query_id {query_kind}, chunk_id {id_kind}, score double")
 
 

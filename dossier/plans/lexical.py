@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.operators import lexical as lx
+from dossier.operators.word_index import build_word_index, count_search_batch, count_search_indexed
 from dossier.plans import sqltext as q
 from dossier.plans.registry import Tables, query
 
@@ -54,20 +55,26 @@ def untitled_documents(t: Tables):
     return t.documents.select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("title"), "text")
 
 
-@query(
-    "lexical_count_batch",
-    "D1",
-    f"""WITH {COUNT_PAIRS_SQL}
+COUNT_BATCH_SQL = f"""WITH {COUNT_PAIRS_SQL}
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-    FROM count_pairs WHERE score > 0 QUALIFY rank <= 10""",
-)
+    FROM count_pairs WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("lexical_count_batch", "D1", COUNT_BATCH_SQL)
 def lexical_count_batch(spark, d):
     t = Tables(spark, d)
-    return lx.count_search_batch(benchmark_queries(t), untitled_documents(t), 10).withColumn(
+    return count_search_batch(benchmark_queries(t), untitled_documents(t), 10).withColumn(
         "rank", F.col("rank").cast("long")
     )
 
 
+@query("lexical_count_indexed", "D1", COUNT_BATCH_SQL)
+def lexical_count_indexed(spark, d):
+    t = Tables(spark, d)
+    hits = count_search_indexed(benchmark_queries(t), build_word_index(untitled_documents(t)), 10)
+    return hits.withColumn("rank", F.col("rank").cast("long"))
+
+
 TERMS_SQL = f"""
     toks AS (SELECT doc_id AS chunk_id, {q.tokens("text")} AS l, lang, source FROM documents),
     terms AS (SELECT chunk_id, lang, source, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM toks)"""

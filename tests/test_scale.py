@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dossier.operators import blocks, billing, digests, lexical, neighbours, ordered, vectors
+from dossier.operators import blocks, billing, digests, lexical, neighbours, ordered, vectors, word_index
 
 
 def test_with_next_on_one_hot_key(spark):
@@ -162,12 +162,39 @@ def brute_count(queries, docs, k):
 def test_word_counter_without_the_matcher(monkeypatch):
     words = {"ab", "aba", "b-a", "x", "a_b", "i̇x"}
     texts = ["ababa ab-aba a_bab", "", "xx i̇x i̇xab", "b-ab-a, b-a"]
-    with_matcher = lexical._WordCounter(words)
-    monkeypatch.setattr(lexical, "ahocorasick", None)
-    plain = lexical._WordCounter(words)
+    with_matcher = word_index.WordCounter(words)
+    monkeypatch.setattr(word_index, "ahocorasick", None)
+    plain = word_index.WordCounter(words)
     for text in texts:
-        expected = [text.count(w) for w in plain.words]
-        assert plain.count(text).tolist() == expected == with_matcher.count(text).tolist()
+        expected = {i: 1 + 0.25 * min(text.count(w), 8) for i, w in enumerate(plain.words) if w in text}
+        for counter in (plain, with_matcher):
+            places, gains = counter.hits(text)
+            assert dict(zip(places.tolist(), gains.tolist())) == expected
+
+
+def test_frequent_words_are_not_looked_up(spark, monkeypatch):
+    """Texts that hold only words every text holds are ruled out by the floor, and the result stays exact."""
+    rng = np.random.default_rng(9)
+    rare = [f"zq{chr(97 + i)}xw" for i in range(12)]
+    docs = [(i, "", " ".join(["the and der und"] + [str(w) for w in rng.choice(rare, 8 if i < 30 else 0)])) for i in range(400)]
+    queries = [(i, " ".join(["the", "and", *map(str, rng.choice(rare, 6, replace=False))])) for i in range(10)]
+    looked: list[int] = []
+    plain = word_index.texts_with_words
+    monkeypatch.setattr(word_index, "texts_with_words", lambda *a: (found := plain(*a), looked.append(found.count()))[0])
+    qs = spark.createDataFrame(queries, "query_id long, query string")
+    ds = spark.createDataFrame(docs, "chunk_id long, title string, text string")
+    hits = word_index.count_search_indexed(qs, word_index.build_word_index(ds), 3)
+    assert {tuple(r) for r in hits.select("query_id", "chunk_id", "score", "rank").collect()} == brute_count(queries, docs, 3)
+    assert sum(looked) <= 2 * 30 * len(queries)
+
+
+def test_batch_search_of_nothing(spark):
+    qs = spark.createDataFrame([(1, "a b"), (2, None), (3, " !? ")], "query_id long, query string")
+    ds = spark.createDataFrame([(1, None, None), (2, "", "c d")], "chunk_id long, title string, text string")
+    for docs in (ds, ds.limit(0)):
+        assert word_index.count_search_batch(qs, docs, 3).count() == 0
+        assert word_index.count_search_indexed(qs, word_index.build_word_index(docs), 3).count() == 0
+    assert word_index.count_search_batch(qs.limit(0), ds, 3).count() == 0
 
 
 def test_batch_counting_search_against_the_rule(spark, monkeypatch):
@@ -176,14 +203,15 @@ def test_batch_counting_search_against_the_rule(spark, monkeypatch):
     docs = [(i, rng.choice(words), " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(80)]
     docs = [(i, str(a), str(b)) for i, a, b in docs]
     queries = [(i, " ".join(map(str, rng.choice(words, rng.integers(1, 4))))) for i in range(30)] + [(99, " !? ")]
-    monkeypatch.setattr(blocks, "BLOCK_ROWS", 9)
-    monkeypatch.setattr(lexical, "CELLS", 50)
-    monkeypatch.setattr(vectors, "CELLS", 50)
-    monkeypatch.setattr(lexical, "_RUNS", 5)
+    for name, value in {"ASKED": 9, "CELLS": 50, "REMEMBERED": 5, "BLOCK_BYTES": 100, "FEW_ROWS": 10}.items():
+        monkeypatch.setattr(word_index, name, value)
     qs = spark.createDataFrame(queries, "query_id long, query string")
     ds = spark.createDataFrame(docs, "chunk_id long, title string, text string")
-    found = lexical.count_search_batch(qs, ds, 6).select("query_id", "chunk_id", "score", "rank").collect()
-    assert {tuple(r) for r in found} == brute_count(queries, docs, 6)
+    index = word_index.build_word_index(ds)
+    for k in (2, 6):
+        for hits in (word_index.count_search_batch(qs, ds, k), word_index.count_search_indexed(qs, index, k)):
+            found = hits.select("query_id", "chunk_id", "score", "rank").collect()
+            assert {tuple(r) for r in found} == brute_count(queries, docs, k)
     for qid, query in queries[:5]:
         single = lexical.count_search(ds, query, 6).collect()
         assert {(r.chunk_id, r.score) for r in single} == {(d, s) for q, d, s, _ in brute_count(queries, docs, 6) if q == qid}
