@@ -1,27 +1,14 @@
-"""Running a batch of queries over a large corpus, block by block.
-
-Exact scoring of |Q| queries against |D| rows is |Q| x |D| work however it is cut. The
-query side is taken in blocks of bounded size; each block is shipped to the tasks that
-scan the corpus, every corpus row is read where it lies, and each task keeps only its own
-best k per query. The shuffle therefore carries at most k rows per query and task, and no
-side is broadcast without a bound on its size.
-"""
+"""Helpers of operators that score many queries against many rows: spreading, best rows per query and task, top-k."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.session import cut_lineage
-
-BLOCK_ROWS = 16_384
-BLOCK_BYTES = 64 * 1024 * 1024
-
 # Cells of a score matrix held at a time by one task.
 CELLS = 4_000_000
 
@@ -61,38 +48,6 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(fresh)))
 
 
-def query_blocks(queries: DataFrame, key: str, payload: str) -> Iterator[list]:
-    """Rows (key, payload) of ``queries`` in blocks of about BLOCK_ROWS rows and BLOCK_BYTES bytes."""
-    width = F.octet_length(payload) if kind_of(queries, payload) == "string" else F.size(payload) * 8
-    rows, size = queries.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    blocks = max(1, -(-rows // BLOCK_ROWS), -(-int(size) // BLOCK_BYTES))
-    part = queries.select(key, payload)
-    if blocks == 1:
-        yield part.collect()
-        return
-    # Several blocks: write the queries once, so that their own plan does not run per block.
-    numbered = cut_lineage(part.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))))
-    for number in range(blocks):
-        yield numbered.where(F.col("block") == number).select(key, payload).collect()
-
-
-def scan_by_blocks(
-    queries: DataFrame,
-    key: str,
-    payload: str,
-    corpus: DataFrame,
-    kernel: Callable[[object], Callable],
-    schema: str,
-) -> DataFrame:
-    """Union over the query blocks of ``corpus.mapInArrow(kernel(block))``."""
-    sc = corpus.sparkSession.sparkContext
-    parts = []
-    for block in query_blocks(queries, key, payload):
-        shared = sc.broadcast([(r[0], r[1]) for r in block])
-        parts.append(corpus.mapInArrow(kernel(shared), schema))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def top_k(df: DataFrame, group: str, order: list, k: int, name: str = "rank") -> DataFrame:
     """First k rows per group with their rank; Spark cuts each task's share before the shuffle."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(name) <= k)

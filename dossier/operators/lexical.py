@@ -5,12 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import casefold, occurrences, once, strip, tokens
-from dossier.operators.blocks import ARROW, kind_of, scan_by_blocks, spread
 from dossier.operators.word_index import COUNT_CAP, COUNT_WEIGHT, EXACT_WEIGHT, QUERY_WORD, TOKEN_WEIGHT
 
 
@@ -51,29 +49,6 @@ def count_search(docs: DataFrame, query: str, k: int) -> DataFrame:
     )
 
 
-def passage_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) pairs where the text holds the whole passage verbatim."""
-    id_type, query_type = kind_of(docs, "chunk_id"), kind_of(queries, "query_id")
-
-    def kernel(shared):
-        def run(batches):
-            for batch in batches:
-                rows = []
-                for chunk_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    rows += [(query_id, chunk_id) for query_id, passage in shared.value if passage in text]
-                if rows:
-                    columns = [pa.array(c, ARROW[kind]) for c, kind in zip(zip(*rows), (query_type, id_type))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id"])
-
-        return run
-
-    corpus = spread(docs.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")), "chunk_id")
-    wanted = queries.where(F.coalesce("query", F.lit("")) != "")
-    return scan_by_blocks(
-        wanted, "query_id", "query", corpus, kernel, f"query_id {query_type}, chunk_id {id_type}"
-    )
-
-
 def build_postings(chunks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, term, chunk_id) -> sorted 1-based positions.
 

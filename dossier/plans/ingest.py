@@ -8,7 +8,7 @@ from dossier.functions import ids
 from dossier.functions.text import collapse_space, html_to_text, normalize_text, token_estimate
 from dossier.operators import audits, chunking, page_text, stores
 from dossier.operators import ingest as ing
-from dossier.operators.lexical import passage_matches
+from dossier.operators.passages import passage_matches
 from dossier.operators.word_index import count_search_batch
 from dossier.plans import sqltext as q
 from dossier.plans.registry import Tables, query

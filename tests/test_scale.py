@@ -331,3 +331,42 @@ def test_audit_reports_orphan_chunks(spark):
     got = {r.source: r for r in audits.audit_chunk_export(docs, chunks.unionByName(orphan), "source").collect()}
     assert got["g"].verified and got["g"].chunks == 1
     assert (got[None].chunks, got[None].verified) == (1, False) and "ORPHAN_CHUNK" in got[None].error_codes
+
+
+def test_a_shared_passage_shares_a_print():
+    from dossier.functions.fingerprints import LEVELS, fingerprints, level_of
+
+    rng = np.random.default_rng(11)
+    for alphabet in ("ab", "abcdefghij é😀"):
+        text = "".join(rng.choice(list(alphabet), 600))
+        for _ in range(200):
+            n = int(rng.integers(1, 200))
+            at = int(rng.integers(0, len(text) - n))
+            level = level_of(n)
+            prints, places = fingerprints(text[at : at + n], level)
+            whole = set(zip(*(x.tolist() for x in fingerprints(text, level))))
+            # Every print of the passage is a print of the text, at the same place.
+            assert len(prints) and {(p, at + x) for p, x in zip(prints.tolist(), places.tolist())} <= whole
+    assert len(fingerprints("a" * 5000, 63)[0]) <= 5000 and all(sum(v) - 1 == k for k, v in LEVELS.items())
+
+
+def test_passages_against_the_rule(spark):
+    from dossier.operators.passages import passage_matches
+
+    rng = np.random.default_rng(12)
+    common = "this line stands in most of the texts of this corpus, word for word, and says nothing at all. "
+    texts = [(i, (common if i % 3 else "") + "".join(rng.choice(list("abc "), rng.integers(0, 300)))) for i in range(60)]
+    texts += [(60, None), (61, ""), (62, "ab" * 200), (63, "ñandú 😀 überall " * 9)]
+    passages = [(0, common), (1, ""), (2, None), (3, "ab" * 40), (4, "b"), (5, "ab" * 10), (6, "😀 über"), (7, "nowhere to be found")]
+    for n in (3, 14, 15, 16, 62, 63, 90):
+        for _ in range(4):
+            i = int(rng.integers(0, 60))
+            text = texts[i][1]
+            at = int(rng.integers(0, max(1, len(text) - n)))
+            passages.append((len(passages), text[at : at + n]))
+    passages.append((len(passages), common + texts[1][1][len(common) : len(common) + 30]))
+    qs = spark.createDataFrame(passages, "query_id long, query string")
+    ds = spark.createDataFrame(texts, "chunk_id long, text string")
+    got = {tuple(r) for r in passage_matches(qs, ds).collect()}
+    assert got == {(q, c) for q, p in passages for c, t in texts if p and p in (t or "")}
+    assert passage_matches(qs.limit(0), ds).count() == 0 and passage_matches(qs, ds.limit(0)).count() == 0
