@@ -37,7 +37,7 @@ from dossier.llm.tables import fresh, id_number, shuffle_partitions, stored
 from dossier.llm.words import encoded, mix, prefix_hash, slabs, span_hash
 
 GRAM = 64
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 # --- units -----------------------------------------------------------------------------------------------------------
