@@ -14,6 +14,7 @@ from dossier.plans.registry import Tables, query
 from dossier.plans.results import LEASES_SQL, NOW, lease_events
 from dossier.plans.sync import micros, refresh_runs, state_sql
 from dossier.streaming import ingest as si
+from dossier.streaming import keyed
 from dossier.streaming import state as st
 from dossier.streaming import usage as us
 from dossier.streaming.tables import lateness, run_to_table, stream_table
@@ -103,13 +104,24 @@ def stream_lateness(spark, d):
 
 @query("stream_refresh_state", "M3", state_sql("'changed'", 3))
 def stream_refresh_state(spark, d):
-    out = st.stream_refresh_state(refresh_runs(StreamTables(spark, d)), 3600, 3)
+    out = keyed.stream_refresh_state(refresh_runs(StreamTables(spark, d)), 3600, 3)
     return out.select("resource_id", "runs", "failures", "status", micros("last_seen_at"), micros("next_refresh_at"))
 
 
 @query("stream_leases", "M4", f"WITH {LEASES_SQL} SELECT *, coalesce({NOW} < expires_at, false) AS active FROM leases")
 def stream_leases(spark, d):
-    return st.stream_leases(lease_events(StreamTables(spark, d)), F.lit(NOW))
+    return keyed.stream_leases(lease_events(StreamTables(spark, d)), F.lit(NOW))
+
+
+@query(
+    "stream_lease_expiries",
+    "M4",
+    f"""WITH {LEASES_SQL}, mark AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS ms FROM events)
+    SELECT job_id, item_id, reviewer_id, revision, expires_at FROM leases, mark
+    WHERE expires_at IS NOT NULL AND (expires_at + 999) // 1000 <= ms""",
+)
+def stream_lease_expiries(spark, d):
+    return keyed.lease_expiries(lease_events(StreamTables(spark, d)))
 
 
 def _ops(spark, d):

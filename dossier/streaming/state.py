@@ -1,36 +1,21 @@
-"""Refresh state, review leases and latency targets of streams.
+"""Latency targets of streams.
 
-A stream is appended to a table by Spark's own file sink, which writes every row exactly once;
-the state is what the batch operators make of that table. So late rows and batches in any order
-give the state of the whole log, and a key that owns many rows is a partial aggregation.
+Exact percentiles need every latency, so the stream is appended to a table by Spark's own file sink, which writes every
+row exactly once, and the batch operator reads that table. Windows are aggregated by the stream itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.operators.blocks import top_k
 from dossier.operators.metrics import SLO_P95_MS, slo_status
-from dossier.operators.results import ITEM, lease_state
-from dossier.operators.sync import refresh_state
 from dossier.streaming.tables import run_to_table
 
 
-def stream_refresh_state(runs: DataFrame, interval_seconds: int = 86_400, missing_after: int = 3) -> DataFrame:
-    """Failure count, status and next due time per resource from a stream of refresh runs."""
-    log = run_to_table(runs.select("resource_id", "run_id", "at", "outcome"), "refresh-log")
-    return refresh_state(log, interval_seconds, missing_after)
-
-
-def stream_leases(events: DataFrame, now: Column) -> DataFrame:
-    """Current lease per item from a stream of review events; ``now`` decides expiry."""
-    log = run_to_table(events.select(*ITEM, "event_id", "at", "action", "reviewer_id", "ttl"), "lease-log")
-    return lease_state(log, now)
-
-
 def stream_slo(ops: DataFrame, keep: int | None = None, targets: Mapping[str, int] = SLO_P95_MS) -> DataFrame:
     """SLO status per operation over all operations, or the latest ``keep`` of each kind.
 

@@ -15,6 +15,7 @@ from dossier.plans.results import NOW, lease_events
 from dossier.plans.streams import _ingest, _ops
 from dossier.plans.sync import refresh_runs
 from dossier.streaming import ingest as si
+from dossier.streaming import keyed
 from dossier.streaming import state as st
 from dossier.streaming import tables as tb
 from dossier.streaming import usage as us
@@ -60,12 +61,12 @@ def _single(df, folder, name):
 def test_refresh_state(spark, parts, rows):
     cols = ["resource_id", "runs", "failures", "status", "last_seen_at", "next_refresh_at"]
     batch = s.refresh_state(refresh_runs(Tables(spark, FOLDER)), 3600, 3)
-    assert rows(st.stream_refresh_state(refresh_runs(parts), 3600, 3).select(cols)) == rows(batch.select(cols))
+    assert rows(keyed.stream_refresh_state(refresh_runs(parts), 3600, 3).select(cols)) == rows(batch.select(cols))
 
 
 def test_leases(spark, parts, rows):
     batch = r.lease_state(lease_events(Tables(spark, FOLDER)), F.lit(NOW))
-    assert rows(st.stream_leases(lease_events(parts), F.lit(NOW)).select(batch.columns)) == rows(batch)
+    assert rows(keyed.stream_leases(lease_events(parts), F.lit(NOW)).select(batch.columns)) == rows(batch)
 
 
 def test_state_of_batches_in_reverse_order(spark, tmp_path, rows):
@@ -84,7 +85,7 @@ def test_state_of_batches_in_reverse_order(spark, tmp_path, rows):
         os.utime(tmp_path / f"part{place}.parquet", (now + place, now + place))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "part*.parquet").parquet(str(tmp_path))
     whole = spark.read.schema(schema).option("pathGlobFilter", "part*.parquet").parquet(str(tmp_path))
-    got = st.stream_refresh_state(stream, 3600, 2)
+    got = keyed.stream_refresh_state(stream, 3600, 2)
     assert rows(got) == rows(s.refresh_state(whole, 3600, 2))
     assert {(r.resource_id, r.failures, r.status) for r in got.collect()} == {(1, 2, "stale"), (2, 1, "ready")}
 
@@ -149,3 +150,73 @@ def test_ingest_equals_batch(spark, parts, rows):
 
 def test_operations_fixture(spark):
     assert _ops(spark, FOLDER).isStreaming
+
+
+def _log_files(spark, tmp_path, name, rows, schema, start):
+    """One file per row, so one batch per row, in the order given."""
+    import os
+    import time
+
+    now = int(time.time()) - 1000 + start
+    for place, row in enumerate(rows):
+        _single(spark.createDataFrame([row], schema), tmp_path, f"{name}{start + place}")
+        os.utime(tmp_path / f"{name}{start + place}.parquet", (now + place, now + place))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"{name}*.parquet").parquet(str(tmp_path))
+
+
+def test_second_run_reads_only_new_rows(spark, tmp_path, rows):
+    schema = "resource_id int, run_id int, at timestamp_ntz, outcome string"
+    at = lambda hour: __import__("datetime").datetime(2024, 1, 1, hour)
+    first = [(1, 1, at(10), "error"), (2, 2, at(10), "changed")]
+    stream = _log_files(spark, tmp_path, "run", first, schema, 0)
+    folder = str(tmp_path / "state")
+    keyed.stream_refresh_state(stream, 3600, 2, folder=folder)
+    changes = lambda: spark.read.parquet(f"{folder}/changes").count()
+    assert changes() == 2
+    # An error after the first, and a clearing run that arrives late but lies before both.
+    _log_files(spark, tmp_path, "run", [(1, 3, at(12), "error"), (1, 4, at(9), "changed")], schema, 2)
+    got = keyed.stream_refresh_state(stream, 3600, 2, folder=folder)
+    assert changes() == 4
+    whole = spark.read.schema(schema).option("pathGlobFilter", "run*.parquet").parquet(str(tmp_path))
+    assert rows(got) == rows(s.refresh_state(whole, 3600, 2))
+    assert {(r.resource_id, r.failures, r.status) for r in got.collect()} == {(1, 2, "stale"), (2, 0, "ready")}
+    assert rows(keyed.stream_refresh_state(stream, 3600, 2, folder=folder)) == rows(got) and changes() == 4
+
+
+def test_lease_runs_out_by_time_alone(spark, tmp_path, rows):
+    schema = "job_id string, item_id int, event_id int, action string, reviewer_id string, at long, ttl long"
+    minute = 60_000_000
+    log = [
+        ("j", 1, 1, "claimed", "ann", 100 * minute, 30 * minute),
+        ("j", 2, 2, "claimed", "bob", 101 * minute, 30 * minute),
+        ("j", 2, 3, "renewed", "bob", 125 * minute, 300 * minute),
+        ("j", 3, 4, "claimed", "eve", 126 * minute, 10 * minute),
+        ("j", 3, 5, "completed", "eve", 130 * minute, 10 * minute),
+        ("j", 9, 6, "claimed", "kim", 200 * minute, 500 * minute),  # no event of item 1 after its end
+        ("j", 9, 7, "renewed", "kim", 190 * minute, 500 * minute),  # late, within the delay
+        ("j", 2, 8, "taken_over", "zoe", 220 * minute, 500 * minute),
+    ]
+    stream = _log_files(spark, tmp_path, "lease", log, schema, 0)
+    folder = str(tmp_path / "state")
+    gone = keyed.lease_expiries(stream, "20 minutes", folder)
+    assert [(r.item_id, r.reviewer_id, r.expires_at) for r in gone.collect()] == [(1, "ann", 130 * minute)]
+    whole = spark.createDataFrame(log, schema)
+    now = F.lit(210 * minute)
+    got = keyed.stream_leases(stream, now, "20 minutes", folder)
+    batch = r.lease_state(whole, now)
+    assert rows(got.select(batch.columns)) == rows(batch)
+
+
+def test_lease_events_in_any_order(spark, tmp_path, rows):
+    schema = "job_id string, item_id int, event_id int, action string, reviewer_id string, at long, ttl long"
+    actions = ["claimed", "renewed", "released", "claimed", "renewed", "taken_over", "renewed"]
+    log = [("j", i % 2, i, a, f"r{i}", 1_000_000 * (i + 1), 10_000_000) for i, a in enumerate(actions + actions[:3])]
+    stream = _log_files(spark, tmp_path, "any", log[::-1], schema, 0)
+    batch = r.lease_state(spark.createDataFrame(log, schema), F.lit(0))
+    assert rows(keyed.stream_leases(stream, F.lit(0), "1 day").select(batch.columns)) == rows(batch)
+
+
+def test_state_of_an_empty_stream(spark, tmp_path):
+    schema = "resource_id int, run_id int, at timestamp, outcome string"
+    none = spark.readStream.schema(schema).parquet(str(tmp_path))
+    assert keyed.stream_refresh_state(none, 3600, 2).count() == 0
