@@ -31,7 +31,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: A passage of over 50 words is a repeat. Among 8 609 runs of 51 words and more that two texts of a 0.1 GB sample
 #: share after near copies are gone, the shortest has 248 bytes and 1 % have fewer than 290; 37 % have fewer than 400.
-PASSAGE_BYTES = 220
+#: Shorter lengths need more anchors: at 220 bytes the stage took more than its disk, four times the input.
+PASSAGE_BYTES = 280
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
