@@ -21,6 +21,7 @@ are 0 and every bit costs one bit. An empty table gives an empty result. Other c
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ from dossier.llm.tables import id_number, id_text, stored
 from dossier.llm.words import slabs, word_hashes
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Lists of grams that leave a task together.
+LISTS = 32
 FLUSH = 1_000_000
 
 
@@ -288,14 +291,24 @@ def gram_values(rows: DataFrame, depth: int, buckets: int, subtree_rows: int = 2
     return stored(nodes.mapInPandas(finished(top, buckets), "bucket long, key long, value float"), "tree-values")
 
 
-def asked_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct words of every chunk with their training counts."""
-    tallies: dict[int, Tally] = {}
+def tallies(batches: Iterator[pd.DataFrame], keys_of) -> Iterator[tuple[int, Tally]]:
+    """The tally of every chunk, one at a time: the rows come sorted by chunk."""
+    now, tally = None, Tally()
     for batch in batches:
         for chunk, part in batch.groupby("chunk"):
+            if chunk != now:
+                if now is not None:
+                    yield now, tally
+                now, tally = chunk, Tally()
             for held, slab in by_fold(part):
-                tallies.setdefault(chunk, Tally()).add(word_hashes(slab)[0].view(np.int64), not held)
-    for chunk, tally in tallies.items():
+                tally.add(keys_of(slab), not held)
+    if now is not None:
+        yield now, tally
+
+
+def asked_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct words of every chunk with their training counts."""
+    for chunk, tally in tallies(batches, lambda slab: word_hashes(slab)[0].view(np.int64)):
         keys, n = tally.merged()
         for at in range(0, len(keys), 200_000):
             yield pd.DataFrame({"chunk": chunk, "key": keys[at : at + 200_000], "n": n[at : at + 200_000]})
@@ -305,15 +318,12 @@ def asked_grams(depth: int, buckets: int):
     """The distinct grams of every chunk, a list for every bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tallies: dict[int, Tally] = {}
-        for batch in batches:
-            for chunk, part in batch.groupby("chunk"):
-                for _, slab in by_fold(part):
-                    tallies.setdefault(chunk, Tally()).add(grams(slab, depth)[0], False)
-        for chunk, tally in tallies.items():
+        for chunk, tally in tallies(batches, lambda slab: grams(slab, depth)[0]):
             keys = tally.merged()[0]
-            rows = [(chunk, b, packed(np.diff(keys[at], prepend=0))) for b, at in key_lists(keys, buckets)]
-            yield pd.DataFrame(rows, columns=["chunk", "bucket", "keys"])
+            tally.parts = []
+            rows = ((chunk, b, packed(np.diff(keys[at], prepend=0))) for b, at in key_lists(keys, buckets))
+            while part := list(itertools.islice(rows, LISTS)):
+                yield pd.DataFrame(part, columns=["chunk", "bucket", "keys"])
 
     return run
 
@@ -371,7 +381,7 @@ def scored(depth: int):
     return run
 
 
-def score_texts(docs: DataFrame, held: Column, depth: int = 6, chunk_bytes: int = 24 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column, depth: int = 6, chunk_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (with the end) and bits_per_byte.
 
     Learns where ``held`` is false.
@@ -384,7 +394,7 @@ def score_texts(docs: DataFrame, held: Column, depth: int = 6, chunk_bytes: int
     buckets = max(64, 3 * chunks)
     values = gram_values(rows.select("text", "held_out"), depth, buckets)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    dealt = dealt.repartition(chunks, "chunk")
+    dealt = dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk")
     same = Window.partitionBy("key")
     words = dealt.mapInPandas(asked_words, "chunk int, key long, n long").select(
         "chunk",
