@@ -154,12 +154,11 @@ def _page_tables(t: Tables):
              generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents),
     native AS (SELECT doc_id, page, {q.strip("line")} AS native_text,
                {q.visible("line")} < 32 AS needs_ocr, line FROM lines),
-    placed AS (SELECT *, sum(CAST(needs_ocr AS INT)) OVER (PARTITION BY doc_id ORDER BY page) AS place FROM native),
     joined AS (
-      SELECT *, needs_ocr AND place <= 10 AS requested,
+      SELECT *, needs_ocr AS requested,
         CASE WHEN (doc_id + page) % 3 <> 0 THEN 'scan ' || line END AS ocr_text,
         CAST((page * 7) % 100 AS DOUBLE) AS confidence,
-        CASE WHEN page % 2 = 0 THEN 'seen ' || line END AS vision_text FROM placed),
+        CASE WHEN page % 2 = 0 THEN 'seen ' || line END AS vision_text FROM native),
     flagged AS (
       SELECT *, requested AND ocr_text IS NOT NULL
            AND ({q.visible("coalesce(ocr_text, '')")} < 24 OR confidence < 90)
@@ -179,7 +178,7 @@ def _page_tables(t: Tables):
     FROM chosen GROUP BY doc_id""",
 )
 def page_cascade_query(spark, d):
-    out = page_text.page_cascade(*_page_tables(Tables(spark, d)), budget=10)
+    out = page_text.page_cascade(*_page_tables(Tables(spark, d)))
     return out.select(
         "doc_id",
         F.sha2("text", 256).alias("text_hash"),

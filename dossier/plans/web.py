@@ -8,6 +8,7 @@ from dossier.functions import urls
 from dossier.operators import markup, web
 from dossier.plans import sqltext as q
 from dossier.plans.registry import Tables, query
+from dossier.session import cut_lineage
 
 
 def unescape(x: str) -> str:
@@ -76,18 +77,19 @@ def _site(t: Tables):
 
 def _crawl(spark, d):
     site = _site(Tables(spark, d))
-    seeds = spark.createDataFrame([("https://site.test/p0", 1)], "url string, seed_no int")
-    links = web.scope_filter(web.page_links(site), seeds)
-    pages = site.select(urls.canonicalize_url(F.col("url"), F.col("url")).alias("source"))
-    return web.crawl_frontier(pages, links, seeds, 4)
+    every = web.page_links(site)
+    pages = site.select(urls.canonicalize_url(F.col("url"), F.col("url")).alias("source"), "page_id")
+    # A crawl of the whole table: it starts at the pages that no page links to and ends when nothing new is found.
+    seeds = pages.withColumnRenamed("source", "url").join(every.select("url").distinct(), "url", "left_anti")
+    seeds = cut_lineage(seeds.select("url", F.col("page_id").cast("int").alias("seed_no")))
+    return web.crawl_frontier(pages.select("source"), web.scope_filter(every, seeds), seeds)
 
 
 CRAWL_SQL = f"""{ANCHORS_SQL},
-    level AS (SELECT page_id AS n, CASE WHEN page_id = 0 THEN 0 WHEN page_id <= 10 THEN 1 WHEN page_id <= 110 THEN 2
-      WHEN page_id <= 1110 THEN 3 ELSE 4 END AS depth FROM pages),
-    own AS (SELECT n, depth, 'https://site.test/p' || (n * 10 + i) AS url, 'page' AS text, i - 1 AS pos FROM level, range(1, 11) r(i) WHERE depth < 4),
+    level AS (SELECT page_id AS n, length(CAST(9 * page_id + 1 AS VARCHAR)) - 1 AS depth FROM pages),
+    own AS (SELECT n, depth, 'https://site.test/p' || (n * 10 + i) AS url, 'page' AS text, i - 1 AS pos FROM level, range(1, 11) r(i)),
     other AS (SELECT n, depth, 'https://site.test' || href AS url, text, 12 + pos AS pos FROM level JOIN anchors ON page_id = n
-      WHERE depth < 4 AND href LIKE '/%'),
+      WHERE href LIKE '/%'),
     firsts AS (SELECT * FROM (SELECT * FROM own UNION ALL SELECT * FROM other) WHERE url <> 'https://site.test/p0'
       QUALIFY row_number() OVER (PARTITION BY url ORDER BY depth, n, pos) = 1)"""
 
