@@ -1,6 +1,7 @@
 """The registered queries, the pipeline, and the entry file without this subpackage."""
 
 import os
+import random
 import subprocess
 import sys
 
@@ -58,3 +59,23 @@ def test_entry_without_the_subpackage(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
     assert done.stdout.split()[-2:] == ["False", "False"]
+
+
+def test_repeats_stage_cuts_passages_of_51_words(spark):
+    """A shared passage of 51 words goes from both texts; what stands around it, and other texts, stay."""
+    rng = random.Random(77)
+
+    def prose(words):
+        return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(words))
+
+    passage = prose(51)
+    assert len(passage) >= corpus_pipeline.PASSAGE_BYTES
+    around = [(prose(60), prose(60)) for _ in range(3)]
+    short = " ".join(passage.split(" ")[:30])
+    rows = [(i, f"{a} {passage} {b}" if i < 2 else f"{a} {short} {b}") for i, (a, b) in enumerate(around)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, FOLDER).collect()}
+    for i, (before, after) in enumerate(around[:2]):
+        # The spaces on both sides are shared as well, and a letter or two may be by chance.
+        assert out[i].startswith(before[:-9]) and out[i].endswith(after[9:]) and len(out[i]) <= len(before + after)
+    assert out[2] == rows[2][1]
