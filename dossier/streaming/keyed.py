@@ -231,6 +231,12 @@ class Lease(StatefulProcessor):
         pass
 
 
+def lease_changes(events: DataFrame) -> str:
+    """Columns of the changes of leases."""
+    key = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in ITEM)
+    return f"{key}, change string, last_action string, reviewer_id string, revision bigint, expires_at bigint"
+
+
 def stream_leases(events: DataFrame, now: Column, delay: str = "1 hour", folder: str | None = None) -> DataFrame:
     """Current lease per item from a stream of review events; ``now`` decides expiry.
 
@@ -241,6 +247,7 @@ def stream_leases(events: DataFrame, now: Column, delay: str = "1 hour", folder:
     spark = events.sparkSession
     folder = folder or work_folder(spark, "leases")
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    changed = lease_changes(events)
     timed = events.select(*ITEM, "event_id", "at", "action", "reviewer_id", "ttl", F.timestamp_micros("at").alias("event_time"))
     key = ", ".join(f"{c} {kinds[c]}" for c in ITEM)
     changes = process(
@@ -248,7 +255,7 @@ def stream_leases(events: DataFrame, now: Column, delay: str = "1 hour", folder:
         .groupBy(*ITEM)
         .transformWithStateInPandas(
             Lease(kinds["event_id"]),
-            outputStructType=f"{key}, change string, last_action string, reviewer_id string, revision bigint, expires_at bigint",
+            outputStructType=changed,
             outputMode="append",
             timeMode="eventTime",
         ),
@@ -266,5 +273,5 @@ def lease_expiries(events: DataFrame, delay: str = "1 hour", folder: str | None
     """
     folder = folder or work_folder(events.sparkSession, "leases")
     stream_leases(events, F.lit(0), delay, folder)
-    changes = events.sparkSession.read.parquet(f"{folder}/changes")
+    changes = events.sparkSession.read.schema(lease_changes(events)).parquet(f"{folder}/changes")
     return changes.where("change = 'expired'").select(*ITEM, "reviewer_id", "revision", "expires_at")
