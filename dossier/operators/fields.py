@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from dossier.functions.text import collapse_space, computed_once
-from dossier.operators.blocks import computed
+from dossier.operators.blocks import computed, shuffled
 
 LABEL_CONFIDENCE = 0.72
 ALIAS_COST = 0.02
@@ -237,7 +237,7 @@ def resolve_fields(assets: DataFrame, candidates: DataFrame, specs: Sequence[Fie
     asked = assets.select(key, F.explode(wanted).alias("s")).select(key, "s.*")
     best_first = F.struct((-F.col("confidence")).alias("c"), "provider", "candidate_id", "value_json")
     ranked = candidates.groupBy(key, "field_key").agg(F.sort_array(F.collect_list(best_first)).alias("ranked"))
-    joined = asked.join(ranked, [key, "field_key"], "left")
+    joined = asked.join(shuffled(ranked), [key, "field_key"], "left")
     top, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
     confidence = -top["c"]
     unsure = (confidence < F.col("min_confidence")) | F.coalesce(
@@ -261,7 +261,7 @@ def apply_confirmations(decisions: DataFrame, selections: DataFrame, candidates:
     listed = candidates.select(key, "field_key", F.col("candidate_id").alias("__pick"), F.col("value_json").alias("__value")).dropDuplicates(
         [key, "field_key", "__pick"]
     )
-    joined = decisions.join(chosen, [key, "field_key"], "left").join(listed, [key, "field_key", "__pick"], "left")
+    joined = decisions.join(shuffled(chosen), [key, "field_key"], "left").join(shuffled(listed), [key, "field_key", "__pick"], "left")
     asked, open_now = F.coalesce("__asked", F.lit(False)), F.col("status") == "needs_confirmation"
     reject = asked & open_now & F.col("__pick").isNull()
     confirm = asked & open_now & F.col("__value").isNotNull()
@@ -304,7 +304,7 @@ def prefer_rendered(static: DataFrame, rendered: DataFrame, key: str = "asset_id
             c("accepted_total").alias("e"),
         )
 
-    joined = static.alias("s").join(rendered.alias("r"), key)
+    joined = static.alias("s").join(shuffled(rendered.alias("r")), key)
     return joined.select(key, (rank("r") > rank("s")).alias("prefer_rendered"))
 
 

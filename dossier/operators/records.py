@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.operators.fields import FieldSpec, json_text, semantic_key, term_map
+from dossier.operators.blocks import shuffled
 from dossier.operators.cards import offer_cards
 from dossier.operators.markup import jsonld_objects
 
@@ -105,7 +106,7 @@ def record_status(records: DataFrame, decisions: DataFrame, threshold: float = B
         F.bool_or(F.col("status") == "needs_confirmation").alias("review"),
         F.bool_or(F.col("required") & F.col("status").isin("unresolved", "rejected")).alias("open"),
     )
-    joined = records.join(per, key, "left")
+    joined = records.join(shuffled(per), key, "left")
     return joined.select(
         key,
         F.when(F.col("rejected"), "rejected")

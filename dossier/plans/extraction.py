@@ -8,7 +8,7 @@ from dossier.operators import fields as fl
 from dossier.operators import markup
 from dossier.operators import profiles as pr
 from dossier.operators import records as rc
-from dossier.operators.blocks import spread
+from dossier.operators.blocks import leveled
 from dossier.operators.fields import FieldSpec
 from dossier.plans.registry import Tables, query
 
@@ -17,7 +17,7 @@ from dossier.plans.registry import Tables, query
 
 def customer_pages(t: Tables):
     key = F.col("c_custkey").cast("string")
-    return t.customer.select(
+    return leveled(t.customer, "c_custkey").select(
         F.col("c_custkey").alias("asset_id"),
         F.concat(
             F.lit("<html><head><title> "), "c_name", F.lit(' &amp; co</title><meta name="segment" content="'), "c_mktsegment",
@@ -80,7 +80,7 @@ def part_assets(t: Tables):
         F.when(n % 2 == 0, F.concat(F.lit('<meta property="BRAND" content="'), "p_brand", F.lit('">'))).otherwise(""),
         F.when(n % 4 == 0, F.concat(F.lit('<script type="application/ld+json">{"name":"'), "p_name", F.lit('","size":'), size, F.lit("}</script>"))).otherwise(""),
     )
-    return spread(t.part, "p_partkey").select(n.alias("asset_id"), text.alias("text"), html.alias("html"))
+    return leveled(t.part, "p_partkey").select(n.alias("asset_id"), text.alias("text"), html.alias("html"))
 
 
 SPECS = [
@@ -361,7 +361,7 @@ def attribute_records(spark, d):
 
 def _jsonld_parts(t: Tables):
     n = F.col("p_partkey")
-    return t.part.select(
+    return leveled(t.part, "p_partkey").select(
         n.alias("asset_id"),
         F.concat(
             F.lit('<script type="application/ld+json">{"@type":"List","items":[{"@type":"Product","name":"'), "p_name", F.lit('","Brand":"'), "p_brand",
@@ -392,7 +392,7 @@ def jsonld_warnings(spark, d):
 
 def _offers(t: Tables):
     n = F.col("c_custkey").cast("string")
-    return t.customer.select(
+    return leveled(t.customer, "c_custkey").select(
         F.col("c_custkey").alias("asset_id"),
         F.concat(
             F.lit("<html><body><nav><a href='/sale'>sale</a></nav><ul><li><h3>Discount "), n, F.lit("%</h3><a href='/go?offer_id="), n,
@@ -418,7 +418,7 @@ def semantic_html_records(spark, d):
 
 @query("page_records", "I14")
 def page_records(spark, d):
-    pages = Tables(spark, d).pages.withColumnRenamed("page_id", "asset_id")
+    pages = leveled(Tables(spark, d).pages, "page_id").withColumnRenamed("page_id", "asset_id")
     return rc.semantic_html_records(pages).select("asset_id", "ordinal", "source_ref", "record_id", "kind", "confidence")
 
 

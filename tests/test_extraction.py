@@ -188,3 +188,32 @@ def test_decay_equals_the_stepwise_fold(spark):
         factor = 0 if as_of - last >= 180 * day else 0.5 ** ((as_of - last) / half)
         row = out[f"fp{key}"]
         assert abs(row.confirmations - up * factor) < 1e-9 and abs(row.rejections - down * factor) < 1e-9
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fields_of_all_assets_are_never_broadcast(spark, rows):
+    cands = spark.createDataFrame(
+        [("a", "price", 0.9, "p1", "x", "1"), ("a", "price", 0.7, "p2", "y", "2"), ("b", "price", 0.9, "p1", "x", "1"), ("b", "price", 0.85, "p2", "y", "2")],
+        "asset_id string, field_key string, confidence double, provider string, candidate_id string, value_json string",
+    )
+    decided = fl.resolve_fields(cands.select("asset_id").distinct(), cands, SPECS[:1])
+    picked = spark.createDataFrame([("a", "price", "y"), ("b", "price", "y")], "asset_id string, field_key string, selected_id string")
+    confirmed = fl.apply_confirmations(decided, picked, cands)
+    quality = fl.extraction_quality(decided)
+    better = fl.prefer_rendered(quality, fl.extraction_quality(confirmed))
+    records = spark.createDataFrame([("a", 0.9, False), ("b", 0.9, False), ("c", 0.9, True)], "record_id string, confidence double, rejected boolean")
+    status = rc.record_status(records, decided.withColumnRenamed("asset_id", "record_id"))
+    for df in (decided, confirmed, better, fl.values(decided), status):
+        assert "Broadcast" not in plan_of(df)
+    assert rows(confirmed.select("asset_id", "status", "value_json", "code")) == [("a", "auto_selected", "1", "not_reviewable"), ("b", "confirmed", "2", None)]
+    assert rows(better) == [("a", False), ("b", True)]
+    assert rows(status) == [("a", "ready"), ("b", "needs_confirmation"), ("c", "rejected")]
+
+
+def test_elements_of_all_pages_are_never_broadcast(spark):
+    pages = spark.createDataFrame([("p", CASES["article and list item win over what they contain"][0]), ("q", None)], "asset_id string, html string")
+    found = cards.offer_cards(pages)
+    assert "Broadcast" not in plan_of(found) and sorted(r.tag for r in found.collect()) == ["article", "li"]
