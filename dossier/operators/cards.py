@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import collapse_space
+from dossier.operators.blocks import shuffled
 from dossier.operators.markup import elements
 from dossier.session import cut_lineage
 
@@ -63,7 +64,7 @@ def _marked(page: DataFrame, key: str, label_chars: int | None) -> DataFrame:
     )
     chain = page.select(key, "no", F.posexplode(F.concat(F.array("no"), "above")).alias("step", "up"))
     taken = (
-        chain.join(own, [key, "up"])
+        chain.join(shuffled(own), [key, "up"])
         .groupBy(key, "no")
         .agg(
             F.bool_or(F.col("up_tag").isin(*NAVIGATION)).alias("nav"),
@@ -74,7 +75,7 @@ def _marked(page: DataFrame, key: str, label_chars: int | None) -> DataFrame:
     promo = _first("data-promocode", "data-promo-code")
     coupon = collapse_space(_attr("data-coupon-id"))
     press = F.col("tag").isin("a", "button")
-    rows = page.join(taken, [key, "no"]).select(
+    rows = page.join(shuffled(taken), [key, "no"]).select(
         "*",
         _attr("href").alias("href"),
         promo.isNotNull().alias("value"),
@@ -119,11 +120,11 @@ def _with_counts(rows: DataFrame, key: str) -> DataFrame:
         n_offer=F.count_distinct("offer_id"),
     )
     names = [c for c in inside.columns if c.startswith("n_")]
-    rows = rows.join(inside.withColumnRenamed("at", "no"), [key, "no"], "left").na.fill(0, names)
+    rows = rows.join(shuffled(inside.withColumnRenamed("at", "no")), [key, "no"], "left").na.fill(0, names)
     parent = rows.select(
         key, F.col("no").alias("parent"), F.col("tag").alias("parent_tag"), (F.col("n_action") - F.col("action").cast("int")).alias("around")
     )
-    rows = rows.withColumn("parent", F.get("above", F.lit(0))).join(parent, [key, "parent"], "left")
+    rows = rows.withColumn("parent", F.get("above", F.lit(0))).join(shuffled(parent), [key, "parent"], "left")
     titles_list = (
         F.col("parent").isNotNull()
         & ~F.col("parent_tag").isin(*ENDS)
@@ -133,7 +134,7 @@ def _with_counts(rows: DataFrame, key: str) -> DataFrame:
     heading = F.col("tag").isin(*HEADINGS[1:]) & ~F.col("nav") & ~_says(CONTROL) & _says(BENEFIT)
     rows = rows.withColumn("heading", heading & ~F.coalesce(titles_list, F.lit(False)))
     titles = _inside(rows.where("heading"), key, n_heading=F.count("*"))
-    rows = rows.join(titles.withColumnRenamed("at", "no"), [key, "no"], "left").na.fill(0, ["n_heading"])
+    rows = rows.join(shuffled(titles.withColumnRenamed("at", "no")), [key, "no"], "left").na.fill(0, ["n_heading"])
     units = F.when(F.col("n_unit") > 0, F.col("n_unit")).otherwise(F.col("n_machine"))
     several = (F.greatest("n_explicit", "n_benefit", "n_heading", "n_offer") > 1) | (units > 1)
     return rows.withColumn("crowd", units > 1).withColumn("several", several)
@@ -149,7 +150,7 @@ def _grown(anchors: DataFrame, rows: DataFrame, key: str, card_chars: int | None
     )
     # Elements above the anchor, nearest first, up to the page's root.
     near = F.when(F.col("root_step").isNull(), F.col("above")).otherwise(F.slice("above", F.lit(1), F.greatest(F.col("root_step") - 1, F.lit(0))))
-    steps = anchors.select(key, "no", F.posexplode(near).alias("step", "up")).join(facts, [key, "up"])
+    steps = anchors.select(key, "no", F.posexplode(near).alias("step", "up")).join(shuffled(facts), [key, "up"])
     around = steps.groupBy(key, "no").agg(
         F.bool_or("crowd").alias("crowded"),
         F.array_sort(F.collect_list(F.when(F.col("usable"), F.struct("step", "up", "several", "ends")))).alias("way"),
@@ -163,7 +164,7 @@ def _grown(anchors: DataFrame, rows: DataFrame, key: str, card_chars: int | None
     around = around.withColumn("edge", until(F.col("way"), "ends"))
     reached = F.filter("way", lambda x: F.col("edge").isNull() | (x["step"] <= F.col("edge")))
     around = around.select(key, "no", "crowded", F.try_element_at(reached, F.lit(-1))["up"].alias("grown"))
-    out = anchors.join(around, [key, "no"], "left")
+    out = anchors.join(shuffled(around), [key, "no"], "left")
     return out.withColumn("card", F.coalesce("grown", "no")).withColumn("crowded", F.coalesce("crowded", F.lit(False)))
 
 
@@ -203,15 +204,15 @@ def _containers(rows: DataFrame, key: str, minimum: float) -> DataFrame:
     found = rows.where(~F.col("nav") & (F.char_length("text") >= 6) & _says(OFFER)).select(key, "no", "above", rank.alias("rank"))
     found = found.where(F.col("rank.confidence") >= minimum).select(key, "no", "above", "rank.*")
     outer = found.select(key, F.col("no").alias("up"), F.col("priority").alias("outer"))
-    nested = found.select(key, "no", "priority", F.explode("above").alias("up")).join(outer, [key, "up"]).where("outer >= priority")
-    return found.join(nested.select(key, "no"), [key, "no"], "left_anti").select(
+    nested = found.select(key, "no", "priority", F.explode("above").alias("up")).join(shuffled(outer), [key, "up"]).where("outer >= priority")
+    return found.join(shuffled(nested.select(key, "no")), [key, "no"], "left_anti").select(
         key, "no", F.col("no").alias("card"), "priority", F.lit("fallback").alias("kind"), "confidence"
     )
 
 
 def _described(best: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The records' own attributes, taken from their cards and anchors."""
-    inside = rows.withColumn("card", F.explode(F.concat(F.array("no"), "above"))).join(best.select(key, "card"), [key, "card"])
+    inside = rows.withColumn("card", F.explode(F.concat(F.array("no"), "above"))).join(shuffled(best.select(key, "card")), [key, "card"])
     text = F.when(F.col("text") != "", F.col("text"))
 
     def first(value: Column, *tags: str) -> Column:
@@ -234,10 +235,10 @@ def _described(best: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     anchor = rows.select(key, "no", pressed.alias("action_href"), "link", text.alias("action_text"))
     action = F.coalesce("action_href", F.when(F.col("kind") == "heading", F.col("link")))
     return (
-        best.join(card, [key, "card"])
-        .join(anchor, [key, "no"])
-        .join(parts, [key, "card"])
-        .join(data, [key, "card"], "left")
+        best.join(shuffled(card), [key, "card"])
+        .join(shuffled(anchor), [key, "no"])
+        .join(shuffled(parts), [key, "card"])
+        .join(shuffled(data), [key, "card"], "left")
         .withColumn("action_href", action)
         .withColumn("data", F.coalesce("data", F.create_map().cast("map<string,string>")))
         .withColumnRenamed("no", "position")
@@ -257,9 +258,11 @@ def offer_cards(
     ``card_chars``: a card does not grow to an element with a longer text; ``label_chars``: longer link texts are no
     offers by their words alone. Neither limits by default.
     """
-    rows = cut_lineage(_with_counts(_marked(elements(assets, key), key, label_chars), key))
+    # Every step names its rows several times: written once, a page is read and its words are matched a single time.
+    page = cut_lineage(elements(assets, key))
+    rows = cut_lineage(_with_counts(cut_lineage(_marked(page, key, label_chars)), key))
     signals = cut_lineage(_signals(rows, key, card_chars))
-    silent = rows.join(signals.select(key).distinct(), key, "left_anti")
+    silent = rows.join(shuffled(signals.select(key).distinct()), key, "left_anti")
     proposals = signals.unionByName(_containers(silent, key, minimum))
     strongest = Window.partitionBy(key, "card").orderBy(F.desc("priority"), "no")
     best = proposals.withColumn("nth", F.row_number().over(strongest)).where("nth = 1").drop("nth")
