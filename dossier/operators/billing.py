@@ -220,7 +220,8 @@ def price_rule_audit(rules: DataFrame) -> DataFrame:
 
 
 def catalogs_without_rules(catalogs: DataFrame, rules: DataFrame) -> DataFrame:
-    return catalogs.join(rules, "catalog_id", "left_anti").select("catalog_id", F.lit("no_rules").alias("code"))
+    """Catalogs that no rule names; the rules are reduced to their catalogs before they meet."""
+    return catalogs.join(rules.select("catalog_id").distinct(), "catalog_id", "left_anti").select("catalog_id", F.lit("no_rules").alias("code"))
 
 
 # The measures a tenant quota can limit.

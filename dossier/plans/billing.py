@@ -304,7 +304,7 @@ def price_rule_audit(spark, d):
 def catalogs_without_rules(spark, d):
     part = Tables(spark, d).part
     brands = part.select(F.col("p_brand").alias("catalog_id"))
-    return b.catalogs_without_rules(brands.distinct(), brands.join(part.where("p_size > 49").select(F.col("p_brand").alias("catalog_id")), "catalog_id"))
+    return b.catalogs_without_rules(brands.distinct(), part.where("p_size > 49").select(F.col("p_brand").alias("catalog_id")))
 
 
 @query(

@@ -370,3 +370,15 @@ def test_passages_against_the_rule(spark):
     got = {tuple(r) for r in passage_matches(qs, ds).collect()}
     assert got == {(q, c) for q, p in passages for c, t in texts if p and p in (t or "")}
     assert passage_matches(qs.limit(0), ds).count() == 0 and passage_matches(qs, ds.limit(0)).count() == 0
+
+
+def test_catalogs_meet_each_brand_once(spark, rows, tmp_path):
+    from dossier.plans import load_all
+
+    parts = [(i, "n", ["a", "b", "c", None][i % 4], "t", 50 if i % 4 == 0 else 1, 1.0) for i in range(400)]
+    schema = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(parts, schema).write.parquet(f"{tmp_path}/part.parquet")
+    out = load_all()["catalogs_without_rules"].run(spark, str(tmp_path))
+    assert rows(out) == [("b", "no_rules"), ("c", "no_rules"), (None, "no_rules")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("Join LeftAnti") == 1
