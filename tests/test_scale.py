@@ -382,3 +382,13 @@ def test_catalogs_meet_each_brand_once(spark, rows, tmp_path):
     assert rows(out) == [("b", "no_rules"), ("c", "no_rules"), (None, "no_rules")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == plan.count("Join LeftAnti") == 1
+
+
+def test_a_small_file_is_dealt_over_the_cores(spark):
+    asked = spark.conf.get("dossier.spread.partitions")
+    spark.conf.unset("dossier.spread.partitions")
+    try:
+        dealt = blocks.leveled(spark.range(0, 1000, 1, 1), "id")
+        assert dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and dealt.distinct().count() == 1000
+    finally:
+        spark.conf.set("dossier.spread.partitions", asked)
