@@ -6,10 +6,11 @@ triangle inequality on the sphere, a query that stands at angle q from a pivot i
 least - q away from every vector of the cell, which bounds the cosine of the whole cell.
 
 A query first meets the cells nearest to it, as many as hold k vectors. The worst of the k scores found there is a
-floor: every other cell whose bound lies below it is ruled out, the rest are met in a second round. Queries and cells
-meet by an equi-join on (cell, salts); a group of the join holds a bounded number of vectors and queries and returns
-the best k rows per query, never its pairs. Only the pivots and one line per cell are known to the driver, a number
-that a parameter bounds per dimension; queries and vectors never pass it.
+floor: every other cell whose bound lies below it is ruled out, the rest are met in a second round. Cells are packed
+into blocks, and a crowded cell is split over several; a query is sent to a block once, with the cells it asks for.
+Queries and blocks meet by an equi-join on (block, salt); a group of the join holds a bounded number of vectors and
+queries and returns the best k rows per query that reach its floor, never its pairs. Only the pivots and one line per
+cell are known to the driver, a number that a parameter bounds per dimension; queries and vectors never pass it.
 
 Null and empty vectors and zero queries match nothing; zero vectors score 0. Vectors meet queries of their dimension.
 """
@@ -30,9 +31,11 @@ from dossier.session import cut_lineage
 
 CELL_ROWS = 2048
 MOST_PIVOTS = 512
-#: Vectors and queries of one group of the join.
-GROUP_VECTORS = 8192
-GROUP_QUERIES = 4096
+#: Vectors and queries of one group of the join, and the components of one side of it.
+GROUP_VECTORS = 32_768
+GROUP_QUERIES = 32_768
+#: Below this number of queries a group is not split further to busy more cores.
+LEAST_QUERIES = 1024
 #: Bounds are compared with rounded scores; angles of nearly equal vectors are good to about 1e-8.
 SLACK = 1e-6
 
@@ -47,6 +50,11 @@ class Cells:
     rows: np.ndarray | None = None
     least: np.ndarray | None = None
     most: np.ndarray | None = None
+    #: Blocks: the first of each cell, how many each cell is split over, the cells of each, and their number.
+    block: np.ndarray | None = None
+    split: np.ndarray | None = None
+    held: dict[int, list[tuple[int, np.ndarray]]] = field(default_factory=dict)
+    blocks: int = 0
 
     def __post_init__(self) -> None:
         for dim in sorted(self.pivots):
@@ -57,6 +65,38 @@ class Cells:
         self.rows, self.least, self.most = np.zeros(self.total, np.int64), np.zeros(self.total), np.zeros(self.total)
         for r in rows:
             self.rows[r["cell"]], self.least[r["cell"]], self.most[r["cell"]] = r["rows"], r["least"], r["most"]
+        self.pack()
+
+    def pack(self) -> None:
+        """Cells of a dimension, in order, into blocks of at most ``group_rows`` vectors."""
+        self.block, self.split = np.zeros(self.total, np.int64), np.ones(self.total, np.int64)
+        self.held, self.blocks = {}, 0
+        for dim, first in self.first.items():
+            most, open_cells, room = group_rows(GROUP_VECTORS, dim), [], 0
+            self.held[dim] = []
+
+            def close() -> None:
+                if open_cells:
+                    self.block[open_cells] = self.blocks
+                    self.held[dim].append((self.blocks, np.array(open_cells)))
+                    self.blocks += 1
+                    open_cells.clear()
+
+            for cell in range(first, first + len(self.pivots[dim]) + 1):
+                rows = int(self.rows[cell])
+                if rows > most:
+                    self.split[cell] = -(-rows // most)
+                    self.block[cell] = self.blocks
+                    self.held[dim] += [(self.blocks + i, np.array([cell])) for i in range(self.split[cell])]
+                    self.blocks += int(self.split[cell])
+                elif rows:
+                    if rows > room:
+                        close()
+                        room = most
+                    # Cells of a block need not follow one another: a crowded one has blocks of its own.
+                    open_cells.append(cell)
+                    room -= rows
+            close()
 
     def assign(self, dim: int, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cell, angle to its pivot) of each row."""
@@ -90,6 +130,11 @@ class Cells:
         return early, ~early & (self.rows[own] > 0), bound
 
 
+def group_rows(most: int, dim: int) -> int:
+    """Rows of ``dim`` components on one side of a group."""
+    return max(1, min(most, CELLS // dim))
+
+
 def pick_pivots(vectors: DataFrame, cell_rows: int, most: int) -> Cells:
     """About one pivot for ``cell_rows`` vectors of a dimension, ``most`` at most."""
     sized = vectors.where(F.size("vector") > 0).select("chunk_id", "vector", F.size("vector").alias("dim"))
@@ -112,11 +157,6 @@ def by_dimension(column: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.nda
         yield int(dim), at, matrix_of(column.take(pa.array(at)))
 
 
-def list_array(matrix: np.ndarray) -> pa.ListArray:
-    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
-
-
 def in_cells(vectors: DataFrame, cells: Cells) -> DataFrame:
     """chunk_id, vector, cell, angle of every vector."""
 
@@ -124,16 +164,18 @@ def in_cells(vectors: DataFrame, cells: Cells) -> DataFrame:
         for batch in batches:
             for dim, at, matrix in by_dimension(batch.column(1)):
                 cell, angle = cells.assign(dim, matrix)
-                columns = [batch.column(0).take(pa.array(at)), list_array(matrix), pa.array(cell.astype(np.int32)), pa.array(angle)]
+                own = pa.array(at)
+                columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(cell.astype(np.int32)), pa.array(angle)]
                 yield pa.RecordBatch.from_arrays(columns, names=["chunk_id", "vector", "cell", "angle"])
 
-    kind = kind_of(vectors, "chunk_id")
+    own = f"chunk_id {kind_of(vectors, 'chunk_id')}, vector {kind_of(vectors, 'vector')}"
     rows = spread(vectors.select("chunk_id", "vector").where(F.size("vector") > 0), "chunk_id")
-    return rows.mapInArrow(run, f"chunk_id {kind}, vector array<double>, cell int, angle double")
+    return rows.mapInArrow(run, f"{own}, cell int, angle double")
 
 
 def asking(queries: DataFrame, shared, k: int, later: bool) -> DataFrame:
-    """query_id, vector, cell: the cells that a query meets first, or those its ``floor`` does not rule out later."""
+    """query_id, vector, floor, block, cells: the cells that a query meets first, or those its ``floor`` does not rule
+    out later, in one row for every block that holds some of them."""
 
     def run(batches):
         cells: Cells = shared.value
@@ -141,55 +183,84 @@ def asking(queries: DataFrame, shared, k: int, later: bool) -> DataFrame:
             for dim, at, matrix in by_dimension(batch.column(1)):
                 if dim not in cells.first:
                     continue
-                units = units_of(matrix)
-                early, rest, bound = cells.rounds(dim, units, k)
-                wanted = early
+                wanted, rest, bound = cells.rounds(dim, units_of(matrix), k)
+                floor = np.full(len(at), -2.0)
                 if later:
                     floor = batch.column(2).take(pa.array(at)).to_numpy(zero_copy_only=False)
                     wanted = rest & (bound >= floor[:, None])
-                row, cell = np.nonzero(wanted)
-                step = max(1, CELLS // dim)
-                for start in range(0, len(row), step):
-                    part = row[start : start + step]
-                    found = (cells.first[dim] + cell[start : start + step]).astype(np.int32)
-                    columns = [batch.column(0).take(pa.array(at[part])), list_array(units[part]), pa.array(found)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vector", "cell"])
-
-    return queries.mapInArrow(run, f"query_id {kind_of(queries, 'query_id')}, vector array<double>, cell int")
+                for block, members in cells.held[dim]:
+                    asked = wanted[:, members - cells.first[dim]]
+                    row = np.flatnonzero(asked.any(axis=1))
+                    if not len(row):
+                        continue
+                    counts = asked[row].sum(axis=1)
+                    starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    listed = members[np.nonzero(asked[row])[1]].astype(np.int32)
+                    own = pa.array(at[row])
+                    columns = [
+                        batch.column(0).take(own),
+                        batch.column(1).take(own),
+                        pa.array(floor[row]),
+                        pa.array(np.full(len(row), block, np.int32)),
+                        pa.ListArray.from_arrays(pa.array(starts), pa.array(listed)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vector", "floor", "block", "cells"])
+
+    own = f"query_id {kind_of(queries, 'query_id')}, vector {kind_of(queries, 'vector')}"
+    return queries.mapInArrow(run, f"{own}, floor double, block int, cells array<int>")
+
+
+def query_salts(session, cells: Cells, query_rows: int) -> int:
+    """Parts of the queries: of bounded size, and enough of them to busy the cores when there are few blocks."""
+    most = group_rows(GROUP_QUERIES, max(cells.first, default=1))
+    busy = -(-4 * session.sparkContext.defaultParallelism // max(1, cells.blocks))
+    return max(1, -(-query_rows // most), min(busy, query_rows // LEAST_QUERIES))
 
 
 def meet(queries: DataFrame, members: DataFrame, cells: Cells, query_rows: int, k: int) -> DataFrame:
-    """query_id, chunk_id, score: the best k of every group of a cell's vectors and the queries that ask for it."""
+    """query_id, chunk_id, score: the best k of every group of a block's vectors and the queries that ask for its cells."""
     query_kind, id_kind = kind_of(queries, "query_id"), kind_of(members, "chunk_id")
-    salts = ",".join(str(max(1, -(-int(n) // GROUP_VECTORS))) for n in cells.rows)
-    vector_salts = F.element_at(F.split(F.lit(salts), ","), F.col("cell") + 1).cast("int")
-    query_salts = max(1, -(-query_rows // GROUP_QUERIES))
+    salts = query_salts(queries.sparkSession, cells, query_rows)
+
+    def known(numbers: np.ndarray) -> Column:
+        return F.element_at(F.split(F.lit(",".join(map(str, numbers))), ","), F.col("cell") + 1).cast("int")
 
     def salt(key: str, into: Column) -> Column:
         return F.pmod(F.xxhash64(key), into).cast("int")
 
-    def every(into: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), into - 1))
-
-    left = members.select("chunk_id", "vector", "cell", salt("chunk_id", vector_salts).alias("v"), every(F.lit(query_salts)).alias("q"))
-    right = queries.select("query_id", "vector", "cell", every(vector_salts).alias("v"), salt("query_id", F.lit(query_salts)).alias("q"))
+    left = members.select(
+        "chunk_id",
+        "vector",
+        "cell",
+        (known(cells.block) + salt("chunk_id", known(cells.split))).alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("q"),
+    )
+    right = queries.select("*", salt("query_id", F.lit(salts)).alias("q"))
 
     def score(vector_table: pa.Table, query_table: pa.Table) -> pa.Table:
         batches: list[pa.RecordBatch] = []
         if vector_table.num_rows and query_table.num_rows:
             ids = np.asarray(vector_table.column("chunk_id").to_pylist())
             matrix = matrix_of(vector_table.column("vector").combine_chunks())
-            units = matrix_of(query_table.column("vector").combine_chunks())
+            units = units_of(matrix_of(query_table.column("vector").combine_chunks()))
             kept = TaskTopK(query_table.column("query_id").to_pylist(), k)
-            step = max(1, CELLS // len(units))
-            for start in range(0, len(ids), step):
-                stretch = slice(start, start + step)
-                kept.add_matrix(scores_of(matrix[stretch], units), ids[stretch])
+            kept.edge = query_table.column("floor").to_numpy().copy()
+            listed = query_table.column("cells").combine_chunks()
+            asker, asked = np.repeat(np.arange(len(units)), listed.value_lengths()), listed.flatten().to_numpy()
+            cell = vector_table.column("cell").to_numpy()
+            for number in np.unique(cell):
+                own, askers = np.flatnonzero(cell == number), asker[asked == number]
+                if not len(askers):
+                    continue
+                step = max(1, CELLS // len(askers))
+                for start in range(0, len(own), step):
+                    rows = own[start : start + step]
+                    kept.add_matrix(scores_of(matrix[rows], units[askers]), ids[rows], numbers=askers)
             batches = list(kept.batches(query_kind, id_kind))
         schema = pa.schema([("query_id", ARROW[query_kind]), ("chunk_id", ARROW[id_kind]), ("score", pa.float64())])
         return pa.Table.from_batches(batches, schema)
 
-    keys = ["cell", "v", "q"]
+    keys = ["block", "q"]
     groups = dealt(left, *keys).groupBy(*keys).cogroup(dealt(right, *keys).groupBy(*keys))
     return groups.applyInArrow(score, f"query_id {query_kind}, chunk_id {id_kind}, score double")
 

@@ -17,12 +17,13 @@ from dossier.plans.ingest import OCR_WORDS_SQL, _ocr_words
 from dossier.plans.registry import Tables, query
 from dossier.plans.search import HITS_SQL, _hits
 from dossier.plans.vectors import _self_queries, _self_vectors
+from dossier.session import cut_lineage
 
 
 def _label_hits(t: Tables, k: int = 10):
-    """kNN hits of every vector; a hit is relevant when the labels agree."""
+    """kNN hits of every vector, written since suites read them more than once; relevant when the labels agree."""
     labels = t.embeddings.select(F.col("vec_id"), "label")
-    return (
+    return cut_lineage(
         knn_join(_self_queries(t), _self_vectors(t), k)
         .join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id")
         .join(labels.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")

@@ -111,6 +111,25 @@ def test_far_cells_are_ruled_out(spark):
     assert later < 0.25 * 50 * cells.total
 
 
+def test_a_query_is_sent_once_to_a_block_of_cells(spark):
+    _, vs = _vectors(spark, 300)
+    cells = neighbours.pick_pivots(vs, 20, 512)
+    members = neighbours.in_cells(vs, cells)
+    cells.measure(members.groupBy("cell").agg(F.count("*").alias("rows"), F.min("angle").alias("least"), F.max("angle").alias("most")).collect())
+    assert cells.blocks == 1 < (cells.rows > 0).sum()
+    qs = vs.withColumnRenamed("chunk_id", "query_id").where("query_id <> 3")
+    sent = neighbours.asking(qs, spark.sparkContext.broadcast(cells), 200, later=False).collect()
+    assert len(sent) == len({r.query_id for r in sent}) == 299 and all(len(r.cells) > 1 for r in sent)
+
+
+def test_label_hits_are_searched_once(spark):
+    from dossier.plans import evaluation
+    from dossier.plans.registry import Tables
+
+    hits = evaluation._label_hits(Tables(spark, "/root/testdata/sf0.001"))
+    assert "FlatMapCoGroups" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
 def test_knn_plan_has_no_broadcast_of_queries(spark):
     _, vs = _vectors(spark, 300)
     plan = neighbours.knn_join(vs.withColumnRenamed("chunk_id", "query_id"), vs, 3, 20)._jdf.queryExecution().executedPlan().toString()
