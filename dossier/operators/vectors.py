@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from dossier.functions.text import computed_once
-from dossier.operators.blocks import ARROW, TaskTopK, best, kind_of, spread, top_k
+from dossier.operators.blocks import ARROW, CELLS, TaskTopK, kind_of, spread, top_k
 from dossier.operators.digests import sorted_digest
 
 # Fixed values of the hashing embedding: prefix length and weights.
@@ -193,6 +193,23 @@ def _salted(df: DataFrame, key: str, rows_per_salt: int, own: str, other: str, o
     )
 
 
+def best_of_group(vectors: pa.Table, queries: pa.Table, k: int, query_kind: str, id_kind: str) -> pa.Table:
+    """query_id, chunk_id, score: the best k vectors for every query; scores are made a stretch of vectors at a time."""
+    batches: list[pa.RecordBatch] = []
+    if vectors.num_rows and queries.num_rows:
+        ids = np.asarray(vectors.column("chunk_id").to_pylist())
+        matrix = matrix_of(vectors.column("vector").combine_chunks())
+        units = units_of(matrix_of(queries.column("vector").combine_chunks()))
+        kept = TaskTopK(queries.column("query_id").to_pylist(), k)
+        step = max(1, CELLS // len(units))
+        for start in range(0, len(ids), step):
+            part = slice(start, start + step)
+            kept.add_matrix(scores_of(matrix[part], units), ids[part])
+        batches = list(kept.batches(query_kind, id_kind))
+    schema = pa.schema([("query_id", ARROW[query_kind]), ("chunk_id", ARROW[id_kind]), ("score", pa.float64())])
+    return pa.Table.from_batches(batches, schema)
+
+
 def probed_topk(
     queries: DataFrame, vectors: DataFrame, k: int, centroids: list[list[float]], probes: int, rows: int = 20_000
 ) -> DataFrame:
@@ -209,24 +226,7 @@ def probed_topk(
     right_salted = _salted(right, "query_id", rows, "q_salt", "v_salt", size(left))
 
     def score(vector_table, query_table):
-        out_q, out_c, out_s = [], [], []
-        if vector_table.num_rows and query_table.num_rows:
-            ids = np.asarray(vector_table.column("chunk_id").to_pylist())
-            matrix = matrix_of(vector_table.column("vector").combine_chunks())
-            units = units_of(matrix_of(query_table.column("vector").combine_chunks()))
-            scores = scores_of(matrix, units)
-            for number, query_id in enumerate(query_table.column("query_id").to_pylist()):
-                top, own = best(scores[:, number], ids, k)
-                out_q += [query_id] * len(own)
-                out_c += own.tolist()
-                out_s += top.tolist()
-        return pa.table(
-            {
-                "query_id": pa.array(out_q, ARROW[query_kind]),
-                "chunk_id": pa.array(out_c, ARROW[id_kind]),
-                "score": pa.array(out_s, pa.float64()),
-            }
-        )
+        return best_of_group(vector_table, query_table, k, query_kind, id_kind)
 
     keys = ["list_id", "v_salt", "q_salt"]
     scored = (

@@ -148,6 +148,21 @@ def test_probing_every_list_is_exact_even_when_lists_are_split(spark):
     assert {tuple(r) for r in found} == brute_knn(queries, block, 4)
 
 
+def test_scores_of_a_list_are_made_in_stretches(monkeypatch):
+    import pyarrow as pa
+
+    block = np.random.default_rng(6).normal(size=(70, 8))
+    ids, rows = pa.array(range(70), pa.int64()), pa.array(block.tolist(), pa.list_(pa.float64()))
+    made = []
+    scores_of = vectors.scores_of
+    monkeypatch.setattr(vectors, "CELLS", 500)
+    monkeypatch.setattr(vectors, "scores_of", lambda m, u: made.append(len(m) * len(u)) or scores_of(m, u))
+    stored, asked = pa.table({"chunk_id": ids, "vector": rows}), pa.table({"query_id": ids, "vector": rows})
+    found = vectors.best_of_group(stored, asked, 4, "bigint", "bigint").to_pylist()
+    assert {(r["query_id"], r["chunk_id"], n % 4 + 1) for n, r in enumerate(found)} == brute_knn(block, block, 4)
+    assert max(made) <= 500
+
+
 def test_cosine_topk_edges(spark):
     _, vs = _vectors(spark, 30)
     stored = vs.withColumn("collection_id", F.lit("c")).withColumn("provider", F.lit("p")).withColumn("model", F.lit("m"))
