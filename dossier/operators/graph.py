@@ -63,6 +63,19 @@ def resolve_entities(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
+def provenance_key(edges: DataFrame) -> DataFrame:
+    """``__level`` and ``__id`` of the most specific id an edge carries.
+
+    An edge without any has no level and so meets nothing; it keeps its source as id, since edges of one null key
+    would all be shuffled to one task.
+    """
+    level = (
+        F.when(F.col("chunk_id").isNotNull(), "chunk").when(F.col("document_id").isNotNull(), "document").when(F.col("resource_id").isNotNull(), "resource")
+    )
+    own = [F.col(c).cast("string") for c in ("chunk_id", "document_id", "resource_id", "source_id")]
+    return edges.withColumn("__level", level).withColumn("__id", F.coalesce(*own))
+
+
 def build_relations(
     edges: DataFrame, chunks: DataFrame, documents: DataFrame, resources: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -97,12 +110,8 @@ def build_relations(
             )
         )
     )
-    level = (
-        F.when(F.col("chunk_id").isNotNull(), "chunk").when(F.col("document_id").isNotNull(), "document").when(F.col("resource_id").isNotNull(), "resource")
-    )
     joined = (
-        edges.withColumn("__level", level)
-        .withColumn("__id", F.coalesce(F.col("chunk_id"), F.col("document_id"), F.col("resource_id")).cast("string"))
+        provenance_key(edges)
         .join(lookup, ["__level", "__id"], "left")
         .withColumn("__document", F.coalesce("__d", "document_id"))
         .withColumn("__resource", F.coalesce("__r", "resource_id"))
