@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.text import normalize_text, token_estimate
-from dossier.operators.blocks import computed, spread
+from dossier.operators.blocks import PART, computed, in_parts, spread
 
 CHUNK_SIZE = 1500
 CHUNK_OVERLAP = 200
@@ -78,7 +78,7 @@ def chunk_documents(
     )
 
     def cut(batches):
-        for batch in batches:
+        for batch in in_parts(batches, PART):
             rows, ordinals, starts, ends, pieces = [], [], [], [], []
             for row, value in enumerate(batch.column(len(keys)).to_pylist()):
                 for ordinal, (start, end, piece) in enumerate(spans(value or "", size, overlap, minimum)):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.operators.blocks import ARROW, CELLS, TaskTopK, dealt, kind_of, spread, top_k
+from dossier.operators.blocks import ARROW, CELLS, TaskTopK, dealt, in_parts, kind_of, spread, top_k
 from dossier.operators.vectors import matrix_of, scores_of, units_of
 from dossier.session import cut_lineage
 
@@ -161,7 +161,7 @@ def in_cells(vectors: DataFrame, cells: Cells) -> DataFrame:
     """chunk_id, vector, cell, angle of every vector."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, CELL_ROWS):
             for dim, at, matrix in by_dimension(batch.column(1)):
                 cell, angle = cells.assign(dim, matrix)
                 own = pa.array(at)
@@ -179,7 +179,7 @@ def asking(queries: DataFrame, shared, k: int, later: bool) -> DataFrame:
 
     def run(batches):
         cells: Cells = shared.value
-        for batch in batches:
+        for batch in in_parts(batches, CELL_ROWS):
             for dim, at, matrix in by_dimension(batch.column(1)):
                 if dim not in cells.first:
                     continue

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from dossier.functions.text import computed_once
-from dossier.operators.blocks import ARROW, CELLS, TaskTopK, kind_of, spread, top_k
+from dossier.operators.blocks import ARROW, CELLS, PART, TaskTopK, in_parts, kind_of, spread, top_k
 from dossier.operators.digests import sorted_digest
 
 # Fixed values of the hashing embedding: prefix length and weights.
@@ -86,7 +86,7 @@ def embed_texts(df: DataFrame, key: str, text: str, dimension: int = 256) -> Dat
 
     def run(batches):
         embedder = _HashingEmbedder(dimension)
-        for batch in batches:
+        for batch in in_parts(batches, PART):
             rows = [embedder(value) for value in batch.column(1).to_pylist()]
             flat = np.concatenate(rows) if rows else np.zeros(0)
             offsets = np.arange(len(rows) + 1, dtype=np.int32) * dimension

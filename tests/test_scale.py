@@ -367,6 +367,44 @@ def test_audit_reports_orphan_chunks(spark):
     assert (got[None].chunks, got[None].verified) == (1, False) and "ORPHAN_CHUNK" in got[None].error_codes
 
 
+def test_a_batch_is_read_in_parts():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10))], names=["n"])
+    parts = list(blocks.in_parts([batch, batch.slice(0, 0), batch.slice(0, 3)], 4))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9], [0, 1, 2]]
+
+
+def test_pages_and_documents_are_read_in_parts(spark, monkeypatch):
+    """The readers hand on what a part gives before they read the next one."""
+    import pyarrow as pa
+
+    from dossier.operators import chunking, markup
+
+    taken = {}
+    monkeypatch.setattr(blocks, "spread", lambda df, key: df)
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, run, schema: taken.update(run=run) or df)
+    pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
+    n = 2 * blocks.PART + 1
+    ids = pa.array(range(n), pa.int64())
+    markup.extract_anchors(pages)
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(['<a href="/x">x</a>'] * n)], names=["page_id", "html"])
+    assert [b.num_rows for b in taken["run"]([batch])] == [blocks.PART, blocks.PART, 1]
+    with pytest.raises(Exception):
+        chunking.chunk_documents(pages, ["page_id"], "html")  # its columns are not there, its reader is
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(["a short text"] * n)], names=["page_id", "__text"])
+    assert [b.num_rows for b in taken["run"]([batch])] == [blocks.PART, blocks.PART, 1]
+
+
+def test_edges_without_an_id_are_not_one_key(spark):
+    from dossier.operators import graph
+
+    edges = spark.range(64).select(F.concat(F.lit("o"), "id").alias("source_id"), *[F.lit(None).cast("string").alias(c) for c in ("chunk_id", "document_id", "resource_id")])
+    keyed = graph.provenance_key(edges)
+    assert keyed.where("__level IS NULL").select("__id").distinct().count() == 64
+
+
 def test_a_shared_passage_shares_a_print():
     from dossier.functions.fingerprints import LEVELS, fingerprints, level_of
 
