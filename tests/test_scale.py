@@ -1,11 +1,13 @@
 """Operators that take another path for large or skewed input give the same answer on it."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dossier.operators import blocks, billing, digests, lexical, neighbours, ordered, vectors, word_index
+from dossier.operators import blocks, billing, digests, lexical, neighbours, ordered, page_text, vectors, word_index
 
 
 def test_with_next_on_one_hot_key(spark):
@@ -290,7 +292,7 @@ def test_as_of_carries_over_empty_buckets(spark, rows):
 
 def test_no_limit_unless_asked(spark):
     """Results beyond the limits that single requests used to have."""
-    from dossier.operators import evidence, fusion, graph, memory, page_text, sync, web
+    from dossier.operators import evidence, fusion, graph, memory, sync, web
 
     assert fusion.candidate_limit(500) == 1500 and fusion.overfetch(500, 1, True) == 2000
     n = 600
@@ -464,3 +466,32 @@ def test_a_small_file_is_dealt_over_the_cores(spark):
         assert dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and dealt.distinct().count() == 1000
     finally:
         spark.conf.set("dossier.spread.partitions", asked)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_gather_terms_before_the_shuffle_and_merge_repeated_rows(spark):
+    texts = [
+        ("a", 1, "the Cat the dog"),
+        ("a", 1, "the -- end the"),
+        ("b", 1, "the"),
+        ("a", None, "x x"),
+        ("a", None, "y x"),
+        (None, 2, "é É z_1"),
+        ("a", 3, None),
+        ("a", 4, ""),
+        ("a", 5, " ".join(f"w{i % 700}" for i in range(5000))),
+    ]
+    chunks = spark.createDataFrame(texts, "k string, chunk_id long, text string")
+    wanted = {}
+    for k, chunk, text in texts:
+        for pos, term in enumerate(re.findall(r"[\w-]+", (text or "").lower()), start=1):
+            wanted.setdefault((k, term, chunk), []).append(pos)
+    found = lexical.build_postings(chunks, ["k"])
+    assert found.columns == ["k", "term", "chunk_id", "positions"]
+    got = found.collect()
+    assert len(got) == len(wanted) and all(sorted(wanted[r.k, r.term, r.chunk_id]) == r.positions for r in got)
+    # A row per word never reaches an exchange or an aggregation.
+    assert "Generate" not in _plan(lexical.build_postings(chunks))
