@@ -11,10 +11,14 @@ from dossier.functions.text import strip, visible_chars
 
 
 def ocr_page_rollup(words: DataFrame) -> DataFrame:
-    """Words (doc_id, page, word_no, word, conf) -> page text and mean confidence."""
+    """Words (doc_id, page, word_no, word, conf) -> page text and mean confidence.
+
+    Words are dealt by page before they are gathered. Lists gathered in front of a shuffle would hardly be shorter, and a
+    task of many pages would sort and spill its words for them.
+    """
     kept = computed(words, word=strip(F.col("word"))).where((F.col("word") != "") & (F.col("conf") >= 0))
     ordered = F.sort_array(F.collect_list(F.struct("word_no", "word")))
-    return kept.groupBy("doc_id", "page").agg(
+    return kept.repartition("doc_id", "page").groupBy("doc_id", "page").agg(
         F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text"),
         F.bround(F.avg(F.col("conf").cast("double")), 2).alias("confidence"),
         F.count("*").alias("words"),

@@ -495,3 +495,13 @@ def test_postings_gather_terms_before_the_shuffle_and_merge_repeated_rows(spark)
     assert len(got) == len(wanted) and all(sorted(wanted[r.k, r.term, r.chunk_id]) == r.positions for r in got)
     # A row per word never reaches an exchange or an aggregation.
     assert "Generate" not in _plan(lexical.build_postings(chunks))
+
+
+def test_ocr_words_are_dealt_before_they_are_gathered(spark):
+    words = [(1, 1, n, f" w{n}\u00a0", n % 100) for n in (3, 1, 2)] + [(1, 2, 1, "\t", 50), (1, 2, 2, "low", -1), (None, 1, 1, "x", 7)]
+    words += [(1, 1, 4, "in\u2003side\n", 9), (2, 1, 1, None, 5), (2, 1, 2, "kept", None), (2, None, 2, "b", 1), (2, None, 1, "a", 2)]
+    out = page_text.ocr_page_rollup(spark.createDataFrame(words, "doc_id long, page int, word_no int, word string, conf int"))
+    plan = _plan(out)
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+    got = {(r.doc_id, r.page): (r.text, r.confidence, r.words) for r in out.collect()}
+    assert got == {(1, 1): ("w1 w2 w3 in\u2003side", 3.75, 4), (None, 1): ("x", 7.0, 1), (2, None): ("a b", 1.5, 2)}
