@@ -505,3 +505,17 @@ def test_ocr_words_are_dealt_before_they_are_gathered(spark):
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
     got = {(r.doc_id, r.page): (r.text, r.confidence, r.words) for r in out.collect()}
     assert got == {(1, 1): ("w1 w2 w3 in\u2003side", 3.75, 4), (None, 1): ("x", 7.0, 1), (2, None): ("a b", 1.5, 2)}
+
+
+def test_long_messages_of_one_file_are_dealt(spark, tmp_path):
+    from dossier.plans import web
+
+    events = [(1, 4, "error"), (2, 6, "error"), (2, 6, "error"), (3, 1, "view"), (4, None, "error"), (None, 0, "error")]
+    columns = "event_id, cast(null as timestamp_ntz) ts, user_id, event_type, 0d value, '' props"
+    rows = spark.createDataFrame(events, "event_id long, user_id long, event_type string")
+    rows.selectExpr(*columns.split(", ")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out = web.crawl_failures(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 4
+    told = lambda u: "cannot read <url> after " + str(u) + " and again" * u
+    wanted = [(1, "OSError", told(4)), (2, "TimeoutError", told(6)), (2, "TimeoutError", told(6)), (4, "OSError", None), (None, "TimeoutError", told(0))]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(wanted, key=repr)
