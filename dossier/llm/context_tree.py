@@ -11,8 +11,9 @@ lower-cased text and of its end (a zero byte); ``depth`` zero bytes stand before
 The counts are those of distinct (depth + 1)-grams and words, pre-aggregated in the tasks, so no frequent gram or word
 makes a hot key. All nodes below a two-byte context are weighted where that context's grams meet; the two levels above
 have at most 256 * 255 nodes, whatever the corpus, and are weighted on the driver. Texts are dealt into chunks of
-about ``chunk_bytes``; a chunk asks for its own distinct grams and words only and gets their values back. Grams travel
-as sorted lists, one for every even hash bucket, not as rows: deep contexts have many, and lists of differences are short.
+about ``chunk_bytes``; a chunk asks for its own distinct grams and words only and gets their values back. Both travel
+as sorted lists, one for every even hash bucket, not as rows. Grams with one beginning share a bucket, so that their
+differences are short, and an answer holds values only: the chunk that asked finds the same keys in the same order again.
 
 Null texts are empty: one token (the end) and one byte to code. Repeated rows are counted and scored each. A null id
 counts as the empty text when folds are dealt and stays null in the result. Without training documents all counts
@@ -27,9 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.tables import id_number, id_text, stored
@@ -39,6 +38,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Lists of grams that leave a task together.
 LISTS = 32
 FLUSH = 1_000_000
+#: Bits of a gram that its bucket does not depend on: its last two bytes.
+ENDING = 16
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 10) -> Column:
@@ -65,18 +66,19 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[real], border
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Eight planes of bytes: the upper ones of small numbers are zeros, which Spark's codecs shorten to nothing."""
-    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def packed(numbers: np.ndarray, kind: str = "<i8") -> bytes:
+    """Planes of bytes: the upper ones of small numbers are zeros, which Spark's codecs shorten to nothing."""
+    return np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
 
 
-def unpacked(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view("<i8").astype(np.int64)
+def unpacked(planes: bytes, kind: str = "<i8") -> np.ndarray:
+    rows = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T
+    return np.ascontiguousarray(rows).reshape(-1).view(kind)
 
 
-def key_lists(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places of its keys in their order); the buckets are even whatever the keys."""
-    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def key_lists(keys: np.ndarray, buckets: int, ending: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its keys in their order); keys that differ in their last ``ending`` bits only share one."""
+    mixed = (keys >> ending).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -85,6 +87,45 @@ def key_lists(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
         yield int(bucket[places[0]]), places
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys in ascending order, how often each occurs)."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.diff(first, append=len(keys))
+
+
+class Places:
+    """Finds the places of many keys in a list of different keys, by a table of slots with at most every second one taken."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        bits = max(1, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self.slot(keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            lost = self.table[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & self.mask
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The places of ``keys``, all of which are in the list."""
+        slot = self.slot(keys)
+        found = self.table[slot]
+        left = np.flatnonzero(self.keys[found] != keys) if len(keys) else slot
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & self.mask
+            found[left] = self.table[slot]
+            missed = self.keys[found[left]] != keys[left]
+            left, slot = left[missed], slot[missed]
+        return found
+
+
 class Tally:
     """Counts of 64-bit keys, merged when many are held; a weight of 0 only notes that the key occurs."""
 
@@ -94,9 +135,8 @@ class Tally:
         self.limit = FLUSH
 
     def add(self, keys: np.ndarray, counted: bool) -> None:
-        found = pc.value_counts(pa.array(keys))
-        counts = found.field("counts").to_numpy()
-        self.parts.append((found.field("values").to_numpy(), counts if counted else np.zeros(len(counts), np.int64)))
+        found, counts = distinct(keys)
+        self.parts.append((found, counts if counted else np.zeros(len(counts), np.int64)))
         self.held += len(counts)
         if self.held > self.limit:
             self.parts = [self.merged()]
@@ -124,7 +164,7 @@ def by_fold(batch: pd.DataFrame) -> Iterator[tuple[bool, list[bytes]]]:
 def gram_counts(depth: int, buckets: int):
     def lists(tally: Tally) -> pd.DataFrame:
         keys, n = tally.merged()
-        rows = [(b, packed(np.diff(keys[at], prepend=0)), packed(n[at])) for b, at in key_lists(keys, buckets)]
+        rows = [(b, packed(np.diff(keys[at], prepend=0)), packed(n[at])) for b, at in key_lists(keys, buckets, ENDING)]
         return pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,65 +217,60 @@ def weighted(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, np.exp(log_half + own - out)
 
 
-def subtree(depth: int):
-    """Estimates of the bits of grams that share their last two context bytes, mixed from ``depth`` up to depth 2."""
+def subtree(rows: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Bits of grams that share their last two context bytes, mixed from ``depth`` up to depth 2.
 
+    (grams, their estimates or -1 where nothing was seen, (node, zeros, ones, log probability below) at depth 1).
+    """
+    gram, n = rows["gram"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
+    byte, context = gram & 255, gram >> 8
+    size = len(gram)
+    mixed = np.zeros((8, size))
+    seen = np.zeros((8, size), bool)
+    child_of: list = [None] * 8
+    above = []
+    for d in range(depth, 1, -1):
+        order = np.argsort(((context & ((1 << 8 * d) - 1)) << 8) | byte, kind="stable")
+        own_context, own_byte, own_n = (context[order] & ((1 << 8 * d) - 1)), byte[order], n[order]
+        for k in range(8):
+            node = (own_context << 8) | (own_byte >> (8 - k))
+            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            bit = (own_byte >> (7 - k)) & 1
+            ones = np.add.reduceat(own_n * bit, first)
+            total = np.add.reduceat(own_n, first)
+            number = np.empty(size, np.int64)
+            number[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [size]))))
+            own = log_kt(total - ones, ones)
+            if d == depth:
+                log_p, weight = own, np.ones(len(first))
+            else:
+                child_row, child_log = child_of[k]
+                below = np.bincount(number[child_row], child_log, len(first))
+                log_p, weight = weighted(own, below)
+            child_of[k] = (order[first], log_p)
+            count, one = total[number], ones[number]
+            hit = np.where((byte >> (7 - k)) & 1, one, count - one)
+            estimate = (hit + 0.5) / (count + 1.0)
+            w = weight[number]
+            mixed[k] = np.where(seen[k], w * estimate + (1 - w) * mixed[k], estimate)
+            seen[k] = count > 0
+            if d == 2:
+                rep = order[first]
+                u = (1 << k) | (byte[rep] >> (8 - k))
+                above.append((((context[rep] & 255) << 8) | u, total - ones, ones, log_p))
+    node, zeros, ones, log_p = (np.concatenate(x) for x in zip(*above, strict=True))
+    nodes, inverse = np.unique(node, return_inverse=True)
+    sums = [np.bincount(inverse, x, len(nodes)) for x in (zeros, ones, log_p)]
+    return gram, np.where(seen, mixed, -1.0).T.astype(np.float32), (nodes, *sums)
+
+
+def upper_nodes(depth: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        gram, n = rows["gram"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
-        byte, context = gram & 255, gram >> 8
-        size = len(gram)
-        mixed = np.zeros((8, size))
-        seen = np.zeros((8, size), bool)
-        child_of: list = [None] * 8
-        above = []
-        for d in range(depth, 1, -1):
-            order = np.argsort(((context & ((1 << 8 * d) - 1)) << 8) | byte, kind="stable")
-            own_context, own_byte, own_n = (context[order] & ((1 << 8 * d) - 1)), byte[order], n[order]
-            for k in range(8):
-                node = (own_context << 8) | (own_byte >> (8 - k))
-                first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-                bit = (own_byte >> (7 - k)) & 1
-                ones = np.add.reduceat(own_n * bit, first)
-                total = np.add.reduceat(own_n, first)
-                number = np.empty(size, np.int64)
-                number[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [size]))))
-                own = log_kt(total - ones, ones)
-                if d == depth:
-                    log_p, weight = own, np.ones(len(first))
-                else:
-                    child_row, child_log = child_of[k]
-                    below = np.bincount(number[child_row], child_log, len(first))
-                    log_p, weight = weighted(own, below)
-                child_of[k] = (order[first], log_p)
-                count, one = total[number], ones[number]
-                hit = np.where((byte >> (7 - k)) & 1, one, count - one)
-                estimate = (hit + 0.5) / (count + 1.0)
-                w = weight[number]
-                mixed[k] = np.where(seen[k], w * estimate + (1 - w) * mixed[k], estimate)
-                seen[k] = count > 0
-                if d == 2:
-                    rep = order[first]
-                    u = (1 << k) | (byte[rep] >> (8 - k))
-                    above.append((((context[rep] & 255) << 8) | u, total - ones, ones, log_p))
-        node, zeros, ones, log_p = (np.concatenate(x) for x in zip(*above, strict=True))
-        nodes, inverse = np.unique(node, return_inverse=True)
-        sums = [np.bincount(inverse, x, len(nodes)) for x in (zeros, ones, log_p)]
-        estimates = np.where(seen, mixed, -1.0).T.astype(np.float32)
-        # Nullable before they meet: floats hold 53 bits, and a gram of seven bytes has 56.
-        gram, nodes = pd.array(gram, "Int64"), pd.array(nodes, "Int64")
-        return pd.concat(
-            [
-                pd.DataFrame({"gram": gram, "estimates": [e.tobytes() for e in estimates]}),
-                pd.DataFrame({"estimates": None, "node": nodes, "zeros": sums[0], "ones": sums[1], "below": sums[2]}),
-            ]
-        )
+        return pd.DataFrame(dict(zip(("node", "zeros", "ones", "below"), subtree(rows, depth)[2], strict=True)))
 
     return run
 
 
-SUBTREE = "gram long, estimates binary, node long, zeros double, ones double, below double"
-
-
 class Top:
     """The two upper levels of the trees: at most 256 contexts of one byte, and the root."""
 
@@ -264,16 +299,13 @@ class Top:
         return out
 
 
-def finished(top: Top, buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            gram = batch["gram"].to_numpy().astype(np.int64)
-            if len(gram):
-                value = top.log10(gram, np.frombuffer(b"".join(batch["estimates"]), np.float32).reshape(-1, 8))
-                dealt = np.empty(len(gram), np.int64)
-                for bucket, places in key_lists(gram, buckets):
-                    dealt[places] = bucket
-                yield pd.DataFrame({"bucket": dealt, "key": gram, "value": value.astype(np.float32)})
+def finished(top: Top, depth: int, buckets: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        gram, estimates, _ = subtree(rows, depth)
+        dealt = np.empty(len(gram), np.int64)
+        for bucket, places in key_lists(gram, buckets, ENDING):
+            dealt[places] = bucket
+        return pd.DataFrame({"bucket": dealt, "key": gram, "value": top.log10(gram, estimates).astype(np.float32)})
 
     return run
 
@@ -284,85 +316,115 @@ def gram_values(rows: DataFrame, depth: int, buckets: int, subtree_rows: int = 2
     counted = stored(counted.groupBy("bucket").applyInPandas(summed, "gram long, n long"), "tree-grams")
     parts = max(1, math.ceil(counted.count() / subtree_rows))
     part = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(parts))
-    weighed = stored(counted.groupBy(part.alias("part")).applyInPandas(subtree(depth), SUBTREE), "tree-nodes")
+    shared = counted.groupBy(part.alias("part"))
+    # The estimates of all grams would take far more disk than weighting them once more, when the upper levels are known.
+    nodes = shared.applyInPandas(upper_nodes(depth), "node long, zeros double, ones double, below double")
     sums = [F.sum(c).alias(c) for c in ("zeros", "ones", "below")]
-    top = Top(weighed.filter("node is not null").groupBy("node").agg(*sums).collect())
-    nodes = weighed.filter("gram is not null").select("gram", "estimates")
-    return stored(nodes.mapInPandas(finished(top, buckets), "bucket long, key long, value float"), "tree-values")
+    top = Top(nodes.groupBy("node").agg(*sums).collect())
+    return shared.applyInPandas(finished(top, depth, buckets), "bucket long, key long, value float")
 
 
-def tallies(batches: Iterator[pd.DataFrame], keys_of) -> Iterator[tuple[int, Tally]]:
-    """The tally of every chunk, one at a time: the rows come sorted by chunk."""
-    now, tally = None, Tally()
+def tallies(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[tuple[int, Tally, Tally]]:
+    """The grams and the words of every chunk, one chunk at a time: the rows come sorted by chunk."""
+    now, codes, words = None, Tally(), Tally()
     for batch in batches:
         for chunk, part in batch.groupby("chunk"):
             if chunk != now:
                 if now is not None:
-                    yield now, tally
-                now, tally = chunk, Tally()
+                    yield now, codes, words
+                now, codes, words = chunk, Tally(), Tally()
             for held, slab in by_fold(part):
-                tally.add(keys_of(slab), not held)
+                codes.add(grams(slab, depth)[0], False)
+                words.add(word_hashes(slab)[0].view(np.int64), not held)
     if now is not None:
-        yield now, tally
+        yield now, codes, words
 
 
-def asked_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct words of every chunk with their training counts."""
-    for chunk, tally in tallies(batches, lambda slab: word_hashes(slab)[0].view(np.int64)):
-        keys, n = tally.merged()
-        for at in range(0, len(keys), 200_000):
-            yield pd.DataFrame({"chunk": chunk, "key": keys[at : at + 200_000], "n": n[at : at + 200_000]})
+def asked(depth: int, buckets: int, word_buckets: int):
+    """The distinct grams of every chunk and its distinct words with their training counts, a list for every bucket.
 
+    The buckets of words come after those of grams.
+    """
 
-def asked_grams(depth: int, buckets: int):
-    """The distinct grams of every chunk, a list for every bucket."""
+    def lists(chunk: int, codes: Tally, words: Tally) -> Iterator[tuple]:
+        keys = codes.merged()[0]
+        codes.parts = []
+        for b, at in key_lists(keys, buckets, ENDING):
+            yield chunk, b, packed(np.diff(keys[at], prepend=0)), None
+        keys, n = words.merged()
+        words.parts = []
+        for b, at in key_lists(keys, word_buckets):
+            yield chunk, buckets + b, packed(np.diff(keys[at], prepend=0)), packed(n[at])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk, tally in tallies(batches, lambda slab: grams(slab, depth)[0]):
-            keys = tally.merged()[0]
-            tally.parts = []
-            rows = ((chunk, b, packed(np.diff(keys[at], prepend=0))) for b, at in key_lists(keys, buckets))
+        for chunk, codes, words in tallies(batches, depth):
+            rows = lists(chunk, codes, words)
             while part := list(itertools.islice(rows, LISTS)):
-                yield pd.DataFrame(part, columns=["chunk", "bucket", "keys"])
+                yield pd.DataFrame(part, columns=["chunk", "bucket", "keys", "counts"])
 
     return run
 
 
-def answered(asked: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-    """The lists of one bucket next to the values of their grams."""
-    values = values.sort_values("key")
-    known, logs = values["key"].to_numpy(), values["value"].to_numpy()
-    found = [logs[np.searchsorted(known, np.cumsum(unpacked(k)))].astype("<f4").tobytes() for k in asked["keys"]]
-    return pd.DataFrame({"chunk": asked["chunk"], "keys": asked["keys"], "logs": found})
+def word_totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[bytes], list[int]]:
+    """For lists of words: the training counts over all lists, and how many training words each list is the first to hold."""
+    known, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    total = np.zeros(len(known), np.int64)
+    np.add.at(total, place, np.concatenate(counts))
+    border = np.cumsum([0, *map(len, keys)])
+    new = np.histogram(first[total > 0], border)[0]
+    return [packed(total[place[a:b]]) for a, b in itertools.pairwise(border)], new.tolist()
 
 
-def scored(depth: int):
+def answered(asked: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+    """The lists of one bucket as values of their grams, or as training counts of their words."""
+    keys = [np.cumsum(unpacked(k)) for k in asked["keys"]]
+    n, new = 0, 0
+    if len(asked) and asked["counts"].notna().all():
+        counts = [unpacked(c) for c in asked["counts"]]
+        n = [int(c.sum()) for c in counts]
+        told, new = word_totals(keys, counts)
+    else:
+        values = values.sort_values("key")
+        known, logs = values["key"].to_numpy(), values["value"].to_numpy()
+        told = [packed(logs[np.searchsorted(known, k)], "<f4") for k in keys]
+    return pd.DataFrame({"chunk": asked["chunk"], "bucket": asked["bucket"], "told": told, "n": n, "new": new})
+
+
+def gathered(lists: dict[int, bytes], keys: np.ndarray, dealt: Iterator[tuple[int, np.ndarray]], kind: str) -> np.ndarray:
+    """The answers of a chunk in the order of its keys."""
+    out = np.empty(len(keys), kind)
+    for bucket, places in dealt:
+        out[places] = unpacked(lists[bucket], kind)
+    return out
+
+
+def scored(depth: int, buckets: int, word_buckets: int):
     """Score the texts of a chunk with the values of its words and grams. One more row sums up its first-seen words."""
 
-    def run(values: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        lists, values = values[values["keys"].notna()], values[values["keys"].isna()]
-        word_keys, word_counts = pa.array(values["key"].to_numpy()), values["value"].to_numpy()
-        gram_keys = np.concatenate([np.cumsum(unpacked(k)) for k in lists["keys"]] or [np.zeros(0, np.int64)])
-        gram_logs = np.frombuffer(b"".join(lists["logs"]), "<f4")
-        order = np.argsort(gram_keys)
-        gram_keys, gram_logs = gram_keys[order], gram_logs[order]
-        word_logs = np.log10(word_counts + 0.1)
+    def run(answers: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros((5, len(docs)))
+        codes, words = Tally(), Tally()
+        for _, slab in lowered(docs["text"]):
+            codes.add(grams(slab, depth)[0], False)
+            words.add(word_hashes(slab)[0].view(np.int64), False)
+        lists = dict(zip(answers["bucket"], answers["told"], strict=True))
+        keys = words.merged()[0]
+        word_counts = gathered(lists, keys, ((buckets + b, at) for b, at in key_lists(keys, word_buckets)), "<i8")
+        word_logs, words = np.log10(word_counts + 0.1), Places(keys)
+        keys = codes.merged()[0]
+        gram_logs, codes = gathered(lists, keys, key_lists(keys, buckets, ENDING), "<f4"), Places(keys)
         for first, slab in lowered(docs["text"]):
             to = slice(first, first + len(slab))
             hashes, border = word_hashes(slab)
-            at = pc.index_in(pa.array(hashes.view(np.int64)), word_keys).to_numpy()
+            at = words.of(hashes.view(np.int64))
             out[0, to] = np.diff(border) + 1
             for row, what in ((1, word_counts[at] > 0), (2, word_logs[at])):
                 sums = np.concatenate(([0.0], np.cumsum(what)))
                 out[row, to] = sums[border[1:]] - sums[border[:-1]]
-            codes, border = grams(slab, depth)
-            different, inverse = np.unique(codes, return_inverse=True)
-            logs = gram_logs[np.searchsorted(gram_keys, different)].astype(np.float64)[inverse]
-            out[3, to] = np.add.reduceat(logs, border[:-1])
+            keys, border = grams(slab, depth)
+            out[3, to] = np.add.reduceat(gram_logs[codes.of(keys)].astype(np.float64), border[:-1])
             out[4, to] = np.diff(border)
-        new = values["new"].to_numpy() & (word_counts > 0)
-        total = {"n_tokens": int(values["n"].sum()), "n_known": int(new.sum())}
+        total = {"n_tokens": int(answers["n"].sum()), "n_known": int(answers["new"].sum())}
         rows = pd.DataFrame(
             {
                 "row": True,
@@ -395,22 +457,12 @@ def score_texts(docs: DataFrame, held: Column, depth: int = 6, chunk_bytes: int
     values = gram_values(rows.select("text", "held_out"), depth, buckets)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     dealt = dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk")
-    same = Window.partitionBy("key")
-    words = dealt.mapInPandas(asked_words, "chunk int, key long, n long").select(
-        "chunk",
-        "key",
-        "n",
-        F.sum("n").over(same).cast("double").alias("value"),
-        (F.col("chunk") == F.min("chunk").over(same)).alias("new"),
-    )
-    lists = dealt.mapInPandas(asked_grams(depth, buckets), "chunk int, bucket long, keys binary")
+    word_buckets = max(1, buckets // 3)
+    lists = dealt.mapInPandas(asked(depth, buckets, word_buckets), "chunk int, bucket long, keys binary, counts binary")
     lists = lists.groupBy("bucket").cogroup(values.groupBy("bucket"))
-    lists = lists.applyInPandas(answered, "chunk int, keys binary, logs binary")
-    # A null would turn the column of keys into floats.
-    blank = {"key": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "value": F.lit(0.0), "new": F.lit(False)}
-    found = words.unionByName(lists.withColumns(blank), allowMissingColumns=True)
+    found = lists.applyInPandas(answered, "chunk int, bucket long, told binary, n long, new long")
     schema = "row boolean, doc_id string, held_out boolean, n_tokens long, n_known long, word_logs double, score double, n_bytes long"
-    told = found.groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInPandas(scored(depth), schema)
+    told = found.groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInPandas(scored(depth, buckets, word_buckets), schema)
     told = stored(told, "tree-scores")
     is_row = F.col("row")
     n_words, n_distinct, n_texts = told.agg(

@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -407,6 +409,46 @@ def test_tree_scores_without_training(docs, no_docs):
     assert context_tree.score_texts(no_docs, context_tree.held_out()).count() == 0
 
 
+def test_grams_travel_short_and_answers_without_them():
+    """Lists of grams were 4.6 bytes a key and went both ways; 5 bytes of context share a bucket now."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(4000)) for _ in range(6)]
+    frame = pd.DataFrame({"chunk": [0, 0, 0, 1, 1, 1], "text": texts, "held_out": False})
+    asked = pd.concat(context_tree.asked(6, 8, 4)(iter([frame])))
+    lists = asked[asked["counts"].isna()]
+    keys = [np.cumsum(context_tree.unpacked(k)) for k in lists["keys"]]
+    shared = {}
+    for bucket, own in zip(lists["bucket"], keys, strict=True):
+        for context in set((own >> context_tree.ENDING).tolist()):
+            assert shared.setdefault(context, bucket) == bucket
+    short = sum(len(zlib.compress(k, 1)) for k in lists["keys"])
+    assert short < 3.5 * sum(map(len, keys))
+    bucket = lists["bucket"].iloc[0]
+    known = np.unique(np.concatenate([k for b, k in zip(lists["bucket"], keys, strict=True) if b == bucket]))
+    values = pd.DataFrame({"bucket": bucket, "key": known, "value": np.arange(len(known), dtype=np.float32)})
+    got = context_tree.answered(lists[lists["bucket"] == bucket], values)
+    assert list(got.columns) == ["chunk", "bucket", "told", "n", "new"]
+    for own, told in zip((k for b, k in zip(lists["bucket"], keys, strict=True) if b == bucket), got["told"], strict=True):
+        assert len(told) == 4 * len(own)
+        assert context_tree.unpacked(told, "<f4").tolist() == np.searchsorted(known, own).tolist()
+
+
+def test_word_lists_are_totalled_once():
+    lists = [np.array([-5, 3, 9]), np.array([3, 8]), np.array([], np.int64)]
+    told, new = context_tree.word_totals(lists, [np.array([1, 0, 0]), np.array([2, 4]), np.array([], np.int64)])
+    assert [context_tree.unpacked(t).tolist() for t in told] == [[1, 2, 0], [2, 4], []]
+    assert new == [2, 1, 0]
+
+
+def test_places_of_keys():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 5000))
+    asked = rng.integers(0, len(keys), 9000)
+    assert (context_tree.Places(keys).of(keys[asked]) == asked).all()
+    assert len(context_tree.Places(keys[:0]).of(keys[:0])) == 0
+
+
 def test_registered_tree_reads_six_bytes_of_context(spark, tmp_path):
     """The byte after "bcdef" hangs on the sixth byte before it; five bytes of context leave it open."""
     from dossier.llm.queries import ENTRIES
