@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +42,9 @@ class FieldSpec:
             raise ValueError("aliases must be unique")
 
 
+@lru_cache(maxsize=4096)
 def semantic_name(value: str) -> str:
+    """Members of many objects have the same few names, so a worker keeps those it met last."""
     import unicodedata
 
     return "".join(c for c in unicodedata.normalize("NFKC", value or "").casefold() if c.isalnum())

@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from dossier.functions import markup as mk
 from dossier.functions import text as tx
 from dossier.functions import urls
-from dossier.operators import chunking
+from dossier.operators import chunking, fields
 
 
 def one(spark, value, make):
@@ -114,3 +115,30 @@ def test_html_to_text(spark):
     page = "<p>a<SCRIPT x>var t='</p>'\n</script>b</p><style>p{}</style>\n c&amp;"
     expected = re.sub(r"\s+", " ", re.sub("<[^>]+>", " ", "<p>ab</p>\n c&amp;")).strip()
     assert one(spark, page, tx.html_to_text) == expected
+
+
+def test_markup_is_read_without_counting_lines():
+    recorder = mk._Recorder()
+    recorder.feed("a\n<p>\n\nb</p>\n<!-- c\n --><br/>\n")
+    recorder.close()
+    assert recorder.getpos() == (1, 0)
+    assert [e[:2] for e in recorder.events if e[0] != "text"] == [("open", "p"), ("close", "p"), ("open", "br"), ("close", "br")]
+
+
+def test_compact_knows_every_space():
+    spaces = [chr(c) for c in range(0x110000) if re.match(r"\s", chr(c))]
+    odd = "".join(f"{s}a{s}{s}b" for s in spaces)
+    assert mk.compact(odd) == re.sub(r"\s+", " ", odd).strip() and mk.compact(" \n") == mk.compact("") == ""
+
+
+def test_hidden_elements_nest_and_need_not_close():
+    page = "a<script>b</script></script>c<noscript>d<style>e</style>f</noscript>g</noscript>h<style>i</style>j<noscript>k"
+    assert [text for text, shown in mk.outline(page)[1] if shown] == ["a", "c", "g", "h", "j"]
+
+
+def test_names_are_keyed_once_and_json_needs_no_new_encoder(monkeypatch):
+    fields.semantic_name.cache_clear()
+    assert [fields.semantic_name(n) for n in ("Na-me ﬁ", "Na-me ﬁ", "", None)] == ["namefi", "namefi", "", ""]
+    assert fields.semantic_name.cache_info().hits == 1
+    monkeypatch.setattr(mk.json, "JSONEncoder", None)
+    assert mk.canonical_json({"b": [1, "é"], "a": None}) == '{"a":null,"b":[1,"é"]}'
