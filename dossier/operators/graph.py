@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.ids import line_id
 from dossier.functions.text import entity_key, strip
-from dossier.operators.blocks import top_k
+from dossier.operators.blocks import computed, kind_of, top_k
 from dossier.session import cut_lineage
 
 STATUSES = ("canonical", "proposed", "rejected")
+# What the id of a relation is made of, in this order.
+LINE = ("source_id", "target_id", "relation_type", "collection_id", "resource_id", "document_id", "chunk_id")
 
 
 def build_aliases(entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -69,11 +70,17 @@ def provenance_key(edges: DataFrame) -> DataFrame:
     An edge without any has no level and so meets nothing; it keeps its source as id, since edges of one null key
     would all be shuffled to one task.
     """
-    level = (
+    return edges.withColumn("__level", provenance_level()).withColumn("__id", provenance_id())
+
+
+def provenance_level() -> Column:
+    return (
         F.when(F.col("chunk_id").isNotNull(), "chunk").when(F.col("document_id").isNotNull(), "document").when(F.col("resource_id").isNotNull(), "resource")
     )
-    own = [F.col(c).cast("string") for c in ("chunk_id", "document_id", "resource_id", "source_id")]
-    return edges.withColumn("__level", level).withColumn("__id", F.coalesce(*own))
+
+
+def provenance_id() -> Column:
+    return F.coalesce(*[F.col(c).cast("string") for c in ("chunk_id", "document_id", "resource_id", "source_id")])
 
 
 def build_relations(
@@ -83,6 +90,7 @@ def build_relations(
 
     edges: source_id, target_id, relation_type, status, valid_from, valid_to, collection_id,
     resource_id, document_id, chunk_id, created. Equal relation ids keep the first created.
+    Relations carry ``relation_line``, what their id is the digest of, and are partitioned by it.
     """
     # The provenance chain is joined among the stored tables first; every edge then meets it
     # once, at the most specific id it carries.
@@ -110,38 +118,44 @@ def build_relations(
             )
         )
     )
-    joined = (
-        provenance_key(edges)
-        .join(lookup, ["__level", "__id"], "left")
-        .withColumn("__document", F.coalesce("__d", "document_id"))
-        .withColumn("__resource", F.coalesce("__r", "resource_id"))
-        .withColumn("__collection", F.coalesce("__k", "collection_id"))
-    )
+    def meet(some: DataFrame) -> DataFrame:
+        return (
+            some.join(lookup, (provenance_level() == F.col("__level")) & (provenance_id() == F.col("__id")), "left")
+            .withColumn("__document", F.coalesce("__d", "document_id"))
+            .withColumn("__resource", F.coalesce("__r", "resource_id"))
+            .withColumn("__collection", F.coalesce("__k", "collection_id"))
+        )
+
     clash = lambda given, true: given.isNotNull() & true.isNotNull() & (given != true)
     kind, status = strip(F.col("relation_type")), F.lower(strip(F.col("status")))
-    code = (
+    by_itself = (
         F.when(F.col("source_id") == F.col("target_id"), "self_loop")
         .when(kind == "", "blank_type")
         .when(~status.isin(*STATUSES), "invalid_status")
         .when(F.col("valid_to") < F.col("valid_from"), "invalid_interval")
         .when((status == "proposed") & F.col("chunk_id").isNull(), "proposed_without_chunk")
-        .when(F.col("chunk_id").isNotNull() & F.col("__c").isNull(), "missing_chunk")
+    )
+    by_provenance = (
+        F.when(F.col("chunk_id").isNotNull() & F.col("__c").isNull(), "missing_chunk")
         .when(clash(F.col("document_id"), F.col("__d")), "chunk_document_mismatch")
         .when(F.col("__document").isNotNull() & F.col("__dh").isNull(), "missing_document")
         .when(clash(F.col("resource_id"), F.col("__r")), "document_resource_mismatch")
         .when(F.col("__resource").isNotNull() & F.col("__rh").isNull(), "missing_resource")
         .when(clash(F.col("collection_id"), F.col("__k")), "resource_collection_mismatch")
     )
-    checked = joined.withColumn("code", code)
-    refused = checked.where("code IS NOT NULL").select("source_id", "target_id", "relation_type", "created", "code")
-    filled = checked.where("code IS NULL").select(
-        line_id(
-            F.col("source_id"), F.col("target_id"), kind, F.col("__collection"), F.col("__resource"), F.col("__document"), F.col("chunk_id")
-        ).alias("relation_id"),
+    refused = (
+        meet(edges)
+        .withColumn("code", F.coalesce(by_itself, by_provenance))
+        .where("code IS NOT NULL")
+        .select("source_id", "target_id", "relation_type", "created", "code")
+    )
+    # What an edge is refused for by itself is known before it travels to the stored tables.
+    sound = computed(edges, relation_type=kind, status=status, __code=by_itself).where("__code IS NULL").drop("__code")
+    filled = meet(sound).where(by_provenance.isNull()).select(
         "source_id",
         "target_id",
-        kind.alias("relation_type"),
-        status.alias("status"),
+        "relation_type",
+        "status",
         "valid_from",
         "valid_to",
         F.col("__collection").alias("collection_id"),
@@ -150,13 +164,33 @@ def build_relations(
         "chunk_id",
         "created",
     )
-    rest = [c for c in filled.columns if c != "relation_id"]
-    kept = (
-        filled.groupBy("relation_id")
-        .agg(F.min_by(F.struct(*rest), F.struct("created", "status")).alias("r"))
-        .select("relation_id", "r.*")
+    return first_of_line(filled), refused
+
+
+def first_of_line(filled: DataFrame) -> DataFrame:
+    """The first created of the relations of one id, with ``relation_id`` and ``relation_line``.
+
+    Relations are grouped by the line itself, which holds every part: its digest and the parts would travel beside it.
+    Parts that their line does not give back (empty, with a newline, of a type other than text and numbers) stay whole.
+    """
+    kinds = {c: kind_of(filled, c) for c in LINE}
+    text = {c: F.col(c).cast("string") for c in LINE}
+    unclear = F.lit(any(k not in ("string", "int", "bigint") for k in kinds.values()))
+    for value in text.values():
+        unclear = unclear | F.coalesce((value == "") | F.contains(value, F.lit("\n")), F.lit(False))
+    line = F.concat_ws("\n", *[F.coalesce(value, F.lit("")) for value in text.values()])
+    own = ["created", "status", "valid_from", "valid_to"]
+    whole = F.struct(*own, F.when(unclear, F.struct(*LINE)).alias("parts"))
+    lines = computed(filled, relation_line=line, r=whole).select("relation_line", "r")
+    first = computed(lines.groupBy("relation_line").agg(F.min("r").alias("r")), told=F.split("relation_line", "\n"))
+    parts = {
+        c: F.when(F.col("r.parts").isNotNull(), F.col(f"r.parts.{c}")).otherwise(F.nullif(F.get("told", F.lit(i)), F.lit("")).cast(kinds[c]))
+        for i, c in enumerate(LINE)
+    }
+    values = {**parts, **{c: F.col(f"r.{c}") for c in own}}
+    return first.select(
+        F.sha2("relation_line", 256).alias("relation_id"), *[values[c].alias(c) for c in filled.columns], "relation_line"
     )
-    return kept, refused
 
 
 def neighbors(
@@ -235,9 +269,12 @@ def k_hop(
     return found.drop("other")
 
 
-def review_relations(relations: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Apply canonical/rejected decisions to proposed relations; others carry an error code."""
-    joined = relations.join(decisions.select("relation_id", "decision", "reviewer"), "relation_id", "left")
+def review_relations(relations: DataFrame, decisions: DataFrame, key: str = "relation_id") -> DataFrame:
+    """Apply canonical/rejected decisions to proposed relations; others carry an error code.
+
+    ``key``: the column of both by which they meet, such as one that they are partitioned by.
+    """
+    joined = relations.join(decisions.select(key, "decision", "reviewer"), key, "left")
     decision = F.lower(strip(F.col("decision")))
     valid = decision.isin("canonical", "rejected")
     apply = F.coalesce(valid & (F.col("status") == "proposed"), F.lit(False))

@@ -165,7 +165,7 @@ RELATIONS_SQL = """
 def build_relations(spark, d):
     t = Tables(spark, d)
     kept, _ = g.build_relations(_edges(t), *_provenance(t))
-    return kept.drop("created", "resource_id")
+    return kept.drop("created", "resource_id", "relation_line")
 
 
 @query(

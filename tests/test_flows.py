@@ -96,6 +96,30 @@ def test_k_hop_depths_and_limit(spark):
         g.k_hop(starts, rel, 0)
 
 
+def test_relations_of_one_id_keep_the_first_created(spark):
+    """Ids are equal when the joined parts are, so an empty part equals a missing one and a newline may stand in either part."""
+    import hashlib
+
+    rows = [
+        ("a", "b", "t", None, 2), ("a", "b", "t ", "", 1), ("a\nb", "c", "t", None, 5), ("a", "b\nc", "t", None, 4),
+        ("a", "c", "t", "k", 7), ("a", "c", "t", "k", 7), (None, "c", "t", "", 9), ("", "c", "t", None, 8),
+    ]
+    kinds = "source_id string, target_id string, relation_type string, collection_id string, created int"
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    edges = spark.createDataFrame(rows, kinds).select(
+        "*", F.lit("Canonical").alias("status"), *none("int", "valid_from", "valid_to"), *none("string", "resource_id", "document_id", "chunk_id")
+    )
+    tables = [spark.createDataFrame([], schema) for schema in ("chunk_id string, document_id string", "document_id string, resource_id string", "resource_id string, collection_id string")]
+    kept, refused = g.build_relations(edges, *tables)
+    found = {(r.relation_id, r.source_id, r.target_id, r.relation_type, r.collection_id, r.created, r.status) for r in kept.collect()}
+    first = [rows[1], rows[3], rows[4], rows[7]]
+    assert found == {
+        (hashlib.sha256("\n".join([s or "", t or "", "t", c or "", "", "", ""]).encode()).hexdigest(), s, t, "t", c, created, "canonical")
+        for s, t, _, c, created in first
+    }
+    assert kept.count() == 4 and refused.count() == 0
+
+
 def test_crawl_limits_cut_in_discovery_order(spark):
     pages = spark.createDataFrame([("s",), ("b",), ("a",)], "source string")
     links = spark.createDataFrame(
