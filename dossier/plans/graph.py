@@ -252,10 +252,11 @@ def review_relations(spark, d):
     n = F.substring(F.col("source_id"), 2, 20).cast("long")
     decisions = relations.where((n % 3 < 2) | (n % 2 == 0)).select(
         "relation_id",
+        "relation_line",
         F.when(n % 3 == 0, " Canonical").when(n % 3 == 1, "rejected").otherwise("maybe").alias("decision"),
         F.concat(F.lit("rev"), (n % 5).cast("string")).alias("reviewer"),
     )
-    return g.review_relations(relations, decisions).select("relation_id", "status", F.col("review.reviewer").alias("reviewer"), "code")
+    return g.review_relations(relations, decisions, "relation_line").select("relation_id", "status", F.col("review.reviewer").alias("reviewer"), "code")
 
 
 @query(

@@ -14,6 +14,7 @@ from dossier.operators import lexical as lx
 from dossier.operators import memory as mem
 from dossier.operators import metrics as m
 from dossier.operators import web
+from dossier.plans import load_all
 from dossier.sources.files import extract_files
 
 
@@ -120,6 +121,16 @@ def test_relations_of_one_id_keep_the_first_created(spark):
     assert kept.count() == 4 and refused.count() == 0
 
 
+def test_relations_travel_once_and_without_their_digest(spark):
+    """Reviewing relations shuffles them one time, by what their ids are made of."""
+    done = load_all()["review_relations"].run(spark, "/root/testdata/sf0.001")
+    assert done.count() > 0
+    done.collect()
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("partial_min") == 1 and "ReusedExchange" in plan
+    assert "hashpartitioning(relation_id" not in plan
+
+
 def test_crawl_limits_cut_in_discovery_order(spark):
     pages = spark.createDataFrame([("s",), ("b",), ("a",)], "source string")
     links = spark.createDataFrame(
