@@ -1,19 +1,23 @@
 """Offer cards: elements that signal an offer, each grown to the largest element around it that shows one offer.
 
-The tree of a page is read once into rows (element, the elements above it). Everything else is a join or an
-aggregation over (page, element): what lies inside an element is counted by passing every mark on to the elements
-above it, and a card's limit is found among the few elements above its anchor.
+Pages are shuffled once, as they are, so that those of one key stand together; nothing else of them is written or sent.
+A task reads the tree of a page into rows, matches words of the rows in columns, and reads the rows of a key again as one
+group: what lies inside an element is counted by passing every mark on to the elements above it, and a card's limit is
+found among the few elements above its anchor. Pages of one key meet by the numbers of their elements.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions import markup as mk
 from dossier.functions.text import collapse_space
-from dossier.operators.blocks import shuffled
-from dossier.operators.markup import elements
-from dossier.session import cut_lineage
+from dossier.operators.blocks import in_batches, kind_of, leveled, runs_of_keys
 
 # Word patterns that mark offers, actions, benefits, validity and controls.
 FLAGS = "(?iU)"
@@ -57,25 +61,78 @@ def _first(*names: str) -> Column:
     return F.coalesce(*[F.when(_attr(n) != "", _attr(n)) for n in names])
 
 
-def _marked(page: DataFrame, key: str, label_chars: int | None) -> DataFrame:
-    """What every element shows by itself, and what it takes from the elements above it (navigation, link)."""
-    own = page.select(
-        key, F.col("no").alias("up"), F.when(F.col("tag") == "a", _first("href")).alias("href"), F.col("tag").alias("up_tag")
-    )
-    chain = page.select(key, "no", F.posexplode(F.concat(F.array("no"), "above")).alias("step", "up"))
-    taken = (
-        chain.join(shuffled(own), [key, "up"])
-        .groupBy(key, "no")
-        .agg(
-            F.bool_or(F.col("up_tag").isin(*NAVIGATION)).alias("nav"),
-            F.min_by("href", F.when(F.col("href").isNotNull(), F.col("step"))).alias("link"),
-            F.min(F.when(F.col("up_tag").isin(*ROOTS), F.col("step"))).alias("root_step"),
-        )
-    )
+_TEXT, _INT, _BOOL, _DOUBLE = pa.string(), pa.int32(), pa.bool_(), pa.float64()
+_ATTRS = pa.map_(_TEXT, _TEXT)
+
+_ELEMENT = [
+    ("page", _INT, "int"),
+    ("no", _INT, "int"),
+    ("parent", _INT, "int"),
+    ("path", _TEXT, "string"),
+    ("tag", _TEXT, "string"),
+    ("attrs", _ATTRS, "map<string,string>"),
+    ("words", _TEXT, "string"),
+    ("text", _TEXT, "string"),
+    ("nav", _BOOL, "boolean"),
+    ("link", _TEXT, "string"),
+    ("root_step", _INT, "int"),
+]
+
+
+def taken(pages: list[list[dict]]) -> dict[int, tuple[bool, str | None, int | None]]:
+    """What the elements of each number take from themselves and those above: navigation, nearest link, steps to the root."""
+    own = defaultdict(list)
+    for row in (row for page in pages for row in page):
+        own[row["no"]].append((row["tag"] in NAVIGATION, row["attrs"].get("href") or None if row["tag"] == "a" else None, row["tag"] in ROOTS))
+    found: dict[int, tuple] = {}
+    for row in (row for page in pages for row in page):
+        nav, link, link_step, root_step = found.get(row["no"], (False, None, None, None))
+        for step, up in enumerate([row["no"], *row["above"]]):
+            for leads, href, root in own[up]:
+                nav = nav or leads
+                if href is not None and (link_step is None or step < link_step):
+                    link, link_step = href, step
+                if root and (root_step is None or step < root_step):
+                    root_step = step
+        found[row["no"]] = nav, link, link_step, root_step
+    return {no: (nav, link, root_step) for no, (nav, link, _, root_step) in found.items()}
+
+
+def _elements(assets: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """A row for every element of every page; those of one key stand together in a task. A page without key has none."""
+    schema = ", ".join([f"{key} {kind_of(assets, key)}", *(f"{name} {kind}" for name, _, kind in _ELEMENT)])
+
+    def read(batches) -> Iterator[tuple[pa.Scalar, tuple, int]]:
+        for held, rows in runs_of_keys(batches):
+            pages = [mk.tree(value) for (value,) in rows]
+            above = taken(pages)
+            for number, page in enumerate(pages):
+                for row in page:
+                    parent = row["above"][0] if row["above"] else None
+                    words, attrs = " ".join(row["words"]), list(row["attrs"].items())
+                    told = (number, row["no"], parent, row["path"], row["tag"], attrs, words, row["text"], *above[row["no"]])
+                    yield held, told, 256 + len(row["path"]) + 2 * len(row["text"])
+
+    def run(batches):
+        first = next(batches, None)
+        if first is not None:
+            yield from in_batches(read(_chain(first, batches)), key, first.schema.field(0).type, _ELEMENT)
+
+    own = assets.where(F.col(key).isNotNull()).select(key, html)
+    return leveled(own, key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _chain(first, rest):
+    yield first
+    yield from rest
+
+
+def _marked(page: DataFrame, minimum: float, card_chars: int | None, label_chars: int | None) -> DataFrame:
+    """What every element shows by itself, in words or attributes. Its text goes no further."""
     promo = _first("data-promocode", "data-promo-code")
     coupon = collapse_space(_attr("data-coupon-id"))
     press = F.col("tag").isin("a", "button")
-    rows = page.join(shuffled(taken), [key, "no"]).select(
+    rows = page.select(
         "*",
         _attr("href").alias("href"),
         promo.isNotNull().alias("value"),
@@ -97,155 +154,258 @@ def _marked(page: DataFrame, key: str, label_chars: int | None) -> DataFrame:
     )
     rows = rows.withColumn("action", F.col("press") & acts)
     rows = rows.withColumn("explicit", F.col("said") & F.col("offer_id").isNull() & ~F.col("nav") & ~F.col("control"))
-    return rows.withColumn("benefit", F.col("action") & F.col("offer_id").isNull() & ~F.col("explicit"))
-
-
-def _inside(rows: DataFrame, key: str, **sums: Column) -> DataFrame:
-    """(key, at, sums): aggregates of the rows in and below every element."""
-    passed = rows.withColumn("at", F.explode(F.concat(F.array("no"), "above")))
-    return passed.groupBy(key, "at").agg(*[value.alias(name) for name, value in sums.items()])
-
-
-def _with_counts(rows: DataFrame, key: str) -> DataFrame:
-    """Add how many offers an element shows in and below itself, and whether it titles an offer."""
-    marks = rows.where("action OR explicit OR machine OR offer_id IS NOT NULL")
-    inside = _inside(
-        marks,
-        key,
-        n_action=F.count_if("action"),
-        n_explicit=F.count_if("explicit"),
-        n_benefit=F.count_if("benefit"),
-        n_machine=F.count_if("machine"),
-        n_unit=F.count_distinct("unit"),
-        n_offer=F.count_distinct("offer_id"),
-    )
-    names = [c for c in inside.columns if c.startswith("n_")]
-    rows = rows.join(shuffled(inside.withColumnRenamed("at", "no")), [key, "no"], "left").na.fill(0, names)
-    parent = rows.select(
-        key, F.col("no").alias("parent"), F.col("tag").alias("parent_tag"), (F.col("n_action") - F.col("action").cast("int")).alias("around")
-    )
-    rows = rows.withColumn("parent", F.get("above", F.lit(0))).join(shuffled(parent), [key, "parent"], "left")
-    titles_list = (
-        F.col("parent").isNotNull()
-        & ~F.col("parent_tag").isin(*ENDS)
-        & F.col("link").isNull()
-        & (F.col("around") - F.col("n_action") > 1)
-    )
-    heading = F.col("tag").isin(*HEADINGS[1:]) & ~F.col("nav") & ~_says(CONTROL) & _says(BENEFIT)
-    rows = rows.withColumn("heading", heading & ~F.coalesce(titles_list, F.lit(False)))
-    titles = _inside(rows.where("heading"), key, n_heading=F.count("*"))
-    rows = rows.join(shuffled(titles.withColumnRenamed("at", "no")), [key, "no"], "left").na.fill(0, ["n_heading"])
-    units = F.when(F.col("n_unit") > 0, F.col("n_unit")).otherwise(F.col("n_machine"))
-    several = (F.greatest("n_explicit", "n_benefit", "n_heading", "n_offer") > 1) | (units > 1)
-    return rows.withColumn("crowd", units > 1).withColumn("several", several)
-
-
-def _grown(anchors: DataFrame, rows: DataFrame, key: str, card_chars: int | None) -> DataFrame:
-    """Add ``card``, the element an anchor grows to, and whether several units stand around the anchor."""
     usable = F.col("text") != ""
     if card_chars is not None:
         usable = usable & (F.char_length("text") <= card_chars)
-    facts = rows.select(
-        key, F.col("no").alias("up"), usable.alias("usable"), "several", "crowd", (F.col("tag").isin(*ENDS) | _says(VALIDITY)).alias("ends")
-    )
-    # Elements above the anchor, nearest first, up to the page's root.
-    near = F.when(F.col("root_step").isNull(), F.col("above")).otherwise(F.slice("above", F.lit(1), F.greatest(F.col("root_step") - 1, F.lit(0))))
-    steps = anchors.select(key, "no", F.posexplode(near).alias("step", "up")).join(shuffled(facts), [key, "up"])
-    around = steps.groupBy(key, "no").agg(
-        F.bool_or("crowd").alias("crowded"),
-        F.array_sort(F.collect_list(F.when(F.col("usable"), F.struct("step", "up", "several", "ends")))).alias("way"),
+    rank = _rank()
+    broad = ~F.col("nav") & (F.coalesce(rank["confidence"], F.lit(-1.0)) >= minimum) & (F.char_length("text") >= 6) & _says(OFFER)
+    return rows.select(
+        *[c for c in page.columns if c != "text"],
+        "value",
+        "machine",
+        "unit",
+        "offer_id",
+        "action",
+        "explicit",
+        (F.col("action") & F.col("offer_id").isNull() & ~F.col("explicit")).alias("benefit"),
+        (F.col("tag").isin(*HEADINGS[1:]) & ~F.col("nav") & ~_says(CONTROL) & _says(BENEFIT)).alias("titles"),
+        usable.alias("usable"),
+        (F.col("tag").isin(*ENDS) | _says(VALIDITY)).alias("ends"),
+        F.when(broad, rank["priority"]).alias("rank"),
+        F.when(broad, rank["confidence"]).alias("rank_confidence"),
     )
 
-    def until(way: Column, flag: str) -> Column:
-        return F.array_min(F.transform(F.filter(way, lambda x: x[flag]), lambda x: x["step"]))
-
-    around = around.withColumn("stop", until(F.col("way"), "several"))
-    around = around.withColumn("way", F.filter("way", lambda x: F.col("stop").isNull() | (x["step"] < F.col("stop"))))
-    around = around.withColumn("edge", until(F.col("way"), "ends"))
-    reached = F.filter("way", lambda x: F.col("edge").isNull() | (x["step"] <= F.col("edge")))
-    around = around.select(key, "no", "crowded", F.try_element_at(reached, F.lit(-1))["up"].alias("grown"))
-    out = anchors.join(shuffled(around), [key, "no"], "left")
-    return out.withColumn("card", F.coalesce("grown", "no")).withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-
-
-def _signals(rows: DataFrame, key: str, card_chars: int | None) -> DataFrame:
-    """(key, no, card, priority, kind, confidence) of every signal of every element."""
-    linked = F.col("heading") & F.col("link").isNotNull()
-    anchors = rows.where("offer_id IS NOT NULL OR machine OR action OR heading")
-    grown = _grown(anchors, rows, key, card_chars)
-    free = F.col("action") & F.col("offer_id").isNull() & ~F.col("value") & ~F.col("crowded")
-
-    def signal(holds: Column, priority: int, kind: str, confidence: float) -> Column:
-        told = F.struct(F.lit(priority).alias("priority"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"))
-        return F.when(holds, told)
-
-    kinds = F.array(
-        signal(F.col("offer_id").isNotNull(), 12, "action", 0.99),
-        signal(F.col("value") & F.col("action"), 11, "action", 0.995),
-        signal(F.col("value") & ~F.col("action"), 10, "machine", 0.995),
-        signal(linked, 9, "heading", 0.97),
-        signal(free, 8, "action", 0.96),
-        signal(F.col("heading") & F.col("link").isNull(), 7, "heading", 0.95),
-        signal(F.col("machine") & ~F.col("value"), 6, "machine", 0.99),
-    )
-    return grown.select(key, "no", "card", F.inline(F.array_compact(kinds)))
-
 
-def _containers(rows: DataFrame, key: str, minimum: float) -> DataFrame:
-    """Broad containers of pages without signals. One inside another of the same or a higher rank does not count."""
+def _rank() -> Column:
+    """Broad containers by their rank."""
     about = F.concat_ws(" ", *[_attr(n) for n in ("class", "id", "role", "itemtype", "itemprop")])
     named = F.arrays_overlap(F.split(F.lower(about), "[^a-z0-9_-]+"), F.array(*[F.lit(w) for w in CARD_WORDS]))
-    rank = (
-        F.when(F.col("tag") == "article", F.struct(F.lit(4).alias("priority"), F.lit(0.92).alias("confidence")))
-        .when(F.col("tag") == "li", F.struct(F.lit(3).alias("priority"), F.lit(0.89).alias("confidence")))
-        .when(F.col("tag").isin("div", "section") & named, F.struct(F.lit(3).alias("priority"), F.lit(0.87).alias("confidence")))
-        .when((F.col("tag") == "a") & (F.col("href") != ""), F.struct(F.lit(2).alias("priority"), F.lit(0.84).alias("confidence")))
-    )
-    found = rows.where(~F.col("nav") & (F.char_length("text") >= 6) & _says(OFFER)).select(key, "no", "above", rank.alias("rank"))
-    found = found.where(F.col("rank.confidence") >= minimum).select(key, "no", "above", "rank.*")
-    outer = found.select(key, F.col("no").alias("up"), F.col("priority").alias("outer"))
-    nested = found.select(key, "no", "priority", F.explode("above").alias("up")).join(shuffled(outer), [key, "up"]).where("outer >= priority")
-    return found.join(shuffled(nested.select(key, "no")), [key, "no"], "left_anti").select(
-        key, "no", F.col("no").alias("card"), "priority", F.lit("fallback").alias("kind"), "confidence"
-    )
 
+    def level(priority: int, confidence: float) -> Column:
+        return F.struct(F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"))
 
-def _described(best: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The records' own attributes, taken from their cards and anchors."""
-    inside = rows.withColumn("card", F.explode(F.concat(F.array("no"), "above"))).join(shuffled(best.select(key, "card")), [key, "card"])
-    text = F.when(F.col("text") != "", F.col("text"))
-
-    def first(value: Column, *tags: str) -> Column:
-        return F.min_by(F.struct(value.alias("v")), F.when(F.col("tag").isin(*tags), F.col("no")))["v"]
-
-    titled = F.min_by("text", F.when(F.col("heading") & (F.col("text") != ""), F.col("no")))
-    parts = inside.groupBy(key, "card").agg(
-        F.coalesce(titled, first(text, *HEADINGS)).alias("heading"),
-        first(text, "strong", "b").alias("strong"),
-        first(_first("href"), "a").alias("href"),
-        first(text, "a").alias("link_text"),
-        first(_first("src", "data-src", "data-lazy-src"), "img").alias("image_src"),
-        first(_first("alt"), "img").alias("image_alt"),
-    )
-    data = inside.select(key, "card", "no", F.explode("attrs").alias("name", "said")).where("name LIKE 'data-%' AND said <> ''")
-    data = data.groupBy(key, "card", "name").agg(F.min_by("said", "no").alias("said"))
-    data = data.groupBy(key, "card").agg(F.map_from_entries(F.collect_list(F.struct("name", "said"))).alias("data"))
-    card = rows.select(key, F.col("no").alias("card"), "path", "tag", "text")
-    pressed = F.when(F.col("tag").isin("a", "button"), _first("href"))
-    anchor = rows.select(key, "no", pressed.alias("action_href"), "link", text.alias("action_text"))
-    action = F.coalesce("action_href", F.when(F.col("kind") == "heading", F.col("link")))
     return (
-        best.join(shuffled(card), [key, "card"])
-        .join(shuffled(anchor), [key, "no"])
-        .join(shuffled(parts), [key, "card"])
-        .join(shuffled(data), [key, "card"], "left")
-        .withColumn("action_href", action)
-        .withColumn("data", F.coalesce("data", F.create_map().cast("map<string,string>")))
-        .withColumnRenamed("no", "position")
-        .drop("link", "card")
+        F.when(F.col("tag") == "article", level(4, 0.92))
+        .when(F.col("tag") == "li", level(3, 0.89))
+        .when(F.col("tag").isin("div", "section") & named, level(3, 0.87))
+        .when((F.col("tag") == "a") & (F.col("href") != ""), level(2, 0.84))
     )
 
 
+class _Element:
+    """A marked element; ``above`` are the numbers of the elements above it, nearest first."""
+
+    def __init__(self, names: list[str], row: tuple) -> None:
+        self.__dict__.update(zip(names, row))
+        self.attrs = dict(self.attrs)
+        self.inside: list[_Element] = []
+        self.heading = False
+
+    def attr(self, *names: str) -> str | None:
+        """The first of these attributes that says something."""
+        return next((self.attrs[n] for n in names if self.attrs.get(n)), None)
+
+    def text(self) -> str:
+        """Its own words, then those of the elements inside it."""
+        parts, todo = [], [self]
+        while todo:
+            element = todo.pop()
+            if element.words:
+                parts.append(element.words)
+            todo += reversed(element.inside)
+        return " ".join(parts)
+
+
+def _standing(names: list[str], rows: list[tuple]) -> list[_Element]:
+    found, at = [], {}
+    for row in rows:
+        element = _Element(names, row)
+        around = None if element.parent is None else at[element.page, element.parent]
+        element.above = [] if around is None else [around.no, *around.above]
+        if around is not None:
+            around.inside.append(element)
+        at[element.page, element.no] = element
+        found.append(element)
+    return found
+
+
+def _by_number(elements: list[_Element]) -> dict[int, list[_Element]]:
+    found = defaultdict(list)
+    for element in elements:
+        found[element.no].append(element)
+    return found
+
+
+class _Inside:
+    """What lies in and below the elements of a number."""
+
+    def __init__(self) -> None:
+        self.action = self.explicit = self.benefit = self.machine = self.heading = 0
+        self.units: set[str] = set()
+        self.offers: set[str] = set()
+
+    @property
+    def crowd(self) -> bool:
+        return (len(self.units) or self.machine) > 1
+
+    @property
+    def several(self) -> bool:
+        return max(self.explicit, self.benefit, self.heading, len(self.offers)) > 1 or self.crowd
+
+
+def _counted(elements: list[_Element]) -> tuple[list[_Element], dict[int, _Inside]]:
+    """Elements with whether they title an offer, one for each element that is their parent; counts by number."""
+    inside: dict[int, _Inside] = defaultdict(_Inside)
+    for e in elements:
+        if e.action or e.explicit or e.machine or e.offer_id is not None:
+            for at in (e.no, *e.above):
+                sums = inside[at]
+                sums.action += e.action
+                sums.explicit += e.explicit
+                sums.benefit += e.benefit
+                sums.machine += e.machine
+                sums.units |= {e.unit} - {None}
+                sums.offers |= {e.offer_id} - {None}
+    numbered, found = _by_number(elements), []
+    for e in elements:
+        for parent in numbered[e.parent] if e.parent is not None else [None]:
+            titles_list = (
+                parent is not None
+                and parent.tag not in ENDS
+                and e.link is None
+                and inside[parent.no].action - parent.action - inside[e.no].action > 1
+            )
+            row = e if parent is None or len(numbered[e.parent]) == 1 else _copy(e)
+            row.heading = e.titles and not titles_list
+            found.append(row)
+    for e in found:
+        if e.heading:
+            for at in (e.no, *e.above):
+                inside[at].heading += 1
+    return found, inside
+
+
+def _copy(e: _Element) -> _Element:
+    other = object.__new__(_Element)
+    other.__dict__.update(e.__dict__)
+    return other
+
+
+def _grown(anchors: list[_Element], numbered: dict[int, list[_Element]], inside: dict[int, _Inside]) -> dict[int, tuple[int, bool]]:
+    """By number of anchor: the element it grows to, and whether several units stand around it."""
+    ways = defaultdict(set)
+    crowded = defaultdict(bool)
+    for e in anchors:
+        # Elements above the anchor, nearest first, up to the page's root.
+        near = e.above if e.root_step is None else e.above[: max(e.root_step - 1, 0)]
+        for step, up in enumerate(near):
+            crowded[e.no] |= inside[up].crowd
+            ways[e.no] |= {(step, up, inside[up].several, x.ends) for x in numbered[up] if x.usable}
+    found = {}
+    for e in anchors:
+        way = sorted(ways[e.no])
+        stop = min((step for step, _, several, _ in way if several), default=None)
+        way = [x for x in way if stop is None or x[0] < stop]
+        edge = min((step for step, _, _, ends in way if ends), default=None)
+        reached = [x for x in way if edge is None or x[0] <= edge]
+        found[e.no] = reached[-1][1] if reached else e.no, crowded[e.no]
+    return found
+
+
+def _signals(elements: list[_Element], numbered: dict[int, list[_Element]], inside: dict[int, _Inside]) -> Iterator[tuple]:
+    """(card, priority, no, kind, confidence) of every signal of every element."""
+    anchors = [e for e in elements if e.offer_id is not None or e.machine or e.action or e.heading]
+    grown = _grown(anchors, numbered, inside)
+    for e in anchors:
+        card, crowded = grown[e.no]
+        kinds = (
+            (e.offer_id is not None, 12, "action", 0.99),
+            (e.value and e.action, 11, "action", 0.995),
+            (e.value and not e.action, 10, "machine", 0.995),
+            (e.heading and e.link is not None, 9, "heading", 0.97),
+            (e.action and e.offer_id is None and not e.value and not crowded, 8, "action", 0.96),
+            (e.heading and e.link is None, 7, "heading", 0.95),
+            (e.machine and not e.value, 6, "machine", 0.99),
+        )
+        yield from ((card, priority, e.no, kind, confidence) for holds, priority, kind, confidence in kinds if holds)
+
+
+def _containers(elements: list[_Element]) -> Iterator[tuple]:
+    """Broad containers of a key without signals. One inside another of the same or a higher rank does not count."""
+    broad = [e for e in elements if e.rank is not None]
+    ranks = defaultdict(int)
+    for e in broad:
+        ranks[e.no] = max(ranks[e.no], e.rank)
+    nested = {e.no for e in broad if any(up in ranks and ranks[up] >= e.rank for up in e.above)}
+    return ((e.no, e.rank, e.no, "fallback", e.rank_confidence) for e in broad if e.no not in nested)
+
+
+_CARD = [
+    ("position", _INT, "int"),
+    ("priority", _INT, "int"),
+    ("kind", _TEXT, "string"),
+    ("confidence", _DOUBLE, "double"),
+    ("path", _TEXT, "string"),
+    ("tag", _TEXT, "string"),
+    ("text", _TEXT, "string"),
+    ("action_href", _TEXT, "string"),
+    ("action_text", _TEXT, "string"),
+    ("heading", _TEXT, "string"),
+    ("strong", _TEXT, "string"),
+    ("href", _TEXT, "string"),
+    ("link_text", _TEXT, "string"),
+    ("image_src", _TEXT, "string"),
+    ("image_alt", _TEXT, "string"),
+    ("data", _ATTRS, "map<string,string>"),
+]
+
+
+def _described(best: dict[int, tuple], elements: list[_Element], numbered: dict[int, list[_Element]]) -> Iterator[tuple]:
+    """The records' own attributes, taken from their cards and anchors."""
+    within = defaultdict(list)
+    for e in sorted(elements, key=lambda e: e.no):
+        for at in (e.no, *e.above):
+            if at in best:
+                within[at].append(e)
+
+    def first(card: int, *tags: str) -> _Element | None:
+        return next((e for e in within[card] if e.tag in tags), None)
+
+    for card, (priority, no, kind, confidence) in best.items():
+        titled = next((text for e in within[card] if e.heading and (text := e.text())), None)
+        heading, strong, link, image = (first(card, *tags) for tags in (HEADINGS, ("strong", "b"), ("a",), ("img",)))
+        data: dict[str, str] = {}
+        for e in within[card]:
+            for name, said in e.attrs.items():
+                if said and name.startswith("data-"):
+                    data.setdefault(name, said)
+        parts = (
+            titled or (heading and heading.text()) or None,
+            (strong and strong.text()) or None,
+            link and link.attr("href"),
+            (link and link.text()) or None,
+            image and image.attr("src", "data-src", "data-lazy-src"),
+            image and image.attr("alt"),
+            list(data.items()),
+        )
+        for shown in numbered[card]:
+            for anchor in numbered[no]:
+                pressed = anchor.attr("href") if anchor.tag in ("a", "button") else None
+                action = pressed if pressed is not None or kind != "heading" else anchor.link
+                yield (no, priority, kind, confidence, shown.path, shown.tag, shown.text(), action, anchor.text() or None, *parts)
+
+
+def _cards(names: list[str], rows: list[tuple]) -> Iterator[tuple]:
+    """The cards of the pages of a key."""
+    elements, inside = _counted(_standing(names, rows))
+    numbered = _by_number(elements)
+    best: dict[int, tuple] = {}
+    for card, priority, no, kind, confidence in [*_signals(elements, numbered, inside)] or _containers(elements):
+        if card not in best or (-priority, no) < (-best[card][0], best[card][1]):
+            best[card] = priority, no, kind, confidence
+    return _described(best, elements, numbered)
+
+
 def offer_cards(
     assets: DataFrame,
     key: str = "asset_id",
@@ -258,12 +418,18 @@ def offer_cards(
     ``card_chars``: a card does not grow to an element with a longer text; ``label_chars``: longer link texts are no
     offers by their words alone. Neither limits by default.
     """
-    # Every step names its rows several times: written once, a page is read and its words are matched a single time.
-    page = cut_lineage(elements(assets, key))
-    rows = cut_lineage(_with_counts(cut_lineage(_marked(page, key, label_chars)), key))
-    signals = cut_lineage(_signals(rows, key, card_chars))
-    silent = rows.join(shuffled(signals.select(key).distinct()), key, "left_anti")
-    proposals = signals.unionByName(_containers(silent, key, minimum))
-    strongest = Window.partitionBy(key, "card").orderBy(F.desc("priority"), "no")
-    best = proposals.withColumn("nth", F.row_number().over(strongest)).where("nth = 1").drop("nth")
-    return _described(best, rows, key)
+    marked = _marked(_elements(assets, key), minimum, card_chars, label_chars)
+    names = marked.columns[1:]
+    schema = ", ".join([f"{key} {kind_of(assets, key)}", *(f"{name} {kind}" for name, _, kind in _CARD)])
+
+    def read(batches) -> Iterator[tuple[pa.Scalar, tuple, int]]:
+        for held, rows in runs_of_keys(batches):
+            for card in _cards(names, rows):
+                yield held, card, 512 + 2 * sum(len(x) for x in card if isinstance(x, str))
+
+    def run(batches):
+        first = next(batches, None)
+        if first is not None:
+            yield from in_batches(read(_chain(first, batches)), key, first.schema.field(0).type, _CARD)
+
+    return marked.mapInArrow(run, schema)

@@ -217,3 +217,16 @@ def test_elements_of_all_pages_are_never_broadcast(spark):
     pages = spark.createDataFrame([("p", CASES["article and list item win over what they contain"][0]), ("q", None)], "asset_id string, html string")
     found = cards.offer_cards(pages)
     assert "Broadcast" not in plan_of(found) and sorted(r.tag for r in found.collect()) == ["article", "li"]
+
+
+def test_pages_are_shuffled_once_and_never_as_elements(spark):
+    """The only thing that travels is the page; every element has the text of all below it, many times the page."""
+    nested = "<div>" * 12 + "<h3>Discount <b>5%</b> today</h3>and<a href='/d'>Open <i>deal</i> code</a>" + "</div>" * 12
+    pages = spark.createDataFrame([(1, nested), (2, CASES["article and list item win over what they contain"][0]), (None, nested), (3, None)], "asset_id int, html string")
+    found = cards.offer_cards(pages)
+    plan = plan_of(found)
+    assert plan.count("Exchange") == 1 and plan.count("Scan ExistingRDD") == 1 and "checkpoint" not in plan
+    shown = [(r.asset_id, r.path, r.text) for r in found.collect()]
+    assert {i for i, _, _ in shown} == {1, 2}
+    texts = {(i, row["path"]): row["text"] for i, html in ((r.asset_id, r.html) for r in pages.collect()) for row in markup.tree(html)}
+    assert all(texts[i, path] == text for i, path, text in shown)
