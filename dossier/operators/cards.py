@@ -8,6 +8,7 @@ found among the few elements above its anchor. Pages of one key meet by the numb
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -76,8 +77,25 @@ _ELEMENT = [
     ("nav", _BOOL, "boolean"),
     ("link", _TEXT, "string"),
     ("root_step", _INT, "int"),
+    ("may_offer", _BOOL, "boolean"),
+    ("may_end", _BOOL, "boolean"),
 ]
 
+# OFFER and VALIDITY match no text without one of these, letters taken as small ones.
+OFFER_STEMS = (
+    "скид", "промокод", "кешб", "кэшб", "бонус", "бесплат", "подар", "сертификат", "coupon", "promo", "discount", "cashback",
+    "bonus", "sale", "gift", "₽", "руб",
+)
+PERCENT = re.compile(r"\d\s*%")
+VALIDITY_STEMS = ("срок", "остал", "действует", "активен", "valid", "expire")
+
+
+def may_say(page: list[dict]) -> tuple[bool, bool]:
+    """Whether any element of a page can match OFFER, and VALIDITY: their texts are parts of those of the outermost."""
+    whole = "\n".join(row["text"] for row in page if not row["above"])
+    low = whole.upper().lower().replace("\u0307", "")
+    return PERCENT.search(whole) is not None or any(x in low for x in OFFER_STEMS), any(x in low for x in VALIDITY_STEMS)
+
 
 def taken(pages: list[list[dict]]) -> dict[int, tuple[bool, str | None, int | None]]:
     """What the elements of each number take from themselves and those above: navigation, nearest link, steps to the root."""
@@ -102,15 +120,16 @@ def _elements(assets: DataFrame, key: str, html: str = "html") -> DataFrame:
     """A row for every element of every page; those of one key stand together in a task. A page without key has none."""
     schema = ", ".join([f"{key} {kind_of(assets, key)}", *(f"{name} {kind}" for name, _, kind in _ELEMENT)])
 
-    def read(batches) -> Iterator[tuple[pa.Scalar, tuple, int]]:
+    def read(batches) -> Iterator[tuple[object, tuple, int]]:
         for held, rows in runs_of_keys(batches):
             pages = [mk.tree(value) for (value,) in rows]
             above = taken(pages)
             for number, page in enumerate(pages):
+                may = may_say(page)
                 for row in page:
                     parent = row["above"][0] if row["above"] else None
                     words, attrs = " ".join(row["words"]), list(row["attrs"].items())
-                    told = (number, row["no"], parent, row["path"], row["tag"], attrs, words, row["text"], *above[row["no"]])
+                    told = (number, row["no"], parent, row["path"], row["tag"], attrs, words, row["text"], *above[row["no"]], *may)
                     yield held, told, 256 + len(row["path"]) + 2 * len(row["text"])
 
     def run(batches):
@@ -146,7 +165,7 @@ def _marked(page: DataFrame, minimum: float, card_chars: int | None, label_chars
         press.alias("press"),
     )
     script = (F.col("tag") == "a") & F.lower("href").rlike("^(?:javascript|mailto|tel):")
-    offered = (F.col("tag") == "a") & (F.col("href") != "") & (F.col("text") != "") & _says(OFFER)
+    offered = (F.col("tag") == "a") & (F.col("href") != "") & (F.col("text") != "") & F.col("may_offer") & _says(OFFER)
     if label_chars is not None:
         offered = offered & (F.char_length("text") <= label_chars)
     acts = F.contains("href", F.lit("offer_id=")) | (
@@ -158,9 +177,9 @@ def _marked(page: DataFrame, minimum: float, card_chars: int | None, label_chars
     if card_chars is not None:
         usable = usable & (F.char_length("text") <= card_chars)
     rank = _rank()
-    broad = ~F.col("nav") & (F.coalesce(rank["confidence"], F.lit(-1.0)) >= minimum) & (F.char_length("text") >= 6) & _says(OFFER)
-    return rows.select(
-        *[c for c in page.columns if c != "text"],
+    broad = ~F.col("nav") & (F.coalesce(rank["confidence"], F.lit(-1.0)) >= minimum) & (F.char_length("text") >= 6) & F.col("may_offer") & _says(OFFER)
+    rows = rows.select(
+        *[c for c in page.columns if c not in ("text", "may_offer", "may_end")],
         "value",
         "machine",
         "unit",
@@ -170,10 +189,12 @@ def _marked(page: DataFrame, minimum: float, card_chars: int | None, label_chars
         (F.col("action") & F.col("offer_id").isNull() & ~F.col("explicit")).alias("benefit"),
         (F.col("tag").isin(*HEADINGS[1:]) & ~F.col("nav") & ~_says(CONTROL) & _says(BENEFIT)).alias("titles"),
         usable.alias("usable"),
-        (F.col("tag").isin(*ENDS) | _says(VALIDITY)).alias("ends"),
+        (F.col("tag").isin(*ENDS) | (F.col("may_end") & _says(VALIDITY))).alias("ends"),
         F.when(broad, rank["priority"]).alias("rank"),
         F.when(broad, rank["confidence"]).alias("rank_confidence"),
     )
+    shows = F.col("action") | F.col("machine") | F.col("titles") | F.col("offer_id").isNotNull() | F.col("rank").isNotNull()
+    return rows.withColumn("shows", shows)
 
 
 def _rank() -> Column:
@@ -422,8 +443,8 @@ def offer_cards(
     names = marked.columns[1:]
     schema = ", ".join([f"{key} {kind_of(assets, key)}", *(f"{name} {kind}" for name, _, kind in _CARD)])
 
-    def read(batches) -> Iterator[tuple[pa.Scalar, tuple, int]]:
-        for held, rows in runs_of_keys(batches):
+    def read(batches) -> Iterator[tuple[object, tuple, int]]:
+        for held, rows in runs_of_keys(batches, "shows"):
             for card in _cards(names, rows):
                 yield held, card, 512 + 2 * sum(len(x) for x in card if isinstance(x, str))
 

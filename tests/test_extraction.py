@@ -230,3 +230,11 @@ def test_pages_are_shuffled_once_and_never_as_elements(spark):
     assert {i for i, _, _ in shown} == {1, 2}
     texts = {(i, row["path"]): row["text"] for i, html in ((r.asset_id, r.html) for r in pages.collect()) for row in markup.tree(html)}
     assert all(texts[i, path] == text for i, path, text in shown)
+
+
+def test_words_are_looked_for_wherever_they_can_match():
+    for offer in ("SALE", "ſale", "gıft", "DİSCOUNT", "Кэшбэк", "до 5 %", "5<b>%</b>", "- 7 <i>₽</i>", "скидка"):
+        assert cards.may_say(markup.tree(f"<div><p>a {offer}</p></div>")) == (True, False), offer
+    for end in ("Valid <b>until</b>", "EXPİRES", "Срок действия", "осталось 3 дня", "активен ещё"):
+        assert cards.may_say(markup.tree(f"<p>a</p><div><p>{end}</p></div>")) == (False, True), end
+    assert cards.may_say(markup.tree("<p>a % b</p>")) == (False, False) == cards.may_say(markup.tree(None))
